@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format
+from datascry.llm import chat_format, common, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +53,37 @@ FROM r GROUP BY conv_id
 """
 
 
+# --------------------------------------------------------------------- op7
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    records = common.cut(warc.read_archives(spark, path), "warc-records")
+    return warc.join_originals(records).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY d, n) AS top FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op7_warc": op7_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op7_warc": OP7_SQL,
 }
