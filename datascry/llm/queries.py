@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, warc
+from datascry.llm import chat_format, common, mixing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,9 +78,18 @@ FROM m
 """
 
 
+# -------------------------------------------------------------------- op10
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "lang", "source", "mix_domain", "mix_tokens", "mix_epoch")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op7_warc": op7_warc,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
