@@ -37,7 +37,7 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def resolve_revisits(pages: DataFrame, min_bytes: int = 1000, partitions: int | None = None) -> DataFrame:
     """``pages`` with ``payload_digest, payload_bytes, record_type, refers_to``.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the largest
@@ -45,13 +45,17 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     responses.  Null html counts as empty.  Null page_ids count as smallest;
     rows that share the largest page_id are all responses.  Only ``page_id,
     url, html`` of the input are kept, so clashing extra columns do no harm.
+    ``partitions`` is the number of partitions of the result, which the join
+    works in too: payloads are shuffled once.
     """
     rows = pages.select("page_id", "url", "html").withColumns(
         {
             "payload_digest": F.sha1(_payload("html")),
             "payload_bytes": F.octet_length(F.coalesce("html", F.lit(""))).cast("long"),
+            "page_key": F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         }
     )
+    keys = ["page_key", "payload_digest"]
     heads = rows.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= min_bytes)
     originals = (
         heads.groupBy("payload_digest", "payload_bytes")
@@ -62,18 +66,13 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     revisits = (
         heads.join(originals, ["payload_digest", "payload_bytes"])
         .filter("page_id is null or page_id < refers_to")
-        .select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), "refers_to")
+        .select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key"), "payload_digest", "refers_to")
         .distinct()
     )
-    return (
-        rows.join(
-            revisits,
-            common.same(F.col("page_id"), F.col("r_page")) & (F.col("payload_digest") == F.col("r_digest")),
-            "left",
-        )
-        .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-        .drop("r_page", "r_digest")
-    )
+    if partitions:
+        rows = rows.repartition(partitions, *keys)
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    return rows.join(revisits, keys, "left").withColumn("record_type", kind).drop("page_key")
 
 
 def write_archives(
@@ -81,7 +80,7 @@ def write_archives(
 ) -> None:
     """Writes gzip-compressed WARC/1.1 files of about ``file_bytes`` raw bytes."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = resolve_revisits(pages, min_bytes).repartition(total // file_bytes + 1, "page_id", "payload_digest")
+    rows = resolve_revisits(pages, min_bytes, total // file_bytes + 1)
     revisit = F.col("record_type") == "revisit"
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
