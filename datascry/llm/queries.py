@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, mixing, warc
+from datascry.llm import chat_format, common, decontaminate, mixing, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,18 @@ FROM r GROUP BY conv_id
 """
 
 
+# --------------------------------------------------------------------- op4
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    flagged = quality.learn_flagged(docs, _read(spark, sf_dir, "labels"))
+    rated = quality.rate(docs, keep=["doc_id"], rules=quality.with_flagged(flagged))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 # --------------------------------------------------------------------- op7
 
 
@@ -131,6 +143,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op4_quality": op4_quality,
     "op7_warc": op7_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
