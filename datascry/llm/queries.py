@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, mixing, quality, warc
+from datascry.llm import chat_format, common, decontaminate, mixing, quality, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,33 @@ FROM r GROUP BY conv_id
 """
 
 
+# --------------------------------------------------------------------- op3
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    cleaned = substring_dedup.remove_repeats(docs, keep=["doc_id"])
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS said
+  FROM d, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS u(i)
+), twice AS (
+  SELECT said FROM g GROUP BY said HAVING count(*) > 1
+), gone AS (
+  SELECT r, list(DISTINCT w) AS at FROM g JOIN twice USING (said), unnest(range(i, i + 35)) AS u(w) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+  sha256(coalesce((SELECT string_agg(ws[p], ' ' ORDER BY p) FROM unnest(list_filter(range(1, len(ws) + 1),
+    lambda q: NOT list_contains(coalesce(at, []), q))) AS u(p)), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+
 # --------------------------------------------------------------------- op4
 
 
@@ -143,6 +170,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op7_warc": op7_warc,
     "op9_decontaminate": op9_decontaminate,
