@@ -71,12 +71,15 @@ WITH d AS (
 ), twice AS (
   SELECT said FROM g GROUP BY said HAVING count(*) > 1
 ), gone AS (
-  SELECT r, list(DISTINCT w) AS at FROM g JOIN twice USING (said), unnest(range(i, i + 35)) AS u(w) GROUP BY r
+  SELECT DISTINCT r, u.p FROM g JOIN twice USING (said), unnest(range(i, i + 35)) AS u(p)
+), left_over AS (
+  SELECT w.r, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS said
+  FROM (SELECT r, u.p, ws[u.p] AS word FROM d, unnest(range(1, len(ws) + 1)) AS u(p)) w
+  ANTI JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r
 )
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-  sha256(coalesce((SELECT string_agg(ws[p], ' ' ORDER BY p) FROM unnest(list_filter(range(1, len(ws) + 1),
-    lambda q: NOT list_contains(coalesce(at, []), q))) AS u(p)), '')) AS kept_sha256
-FROM d LEFT JOIN gone USING (r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
 """
 
 
@@ -179,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op7_warc": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
