@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, mixing, quality, substring_dedup, warc
+from datascry.llm import chat_format, common, decontaminate, line_dedup, mixing, quality, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,6 +95,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------- op6
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_chunks(_read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 # --------------------------------------------------------------------- op7
 
 
@@ -175,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
