@@ -37,7 +37,7 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = 1000, partitions: int | None = None) -> DataFrame:
+def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """``pages`` with ``payload_digest, payload_bytes, record_type, refers_to``.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the largest
@@ -45,8 +45,6 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000, partitions: int |
     responses.  Null html counts as empty.  Null page_ids count as smallest;
     rows that share the largest page_id are all responses.  Only ``page_id,
     url, html`` of the input are kept, so clashing extra columns do no harm.
-    ``partitions`` is the number of partitions of the result, which the join
-    works in too: payloads are shuffled once.
     """
     rows = pages.select("page_id", "url", "html").withColumns(
         {
@@ -69,8 +67,6 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000, partitions: int |
         .select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key"), "payload_digest", "refers_to")
         .distinct()
     )
-    if partitions:
-        rows = rows.repartition(partitions, *keys)
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     return rows.join(revisits, keys, "left").withColumn("record_type", kind).drop("page_key")
 
@@ -78,9 +74,13 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000, partitions: int |
 def write_archives(
     pages: DataFrame, path: str, min_bytes: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z"
 ) -> None:
-    """Writes gzip-compressed WARC/1.1 files of about ``file_bytes`` raw bytes."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = resolve_revisits(pages, min_bytes, total // file_bytes + 1)
+    """Writes gzip-compressed WARC/1.1 files of at most about ``file_bytes`` raw bytes.
+
+    Files follow the partitions of the join, so payloads are shuffled once at
+    most; the mean record gives the number of records that ends a file.
+    """
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    rows = resolve_revisits(pages, min_bytes)
     revisit = F.col("record_type") == "revisit"
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -110,7 +110,7 @@ def write_archives(
     )
     rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF + CRLF).option(
         "compression", "gzip"
-    ).text(path)
+    ).option("maxRecordsPerFile", int(file_bytes / (mean + 512)) + 1).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
