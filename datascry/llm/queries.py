@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, line_dedup, mixing, quality, substring_dedup, warc
+from datascry.llm import chat_format, common, decontaminate, jaccard_join, line_dedup, mixing, quality, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -128,6 +128,13 @@ FROM m
 """
 
 
+# --------------------------------------------------------------------- op8
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 # --------------------------------------------------------------------- op9
 
 
@@ -185,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
