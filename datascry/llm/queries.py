@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, jaccard_join, line_dedup, mixing, quality, substring_dedup, warc
+from datascry.llm import chat_format, common, decontaminate, jaccard_join, langid, line_dedup, mixing, quality, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,6 +95,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------- op5
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    apart = langid.held_out(F.col("doc_id"))
+    filters = langid.learn(docs.filter(~apart & F.col("doc_id").isNotNull()).select("lang", "text"))
+    named = langid.predict(docs, filters, keep=["doc_id"])
+    return named.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 # --------------------------------------------------------------------- op6
 
 
@@ -190,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
+    "op5_langid": op5_langid,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
