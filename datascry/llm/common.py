@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,7 +48,19 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes what :func:`cut` wrote for frames that nothing reads any more,
+    and lets Spark drop the shuffle files of finished jobs: it does so once the
+    driver's garbage is collected, which else may be half an hour away."""
+    for df in done:
+        drop_path(spark, df.scratch_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_key(text: Column) -> Column:

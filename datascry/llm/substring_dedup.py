@@ -105,7 +105,11 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
         .filter("n > 1")
         .drop("n")
     )
-    hits = common.cut(anchors.join(seeds, "anchor").select("doc_id", "key", "lo", "more", "alike"), "seeded")
+    hits = common.cut(
+        anchors.select("doc_id", "key", "anchor", "lo", "more").join(seeds, "anchor").select("doc_id", "key", "lo", "more", "alike"),
+        "seeded",
+    )
+    common.release(docs.sparkSession, anchors)
     span = F.struct("lo", "more")
     open_ends = hits.filter("not alike").distinct().groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     met = thin.join(
@@ -126,15 +130,19 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
     each = common.cut(
         met.select("doc_id", "key", "text", "spans").mapInArrow(windows, f"doc_id {id_type}, key long, code long, lo int"), "windows"
     )
+    common.release(docs.sparkSession)
     twice = each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
     ends = each.join(twice, "code").select("doc_id", "key", "lo", F.lit(0).alias("more"))
-    return (
+    spans = common.cut(
         hits.filter("alike")
         .select("doc_id", "key", "lo", "more")
         .unionByName(ends)
         .groupBy("doc_id", "key")
-        .agg(F.collect_set(span).alias("spans"))
+        .agg(F.collect_set(span).alias("spans")),
+        "spans",
     )
+    common.release(docs.sparkSession, hits, each)
+    return spans
 
 
 def remove_repeats(
