@@ -49,7 +49,11 @@ def _anchor_rows(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.nda
 
 
 def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Hash of each window that ``spans`` (first, count - 1; one list per text) names."""
+    """The windows that ``spans`` (first, count - 1; one list per text) names.
+
+    A window's hash comes once for each text.  Where a text has a window
+    twice or more that settles it: those come as runs ``lo, more`` without hash.
+    """
     lists = spans.flatten()
     n = np.diff(np.asarray(spans.offsets))
     lo_all, more_all = (np.asarray(lists.field(i)) for i in (0, 1))
@@ -64,7 +68,21 @@ def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tup
         within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         pos = lo[each] + within
         start = part.first[rows[each]] + pos
-        yield base + rows[each], [w.signed(w.word_spans(codes, start, start + window)), pos]
+        code, row = w.word_spans(codes, start, start + window), rows[each]
+        order = np.lexsort((pos, code, row))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
+        group = np.cumsum(new) - 1
+        again = np.bincount(group)[group] > 1 if len(order) else new
+        one = order[new]
+        settled = np.sort(order[again])  # in the order of text and position
+        begins = np.ones(len(settled), dtype=bool)
+        begins[1:] = (row[settled][1:] != row[settled][:-1]) | (pos[settled][1:] != pos[settled][:-1] + 1)
+        at_run = np.flatnonzero(begins)
+        length = np.diff(np.append(at_run, len(settled)))
+        run = settled[at_run]
+        yield base + row[one], [pa.array(w.signed(code[one])), pos[one], np.zeros(len(one), dtype=np.int64)]
+        yield base + row[run], [pa.nulls(len(run), pa.int64()), pos[run], length - 1]
 
 
 def _removed(column: pa.Array, spans: pa.Array, window: int) -> list:
@@ -122,17 +140,18 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for rows, (code, pos) in _window_rows(batch.column(2), batch.column(3), window):
+                for rows, (code, lo, more) in _window_rows(batch.column(2), batch.column(3), window):
                     at = pa.array(rows)
-                    arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(code), pa.array(pos, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "code", "lo"])
+                    arrays = [batch.column(0).take(at), batch.column(1).take(at), code, pa.array(lo, pa.int32()), pa.array(more, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "code", "lo", "more"])
 
     each = common.cut(
-        met.select("doc_id", "key", "text", "spans").mapInArrow(windows, f"doc_id {id_type}, key long, code long, lo int"), "windows"
+        met.select("doc_id", "key", "text", "spans").mapInArrow(windows, f"doc_id {id_type}, key long, code long, lo int, more int"), "windows"
     )
     common.release(docs.sparkSession)
-    twice = each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
-    ends = each.join(twice, "code").select("doc_id", "key", "lo", F.lit(0).alias("more"))
+    coded = each.filter("code is not null")
+    twice = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
+    ends = coded.join(twice, "code").unionByName(each.filter("code is null")).select("doc_id", "key", "lo", "more")
     spans = common.cut(
         hits.filter("alike")
         .select("doc_id", "key", "lo", "more")
