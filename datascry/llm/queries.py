@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, jaccard_join, langid, line_dedup, mixing, quality, substring_dedup, warc
+from datascry.llm import chat_format, common, decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# --------------------------------------------------------------------- op1
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 # --------------------------------------------------------------------- op2
 
 MARKED = "</s>[INST] ok [/INST]"
@@ -198,6 +208,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
