@@ -1,0 +1,3 @@
+"""Streaming is outside this engine's scope: it analyses complete tables, and
+none of its operators has an incremental form.  The package is kept so that the
+layout says so."""
