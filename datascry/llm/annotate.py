@@ -23,6 +23,7 @@ def add_columns(
     New columns whose names clash with kept ones get leading underscores.
     Rows stay where they are: there is no shuffle.
     """
+    common.small_batches(df.sparkSession)
     kept = list(df.columns if keep is None else keep)
     added = T._parse_datatype_string(fields)
     names = common.fresh(df.select(*[_quoted(c) for c in kept]), *[f.name for f in added])
@@ -50,6 +51,7 @@ def emit_rows(df: DataFrame, text: str, carry: Sequence[str], produce: Callable,
     new row is of, and an array for each field.  Columns ``carry`` are repeated
     for each new row and come first.
     """
+    common.small_batches(df.sparkSession)
     added = T._parse_datatype_string(fields)
     out = T.StructType([df.schema[c] for c in carry] + list(added))
     added_arrow = to_arrow_schema(added)

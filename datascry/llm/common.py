@@ -48,6 +48,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -63,6 +64,17 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make large Arrow batches: lowers this session's limit on rows
+    in one to :data:`BATCH_ROWS`, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text; with the id it identifies a row (null text: 42)."""
     return F.xxhash64(text)
