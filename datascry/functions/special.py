@@ -7,6 +7,7 @@ the plan beside the statistics they belong to.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,8 +55,22 @@ def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.lit(_STEPS)), start, step)["f"]
 
 
-def inc_beta(x: Column, a: Column, b: Column) -> Column:
-    """Regularised incomplete beta, by whichever side converges."""
+def _with(fn: Callable[..., Column], *args: Column) -> Column:
+    """``fn(*args)`` with each argument evaluated once, however often it is used.
+
+    The arguments become a struct that a lambda reads, so their expressions are
+    not copied into the plan wherever the formula mentions them.
+    """
+    names = [f"a{i}" for i in range(len(args))]
+    held = F.struct(*[a.cast("double").alias(n) for n, a in zip(names, args, strict=True)])
+    return F.get(F.transform(F.array(held), lambda s: fn(*[s[n] for n in names])), F.lit(0))
+
+
+def _unit(p: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+
+
+def _inc_beta(x: Column, a: Column, b: Column) -> Column:
     front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(x) + b * F.log(1.0 - x))
     near = front * _beta_fraction(x, a, b) / a
     far = 1.0 - front * _beta_fraction(1.0 - x, b, a) / b
@@ -63,22 +78,33 @@ def inc_beta(x: Column, a: Column, b: Column) -> Column:
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
 
 
+def inc_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta, by whichever side converges."""
+    return _with(_inc_beta, x, a, b)
+
+
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t; infinite t gives 0."""
-    p = inc_beta(df / (df + t * t), df / 2.0, F.lit(0.5))
-    return F.when(F.abs(t) == INF, 0.0).when((df > 0) & ~F.isnan(t), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+
+    def p(t: Column, df: Column) -> Column:
+        tail = inc_beta(df / (df + t * t), df / 2.0, F.lit(0.5))
+        return F.when(F.abs(t) == INF, 0.0).when((df > 0) & ~F.isnan(t), _unit(tail))
+
+    return _with(p, t, df)
 
 
 def f_p(f: Column, d1: Column, d2: Column) -> Column:
     """Upper tail of the F distribution; infinite F gives 0."""
-    d1, d2 = d1.cast("double"), d2.cast("double")
-    p = inc_beta(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
-    return F.when(f == INF, 0.0).when(f <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
+    def p(f: Column, d1: Column, d2: Column) -> Column:
+        tail = inc_beta(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
+        return F.when(f == INF, 0.0).when(f <= 0, 1.0).otherwise(_unit(tail))
 
-def chi2_p(x: Column, k: Column) -> Column:
-    """Upper tail of chi-square with k degrees of freedom."""
-    s, h = k.cast("double") / 2.0, x.cast("double") / 2.0
+    return _with(p, f, d1, d2)
+
+
+def _chi2_p(x: Column, k: Column) -> Column:
+    s, h = k / 2.0, x / 2.0
     front = F.exp(s * F.log(h) - h - lgamma(s))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(1000)),
@@ -98,14 +124,22 @@ def chi2_p(x: Column, k: Column) -> Column:
         F.sequence(F.lit(1), F.lit(_STEPS)), F.struct(d0.alias("f"), F.lit(1.0 / _TINY).alias("c"), d0.alias("d")), step
     )["f"]
     tail = F.when(h < s + 1.0, 1.0 - front * series).otherwise(front * fraction)
-    return F.when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+    return F.when(h <= 0, 1.0).otherwise(_unit(tail))
+
+
+def chi2_p(x: Column, k: Column) -> Column:
+    """Upper tail of chi-square with k degrees of freedom."""
+    return _with(_chi2_p, x, k)
 
 
 def corr_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation; none below four pairs."""
-    df = (n - 2).cast("double")
-    t = r * F.sqrt(F.try_divide(df, F.greatest(F.lit(1e-12), 1.0 - r * r)))
-    return F.when((n >= 4) & r.isNotNull(), student_p(t, df))
+
+    def p(r: Column, n: Column) -> Column:
+        t = r * F.sqrt(F.try_divide(n - 2, F.greatest(F.lit(1e-12), 1.0 - r * r)))
+        return F.when(n >= 4, student_p(t, n - 2))
+
+    return F.when(r.isNotNull(), _with(p, r, n))
 
 
 def adjust(df: DataFrame, p: str = "p", to: str = "p_adj", family: list[str] | None = None) -> DataFrame:

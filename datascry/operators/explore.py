@@ -70,7 +70,7 @@ def group_explorer(df: DataFrame, metric: str, group: str, sort: str = "mean", t
     )
 
 
-def decile_share(df: DataFrame, metric: str, buckets: int = 256) -> DataFrame:
+def decile_share(df: DataFrame, metric: str, buckets: int = 64) -> DataFrame:
     """``decile, n, sum, share`` of the sorted values, cut at floor(d n / 10).
 
     Sorting is by ranges of counted values: a value's copies cover a stretch of

@@ -51,21 +51,27 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], chunk: int = 40) -> Dat
     return out
 
 
-def average_rank(value: str, partition: Sequence[Column] = ()) -> Column:
-    """Rank with ties at their mean."""
-    part = list(partition) or [F.lit(0)]
-    return F.rank().over(W.partitionBy(*part).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*part, value)) - 1) / 2.0
-
-
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``a, b, rho``: correlation of average ranks after pairwise deletion.
 
     Ranks come from counts of distinct values and running sums over ranges of
     them, so rows meet by value and a window only ever holds one range.
+    Columns without gaps are ranked once for all their pairs.
     """
     base = df.select(*[number(df, c).alias(c) for c in columns])
+    row = base.agg(F.count(F.lit(1)).alias("_all"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if row[f"n{i}"] == row["_all"]]
     out = None
+    if len(whole) > 1:
+        ranks = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
+        for i in range(len(whole)):
+            ranks = ranks.join(_value_ranks(base.select(F.col(f"`{whole[i]}`").alias(f"v{i}")), f"v{i}").toDF(f"v{i}", f"r{i}"), f"v{i}")
+        pairs = list(combinations(range(len(whole)), 2))
+        rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), F.corr(f"r{i}", f"r{j}").alias("rho")) for i, j in pairs]
+        out = ranks.agg(F.array(*rhos).alias("rows")).select(F.inline("rows"))
     for a, b in combinations(columns, 2):
+        if a in whole and b in whole:
+            continue
         pair = base.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).filter("x is not null and y is not null")
         one = _ranked_pair(pair).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr("rx", "ry").alias("rho"))
         out = one if out is None else out.unionByName(one)
@@ -77,7 +83,7 @@ def _ranked_pair(pair: DataFrame) -> DataFrame:
     return pair.join(_value_ranks(pair, "x").toDF("x", "rx"), "x").join(_value_ranks(pair, "y").toDF("y", "ry"), "y")
 
 
-def _value_ranks(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+def _value_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     """``value, rank`` with ties at their mean, without sorting all rows in one place:
     values are counted, dealt to ranges by sampled quantiles, and ranked from
     the sums of the ranges before theirs."""

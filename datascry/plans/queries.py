@@ -15,6 +15,9 @@ from datascry.operators import explore as X
 from datascry.operators import profile as P
 from datascry.operators import relations as R
 from datascry.operators import series as S
+from datascry.plans import naming
+from datascry.plans.analyse import Report, analyse
+from datascry.sources import infer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,3 +573,67 @@ def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DAYS}, w AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM s) SELECT strftime(day, '%Y-%m-%d') AS day, round(value, 6) AS value, round((value - m) / sd, 6) AS z FROM s, w WHERE abs((value - m) / sd) >= 3")
 def series_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.series_anomalies(_orders_series(spark, sf_dir)), 6, value=6)
+
+
+# ------------------------------------------------------------ types, names, findings
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(str(r).replace(",)", ")") for r in rows) + f") t({names})"
+
+
+@query(_values([("o_custkey", "number"), ("o_orderdate", "date"), ("o_orderkey", "number"), ("o_orderpriority", "category"), ("o_orderstatus", "category"), ("o_totalprice", "currency")], '"column", type'))
+def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = infer.infer_types(table(spark, sf_dir, "orders"))
+    return spark.createDataFrame(sorted(types.items()), "column string, type string")
+
+
+@query(_values([("orders", "sales", 1), ("documents", "none", 0), ("lineitem", "sales", 3)], '"table", domain, matched'))
+def detect_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(t, naming.detect_domain(table(spark, sf_dir, t).columns)) for t in ("orders", "documents", "lineitem")]
+    return spark.createDataFrame([(t, d[0] if d else "none", len(d[2]) if d else 0) for t, d in found], "table string, domain string, matched int")
+
+
+@query(_values([("orders", "o_totalprice"), ("events", "value"), ("lineitem", "l_extendedprice")], '"table", metric'))
+def primary_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for t in ("orders", "events", "lineitem"):
+        df = table(spark, sf_dir, t)
+        types = infer.infer_types(df)
+        rows = P.numeric_profile(df, [c for c in df.columns if types[c] in infer.NUMERIC]).orderBy("position").collect()
+        out.append((t, naming.pick_metric([{"column": r["column"], "type": types[r["column"]], "cv": r["cv"]} for r in rows])))
+    return spark.createDataFrame(out, "table string, metric string")
+
+
+@query(_values([("l_quantity", "Volume", "higher"), ("l_discount", "Volume", "higher"), ("l_extendedprice", "none", "none"), ("l_tax", "none", "none")], '"column", label, better'))
+def classify_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(c, naming.classify_kpi(c) or ("none", "none")) for c in _NUMERIC]
+    return spark.createDataFrame([(c, *k) for c, k in found], "column string, label string, better string")
+
+
+@query(_values([("orders", False, 0, 0), ("planted", True, 1, 2)], '"table", blocked, strong, weak'))
+def health_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    planted = orders.select(F.col("o_orderstatus").alias("hospital"), F.col("o_orderpriority").alias("diagnosis"), F.when(F.col("o_orderkey") % 50 == 0, "see ICD-10 list").alias("note"))
+    out = [(name, infer.health_scan(df)) for name, df in (("orders", orders), ("planted", planted))]
+    return spark.createDataFrame([(n, s["blocked"], s["strong"], s["weak"]) for n, s in out], "table string, blocked boolean, strong int, weak int")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> Report:
+    return analyse(_sales(spark, sf_dir), row="o_orderkey")
+
+
+@query()
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i + 1, f["kind"], f["score"], f["tone"], f["title"], f["body"]) for i, f in enumerate(_report(spark, sf_dir).findings)]
+    return spark.createDataFrame(rows, "place int, kind string, score double, tone string, title string, body string")
+
+
+@query()
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_report(spark, sf_dir).summary,)], "summary string")
+
+
+@query()
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_report(spark, sf_dir).actions, 1)), "place int, action string")
