@@ -48,7 +48,6 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

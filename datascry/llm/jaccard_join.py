@@ -313,11 +313,14 @@ def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | N
         .distinct()
     )
     links = common.cut(_verified(stars, sets, percent), "jaccard-stars")
-    # then, in groups that are not one component yet, sets of different ones
-    part = components(links)
+    # then, in groups not known to be connected yet, sets of different parts: a
+    # part is named by a set that all in it are linked with, by one step or two
+    step = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    far = step.select(F.col("node").alias("component"), F.col("component").alias("farther"))
+    part = step.join(far, "component", "left").select("node", F.coalesce("farther", "component").alias("component"))
     placed = groups.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = common.cut(placed, "jaccard-placed")
-    # the component of the group's least set is joined with the rest, not with itself
+    # the part of the group's least set is joined with the rest, not with itself
     mixed = (
         placed.groupBy("sig")
         .agg(F.min_by("component", "node").alias("main"), F.min("component").alias("least"), F.max("component").alias("most"))
