@@ -80,7 +80,6 @@ MOST_TOKENS = 16
 _AT, _DOT = {"at", "@"}, {"dot", "."}
 
 
-@lru_cache(maxsize=4096)
 def _known_label(word: str) -> str:
     low = word.lower()
     if low in ("phone", "tel", "telephone", "call", "fax", "mobile", "cell"):

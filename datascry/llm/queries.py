@@ -156,6 +156,27 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS said
+  FROM d, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), both_have AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (said) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM both_have JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM n UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.seen
+)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, coalesce(min(reach.seen), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 # --------------------------------------------------------------------- op9
 
 
@@ -224,5 +245,6 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op7_warc": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
 }

@@ -38,7 +38,14 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class _Powers(dict):
+    """Tables of powers by base; a copy sent to a worker starts empty."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
