@@ -37,15 +37,46 @@ def _anchors(part: w.Texts, codes: np.ndarray, window: int, k: int):
     return gram[at], rows, at, lo, hi
 
 
+def _runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches in the order of text and position, those that touch made one."""
+    begins = np.ones(len(row), dtype=bool)
+    begins[1:] = (row[1:] != row[:-1]) | (lo[1:] != hi[:-1] + 1)
+    at = np.flatnonzero(begins)
+    last = np.append(at[1:], len(row))[: len(at)] - 1
+    return row[at], lo[at], hi[last]
+
+
+def _firsts(row: np.ndarray, *codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries that agree in text and codes: the first of each, and all that
+    have an equal, in their order."""
+    order = np.lexsort((np.arange(len(row)), *codes, row))
+    new = np.ones(len(order), dtype=bool)
+    for values in (row, *codes):
+        new[1:] &= values[order][1:] == values[order][:-1]
+    new[1:] = ~new[1:]
+    group = np.cumsum(new) - 1
+    again = np.bincount(group)[group] > 1 if len(order) else new
+    return np.sort(order[new]), np.sort(order[again])
+
+
 def _anchor_rows(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.ndarray, list]]:
+    """Anchor, stretch hash, first window and how many follow.
+
+    An anchor comes once for each text and stretch.  Stretches that a text has
+    twice or more are settled: those come as runs, without an anchor.
+    """
     for base, _, data, offsets in w.chunks(column):
         part = w.Texts(data, offsets)
         codes = part.hashes()
         anchor, rows, at, lo, hi = _anchors(part, codes, window, k)
         # the stretch, and where in it the anchor stands
         around = w.word_spans(codes, lo, hi + window) ^ w._mixed((at - lo).astype(np.uint64))
+        one, again = _firsts(rows, anchor, around)
         a = part.first[rows]
-        yield base + rows, [w.signed(anchor), w.signed(around), lo - a, hi - lo]
+        yield base + rows[one], [pa.array(w.signed(anchor[one])), w.signed(around[one]), (lo - a)[one], (hi - lo)[one]]
+        row, first, last = _runs(rows[again], (lo - a)[again], (hi - a)[again])
+        none = pa.nulls(len(row), pa.int64())
+        yield base + row, [none, none, first, last - first]
 
 
 def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[np.ndarray, list]]:
@@ -69,20 +100,11 @@ def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tup
         pos = lo[each] + within
         start = part.first[rows[each]] + pos
         code, row = w.word_spans(codes, start, start + window), rows[each]
-        order = np.lexsort((pos, code, row))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
-        group = np.cumsum(new) - 1
-        again = np.bincount(group)[group] > 1 if len(order) else new
-        one = order[new]
-        settled = np.sort(order[again])  # in the order of text and position
-        begins = np.ones(len(settled), dtype=bool)
-        begins[1:] = (row[settled][1:] != row[settled][:-1]) | (pos[settled][1:] != pos[settled][:-1] + 1)
-        at_run = np.flatnonzero(begins)
-        length = np.diff(np.append(at_run, len(settled)))
-        run = settled[at_run]
+        one, again = _firsts(row, code)
         yield base + row[one], [pa.array(w.signed(code[one])), pos[one], np.zeros(len(one), dtype=np.int64)]
-        yield base + row[run], [pa.nulls(len(run), pa.int64()), pos[run], length - 1]
+        again = again[np.lexsort((pos[again], row[again]))]
+        run, first, last = _runs(row[again], pos[again], pos[again])
+        yield base + run, [pa.nulls(len(run), pa.int64()), first, last - first]
 
 
 def _removed(column: pa.Array, spans: pa.Array, window: int) -> list:
@@ -117,14 +139,18 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
         ),
         "anchors",
     )
+    open_anchors = anchors.filter("anchor is not null")
     seeds = (
-        anchors.groupBy("anchor")
+        open_anchors.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike"))
         .filter("n > 1")
         .drop("n")
     )
     hits = common.cut(
-        anchors.select("doc_id", "key", "anchor", "lo", "more").join(seeds, "anchor").select("doc_id", "key", "lo", "more", "alike"),
+        open_anchors.select("doc_id", "key", "anchor", "lo", "more")
+        .join(seeds, "anchor")
+        .select("doc_id", "key", "lo", "more", "alike")
+        .unionByName(anchors.filter("anchor is null").select("doc_id", "key", "lo", "more", F.lit(True).alias("alike"))),
         "seeded",
     )
     common.release(docs.sparkSession, anchors)
