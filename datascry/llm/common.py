@@ -1,4 +1,4 @@
-"""What the corpus operators share: row identity, cut lineage, shipping of code."""
+"""What the corpus operators share: row identity, cut lineage, free names."""
 
 from __future__ import annotations
 
@@ -6,15 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import datascry.llm as _package
-
-# Executors need no copy of this package: its functions travel by value.
-cloudpickle.register_pickle_by_value(_package)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share (``spark.checkpoint.dir``).
