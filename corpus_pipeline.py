@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines, and documents that consist of them alone."""
-    cleaned = line_dedup.remove_repeated_chunks(docs)
+    """Removes repeated runs of lines, and documents that consist of them alone."""
+    cleaned = line_dedup.remove_repeated_lines(docs)
     n_lines, n_gone = cleaned.columns[-2:]
     return cleaned.filter(f"{n_gone} = 0 or {n_gone} < {n_lines}").select(*docs.columns)
 
@@ -49,7 +49,7 @@ STAGES = [
     ("mixing to target weights", mix),
 ]
 
-#: Content-defined chunks and learned words are beyond SQL; tests hold the
+#: Repeated runs of lines and learned words are beyond SQL; tests hold the
 #: stages against brute force instead.
 ORACLE_SQL = None
 

@@ -1,9 +1,13 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over runs of lines, found by rolling hashes over line hashes.
 
-A rolling hash over the hashes of the last lines chooses chunk boundaries, so
-they depend on the lines around them alone and shift with inserted text.
-Chunks of several lines whose digest occurs again anywhere are brought together
-and compared byte by byte; all but the first occurrence are removed.
+:func:`remove_repeated_lines` has a seed at every line: the stretch of a few
+lines that begins there.  Seeds whose digest occurs again anywhere are brought
+together and compared byte by byte; seeds that overlap or touch make up the
+repeated run, so a run goes whole wherever it stands and whatever is around it.
+
+:func:`remove_repeated_chunks` looks up one chunk in place of several seeds.  Chunk
+boundaries depend on the lines around them alone and shift with inserted text,
+but a run that shares a chunk with other lines stays: it is the coarser rule.
 """
 
 from __future__ import annotations
@@ -103,7 +107,68 @@ class Chunker:
         return left, n_lines, n_gone
 
 
-def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
+class Stretches:
+    """Every stretch of ``least_lines`` lines, numbered by its first line; the
+    same steps as :class:`Chunker`'s."""
+
+    def __init__(self, least_lines: int = 2):
+        self.least_lines = least_lines
+
+    def stretches(self, column: pa.Array):
+        """Texts of a batch: their lines, and row, first line and number of each stretch."""
+        for base, _, data, offsets in w.chunks(column):
+            starts, ends, rows, first = _lines(data, offsets)
+            at = np.arange(max(0, len(starts) - self.least_lines + 1))
+            at = at[rows[at] == rows[at + self.least_lines - 1]]
+            yield base, data, starts, ends, rows, first, at, at - first[rows[at]]
+
+    def digests(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
+        """Number and digest of each stretch."""
+        for base, data, starts, ends, rows, _, at, number in self.stretches(column):
+            codes = w.span_hash(w._BYTE_CODE[data], starts, ends)
+            yield base + rows[at], [number, w.signed(w.word_spans(codes, at, at + self.least_lines))]
+
+    def texts(self, column: pa.Array, wanted: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
+        """Number, digest and bytes of the stretches that ``wanted`` numbers for each text."""
+        lists = [np.asarray(x.values) if x.is_valid else np.zeros(0, dtype=np.int64) for x in wanted]
+        for base, data, starts, ends, rows, first, _, _ in self.stretches(column):
+            mine = lists[base : base + len(first) - 1]
+            number = np.concatenate(mine).astype(np.int64)
+            row = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+            at = first[row] + number
+            codes = w.span_hash(w._BYTE_CODE[data], starts, ends)
+            lo, hi = starts[at].tolist(), ends[at + self.least_lines - 1].tolist()
+            whole = data.tobytes()
+            said = pa.array([whole[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())
+            yield base + row, [number, w.signed(w.word_spans(codes, at, at + self.least_lines)), said]
+
+    def without(self, column: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
+        """Texts without the lines of stretches that ``gone`` numbers; lines and lines removed."""
+        left, n_lines, n_gone = column.to_pylist(), [], []
+        for i, (text, found) in enumerate(zip(left, gone, strict=True)):
+            n = text.count("\n") + 1 if text else 0
+            n_lines.append(n)
+            n_gone.append(0)
+            if found.is_valid and len(found.values):
+                lo = np.asarray(found.values)
+                drop = w.covered(n, lo, lo + self.least_lines)
+                n_gone[i] = int(drop.sum())
+                left[i] = "\n".join(x for x, d in zip(text.split("\n"), drop.tolist(), strict=True) if not d)
+        return left, n_lines, n_gone
+
+
+def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
+    """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
+
+    A line goes if it lies in a run of at least ``least_lines`` consecutive lines
+    whose bytes begin before as such a run: at an earlier line of the same text,
+    or in a document with a smaller id (then text hash).  The first occurrence
+    of each line stays.  All else is as for :func:`remove_repeated_chunks`.
+    """
+    return remove_repeated_chunks(docs, Stretches(least_lines))
+
+
+def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None = None) -> DataFrame:
     """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
 
     A chunk of at least ``least_lines`` lines goes if the same bytes occur as a

@@ -120,7 +120,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_repeated_chunks(_read(spark, sf_dir, "documents"))
+    cleaned = line_dedup.remove_repeated_lines(_read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -232,6 +232,63 @@ def test_chunk_boundaries_shift_with_the_text():
     assert len(a & b) >= len(a) - 2
 
 
+def brute_line_runs(rows, keys, least=2):
+    """Lines of all runs that begin before, by the bytes of every pair of places."""
+    order = lambda r: (r.doc_id is not None, r.doc_id or 0, keys[r.doc_id, r.text])
+    first = {}
+    for r in sorted(rows, key=order):
+        lines = r.text.split("\n") if r.text else []
+        for i in range(len(lines) - least + 1):
+            first.setdefault(tuple(lines[i : i + least]), (order(r), i))
+    want = Counter()
+    for r in rows:
+        lines = r.text.split("\n") if r.text else []
+        drop = set()
+        for i in range(len(lines) - least + 1):
+            if first[tuple(lines[i : i + least])] != (order(r), i):
+                drop.update(range(i, i + least))
+        left = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else r.text
+        want[r.doc_id, left, len(lines), len(drop)] += 1
+    return want
+
+
+def test_repeated_line_runs(spark, docs, empty):
+    from datascry.llm.common import text_key
+    from tests.llm.conftest import SCHEMA, prose
+
+    # one passage of 2, 3 and 12 lines in documents that are otherwise foreign, at the start, within and at the end
+    more = []
+    for i in range(30):
+        passage = prose(500 + i % 3, (24, 36, 144)[i % 3])
+        parts = [prose(1000 + i, 60), passage, prose(2000 + i, 60)]
+        more.append((100 + i, "\n".join(parts[i % 2 : 3 - (i // 2) % 2]), "en", "s", 1))
+    more += [(200, "x\nx\nx\nx", "en", "s", 7), (201, "\n\n\n", "en", "s", 3), (202, "x\ny\n", "en", "s", 4), (203, "é\n漢\ny\né\n漢", "en", "s", 9)]
+    all_docs = docs.unionByName(spark.createDataFrame(more, SCHEMA)).repartition(5)
+    rows = all_docs.collect()
+    keys = {(r.doc_id, r.text): r.k for r in all_docs.select("doc_id", "text", text_key(F.col("text")).alias("k")).collect()}
+    cleaned = line_dedup.remove_repeated_lines(all_docs)
+    got = cleaned.collect()
+    assert bag((r.doc_id, r.text, r.n_lines, r.n_lines_removed) for r in got) == brute_line_runs(rows, keys)
+    # each later copy of a passage is gone whole
+    for i in range(3, 30):
+        left = next(r.text for r in got if r.doc_id == 100 + i)
+        assert not set(prose(500 + i % 3, (24, 36, 144)[i % 3]).split("\n")) & set(left.split("\n"))
+    # no line is lost from all documents
+    assert {x for r in rows for x in (r.text or "").split("\n")} - {""} == {x for r in got for x in (r.text or "").split("\n")} - {""}
+    assert line_dedup.remove_repeated_lines(empty).count() == 0
+
+
+def test_line_dedup_query_removes_whole_passages(spark, tmp_path):
+    from datascry.llm.queries import QUERIES
+    from tests.llm.conftest import SCHEMA, prose
+
+    passage = prose(77, 96)  # 8 lines
+    texts = ["\n".join([prose(300 + i, 48), passage, prose(400 + i, 48)]) for i in range(12)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_lines_removed) for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: (16, 8 if i else 0) for i in range(12)}
+
+
 # ------------------------------------------------------------ op8
 
 
