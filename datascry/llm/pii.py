@@ -39,6 +39,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 Span = tuple[int, int, int]  # kind, start, end
 
 
@@ -51,7 +57,7 @@ def base_spans(text: str) -> list[Span]:
     if _DIGIT.search(text):
         if "." in text:
             for m in _IP.finditer(text):
-                if all(int(p) <= 255 for p in m.group().split(".")):
+                if all(octet(p) for p in m.group().split(".")):
                     out.append((1, m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:

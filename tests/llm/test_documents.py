@@ -35,6 +35,14 @@ def test_pii_base_spans():
     assert pii.base_spans("4111 1111 1111 1112 +12 300.1.1") == []
 
 
+def test_pii_parts_of_any_length():
+    long = "9" * 5000 + ".1.2.3"
+    assert not [s for s in pii.base_spans(long) if s[0] == 1]
+    padded = "0" * 5000 + "255.1.2.3"
+    assert (1, 0, len(padded)) in pii.base_spans(padded)
+    assert [x for x in range(2000) if pii.octet(f"00{x}")] == list(range(256)) and pii.octet("000")
+
+
 def test_pii_model_adds_and_keeps(spark, docs, empty):
     model = pii.train()
     found = total = extra = 0
