@@ -47,7 +47,7 @@ def chunk_lines(
     modulo ``mean``, at the text's end, or after ``most`` lines.
     """
     starts, ends, rows, first = _lines(data, offsets)
-    codes = w.span_hash(w._BYTE_CODE[data], starts, ends)
+    codes = w.byte_spans(data, starts, ends)
     # the rolling hash of a text's first lines covers what there is
     begin = np.maximum(np.arange(len(codes)) - span + 1, first[rows]) if len(codes) else np.zeros(0, dtype=np.int64)
     rolling = w.word_spans(codes, begin, np.arange(len(codes)) + 1)
@@ -125,7 +125,7 @@ class Stretches:
     def digests(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
         """Number and digest of each stretch."""
         for base, data, starts, ends, rows, _, at, number in self.stretches(column):
-            codes = w.span_hash(w._BYTE_CODE[data], starts, ends)
+            codes = w.byte_spans(data, starts, ends)
             yield base + rows[at], [number, w.signed(w.word_spans(codes, at, at + self.least_lines))]
 
     def texts(self, column: pa.Array, wanted: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
@@ -136,7 +136,7 @@ class Stretches:
             number = np.concatenate(mine).astype(np.int64)
             row = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
             at = first[row] + number
-            codes = w.span_hash(w._BYTE_CODE[data], starts, ends)
+            codes = w.byte_spans(data, starts, ends)
             lo, hi = starts[at].tolist(), ends[at + self.least_lines - 1].tolist()
             whole = data.tobytes()
             said = pa.array([whole[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())

@@ -1,7 +1,7 @@
 """Words and hashes of whole texts, vectorised over the bytes of Arrow batches.
 
-Texts are handled as the UTF-8 bytes that Arrow already holds, a few megabytes
-at a time (one longer text alone), so memory follows the longest text and not
+Texts are handled as the UTF-8 bytes that Arrow already holds, a small part
+of a batch at a time (one longer text alone), so memory follows the longest text and not
 the batch.
 """
 
@@ -12,10 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+#: Runs of codes are hashed by polynomials modulo the prime 2**61 - 1 in bases
+#: fixed here: modulo a power of two there are runs that collide for every odd base.
+PRIME = (1 << 61) - 1
+_BASE, _OTHER_BASE = 0x16E8FEB86659FD93, 0x0A0761D6478BD642
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -27,7 +30,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_BYTE_CODE = _mixed(np.arange(1, 257, dtype=_U) * _U(_BASE))
+#: Bytes hashed at once, and for each of their places a number for each byte.
+BLOCK = 64
+_BYTES, _OTHER_BYTES = (_mixed((np.arange(1, BLOCK * 256 + 1, dtype=_U) + _U(salt << 20)) * _U(0x9E3779B97F4A7C15)) for salt in (1, 2))
 
 #: Bytes that belong to words: all but space and \t to \r.
 WORD = np.ones(256, dtype=bool)
@@ -48,26 +53,48 @@ class _Powers(dict):
 _powers = _Powers()
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime."""
+    p = _U(PRIME)
+    x = (x & p) + (x >> _U(61))
+    return np.where(x >= p, x - p, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, in halves of 31 bits."""
+    low, half = _U((1 << 31) - 1), _U(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    return _folded(((a1 * b1) << _U(1)) + (mid >> _U(30)) + ((mid & _U((1 << 30) - 1)) << half) + a0 * b0)
+
+
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of an odd base modulo 2**64, and their inverses."""
+    """Powers 0 to n of a base modulo the prime, and their inverses."""
     held = _powers.get(base)
     if held is None or len(held[0]) <= n:
         size = max(n + 1, 1 << 16)
         rows = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=_U)
-            p[0] = 1
-            rows.append(np.multiply.accumulate(p))
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, dtype=_U)
+            while len(p) < size:
+                p = np.concatenate([p, _times(p, _U(pow(b, len(p), PRIME)))])
+            rows.append(p[:size])
         held = _powers[base] = (rows[0], rows[1])
     return held
 
 
 def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hash of each ``codes[start:end]``, by content alone."""
+    """Hash of each ``codes[start:end]``, by content alone."""
     up, down = _power(base, len(codes))
-    total = np.zeros(len(codes) + 1, dtype=_U)
-    np.cumsum(codes * up[: len(codes)], out=total[1:])
-    return _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+    term = _times(_folded(codes), up[: len(codes)])
+    half = _U(30)
+    value = _U(0)
+    # sums of the upper and lower halves of the terms stay below 2**64
+    for part, unit in ((term >> half, 1 << 30), (term & _U((1 << 30) - 1), 1)):
+        total = np.zeros(len(codes) + 1, dtype=_U)
+        np.cumsum(part, out=total[1:])
+        value = value + _times(_folded(total[ends] - total[starts]), _U(unit))
+    return _mixed(_times(_folded(value), down[starts]) + ((ends - starts).astype(_U) << _U(61)))
 
 
 class Texts:
@@ -105,19 +132,55 @@ class Texts:
         return np.repeat(np.arange(len(self)), self.n_words)
 
     def hashes(self) -> np.ndarray:
-        return span_hash(_BYTE_CODE[self.data], self.starts, self.ends)
+        return byte_spans(self.data, self.starts, self.ends)
+
+    def other_hashes(self) -> np.ndarray:
+        return byte_spans(self.data, self.starts, self.ends, _OTHER_BYTES)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of byte spans of ``data``."""
-        return span_hash(_BYTE_CODE[self.data], starts, ends)
+        """Hash of byte spans of ``data`` that ascend and do not overlap."""
+        return byte_spans(self.data, starts, ends)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTES) -> np.ndarray:
+    """Hash of each ``data[start:end]``; spans ascend and do not overlap.
+
+    Each byte stands for a number of its own at each place of a block; longer
+    spans are runs of blocks.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=_U)
+    lo, n = int(starts[0]), len(data)
+    place = np.arange(lo, n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    place &= BLOCK - 1
+    place <<= 8
+    place |= data[lo:]
+    total = np.zeros(n - lo + 1, dtype=_U)
+    np.cumsum(table[place], out=total[1:])
+    size = ends - starts
+    out = _mixed(total[np.minimum(ends, starts + BLOCK) - lo] - total[starts - lo] + size.astype(_U))
+    long = np.flatnonzero(size > BLOCK)
+    if len(long):
+        blocks = -(-size[long] // BLOCK)
+        last = np.cumsum(blocks)
+        at = np.repeat(starts[long], blocks) + BLOCK * (np.arange(last[-1]) - np.repeat(last - blocks, blocks))
+        upto = np.minimum(at + BLOCK, np.repeat(ends[long], blocks))
+        each = _mixed(total[upto - lo] - total[at - lo] + (upto - at).astype(_U))
+        out[long] = span_hash(each, last - blocks, last)
+    return out
+
+
 def word_spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each run of words ``starts`` to ``ends``."""
-    return span_hash(hashes, starts, ends, _WORD_BASE)
+    return span_hash(hashes, starts, ends)
+
+
+def other_word_spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same in another base: the two together tell runs apart by 122 bits."""
+    return span_hash(hashes, starts, ends, _OTHER_BASE)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
