@@ -32,8 +32,9 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(base, codes, bounds)``: the 4-byte grams of lower-cased texts.
+def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(base, codes, bounds, plain)``: the 4-byte grams of lower-cased texts, and
+    whether each text has an ASCII letter.
 
     Bytes that belong to no letter count as spaces.  Grams whose middle bytes
     are spaces are left out, so a gram never reaches over a gap.
@@ -49,7 +50,8 @@ def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             at = offsets[1:-1] - back
             ok[at[(at >= 0) & (at < n)]] = False
         total = np.concatenate([[0], np.cumsum(ok)])
-        yield base, code[ok], total[np.minimum(offsets, n)]
+        plain = np.concatenate([[0], np.cumsum(letter & (data < 0x80))])
+        yield base, code[ok], total[np.minimum(offsets, n)], plain[offsets[1:]] > plain[offsets[:-1]]
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(0)
         for lang in pc.unique(langs).to_pylist():
             texts = batch.column(1).filter(pc.equal(langs, lang))
-            for _, codes, _ in grams(texts):
+            for _, codes, _, _ in grams(texts):
                 gram, n = np.unique(codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
@@ -141,7 +143,7 @@ FIELDS = "lang_pred string, score double"
 
 def _predicted(column: pa.Array, filters: Filters) -> list[pa.Array]:
     names, scores = [], []
-    for base, codes, bounds in grams(column):
+    for base, codes, bounds, plain in grams(column):
         n = len(bounds) - 1
         if not filters.langs:
             names += [UNKNOWN] * n
@@ -150,9 +152,10 @@ def _predicted(column: pa.Array, filters: Filters) -> list[pa.Array]:
         share = filters.shares(codes, bounds)
         best = share.argmax(axis=1)
         score = share[np.arange(n), best]
-        for i, empty in enumerate(np.diff(bounds) == 0):
-            text = column[base + i].as_py() if empty else "a"
-            lettered = text is not None and any(c.isalpha() for c in text)
+        for i, lettered in enumerate(plain.tolist()):
+            if not lettered:
+                # what lies beyond ASCII may be signs alone
+                lettered = any(c.isalpha() for c in column[base + i].as_py() or "")
             names.append(filters.langs[best[i]] if lettered else UNKNOWN)
             score[i] *= lettered
         scores.append(score)
