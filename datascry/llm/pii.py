@@ -10,9 +10,11 @@ Base spans stay as they are; the model adds spans that overlap none of them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,14 @@ from pyspark.sql import DataFrame
 from datascry.llm import annotate
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The patterns below give the matches of these, but read no run of characters
+#: again from each of its places:
+#: ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``, ``[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)``,
+#: ``[0-9]([\x20-]?[0-9])+`` and ``\+[0-9][\x20().0-9-]+[0-9]``.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
@@ -48,12 +55,25 @@ def octet(digits: str) -> bool:
 Span = tuple[int, int, int]  # kind, start, end
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the pattern of addresses: back over the run before each at-sign,
+    on through the host after it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        host = _HOST.match(text, at + 1) if start < at else None
+        free = host.end() if host else at + 1
+        if host:
+            yield start, free
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[Span]:
     """Pattern matches by kind, then start: leftmost, non-overlapping per kind;
     a match that fails its check is dropped without a second try."""
     out: list[Span] = []
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        out += [(0, a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         if "." in text:
             for m in _IP.finditer(text):
@@ -151,8 +171,12 @@ def segment_features(text: str, tokens: Sequence[tuple[int, int]], i: int, j: in
 def lattice_windows(text: str, taken: Sequence[Span], reach: int = 48) -> list[tuple[int, int]]:
     """Stretches around cues that base spans do not cover, merged where they meet."""
     out: list[list[int]] = []
+    spans = sorted((a, b) for _, a, b in taken)
+    starts = [a for a, _ in spans]
+    reached = list(accumulate((b for _, b in spans), max))
     for m in _CUE.finditer(text):
-        if any(a <= m.start() and m.end() <= b for _, a, b in taken):
+        before = bisect_right(starts, m.start())
+        if before and m.end() <= reached[before - 1]:
             continue
         lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
         lo = text.rfind("\n", lo, m.start()) + 1 or lo
@@ -182,25 +206,42 @@ class Model:
 def _candidates(text: str, tokens: list[tuple[int, int]], taken: Sequence[Span]) -> dict[tuple[int, int], list[str]]:
     """Segments of at most :data:`MOST_TOKENS` tokens that may be entities: they
     begin and end with an alphanumeric (or an opening bracket or plus), have
-    a digit or an at-sign word, hold no wide gap and overlap no base span."""
+    a digit or an at-sign word, hold no wide gap and overlap no base span.
+
+    A segment without any structural feature can be no entity of ours: it needs
+    an at and a dot between letters, four numbers with three dots, or 8 to 19
+    digits without letters.
+    """
     out = {}
+    if not tokens:
+        return out
+    near = [(p, q) for _, p, q in taken if p < tokens[-1][1] and tokens[0][0] < q]
+    words = [text[a:b] for a, b in tokens]
+    digits = [len(x) if x.isdecimal() and x.isascii() else 0 for x in words]
+    letters = [x.isalpha() for x in words]
+    ats = [x.lower() in _AT for x in words]
+    dots = [x.lower() in _DOT for x in words]
     for i, (a, _) in enumerate(tokens):
         if not (text[a].isalnum() or text[a] in "(+"):
             continue
-        mark = False
+        n_digits = n_runs = n_letters = n_ats = n_dots = 0
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             x, y = tokens[j - 1]
             if j - 1 > i and x - tokens[j - 2][1] > 1:
                 break
-            if any(p < y and a < q for _, p, q in taken):
+            if near and any(p < y and a < q for p, q in near):
                 break
-            word = text[x:y]
-            mark = mark or word.isdecimal() or word.lower() in _AT
-            if mark and word.isalnum():
-                features = segment_features(text, tokens, i, j)
-                # a segment without any structural feature can be no entity of ours
-                if any(f.startswith(("address", "octets", "luhn", "number")) for f in features):
-                    out[i, j] = features
+            n_digits += digits[j - 1]
+            n_runs += digits[j - 1] > 0
+            n_letters += letters[j - 1]
+            n_ats += ats[j - 1]
+            n_dots += dots[j - 1]
+            if not words[j - 1].isalnum():
+                continue
+            address = n_ats == 1 and n_dots > 0 and n_letters > 1
+            number = not n_letters and (16 <= n_digits <= 19 or (8 <= n_digits <= 15 and n_runs > 1))
+            if address or number or (n_runs == 4 and n_dots == 3 and not n_letters):
+                out[i, j] = segment_features(text, tokens, i, j)
     return out
 
 
