@@ -100,9 +100,9 @@ class Index:
         lo = q - (back if left.all() else int(np.argmin(left)))
         hi = q + (ahead if right.all() else int(np.argmin(right)))
         text = self.words[item]
-        if any(part.word(i) != text[p + i - q] for i in range(lo, hi)):  # equal hashes of unequal words
-            return q, q
-        return lo, hi
+        # words of equal hashes that differ end the run
+        odd = [i for i in range(lo, hi) if part.word(i) != text[p + i - q]]
+        return max([lo, *(i + 1 for i in odd if i < q)]), min([hi, *(i for i in odd if i >= q)])
 
 
 FIELDS = "n_words long, n_hit long, item_ids array<string>"
