@@ -187,7 +187,9 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
     numbers = common.cut(
         annotate.emit_rows(thin, "text", ["doc_id", "key"], cutter.digests, "number int, digest long"), "line-chunks"
     )
+    # what is known of a digest is written before the join, so that a very frequent one can be dealt to many tasks
     repeated = numbers.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    repeated = common.cut(repeated, "line-repeated")
     wanted = (
         numbers.join(repeated, "digest")
         .groupBy("doc_id", "key")
@@ -218,6 +220,8 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
         .filter("n > 1")
         .select("digest", F.sha2("said", 256).alias("sha"), "first")
     )
+    firsts = common.cut(firsts, "line-firsts")
+    common.release(docs.sparkSession, numbers, repeated)
     gone = (
         found.select("doc_id", "key", "number", "digest", F.sha2("said", 256).alias("sha"))
         .join(firsts, ["digest", "sha"])
