@@ -2,7 +2,8 @@
 
 Cost and selectivity of each rule are measured on a bounded sample; rules then
 run in the order of rejection per cost, each only on the documents that all
-earlier ones let pass.  The order changes the work, never the verdict.
+earlier ones let pass: what a rule alone asks for is never computed for others.
+The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
@@ -111,11 +112,25 @@ class Measures(w.Texts):
         trimmed = w.Texts(self.data, self.offsets, w.ALNUM, lower=True)
         return _per_text(np.isin(trimmed.hashes(), codes), trimmed.first)
 
-    def take(self, rows: np.ndarray) -> Measures:
-        """The same for some of the texts."""
-        parts = [self.data[self.offsets[i] : self.offsets[i + 1]] for i in rows.tolist()]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return Measures(np.concatenate(parts) if parts else self.data[:0], offsets)
+    def take(self, chosen: np.ndarray) -> Measures:
+        """The same for the texts that ``chosen`` flags, with what is measured already."""
+        size, n = np.diff(self.offsets), self.n_words
+        inside = np.repeat(chosen, size)
+        by_word = np.repeat(chosen, n)
+        out = object.__new__(Measures)
+        out.data = self.data[inside]
+        out.offsets = np.concatenate([[0], np.cumsum(size[chosen])])
+        moved = np.repeat((self.offsets[:-1][chosen] - out.offsets[:-1]), n[chosen])
+        out.starts, out.ends = self.starts[by_word] - moved, self.ends[by_word] - moved
+        out.first = np.concatenate([[0], np.cumsum(n[chosen])])
+        for name, held in self.__dict__.items():
+            if name == "codes":
+                out.codes = held[by_word]
+            elif name == "_lines":
+                out._lines = tuple(x[chosen] for x in held)
+            elif name in ("word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower"):
+                setattr(out, name, held[chosen])
+        return out
 
 
 def _in_text(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -171,14 +186,14 @@ def learn_flagged(
 ) -> list[str]:
     """Words that mark toxic documents, from a bounded sample of labelled rows.
 
-    The ``rows`` labels of least id hash are used.  A word is flagged if it is
+    The ``rows`` labels of least MD5 of the id are used.  A word is flagged if it is
     in at least ``least_docs`` sampled documents and a share ``purity`` of them
     is toxic; of more than ``most``, those in most documents.
     """
     picked = (
         labels.filter("doc_id is not null and toxic is not null")
         .select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic")
         .limit(rows)
     )
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -196,39 +211,23 @@ def learn_flagged(
     return [r[0] for r in counted.select("word").collect()]
 
 
-def cascade(measures: Measures, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Which texts no rule rejects; a rule sees only what earlier ones let pass."""
-    alive = np.arange(len(measures))
-    part = measures
+def cascade(measures: Measures, rules: tuple[Rule, ...], failed: np.ndarray | None = None) -> np.ndarray:
+    """Which texts no rule rejects, of those that have not ``failed`` before.
+
+    A rule is computed for the texts alone that all earlier ones let pass.
+    """
+    kept = np.ones(len(measures), dtype=bool) if failed is None else ~failed
+    part = measures if kept.all() else measures.take(kept)
     for rule in rules:
-        if not len(alive):
+        if not len(part):
             break
-        ok = ~rule.rejects(part)
-        if not ok.all():
-            alive = alive[ok]
-            # copying pays once a good part of the work goes with it
-            part = part.take(np.flatnonzero(ok)) if 2 * ok.sum() < len(ok) else _Masked(part, np.flatnonzero(ok))
-    kept = np.zeros(len(measures), dtype=bool)
-    kept[alive] = True
+        bad = rule.rejects(part)
+        if bad.any():
+            kept[np.flatnonzero(kept)[bad]] = False
+            part = part.take(~bad)
     return kept
 
 
-class _Masked:
-    """Some of the texts of a :class:`Measures` whose measures are shared."""
-
-    def __init__(self, of: Measures | _Masked, rows: np.ndarray):
-        self._of, self._rows = of, rows
-
-    def __getattr__(self, name: str) -> np.ndarray:
-        return getattr(self._of, name)[self._rows]
-
-    def n_flagged(self, codes: np.ndarray) -> np.ndarray:
-        return self._of.n_flagged(codes)[self._rows]
-
-    def take(self, rows: np.ndarray) -> Measures:
-        return self._of.take(self._rows[rows])
-
-
 def order_rules(sample: list[str], rules: tuple[Rule, ...] = RULES) -> tuple[tuple[Rule, ...], list[dict]]:
     """Rules by estimated rejection per cost on ``sample``, with the estimates.
 
@@ -250,22 +249,25 @@ def order_rules(sample: list[str], rules: tuple[Rule, ...] = RULES) -> tuple[tup
     return tuple(rules[i] for i in ranked), [report[i] for i in ranked]
 
 
-def sample_texts(docs: DataFrame, rows: int = 512, max_chars: int = 1 << 24) -> list[str]:
-    """At most ``rows`` texts by least hash of the id: the same for the same table.
+def sample_texts(docs: DataFrame, rows: int = 512, most_chars: int = 1 << 24) -> list[str]:
+    """About ``rows`` texts at most, those of least hash of the id: the same for the
+    same table.
 
-    Long samples stop at ``max_chars`` characters; only estimates depend on it.
+    The lengths of the least hashes come first; the sample ends where they add
+    up to ``most_chars``, so what reaches the driver is bounded both ways.  Only
+    estimates depend on it.
     """
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    least = docs.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if least is None:
-        return []
-    texts, chars = [], 0
-    for row in docs.filter(order <= least).select("text").limit(rows).toLocalIterator():
-        texts.append(row[0] or "")
-        chars += len(texts[-1])
-        if chars > max_chars:
+    least = docs.select(order.alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")).orderBy("h", "chars").limit(rows).collect()
+    total, last = 0, None
+    for row in least:
+        total += row.chars
+        if total > most_chars:
             break
-    return texts
+        last = row.h
+    if last is None:
+        return []
+    return [row[0] or "" for row in docs.filter((order <= last) & (F.coalesce(F.length("text"), F.lit(0)) <= most_chars)).select("text").limit(rows).toLocalIterator()]
 
 
 FIELDS = (
@@ -278,12 +280,13 @@ def _rated(column: pa.Array, rules: tuple[Rule, ...], verdict_only: bool) -> lis
     out: list[list[np.ndarray]] = []
     for _, _, data, offsets in w.chunks(column):
         m = Measures(data, offsets)
-        kept = cascade(m, rules)
         if verdict_only:
-            out.append([kept])
+            out.append([cascade(m, rules)])
             continue
+        # the measures that are columns are wanted for all texts, what else rules ask for only where they still run
+        base = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words]
         failed = (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
-        out.append([m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, kept & ~failed])
+        out.append([*base, failed, cascade(m, rules, failed)])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
