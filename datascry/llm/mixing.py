@@ -26,8 +26,9 @@ def count_words(text: Column) -> Column:
 
 
 def domain_of(source: Column, domains: int = 3) -> Column:
-    """The default first level: sources dealt to ``domains`` domains by CRC-32."""
-    return F.concat(F.lit("domain"), (F.crc32(source.cast("binary")) % domains).cast("string"))
+    """The default first level: sources dealt to ``domains`` domains by 32 bits of an MD5."""
+    bits = F.conv(F.substring(F.md5(source.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.concat(F.lit("domain"), (bits % domains).cast("string"))
 
 
 def seeded(seed: int, epoch: Column, name: Column, again: Column) -> Column:

@@ -105,6 +105,49 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS plain
+  FROM documents
+), lines AS (
+  SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line
+), by_line AS (
+  SELECT r, sum(n) AS n_lines, sum(n - 1) AS dup FROM lines GROUP BY r
+), g AS (
+  SELECT r, i, ws[i:i + 2] AS said FROM d, unnest(range(1, greatest(len(ws) - 2, 0) + 1)) AS u(i)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, said) AS n FROM g) WHERE n > 1
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 3)) AS u(p) GROUP BY r
+), picked AS (
+  SELECT doc_id, toxic = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL
+  ORDER BY md5(doc_id::VARCHAR), doc_id, toxic LIMIT 12000
+), learned AS (
+  SELECT word FROM (
+    SELECT word, count(*) AS n, sum(toxic::INT) AS t
+    FROM (SELECT toxic, unnest(list_distinct(plain)) AS word FROM d JOIN picked USING (doc_id)) GROUP BY word
+  ) WHERE n >= 8 AND t >= 0.97 * n ORDER BY n DESC, word LIMIT 500
+), flagged AS (
+  SELECT DISTINCT r FROM (SELECT r, unnest(plain) AS word FROM d)
+  WHERE word IN (SELECT word FROM learned) OR word IN ({", ".join(f"'{x}'" for x in quality.FLAGGED)})
+), m AS (
+  SELECT d.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper, (length(text) - length(regexp_replace(text, '[a-z]', '', 'g')))::BIGINT AS n_lower,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, flagged.r IS NOT NULL AS bad
+  FROM d LEFT JOIN by_line USING (r) LEFT JOIN rep USING (r) LEFT JOIN flagged USING (r)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
+    OR (n_upper > n_lower AND n_upper > 20) OR 10 * n_dup_lines > 6 * n_lines OR bad) AS kept
+FROM f
+"""
+
+
 # --------------------------------------------------------------------- op5
 
 
@@ -223,11 +266,72 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 # -------------------------------------------------------------------- op10
 
 
+#: Target weights; nodes that are not named weigh 1.
+MIX_WEIGHTS = (
+    ("domain0", None, None, 3.0), ("domain1", None, None, 1.5), ("domain2", None, None, 0.5),
+    ("domain0", "en", None, 4.0), ("domain0", "de", None, 0.5), ("domain1", "fr", None, 3.0), ("domain2", "es", None, 0.0),
+)
+MIX_EPOCHS, MIX_SEED = 4, 20240607
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    weights = spark.createDataFrame(list(MIX_WEIGHTS), "domain string, lang string, source string, weight double")
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"), weights, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
     return mixed.select("doc_id", "lang", "source", "mix_domain", "mix_tokens", "mix_epoch")
 
 
+def _op10_sql() -> str:
+    """Level by level what :func:`mixing.water_fill` computes, then one seeded order for each leaf."""
+    levels = []
+    path = ("domain", "lang", "source")
+    for i, level in enumerate(path):
+        upto, above = ", ".join(path[: i + 1]), ", ".join(path[:i]) or "1"
+        named = [w for w in MIX_WEIGHTS if sum(x is not None for x in w[:3]) == i + 1]
+        cases = "".join(f" WHEN {' AND '.join(f"{c} = '{v}'" for c, v in zip(path, w[:3]) if v is not None)} THEN {w[3]}" for w in named)
+        weight = f"CASE{cases} ELSE 1.0 END" if cases else "1.0"
+        budget = "(SELECT sum(tokens) FROM r)::DOUBLE" if i == 0 else f"p.share{i - 1}"
+        parent = "" if i == 0 else f" JOIN s{i - 1} p ON " + " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in path[:i])
+        mine = ", ".join(f"n.{c}" for c in path[: i + 1])
+        levels.append(f"""
+n{i} AS (SELECT {upto}, {MIX_EPOCHS}.0 * sum(tokens)::DOUBLE AS cap, ({weight})::DOUBLE AS weight FROM r GROUP BY {upto}),
+q{i} AS (SELECT {mine}, n.cap, n.weight, {budget} AS budget, CASE WHEN n.weight > 0 THEN n.cap / n.weight ELSE 0 END AS ratio FROM n{i} n{parent}),
+v{i} AS (
+  SELECT *, (budget - coalesce(sum(CASE WHEN weight > 0 THEN cap END) OVER (PARTITION BY {above} ORDER BY ratio, {level} NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(weight) OVER (PARTITION BY {above} ORDER BY ratio, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM q{i}
+),
+m{i} AS (
+  SELECT *, row_number() OVER (PARTITION BY {above} ORDER BY (CASE WHEN weight > 0 AND NOT coalesce(ratio <= level, false) THEN 0 ELSE 1 END), ratio, {level} NULLS FIRST) AS pos FROM v{i}
+),
+s{i} AS (
+  SELECT {upto}, CASE WHEN weight <= 0 THEN 0 WHEN ratio <= level THEN cap
+    ELSE first_value(level) OVER (PARTITION BY {above} ORDER BY pos) * weight END AS share{i} FROM m{i}
+),""")
+    return rf"""
+WITH r AS (
+  SELECT row_number() OVER () AS rn, doc_id, lang, source, 'domain' || (('0x' || substr(md5(source), 1, 8))::BIGINT % 3) AS domain,
+    coalesce(doc_id::VARCHAR, '') AS id, md5(coalesce(text, '')) AS again,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens
+  FROM documents
+), {"".join(levels)[1:]}
+leaf AS (
+  SELECT n2.domain, n2.lang, n2.source, (n2.cap / {MIX_EPOCHS})::BIGINT AS held, floor(share2 + 1e-6)::BIGINT AS budget
+  FROM n2 JOIN s2 ON n2.domain IS NOT DISTINCT FROM s2.domain AND n2.lang IS NOT DISTINCT FROM s2.lang AND n2.source IS NOT DISTINCT FROM s2.source
+), plan AS (
+  SELECT *, CASE WHEN held > 0 THEN least({MIX_EPOCHS}, budget // held) ELSE 0 END AS whole FROM leaf
+), placed AS (
+  SELECT r.*, whole, CASE WHEN whole < {MIX_EPOCHS} THEN budget - whole * held ELSE 0 END AS rest,
+    ('0x' || substr(md5('{MIX_SEED}:' || whole || ':' || id || ':' || again), 1, 12))::BIGINT AS place
+  FROM r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain AND r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source
+), ran AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, id, again) AS upto FROM placed
+)
+SELECT doc_id, lang, source, domain AS mix_domain, tokens AS mix_tokens, e::INTEGER AS mix_epoch
+FROM ran, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS u(e)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_chat_format": op2_chat_format,
@@ -244,7 +348,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op4_quality": OP4_SQL,
     "op7_warc": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op10_mixing": _op10_sql(),
 }
