@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from datascry.llm import decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality, substring_dedup
 from datascry.llm import words as w
+from tests.llm.conftest import prose
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,6 +145,66 @@ def test_quality_order_changes_no_verdict(docs):
     assert a == b
 
 
+def brute_verdict(text, flagged):
+    """The names of all rules that reject a text, one by one."""
+    said = words(text)
+    n, chars, symbols, dup, repeated = brute_measures(text)
+    text = text or ""
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    lines = sum(bool(WORDS.search(x)) for x in text.split("\n"))
+    bad = {
+        "few_words": n < 50, "word_length": chars < 2 * n or chars > 20 * n, "symbols": 10 * symbols > n, "capitals": upper > lower and upper > 20,
+        "duplicate_lines": 10 * dup > 6 * lines, "repeated_windows": 100 * repeated > 50 * n,
+        "flagged_words": bool(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))) & set(flagged)),
+    }
+    return {k for k, v in bad.items() if v}
+
+
+def quality_texts():
+    good = prose(31, 80)
+    return [
+        None, "", good, good + " You IDIOT! " + good, good.upper(), good + " #" * 40, "\n".join([good.split("\n")[0]] * 12), "a b " * 60, good + "x" * 9000,
+        "x " * 70, prose(32, 49), prose(33, 50), good + " Grobz, é", "é " * 60, "\n\n" + good, good + "\n" * 50, prose(7, 20_000),
+    ]
+
+
+def test_quality_verdict_against_all_rules(spark):
+    texts = quality_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    rules = quality.with_flagged(["grobz"])
+    flagged = [*quality.FLAGGED, "grobz"]
+    rejected = {i: brute_verdict(t, flagged) for i, t in enumerate(texts)}
+    assert set().union(*rejected.values()) == {r.name for r in rules}
+    kept = {i for i, bad in rejected.items() if not bad}
+    assert kept and {r.doc_id for r in quality.filter_quality(df, rules).collect()} == kept
+    assert {r.doc_id for r in quality.rate(df, rules=rules).collect() if r.kept} == kept
+
+
+def test_cascade_computes_for_survivors_alone():
+    import pyarrow as pa
+
+    texts = quality_texts()
+    seen = []
+
+    def watched(rule):
+        def rejects(m):
+            seen.append((rule.name, len(m)))
+            return rule.rejects(m)
+
+        return quality.Rule(rule.name, rejects)
+
+    for rules in (quality.RULES, tuple(reversed(quality.RULES))):
+        seen.clear()
+        quality._rated(pa.array(texts), tuple(map(watched, rules)), True)
+        alive, want = list(texts), []
+        for r in rules:
+            want.append((r.name, len(alive)))
+            alive = [t for t in alive if r.name not in brute_verdict(t, quality.FLAGGED)]
+        # one chunk holds them all
+        assert seen == want
+        assert len(alive) < len(texts) - 5
+
+
 def test_flagged_words_are_learned(spark):
     rows = [(i, f"plain words here {'grobz' if i % 4 == 0 else 'fine'}", int(i % 4 == 0)) for i in range(80)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
@@ -159,7 +220,7 @@ def test_langid(spark, docs, empty):
     rows = [("en", "the house and the garden of the king " * 3), ("fr", "la maison et le jardin du roi est belle " * 3), ("de", "das haus und der garten des königs ist schön " * 3)]
     filters = langid.learn(spark.createDataFrame(rows + [(None, "x"), ("en", None)], "lang string, text string"))
     assert filters.langs == ["de", "en", "fr"]
-    ask = [("the garden and the house", "en"), ("le jardin et la maison", "fr"), ("der garten und das haus", "de"), (None, "und"), ("", "und"), ("123 !?", "und"), ("漢字", "de"), ("²", "und")]
+    ask = [("the garden and the house", "en"), ("le jardin et la maison", "fr"), ("der garten und das haus", "de"), (None, "und"), ("", "und"), ("123 !?", "und"), ("漢字", "de"), ("²", "und"), ("😀😀", "und"), ("。。。", "und"), ("— — —", "und"), ("€€€ 12", "und"), ("😀é", "de")]
     got = langid.predict(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ask)], "doc_id long, text string"), filters).collect()
     for r in got:
         assert r.lang_pred == ask[r.doc_id][1]
@@ -351,6 +412,73 @@ def test_jaccard_join_on_planted_near_copies(spark):
     assert bag(jaccard_join.near_duplicates(df).collect()) == brute_components(df.collect())
 
 
+def test_jaccard_join_within_large_groups(spark, monkeypatch):
+    """A family whose members share many signatures but fall into several components,
+    with signatures dealt as heavy ones and few centres in each round."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 10)
+    monkeypatch.setattr(jaccard_join, "CENTRES", (1, 2))
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(260)]
+    rows = []
+    for i in range(60):
+        x = list(base)
+        for _ in range(rng.randint(0, 16)):
+            x[rng.randrange(len(x))] = f"n{rng.randrange(10**6)}"
+        rows += [(100 - i, " ".join(x))] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(df.collect())
+    assert 3 < len({k[2] for k in want}) < 60
+    assert bag(jaccard_join.near_duplicates(df).collect()) == want
+
+
+def thue_morse(n):
+    """Letters that collide with their complement under polynomials modulo 2**64 in any odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_unequal_words_with_equal_power_sums(spark, n):
+    import numpy as np
+    import pyarrow as pa
+
+    one, two = thue_morse(n)
+    shared = words(prose(3, 60))
+    texts = [" ".join([*shared[:20], x, *shared[20:]]) for x in (one, two)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, one, two, f"{one} b\n{two} b\n{one} b"])], "doc_id long, text string")
+    rows = df.collect()
+    got = substring_dedup.remove_repeats(df, ["doc_id"]).collect()
+    assert bag(got) == expected_removal(rows, 35)
+    assert bag(jaccard_join.near_duplicates(df).collect()) == brute_components(rows)
+    assert {r.doc_id: r.n_dup_lines for r in quality.rate(df).collect()} == {r.doc_id: brute_measures(r.text)[3] for r in rows}
+    items = [(1, " ".join([*shared[5:20], one, shared[20]]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, -1):
+        hits = decontaminate.mark_contaminated(df, bench, ["doc_id"], max_broadcast_bytes=limit).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in hits) == brute_hits(rows, items)
+    # the same among the codes of words
+    codes = np.array([5, 9], dtype=np.uint64)[[bin(i).count("1") % 2 for i in range(n)]]
+    a, b = (w.word_spans(c, np.array([0]), np.array([n])) for c in (codes, np.uint64(14) - codes))
+    assert a[0] != b[0]
+    for _, part in decontaminate._texts(pa.array([f"{one} {two}"])):
+        assert len(set(part.hashes().tolist())) == 2
+
+
+def test_span_hash_is_a_polynomial_modulo_a_prime():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 2**64 - 1, 300, dtype=np.uint64)
+    starts, ends = np.array([0, 5, 17, 100, 300]), np.array([0, 30, 300, 101, 300])
+    want = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        total = sum(int(c) * pow(w._BASE, i, w.PRIME) for i, c in enumerate(codes[a:b].tolist())) % w.PRIME
+        want.append((total + ((b - a) << 61)) % 2**64)
+    assert w.word_spans(codes, starts, ends).tolist() == w._mixed(np.array(want, dtype=np.uint64)).tolist()
+
+
 def test_partition_scheme_misses_no_pair():
     import numpy as np
 
@@ -368,7 +496,7 @@ def test_partition_scheme_misses_no_pair():
             sets += [a, b]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         held = [set() for _ in sets]
-        for who, sigs, *_ in scheme.signatures(np.concatenate(sets), bounds):
+        for who, sigs in scheme.signatures(np.concatenate(sets), bounds):
             for i, s in zip(who.tolist(), sigs.tolist(), strict=True):
                 held[i].add(s)
         for i in range(0, len(sets), 2):
