@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from datascry.functions.special import corr_p
 from datascry.functions.values import blank_key, ordinal_rank
 from datascry.operators.profile import key_counts, number
+from datascry.operators.ranks import exact_quantiles, in_ranges, medians, sums_before
 from datascry.operators.relations import _ranked_pair
 
 
@@ -30,16 +31,25 @@ def pivot(df: DataFrame, row: str, col: str, metric: str | None = None, agg: str
     return cells.join(F.broadcast(rows), "r").groupBy("r").pivot("c", columns).agg(F.first("value"))
 
 
-def pareto(df: DataFrame, column: str, metric: str | None = None) -> DataFrame:
-    """``key, value, place, share, cum_share``, largest first, ties by key."""
+def _sums(df: DataFrame, column: str, metric: str | None) -> DataFrame:
+    """``key, value``: sums of the metric, or rows, of each key that has any."""
     base = df.select(blank_key(F.col(f"`{column}`")).alias("key"), (number(df, metric) if metric else F.lit(1.0)).alias("v"))
-    sums = base.groupBy("key").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("value"), "key")
-    total = F.sum("value").over(W.partitionBy(F.lit(0)))
-    total = F.when(total == 0, 1.0).otherwise(total)
-    return sums.select(
-        "key", "value", F.row_number().over(order).alias("place"), (F.col("value") * 100.0 / total).alias("share"),
-        (F.sum("value").over(order.rowsBetween(W.unboundedPreceding, 0)) * 100.0 / total).alias("cum_share"),
+    return base.filter("v is not null").groupBy("key").agg(F.sum("v").alias("value"))
+
+
+def pareto(df: DataFrame, column: str, metric: str | None = None) -> DataFrame:
+    """``key, value, place, share, cum_share``, largest first, ties by key.
+
+    Rows without a number in ``metric`` are left out, so a key of such rows alone
+    is no item.  Running sums go over ranges of values first, then within each.
+    """
+    sums = _sums(df, column, metric)
+    total = sums.agg(F.sum("value").alias("total")).select(F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")).alias("total"))
+    placed = sums_before(in_ranges(sums, "value").withColumn("one", F.lit(1)), falling=True, places="one", above="value")
+    order = W.partitionBy("range").orderBy(F.desc("value"), "key")
+    return placed.join(F.broadcast(total)).select(
+        "key", "value", (F.row_number().over(order) + F.col("places")).cast("int").alias("place"), (F.col("value") * 100.0 / F.col("total")).alias("share"),
+        ((F.sum("value").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("above")) * 100.0 / F.col("total")).alias("cum_share"),
     )
 
 
@@ -54,23 +64,28 @@ def pareto_summary(items: DataFrame) -> DataFrame:
 
 def composition(df: DataFrame, column: str, most: int = 8) -> DataFrame:
     """The ``most`` largest keys by rows with their share."""
-    return pareto(df, column).filter(F.col("place") <= most).select("key", "value", "place", "share")
+    sums = _sums(df, column, None)
+    total = sums.agg(F.sum("value").alias("total"))
+    top = sums.orderBy(F.desc("value"), "key").limit(most)
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("value"), "key"))  # over those few
+    return top.withColumn("place", place).join(F.broadcast(total)).select("key", "value", "place", (F.col("value") * 100.0 / F.col("total")).alias("share"))
 
 
 def group_explorer(df: DataFrame, metric: str, group: str, sort: str = "mean", top: int = 20) -> DataFrame:
     """Groups of two or more values with their statistics; ``sort`` is mean, n or name."""
     base = df.select(blank_key(F.col(f"`{group}`")).alias("key"), number(df, metric).alias("v")).filter("v is not null")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     got = base.groupBy("key").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), q.alias("q"), F.stddev_samp("v").alias("sd"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")
     ).filter("n >= 2")
     order = {"mean": [F.desc("mean")], "n": [F.desc("n")], "name": []}[sort]
-    return got.orderBy(*order, "key").limit(top).select(
+    shown = got.orderBy(*order, "key").limit(top)
+    q = exact_quantiles(base.join(F.broadcast(shown.select("key")), "key", "left_semi"), {"v": F.col("v")}, (0.25, 0.5, 0.75), ["key"])  # top keys
+    return shown.join(q.select("key", "q"), "key").select(
         "key", "n", "mean", F.col("q")[1].alias("median"), "sd", "sum", "min", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "max"
     )
 
 
-def decile_share(df: DataFrame, metric: str, buckets: int = 64) -> DataFrame:
+def decile_share(df: DataFrame, metric: str) -> DataFrame:
     """``decile, n, sum, share`` of the sorted values, cut at floor(d n / 10).
 
     Sorting is by ranges of counted values: a value's copies cover a stretch of
@@ -78,19 +93,16 @@ def decile_share(df: DataFrame, metric: str, buckets: int = 64) -> DataFrame:
     """
     values = df.select(number(df, metric).alias("v")).filter("v is not null")
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    cuts = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"), F.sum("m").alias("n"))
-    placed = counts.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    sums = placed.groupBy("range").agg(F.sum("m").alias("r"))
-    before = sums.select("range", F.coalesce(F.sum("r").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    placed = sums_before(in_ranges(counts, "v"), before="m")
     inside = F.coalesce(F.sum("m").over(W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = placed.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("lo", F.col("before") + F.col("inside"))
-    each = spans.select("v", "n", "lo", (F.col("lo") + F.col("m")).alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
+    spans = placed.withColumn("inside", inside).withColumn("lo", F.col("before") + F.col("inside")).join(F.broadcast(whole))
+    each = spans.select("v", "n", "total", "lo", (F.col("lo") + F.col("m")).alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
     begin, end = F.floor(F.col("d") * F.col("n") / 10), F.floor((F.col("d") + 1) * F.col("n") / 10)
     end = F.greatest(end, F.least(begin + 1, F.col("n")))
     took = F.greatest(F.lit(0), F.least(F.col("hi"), end) - F.greatest(F.col("lo"), begin))
-    parts = each.withColumn("took", took).filter("took > 0").groupBy("d").agg(F.sum("took").alias("n"), F.sum(F.col("took") * F.col("v")).alias("sum"))
-    total = values.agg(F.sum("v").alias("total"))
-    return parts.join(F.broadcast(total)).select(
+    parts = each.withColumn("took", took).filter("took > 0").groupBy("d").agg(F.sum("took").alias("n"), F.sum(F.col("took") * F.col("v")).alias("sum"), F.first("total").alias("total"))
+    return parts.select(
         (F.col("d") + 1).alias("decile"), "n", "sum", (F.col("sum") * 100.0 / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("share")
     )
 
@@ -106,7 +118,8 @@ def ordered_trend(df: DataFrame, category: str, metric: str) -> DataFrame:
         "k between 3 and 12 and ranked = k and apart = k"
     )
     base = df.select(F.trim(F.col(f"`{category}`").cast("string")).alias("key"), number(df, metric).alias("v"))
-    groups = base.groupBy("key").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.sum("v").alias("sum")).filter("n >= 3")
+    groups = base.groupBy("key").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.sum("v").alias("sum")).filter("n >= 3")
+    groups = groups.join(medians(base, {"v": F.col("v")}, ["key"]).select("key", "median"), "key")
     one = W.partitionBy(F.lit(0))
     out = levels.select("key", "rank").join(F.broadcast(usable)).join(groups, "key").withColumn("groups", F.count(F.lit(1)).over(one)).filter("groups >= 3")
     before = F.lag("mean").over(one.orderBy("rank"))
@@ -124,14 +137,11 @@ def scatter_sample(df: DataFrame, x: str, y: str, row: str, most: int = 2000) ->
     pairs = df.select(F.col(row).alias("row"), number(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")
     n = pairs.agg(F.count(F.lit(1)).alias("n"))
     # the place of a row is that within its range of rows plus all before it
-    ranges = pairs.agg(F.percentile_approx("row", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    placed = pairs.join(F.broadcast(ranges)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("row")))).drop("cuts")
-    sums = placed.groupBy("range").agg(F.count(F.lit(1)).alias("m"))
-    before = sums.select("range", F.coalesce(F.sum("m").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = sums_before(in_ranges(pairs, "row").withColumn("one", F.lit(1)), before="one")
     place = F.row_number().over(W.partitionBy("range").orderBy("row")) - 1
     k = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
     return (
-        placed.withColumn("inside", place).join(F.broadcast(before), "range").join(F.broadcast(n))
+        placed.withColumn("inside", place).join(F.broadcast(n))
         .filter((F.col("before") + F.col("inside")) % k == 0).select("row", "x", "y")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascry.functions.values import finite, is_blank, parse_date, parse_number, trimmed
+from datascry.operators.ranks import exact_quantiles
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -62,7 +63,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             x = F.col(f"v{i}")
             n = F.count(x)
             mean, sd = F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))
-            q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
             total, missing = F.count(F.lit(1)), F.count_if(F.col(f"b{i}"))
             structs.append(
                 F.struct(
@@ -72,7 +72,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     missing.alias("missing"),
                     F.coalesce(F.try_divide(missing * 100.0, total), F.lit(0.0)).alias("missing_pct"),
                     n.alias("n"),
-                    F.count_distinct(x).alias("distinct") if len(part) == 1 else F.lit(None).cast("long").alias("distinct"),
                     F.min(x).alias("min"),
                     F.max(x).alias("max"),
                     mean.alias("mean"),
@@ -81,12 +80,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     F.when(mean == 0, 0.0).otherwise(F.abs(F.try_divide(sd, mean))).alias("cv"),
                     g1(x, n).alias("skew"),
                     kurt(x, n).alias("kurtosis"),
-                    q[0].alias("p05"),
-                    q[1].alias("q1"),
-                    q[2].alias("median"),
-                    q[3].alias("q3"),
-                    q[4].alias("p95"),
-                    (q[3] - q[1]).alias("iqr"),
                     F.count_if(x == 0).alias("zeros"),
                     F.count_if(x < 0).alias("negatives"),
                 )
@@ -99,14 +92,18 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         one = df.select(number(df, c).alias("v")).filter("v is not null").groupBy("v").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct"))
         one = one.select(F.lit(c).alias("column"), "distinct")
         counted = one if counted is None else counted.unionByName(one)
-    return out.drop("distinct").join(F.broadcast(counted), "column")  # one row per column
+    q = exact_quantiles(df, {c: number(df, c) for c in columns}, (0.05, 0.25, 0.5, 0.75, 0.95)).select(
+        F.col("name").alias("column"), *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))]
+    )
+    # both have one row per column
+    return out.join(F.broadcast(counted), "column").join(F.broadcast(q), "column", "left").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
-    """Exact quantiles by linear interpolation: ``q, value``."""
-    got = df.agg(F.percentile(number(df, column), F.array(*[F.lit(float(q)) for q in at])).alias("values"))
-    pairs = F.arrays_zip(F.array(*[F.lit(float(q)) for q in at]).alias("q"), F.col("values").alias("value"))
-    return got.select(F.inline(pairs)).toDF("q", "value")
+    """Exact quantiles by linear interpolation: ``q, value``; nulls where there is no value."""
+    asked = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(float(q)) for q in at])).alias("i", "q"))
+    got = exact_quantiles(df, {column: number(df, column)}, at).select(F.posexplode("q").alias("i", "value"))
+    return asked.join(got, "i", "left").select("q", "value")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 24) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from datascry.functions import special
 from datascry.functions.values import blank_key, finite, fmt_num, strength_label, trimmed
 from datascry.operators.profile import key_counts, number
+from datascry.operators.ranks import exact_quantiles, medians, value_ranks
 
 INF = float("inf")
 
@@ -65,7 +66,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(whole) > 1:
         ranks = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
         for i in range(len(whole)):
-            ranks = ranks.join(_value_ranks(base.select(F.col(f"`{whole[i]}`").alias(f"v{i}")), f"v{i}").toDF(f"v{i}", f"r{i}"), f"v{i}")
+            ranks = ranks.join(value_ranks(base.select(F.col(f"`{whole[i]}`").alias(f"v{i}")), f"v{i}").toDF(f"v{i}", f"r{i}"), f"v{i}")
         pairs = list(combinations(range(len(whole)), 2))
         rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), F.corr(f"r{i}", f"r{j}").alias("rho")) for i, j in pairs]
         out = ranks.agg(F.array(*rhos).alias("rows")).select(F.inline("rows"))
@@ -80,21 +81,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _ranked_pair(pair: DataFrame) -> DataFrame:
     """``rx, ry``: average ranks of ``x, y``, by counts of values."""
-    return pair.join(_value_ranks(pair, "x").toDF("x", "rx"), "x").join(_value_ranks(pair, "y").toDF("y", "ry"), "y")
-
-
-def _value_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """``value, rank`` with ties at their mean, without sorting all rows in one place:
-    values are counted, dealt to ranges by sampled quantiles, and ranked from
-    the sums of the ranges before theirs."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    placed = counts.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    sums = placed.groupBy("range").agg(F.sum("n").alias("m"))
-    before = sums.select("range", F.coalesce(F.sum("m").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = placed.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(before), "range")
-    return ranked.select(F.col("v").alias(value), (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return pair.join(value_ranks(pair, "x").toDF("x", "rx"), "x").join(value_ranks(pair, "y").toDF("y", "ry"), "y")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -131,7 +118,7 @@ def linear_fit(df: DataFrame, x: Column, y: Column) -> DataFrame:
 
 
 def group_moments(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """``driver, metric, level`` with n, mean, variance, min, max, sum, median.
+    """``driver, metric, level`` with n, mean, variance, min, max, sum.
 
     One aggregation for each category covers all metrics; the blank level is
     a group like any other.
@@ -149,7 +136,6 @@ def group_moments(df: DataFrame, categories: Sequence[str], metrics: Sequence[st
                 F.min(f"m{j}").alias("lo"),
                 F.max(f"m{j}").alias("hi"),
                 F.sum(f"m{j}").alias("sum"),
-                F.percentile(f"m{j}", F.lit(0.5)).alias("median"),
             )
             for j, m in enumerate(metrics)
         ]
@@ -203,13 +189,26 @@ def driver_effects(moments: DataFrame, min_group: int = 3, max_levels: int = 40)
     return special.adjust(kept).withColumn("spread_pct", F.try_divide(F.col("spread") * 100.0, F.abs("overall"))).drop("apart")
 
 
-def driver_levels(moments: DataFrame, min_group: int = 3) -> DataFrame:
-    """The groups of each driver and metric with sd and lift over the mean of all kept rows."""
+def group_medians(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """``driver, metric, level, median`` of the groups of :func:`group_moments`."""
+    out = None
+    for c in categories:
+        keyed = df.withColumn("_level", blank_key(F.col(f"`{c}`")))
+        one = medians(keyed, {m: number(df, m) for m in metrics}, ["_level"])
+        one = one.select(F.lit(c).alias("driver"), F.col("name").alias("metric"), F.col("_level").alias("level"), "median")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def driver_levels(moments: DataFrame, middle: DataFrame, min_group: int = 3) -> DataFrame:
+    """The groups of each driver and metric with sd, median (of :func:`group_medians`)
+    and lift over the mean of all kept rows."""
     pair = W.partitionBy("driver", "metric")
     grand = F.sum(F.col("n") * F.col("mean")).over(pair) / F.sum("n").over(pair)
     return (
         moments.filter(F.col("n") >= min_group)
         .withColumn("grand", grand)
+        .join(middle, ["driver", "metric", "level"], "left")
         .select(
             "driver", "metric", "level", "n", "mean", "median", "sum", F.sqrt("var").alias("sd"),
             F.coalesce(F.try_divide((F.col("mean") - F.col("grand")) * 100.0, F.abs("grand")), F.lit(0.0)).alias("lift"),
@@ -239,11 +238,12 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 2
         cells = contingency(df, a, b)
         rows = cells.groupBy("a").agg(F.sum("n").alias("ra"))
         cols = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-        row_list = rows.agg(F.collect_list("ra").alias("ras")).filter(F.size("ras") <= max_levels)
-        col_list = cols.agg(F.collect_list("cb").alias("cbs")).filter(F.size("cbs") <= max_levels)
+        # one more than may be: of more levels no pair comes out
+        row_list = rows.limit(max_levels + 1).agg(F.collect_list("ra").alias("ras")).filter(F.size("ras") <= max_levels)
+        col_list = cols.limit(max_levels + 1).agg(F.collect_list("cb").alias("cbs")).filter(F.size("cbs") <= max_levels)
         expected = F.col("ra") * F.col("cb") / F.col("total")
         total = cells.agg(F.sum("n").alias("total"))
-        seen = cells.join(F.broadcast(rows), "a").join(F.broadcast(cols), "b").join(F.broadcast(total))
+        seen = cells.join(rows, "a").join(cols, "b").join(F.broadcast(total))
         filled = seen.agg(F.sum(F.pow(F.col("n") - expected, 2) / expected - expected).alias("part"), F.first("total").alias("n"))
         grid = F.flatten(F.transform("ras", lambda r: F.transform("cbs", lambda c: r * c / F.col("n"))))
         k = F.least(F.size("ras"), F.size("cbs")) - 1
@@ -277,9 +277,10 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
     out = None
     for c in categories:
         one = base.groupBy(F.col(f"`{c}`").alias("value")).agg(
-            F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss"), F.percentile("_v", F.lit(0.5)).alias("median")
+            F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
         )
-        one = one.select(F.lit(c).alias("column"), "*")
+        middle = medians(base, {"_v": F.col("_v")}, [c]).select(F.col(f"`{c}`").alias("value"), "median")
+        one = one.join(middle, "value", "left").select(F.lit(c).alias("column"), "value", "n", "mean", "ss", "median")
         out = one if out is None else out.unionByName(one)
     n1, n2 = F.col("n").cast("double"), (F.col("all_n") - F.col("n")).cast("double")
     m2 = F.try_divide(F.col("all_n") * F.col("all_mean") - n1 * F.col("mean"), n2)
@@ -311,10 +312,9 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
 def bin_edges(df: DataFrame, column: str, bins: int = 5) -> list[float]:
     """Distinct quantile edges; empty below 20 values or three edges."""
     at = [i / bins for i in range(bins + 1)]
-    x = number(df, column)
-    row = df.agg(F.count(x).alias("n"), F.percentile(x, F.array(*[F.lit(q) for q in at])).alias("e")).first()
-    edges = sorted(set(row["e"] or []))
-    return edges if row["n"] >= 20 and len(edges) >= 3 else []
+    row = exact_quantiles(df, {column: number(df, column)}, at).first()
+    edges = sorted(set(row["q"])) if row else []
+    return edges if row and row["n"] >= 20 and len(edges) >= 3 else []
 
 
 def bin_label(value: Column, edges: Sequence[float]) -> Column:
@@ -342,10 +342,8 @@ def outliers(df: DataFrame, columns: Sequence[str], row: str, z: float = 3.0) ->
     out = None
     for c in columns:
         values = df.select(F.col(row).alias("row"), number(df, c).alias("value")).filter("value is not null")
-        stats = values.agg(
-            F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-            F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        ).filter("n > 12 and sd > 0")
+        stats = values.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("n > 12 and sd > 0")
+        stats = stats.join(F.broadcast(exact_quantiles(values, {"value": F.col("value")}, (0.25, 0.5, 0.75)).select("q")))
         score = (F.col("value") - F.col("mean")) / F.col("sd")
         iqr = F.col("q")[2] - F.col("q")[0]
         fenced = (F.col("value") < F.col("q")[0] - 1.5 * iqr) | (F.col("value") > F.col("q")[2] + 1.5 * iqr)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from datascry.operators.profile import instant, number
+from datascry.operators.ranks import medians
 from datascry.operators.relations import linear_fit
 
 # A series has one row for each observed day, some thousands in ten years,
@@ -98,8 +99,8 @@ def month_breakdown(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Months with n, sum, mean, median, min, max and change on the month listed before."""
     base = df.select(F.date_format(instant(df, date), "yyyy-MM").alias("month"), number(df, metric).alias("v")).filter("month is not null and v is not null")
     months = base.groupBy("month").agg(
-        F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
+        F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
+    ).join(medians(base, {"v": F.col("v")}, ["month"]).select("month", "median"), "month")
     before = F.lag("sum").over(_all().orderBy("month"))
     return months.withColumn("change_pct", F.try_divide((F.col("sum") - before) * 100.0, F.abs(before)))
 

@@ -98,7 +98,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     metrics = list(dict.fromkeys([m for m in (rep.metric, *numeric) if m]))[:MOST_METRICS]
     if categories and metrics:
         moments = R.group_moments(binned, categories, metrics)
-        f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments)
+        f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments, R.group_medians(binned, categories, metrics))
     if len(base) > 1:
         f["associations"] = R.cramers_v(df, list(combinations(base, 2)))
     if numeric:

@@ -321,7 +321,8 @@ def anova_pvalues_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SALES}, mo AS ({_GROUPED}) SELECT driver, metric, level, n, round(mean, 6) AS mean, round(median, 6) AS median, round(sum, 4) AS sum, round(sqrt(var), 6) AS sd,
   round((mean - g) * 100 / abs(g), 6) AS lift FROM (SELECT *, sum(n * mean) OVER w / sum(n) OVER w AS g FROM mo WHERE n >= 3 WINDOW w AS (PARTITION BY driver, metric))""")
 def driver_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.driver_levels(R.group_moments(_sales(spark, sf_dir), _DRIVERS, ["o_totalprice", "net"]))
+    sales = _sales(spark, sf_dir)
+    got = R.driver_levels(R.group_moments(sales, _DRIVERS, ["o_totalprice", "net"]), R.group_medians(sales, _DRIVERS, ["o_totalprice", "net"]))
     return rounded(got, 6, sum=4, lift=6)
 
 
