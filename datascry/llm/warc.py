@@ -1,21 +1,27 @@
 """WARC archives with revisit resolution.
 
 Headers alone (id, payload digest, payload length) are shuffled to elect one
-original per payload; revisit records are joined back to it and the archives
-are written anew by Spark's own text writer, so any store that Spark reaches
-will do.
+original per payload; revisit records are joined back to it.  Each task then
+writes archives to the shared store, one gzip member a record, under names of
+its own; the names are a Spark table, whose commit decides which files count, so
+a task that runs twice leaves no record twice.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datascry.llm import common
+
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
@@ -28,21 +34,26 @@ def _payload(html: str) -> Column:
     return F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
 
 
+def _seed(page: Column, digest: Column) -> Column:
+    """What a record's id is made from, the same on every attempt of a task."""
+    return F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("none")), digest)
+
+
 def _record_id(page: Column, digest: Column) -> Column:
-    """A UUID made from page id and digest, the same on every attempt of a task."""
-    h = F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("none")), digest))
+    h = F.md5(_seed(page, digest))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """``pages`` with ``payload_digest, payload_bytes, record_type, refers_to``.
+    """``pages`` with ``payload_digest, payload_bytes, record_type, refers_to, refers_to_url``.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the largest
     page_id is the response and the others revisit it; smaller ones are all
     responses.  Null html counts as empty.  Null page_ids count as smallest;
     rows that share the largest page_id are all responses.  Only ``page_id,
     url, html`` of the input are kept, so clashing extra columns do no harm.
+    Rows come dealt and sorted by page_id and digest.
     """
     rows = pages.select("page_id", "url", "html").withColumns(
         {
@@ -52,32 +63,85 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         }
     )
     keys = ["page_key", "payload_digest"]
-    heads = rows.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= min_bytes)
+    heads = rows.select("page_id", "page_key", "url", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= min_bytes)
     originals = (
         heads.groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1 and refers_to is not null")
-        .drop("copies")
+        .agg(F.max(F.struct("page_id", "url")).alias("o"), F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1 and o.page_id is not null")
+        .select("payload_digest", "payload_bytes", F.col("o.page_id").alias("refers_to"), F.col("o.url").alias("refers_to_url"))
     )
+    # written, so that the headers of a very frequent payload can be dealt to many tasks
+    originals = common.cut(originals, "warc-originals")
     revisits = (
         heads.join(originals, ["payload_digest", "payload_bytes"])
         .filter("page_id is null or page_id < refers_to")
-        .select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key"), "payload_digest", "refers_to")
+        .select("page_key", "payload_digest", "refers_to", "refers_to_url")
         .distinct()
     )
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return rows.join(revisits, keys, "left").withColumn("record_type", kind).drop("page_key")
+    joined = rows.repartition(*keys).join(revisits, keys, "left").withColumn("record_type", kind)
+    return joined.sortWithinPartitions(*keys).drop("page_key")
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it; a path without a scheme is a mounted folder."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class Archives:
+    """Archive files that one task writes, one after the other."""
+
+    def __init__(self, path: str, file_bytes: int, date: str):
+        self.store, self.path = _store(path)
+        self.file_bytes, self.date = file_bytes, date
+        self.out = None
+        self.done: list[tuple[str, int, int]] = []
+
+    def add(self, record: bytes) -> None:
+        member = gzip.compress(record, 6, mtime=0)
+        if self.out is not None and self.size + len(member) > self.file_bytes:
+            self.close()
+        if self.out is None:
+            self._begin()
+        self.out.write(member)
+        self.size += len(member)
+        self.records += 1
+
+    def _begin(self) -> None:
+        self.name = f"{uuid.uuid4().hex}.warc.gz"
+        self.out = self.store.open_output_stream(f"{self.path}/{self.name}", compression=None)
+        said = f"software: datascry{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+        lines = (
+            "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {self.date}", f"WARC-Filename: {self.name}",
+            "Content-Type: application/warc-fields", f"Content-Length: {len(said)}",
+        )
+        member = gzip.compress(CRLF.join(lines).encode() + b"\r\n\r\n" + said + b"\r\n\r\n", 6, mtime=0)
+        self.out.write(member)
+        self.size, self.records = len(member), 0
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.done.append((self.name, self.records, self.size))
+            self.out = None
 
 
 def write_archives(
-    pages: DataFrame, path: str, min_bytes: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z"
+    pages: DataFrame, path: str, min_bytes: int = 1000, file_bytes: int = 32 << 20, date: str | None = None
 ) -> None:
-    """Writes gzip-compressed WARC/1.1 files of at most about ``file_bytes`` raw bytes.
+    """Writes WARC/1.1 files ``*.warc.gz`` of at most ``file_bytes`` (or one record) each.
 
-    Files follow the partitions of the join, so payloads are shuffled once at
-    most; the mean record gives the number of records that ends a file.
+    Files follow the partitions of the join, so payloads are shuffled once.  Each
+    begins with a warcinfo record; each record is a gzip member of its own.
+    ``date`` (now by default) is that of the new headers.  Rows that agree in
+    page_id and payload get record ids of their own; revisits refer to the first.
+    The table ``_files`` beside them has ``file, records, bytes`` of each
+    archive; what it does not name is left from tasks that ran again.
     """
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    spark = pages.sparkSession
+    date = date or spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
     rows = resolve_revisits(pages, min_bytes)
     revisit = F.col("record_type") == "revisit"
     http = F.concat(
@@ -91,28 +155,63 @@ def write_archives(
         """The header line, or nothing where its value is null."""
         return F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
 
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    def uri(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, "\r", "%0D"), "\n", "%0A")
+
     head = F.concat(
-        F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", url),
+        line("WARC-Target-URI", uri("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("payload_digest")))),
+        line("WARC-Refers-To-Target-URI", F.when(revisit, uri("refers_to_url"))),
+        line("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         line("X-Page-Id", F.col("page_id").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(CRLF + CRLF),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF + CRLF).option(
-        "compression", "gzip"
-    ).option("maxRecordsPerFile", int(file_bytes / (mean + 512)) + 1).text(path)
+    common.small_batches(spark)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Archives(path, file_bytes, date)
+        before, again = None, 0
+        for batch in batches:
+            for seed, top, said in zip(*batch.columns, strict=True):
+                seed = seed.as_py()
+                # rows that agree come one after the other
+                before, again = seed, again + 1 if seed == before else 0
+                number = uuid.UUID(hashlib.md5((f"{seed}|{again}" if again else seed).encode()).hexdigest())
+                files.add(f"WARC/1.1{CRLF}WARC-Record-ID: <urn:uuid:{number}>{CRLF}{top.as_py()}{said.as_py()}{CRLF}{CRLF}".encode())
+        files.close()
+        if files.done:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*files.done, strict=True)], ["file", "records", "bytes"])
+
+    # the folder is made on the store before tasks write into it
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    records = rows.select(_seed(F.col("page_id"), F.col("payload_digest")).alias("seed"), head.alias("head"), block.alias("block"))
+    records.mapInArrow(write, "file string, records long, bytes long").write.parquet(f"{path}/_files")
+
+
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What each gzip member of ``data`` holds, one at a time."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        one, out = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("the last gzip member is cut off")
+            fed = view[at : at + step]
+            out.append(one.decompress(fed))
+            at += len(fed) - len(one.unused_data)
+        yield b"".join(out)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record of one archive."""
+    """Headers (names in lower case) and block of each record of some bytes."""
     at, view = 0, memoryview(data)
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
@@ -125,25 +224,18 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at = end + 4 + size + 4
 
 
-def _gunzip(data: bytes) -> bytes:
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(out)
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in RECORD_SCHEMA.split(", ")]
     for batch in batches:
         for content in batch.column(0):
             out: list[list] = [[] for _ in names]
-            for head, block in parse_records(_gunzip(content.as_py())):
+            for head, block in (x for one in members(content.as_py()) for x in parse_records(one)):
+                kind = head["warc-type"]
+                if kind not in ("response", "revisit"):
+                    continue
                 raw = bytes(block)
                 payload = raw[raw.index(b"\r\n\r\n") + 4 :]
-                kind = head["warc-type"]
                 page = head.get("x-page-id")
                 whole = kind == "response"
                 values = (
@@ -161,16 +253,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: headers, and digest and length of each payload read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    """One row per page record: headers, and digest and length of each payload read."""
+    listed = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/_files")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(listed, "file", "left_semi")
     return files.select("content").mapInArrow(_rows, RECORD_SCHEMA)
 
 
 def join_originals(records: DataFrame) -> DataFrame:
-    """Gives each revisit the payload length and page_id of the response it names.
-
-    Several records of one id (repeated input rows) count as one original.
-    """
+    """Gives each revisit the payload length and page_id of the response it names."""
     originals = (
         records.filter("record_type = 'response'")
         .select(
@@ -178,7 +269,6 @@ def join_originals(records: DataFrame) -> DataFrame:
             F.col("page_id").alias("refers_to"),
             F.col("payload_bytes").alias("original_bytes"),
         )
-        .dropDuplicates(["refers_to_id"])
     )
     plain = records.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
     revisits = records.filter("record_type = 'revisit'").join(originals, "refers_to_id", "left")
