@@ -8,7 +8,6 @@ hit is extended both ways, word by word.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,73 +34,92 @@ def fingerprints(first: np.ndarray, hashes: np.ndarray, window: int, k: int) ->
 
 
 class Index:
-    """Items by fingerprint, and items shorter than a window by their whole hash."""
+    """Items by fingerprint, and items shorter than a window by their whole hash.
+
+    All is held in flat arrays, about 30 bytes a word: item i has the words
+    ``first[i]`` to ``first[i + 1]``, with their bytes in ``data``.
+    """
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = 10, k: int = 5):
         self.window, self.k = window, k
-        self.ids: list[str] = []
-        self.words: list[list[bytes]] = []
-        self.hashes: list[np.ndarray] = []
-        spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for lo, part in _texts(texts):
-            codes = part.hashes()
-            at, prints = fingerprints(part.first, codes, window, k)
-            item_of = np.searchsorted(part.first, at, "right") - 1
-            kept = {}
-            for i, n in enumerate(part.n_words):
-                if n:
-                    a = int(part.first[i])
-                    kept[i] = len(self.ids)
-                    self.ids.append(ids[lo + i])
-                    self.words.append([part.word(j) for j in range(a, a + int(n))])
-                    self.hashes.append(codes[a : a + int(n)].copy())
-                    if n < window:
-                        h = w.word_spans(codes, np.array([a]), np.array([a + int(n)]))
-                        short[int(n)][int(h[0])].append(kept[i])
-            for i, p, f in zip(item_of.tolist(), at.tolist(), prints.tolist(), strict=True):
-                spots[f].append((kept[i], p - int(part.first[i])))
-        self.spots = dict(spots)
-        self.prints = np.array(sorted(spots), dtype=np.uint64)
-        self.short = {n: (np.array(sorted(x), dtype=np.uint64), dict(x)) for n, x in short.items()}
+        self.ids = ids
+        sizes, codes, lengths, data = [], [], [], []
+        prints, spots, whole = [], [], []
+        words = 0
+        for _, part in _texts(texts):
+            hashes = part.hashes()
+            at, found = fingerprints(part.first, hashes, window, k)
+            prints.append(found)
+            spots.append(at + words)
+            whole.append(w.word_spans(hashes, part.first[:-1], part.first[1:]))
+            sizes.append(part.n_words)
+            codes.append(hashes)
+            lengths.append(part.ends - part.starts)
+            inside = w.covered(len(part.data), part.starts, part.ends)
+            data.append(part.data[inside])
+            words += len(hashes)
+
+        def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+            return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+        n = joined(sizes, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        self.codes, self.data = joined(codes, np.uint64), joined(data, np.uint8)
+        self.byte = np.concatenate([[0], np.cumsum(joined(lengths, np.int64))]).astype(np.int64)
+        found, at = joined(prints, np.uint64), joined(spots, np.int64)
+        order = np.argsort(found, kind="stable")
+        self.prints, self.spots = found[order], at[order]
+        # (hashes, items) of the items of each shorter length, by hash
+        self.short = {}
+        hashes = joined(whole, np.uint64)
+        for size in np.unique(n[(n > 0) & (n < window)]).tolist():
+            items = np.flatnonzero(n == size)
+            items = items[np.argsort(hashes[items], kind="stable")]
+            self.short[size] = (hashes[items], items)
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.byte[i] : self.byte[i + 1]].tobytes()
 
     def find(self, part: w.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words hit: starts, ends and items of verified spans of ``part``."""
         codes = part.hashes()
         got: set[tuple[int, int, int]] = set()
         at, prints = fingerprints(part.first, codes, self.window, self.k)
-        hit = np.flatnonzero(np.isin(prints, self.prints)) if len(self.prints) else ()
+        lo_of, hi_of = (np.searchsorted(self.prints, prints, side) for side in ("left", "right"))
         rows = np.searchsorted(part.first, at, "right") - 1
-        seen: dict[tuple[int, int], int] = {}
-        for j in hit:
+        seen: dict[int, int] = {}
+        for j in np.flatnonzero(hi_of > lo_of).tolist():
             q, a, b = int(at[j]), int(part.first[rows[j]]), int(part.first[rows[j] + 1])
-            for item, p in self.spots[int(prints[j])]:
-                if seen.get((item, q - p), -1) > q:
+            for p in self.spots[lo_of[j] : hi_of[j]].tolist():
+                # a place in an item and one in a text meet on one diagonal
+                if seen.get(q - p, -1) > q:
                     continue
-                lo, hi = self._extend(part, codes, q, a, b, item, p)
-                seen[item, q - p] = hi
+                item = int(np.searchsorted(self.first, p, "right")) - 1
+                lo, hi = self._extend(part, codes, q, a, b, p, int(self.first[item]), int(self.first[item + 1]))
+                seen[q - p] = hi
                 if hi - lo >= self.window:
                     got.add((lo, hi, item))
         for n, (hashes, items) in self.short.items():
             gram = w.grams(codes, n)
-            for q in np.flatnonzero(np.isin(gram, hashes) & w.whole(part.first, len(gram), n)).tolist():
-                for item in items[int(gram[q])]:
-                    if self.words[item] == [part.word(i) for i in range(q, q + n)]:
+            lo_of, hi_of = (np.searchsorted(hashes, gram, side) for side in ("left", "right"))
+            for q in np.flatnonzero((hi_of > lo_of) & w.whole(part.first, len(gram), n)).tolist():
+                for item in items[lo_of[q] : hi_of[q]].tolist():
+                    p = int(self.first[item])
+                    if all(part.word(q + i) == self.word(p + i) for i in range(n)):
                         got.add((q, q + n, item))
         out = np.array(sorted(got), dtype=np.int64).reshape(-1, 3)
         return out[:, 0], out[:, 1], out[:, 2]
 
-    def _extend(self, part: w.Texts, codes: np.ndarray, q: int, a: int, b: int, item: int, p: int) -> tuple[int, int]:
-        """The longest run around word q that equals the item's around its word p."""
-        mine = self.hashes[item]
-        back, ahead = min(q - a, p), min(b - q, len(mine) - p)
-        left = codes[q - back : q][::-1] == mine[p - back : p][::-1]
-        right = codes[q : q + ahead] == mine[p : p + ahead]
+    def _extend(self, part: w.Texts, codes: np.ndarray, q: int, a: int, b: int, p: int, c: int, d: int) -> tuple[int, int]:
+        """The longest run around word q of words a to b that equals the item's around
+        its word p of words c to d."""
+        back, ahead = min(q - a, p - c), min(b - q, d - p)
+        left = codes[q - back : q][::-1] == self.codes[p - back : p][::-1]
+        right = codes[q : q + ahead] == self.codes[p : p + ahead]
         lo = q - (back if left.all() else int(np.argmin(left)))
         hi = q + (ahead if right.all() else int(np.argmin(right)))
-        text = self.words[item]
         # words of equal hashes that differ end the run
-        odd = [i for i in range(lo, hi) if part.word(i) != text[p + i - q]]
+        odd = [i for i in range(lo, hi) if part.word(i) != self.word(p + i - q)]
         return max([lo, *(i + 1 for i in odd if i < q)]), min([hi, *(i for i in odd if i >= q)])
 
 
@@ -130,7 +148,7 @@ def mark_contaminated(
     keep: list[str] | None = None,
     window: int = 10,
     k: int = 5,
-    max_broadcast_bytes: int = 32 << 20,
+    max_broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``docs`` (columns ``keep``) with ``n_words, n_hit, item_ids, contaminated``.
 
@@ -145,8 +163,8 @@ def mark_contaminated(
     with kept ones get leading underscores.
 
     The benchmark's texts are measured: up to ``max_broadcast_bytes`` the index
-    goes to every worker and documents stay where they are; beyond it,
-    fingerprints are shuffled and joined.
+    goes to every worker (some five times as many bytes there) and documents
+    stay where they are; beyond it, fingerprints are shuffled and joined.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("item_text"))
     size = items.agg(F.sum(F.octet_length("item_text") + F.octet_length("item_id"))).first()[0] or 0
@@ -163,75 +181,114 @@ def mark_contaminated(
     return out.withColumn(flag, F.col(n_hit) > 0)
 
 
-def _prints(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Fingerprints of texts of at least a window; else the hash of the whole."""
+def _windows(part: w.Texts, codes: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> list[np.ndarray]:
+    """The two hashes, 122 bits together, of the runs of ``size`` words from ``start``."""
+    return [w.signed(w.word_spans(codes, start, start + size)), w.signed(w.other_word_spans(part.other_hashes(), start, start + size))]
+
+
+def _item_windows(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, list]]:
+    """``size, code, other`` of every window of an item."""
     for lo, part in _texts(column):
-        codes = part.hashes()
-        at, prints = fingerprints(part.first, codes, window, k)
-        rows = np.searchsorted(part.first, at, "right") - 1
-        small = np.flatnonzero((part.n_words > 0) & (part.n_words < window))
-        whole = w.word_spans(codes, part.first[small], part.first[small + 1])
-        n = np.concatenate([np.zeros(len(at), dtype=np.int64), part.n_words[small]])
-        yield lo + np.concatenate([rows, small]), [n, w.signed(np.concatenate([prints, whole]))]
+        codes, n = part.hashes(), part.n_words
+        size = np.minimum(n, window)
+        count = np.where(n > 0, n - size + 1, 0)
+        row = np.repeat(np.arange(len(n)), count)
+        start = part.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        yield lo + row, [size[row], *_windows(part, codes, start, size[row])]
+
+
+def _item_prints(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.ndarray, list]]:
+    for lo, part in _texts(column):
+        at, prints = fingerprints(part.first, part.hashes(), window, k)
+        yield lo + np.searchsorted(part.first, at, "right") - 1, [w.signed(prints)]
+
+
+def _doc_prints(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.ndarray, list]]:
+    """``print, lo, more``: the windows (first, and how many follow) that keep each fingerprint."""
+    for base, part in _texts(column):
+        gram = w.grams(part.hashes(), k)
+        at = w.sliding_argmin(gram, window - k + 1)
+        starts = np.flatnonzero(w.whole(part.first, len(at), window))
+        at = at[starts]
+        new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+        last = np.append(new[1:], len(at))[: len(new)] - 1
+        rows = np.searchsorted(part.first, starts[new], "right") - 1
+        yield base + rows, [w.signed(gram[at[new]]), starts[new] - part.first[rows], starts[last] - starts[new]]
 
 
 def _by_join(docs: DataFrame, items: DataFrame, keep: list[str] | None, window: int, k: int) -> DataFrame:
-    """The same by shuffled fingerprints, for benchmarks too large to broadcast."""
+    """The same by shuffled fingerprints, for benchmarks too large to broadcast.
+
+    A fingerprint in common names the few windows of a document that may occur
+    in an item; those are looked up by 122 bits of hash among the distinct
+    windows of all items.  So a document meets items only through windows
+    that do occur, and what is frequent is counted once before it is joined.
+    """
     kept = list(docs.columns if keep is None else keep)
-    item_prints = common.cut(
-        annotate.emit_rows(items, "item_text", ["item_id"], lambda c: _prints(c, window, k), "size long, print long")
-        .select("item_id", "size", "print").distinct(),
-        "item-prints",
+    item_windows = common.cut(
+        annotate.emit_rows(items, "item_text", ["item_id"], lambda c: _item_windows(c, window), "size long, code long, other long").distinct(), "item-windows"
     )
-    sizes = sorted(r[0] for r in item_prints.select("size").distinct().collect())  # at most a window's worth
-
-    def doc_prints(column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
-        for lo, part in _texts(column):
-            codes = part.hashes()
-            for n in sizes:
-                if n == 0:
-                    at, prints = fingerprints(part.first, codes, window, k)
-                else:
-                    prints = w.grams(codes, n)
-                    at = np.flatnonzero(w.whole(part.first, len(prints), n))
-                    prints = prints[at]
-                yield lo + np.searchsorted(part.first, at, "right") - 1, [np.full(len(at), n), w.signed(prints)]
-
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    thin = keyed.select(F.col("doc_id").alias("d"), F.col("__key").alias("key"), "text")
-    pairs = (
-        annotate.emit_rows(thin, "text", ["d", "key"], doc_prints, "size long, print long")
-        .join(item_prints, ["size", "print"])
-        .select("d", "key", "item_id")
-        .distinct()
+    distinct = common.cut(item_windows.select("size", "code", "other").distinct(), "item-distinct")
+    prints = common.cut(
+        annotate.emit_rows(items, "item_text", [], lambda c: _item_prints(c, window, k), "print long").distinct(), "item-prints"
     )
-    texts = pairs.join(items, "item_id").join(
-        thin.dropDuplicates(["d", "key"]).select(F.col("d").alias("d2"), F.col("key").alias("key2"), "text"),
-        common.same(F.col("d"), F.col("d2")) & (F.col("key") == F.col("key2")),
+    short = sorted(r[0] for r in distinct.filter(F.col("size") < window).select("size").distinct().collect())  # a window's worth at most
+    key, d = common.fresh(docs, "row_key", "row_id")
+    keyed = docs.withColumns({d: F.col("doc_id"), key: common.text_key(F.col("text"))})
+    thin = keyed.select(F.col(d).alias("d"), F.col(key).alias("key"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    met = (
+        annotate.emit_rows(thin, "text", ["d", "key"], lambda c: _doc_prints(c, window, k), "print long, lo int, more int")
+        .join(prints, "print", "left_semi")
+        .groupBy("d", "key")
+        .agg(F.collect_set(F.struct("lo", "more")).alias("spans"))
+        .withColumnsRenamed({"d": "s_d", "key": "s_key"})
     )
+    with_spans = thin.join(met, common.same(F.col("d"), F.col("s_d")) & (F.col("key") == F.col("s_key")), "left" if short else "inner")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for item, said, text in zip(*[batch.column(i) for i in (2, 3, 4)], strict=True):
-                index = Index([item.as_py()], pa.array([said.as_py()], pa.string()), window, k)
-                spans: list[tuple[int, int]] = []
-                for _, part in _texts(pa.array([text.as_py()], pa.string())):
-                    starts, ends, _ = index.find(part)
-                    spans += zip(starts.tolist(), ends.tolist(), strict=True)
-                out.append([{"a": a, "b": b} for a, b in spans])
-            spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, spans_type)], names=["d", "key", "item_id", "spans"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = (
-        texts.select("d", "key", "item_id", "item_text", "text")
-        .mapInArrow(verify, f"d {id_type}, key long, item_id string, spans array<struct<a:long,b:long>>")
-        .filter("size(spans) > 0")
+            for base, part in _texts(batch.column(2)):
+                codes = part.hashes()
+                rows, pos, size = [], [], []
+                for i in range(len(part)):
+                    spans = batch.column(3)[base + i]
+                    if spans.is_valid and len(spans.values):
+                        lo, more = (np.asarray(spans.values.field(f)) for f in (0, 1))
+                        each = np.repeat(lo, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                        rows.append(np.full(len(each), i))
+                        pos.append(each)
+                        size.append(np.full(len(each), window))
+                for n in short:
+                    start = np.flatnonzero(w.whole(part.first, max(0, len(codes) - n + 1), n))
+                    row = np.searchsorted(part.first, start, "right") - 1
+                    rows.append(row)
+                    pos.append(start - part.first[row])
+                    size.append(np.full(len(start), n))
+                if not rows:
+                    continue
+                row, at, n = np.concatenate(rows), np.concatenate(pos).astype(np.int64), np.concatenate(size)
+                code, other = _windows(part, codes, part.first[row] + at, n)
+                where = pa.array(base + row)
+                arrays = [batch.column(0).take(where), batch.column(1).take(where), pa.array(n), pa.array(code), pa.array(other), pa.array(at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["d", "key", "size", "code", "other", "pos"])
+
+    hits = common.cut(
+        with_spans.select("d", "key", "text", "spans")
+        .mapInArrow(looked_up, f"d {id_type}, key long, size long, code long, other long, pos long")
+        .join(distinct, ["size", "code", "other"], "left_semi"),
+        "item-hits",
+    )
+    places = hits.groupBy("d", "key").agg(F.collect_set(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b"))).alias("f_spans"))
+    named = (
+        hits.select("d", "key", "size", "code", "other").distinct()
+        .join(item_windows, ["size", "code", "other"])
         .groupBy("d", "key")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("f_items"), F.flatten(F.collect_list("spans")).alias("f_spans"))
-        .withColumnsRenamed({"d": "f_d", "key": "f_key"})
+        .agg(F.sort_array(F.collect_set("item_id")).alias("f_items"))
+        .withColumnsRenamed({"d": "n_d", "key": "n_key"})
     )
+    found = places.join(named, common.same(F.col("d"), F.col("n_d")) & (F.col("key") == F.col("n_key")))
+    found = common.cut(found.select(F.col("d").alias("f_d"), F.col("key").alias("f_key"), "f_spans", "f_items"), "item-found")
     merged = F.aggregate(
         F.sort_array("f_spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
@@ -241,22 +298,20 @@ def _by_join(docs: DataFrame, items: DataFrame, keep: list[str] | None, window:
         ),
     )["n"]
     counted = annotate.add_columns(
-        keyed,
-        "text",
-        lambda c: [pa.array(np.concatenate([p.n_words for _, p in _texts(c)]))],
-        "n_words long",
-        [*dict.fromkeys([*kept, "doc_id", "__key"])],
+        keyed, "text", lambda c: [pa.array(np.concatenate([p.n_words for _, p in _texts(c)]))], "n_words long", [*dict.fromkeys([*kept, d, key])]
     )
+    common.release(docs.sparkSession, item_windows, distinct, prints, hits)
     n_words = counted.columns[-1]
-    joined = counted.join(found, common.same(F.col("doc_id"), F.col("f_d")) & (F.col("__key") == F.col("f_key")), "left")
-    _, n_hit, item_ids = common.fresh(docs.select(*kept), "n_words", "n_hit", "item_ids")
+    joined = counted.join(found, common.same(F.col(d), F.col("f_d")) & (F.col(key) == F.col("f_key")), "left")
+    quoted = [annotate._quoted(c) for c in kept]
+    _, n_hit, item_ids = common.fresh(docs.select(*quoted), "n_words", "n_hit", "item_ids")
     empty = F.array().cast("array<string>")
     return joined.select(
-        *kept, n_words, F.coalesce(merged, F.lit(0).cast("long")).alias(n_hit), F.coalesce("f_items", empty).alias(item_ids)
+        *quoted, annotate._quoted(n_words), F.coalesce(merged, F.lit(0).cast("long")).alias(n_hit), F.coalesce("f_items", empty).alias(item_ids)
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents with no word inside an occurrence of a benchmark window."""
     marked = mark_contaminated(docs, benchmark, **options)
-    return marked.filter(~F.col(marked.columns[-1])).select(*docs.columns)
+    return marked.filter(~F.col(marked.columns[-1])).select(*[annotate._quoted(c) for c in docs.columns])
