@@ -59,7 +59,7 @@ def _firsts(row: np.ndarray, *codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchor_rows(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Anchor, stretch hash, first window and how many follow.
+    """Anchor, two stretch hashes, first window and how many follow.
 
     An anchor comes once for each text and stretch.  Stretches that a text has
     twice or more are settled: those come as runs, without an anchor.
@@ -69,13 +69,15 @@ def _anchor_rows(column: pa.Array, window: int, k: int) -> Iterator[tuple[np.nda
         codes = part.hashes()
         anchor, rows, at, lo, hi = _anchors(part, codes, window, k)
         # the stretch, and where in it the anchor stands
-        around = w.word_spans(codes, lo, hi + window) ^ w._mixed((at - lo).astype(np.uint64))
-        one, again = _firsts(rows, anchor, around)
+        place = w._mixed((at - lo).astype(np.uint64))
+        around = w.word_spans(codes, lo, hi + window) ^ place
+        other = w.other_word_spans(part.other_hashes(), lo, hi + window) ^ place
+        one, again = _firsts(rows, anchor, around, other)
         a = part.first[rows]
-        yield base + rows[one], [pa.array(w.signed(anchor[one])), w.signed(around[one]), (lo - a)[one], (hi - lo)[one]]
+        yield base + rows[one], [pa.array(w.signed(anchor[one])), w.signed(around[one]), w.signed(other[one]), (lo - a)[one], (hi - lo)[one]]
         row, first, last = _runs(rows[again], (lo - a)[again], (hi - a)[again])
         none = pa.nulls(len(row), pa.int64())
-        yield base + row, [none, none, first, last - first]
+        yield base + row, [none, none, none, first, last - first]
 
 
 def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[np.ndarray, list]]:
@@ -99,11 +101,13 @@ def _window_rows(column: pa.Array, spans: pa.Array, window: int) -> Iterator[tup
         pos = lo[each] + within
         start = part.first[rows[each]] + pos
         code, row = w.word_spans(codes, start, start + window), rows[each]
-        one, again = _firsts(row, code)
-        yield base + row[one], [pa.array(w.signed(code[one])), pos[one], np.zeros(len(one), dtype=np.int64)]
+        other = w.other_word_spans(part.other_hashes(), start, start + window)
+        one, again = _firsts(row, code, other)
+        yield base + row[one], [pa.array(w.signed(code[one])), pa.array(w.signed(other[one])), pos[one], np.zeros(len(one), dtype=np.int64)]
         again = again[np.lexsort((pos[again], row[again]))]
         run, first, last = _runs(row[again], pos[again], pos[again])
-        yield base + run, [pa.nulls(len(run), pa.int64()), first, last - first]
+        none = pa.nulls(len(run), pa.int64())
+        yield base + run, [none, none, first, last - first]
 
 
 def _removed(column: pa.Array, spans: pa.Array, window: int) -> list:
@@ -134,17 +138,19 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
     thin = docs.select("doc_id", common.text_key(F.col("text")).alias("key"), "text")
     anchors = common.cut(
         annotate.emit_rows(
-            thin, "text", ["doc_id", "key"], lambda c: _anchor_rows(c, window, k), "anchor long, around long, lo int, more int"
+            thin, "text", ["doc_id", "key"], lambda c: _anchor_rows(c, window, k), "anchor long, around long, other long, lo int, more int"
         ),
         "anchors",
     )
     open_anchors = anchors.filter("anchor is not null")
     seeds = (
         open_anchors.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike"))
+        .agg(F.count(F.lit(1)).alias("n"), ((F.min("around") == F.max("around")) & (F.min("other") == F.max("other"))).alias("alike"))
         .filter("n > 1")
         .drop("n")
     )
+    # written before the join, so that a very frequent anchor can be dealt to many tasks; so are windows below
+    seeds = common.cut(seeds, "anchor-counts")
     hits = common.cut(
         open_anchors.select("doc_id", "key", "anchor", "lo", "more")
         .join(seeds, "anchor")
@@ -152,7 +158,7 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
         .unionByName(anchors.filter("anchor is null").select("doc_id", "key", "lo", "more", F.lit(True).alias("alike"))),
         "seeded",
     )
-    common.release(docs.sparkSession, anchors)
+    common.release(docs.sparkSession, anchors, seeds)
     span = F.struct("lo", "more")
     open_ends = hits.filter("not alike").distinct().groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     met = thin.join(
@@ -165,18 +171,20 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for rows, (code, lo, more) in _window_rows(batch.column(2), batch.column(3), window):
+                for rows, (code, other, lo, more) in _window_rows(batch.column(2), batch.column(3), window):
                     at = pa.array(rows)
-                    arrays = [batch.column(0).take(at), batch.column(1).take(at), code, pa.array(lo, pa.int32()), pa.array(more, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "code", "lo", "more"])
+                    arrays = [batch.column(0).take(at), batch.column(1).take(at), code, other, pa.array(lo, pa.int32()), pa.array(more, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "code", "other", "lo", "more"])
 
     each = common.cut(
-        met.select("doc_id", "key", "text", "spans").mapInArrow(windows, f"doc_id {id_type}, key long, code long, lo int, more int"), "windows"
+        met.select("doc_id", "key", "text", "spans").mapInArrow(windows, f"doc_id {id_type}, key long, code long, other long, lo int, more int"), "windows"
     )
     common.release(docs.sparkSession)
     coded = each.filter("code is not null")
-    twice = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
-    ends = coded.join(twice, "code").unionByName(each.filter("code is null")).select("doc_id", "key", "lo", "more")
+    twice = coded.groupBy("code", "other").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code", "other")
+    twice = common.cut(twice, "windows-twice")
+    ends = coded.select("doc_id", "key", "lo", "more", "code", "other").join(twice, ["code", "other"], "left_semi").select("doc_id", "key", "lo", "more")
+    ends = ends.unionByName(each.filter("code is null").select("doc_id", "key", "lo", "more"))
     spans = common.cut(
         hits.filter("alike")
         .select("doc_id", "key", "lo", "more")
@@ -185,7 +193,7 @@ def find_repeats(docs: DataFrame, window: int = 35, k: int = 10) -> DataFrame:
         .agg(F.collect_set(span).alias("spans")),
         "spans",
     )
-    common.release(docs.sparkSession, hits, each)
+    common.release(docs.sparkSession, hits, each, twice)
     return spans
 
 
@@ -202,7 +210,7 @@ def remove_repeats(
     Null and empty texts have no words.  Rows repeat one another's windows
     even where they agree in id and text; such rows get equal results.  An
     empty table gives no rows; clashing new columns get leading underscores.
-    Equality of words and windows is that of 64-bit hashes.
+    Equality of windows is that of two hashes, 122 bits together.
     """
     kept = list(docs.columns if keep is None else keep)
     n_words, n_removed, kept_text = common.fresh(docs.select(*[annotate._quoted(c) for c in kept]), "n_words", "n_removed", "kept_text")
