@@ -14,7 +14,7 @@ Candidates pass an exact bitmap bound and are then verified token by token.
 Pairs within a signature's group are never all emitted.  A star around each
 group's least set comes first.  Then, in rounds, some sets outside the group's
 largest component meet all others that are in other components than they are,
-and leave the group; a group of one component is done.
+and are done; so is a group of one component.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ FILTER_BITS, REMEMBERED = 1 << 26, 1 << 18
 #: Documents sampled to find signatures that very many sets have, and parts of each.
 SAMPLE, PARTS = 20_000, 64
 #: Centres that a group gives in each round, by hash, and from the last on.
-CENTRES = (1, 8, 64, 512)
+CENTRES = (4, 64, 1024)
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -362,22 +362,30 @@ def _open_groups(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _centres(rows: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` sets of each group outside its largest component, one from each
-    of so many parts by hash."""
-    counts = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = common.cut(counts.groupBy("sig").agg(F.max_by("component", F.struct("held", "component")).alias("main")), "jaccard-main")
-    out = (
-        rows.select("sig", "node", "component")
-        .join(main, "sig")
-        .filter("component <> main")
-        .groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(most)).alias("part"))
-        .agg(F.min("node").alias("node"))
-        .select("sig", "node")
-    )
-    out = common.cut(out, "jaccard-centres")
-    common.drop_path(rows.sparkSession, main.scratch_path)
-    return out
+def _renamed(df: DataFrame, names: DataFrame | None, column: str, to: str) -> DataFrame:
+    """``df`` with ``to``: what ``names`` (``component, into``) has for a column, else the column."""
+    if names is None:
+        return df.withColumn(to, F.col(column))
+    new = names.select(F.col("component").alias(column), F.col("into").alias(to))
+    return df.join(new, column, "left").withColumn(to, F.coalesce(to, column))
+
+
+def _centres(rows: DataFrame, counts: DataFrame, names: DataFrame | None, done: DataFrame | None, most: int) -> DataFrame:
+    """Up to ``most`` sets of each group outside its largest component that have not been
+    centres before (``done``), one from each of so many parts by hash.
+
+    ``counts`` has the sets of each component in each group, by the names that
+    components had in ``rows``; ``names`` has what became of those.
+    """
+    now = _renamed(counts, names, "component", "into")
+    held = now.groupBy("sig", "into").agg(F.sum("held").alias("held"))
+    main = held.groupBy("sig").agg(F.max_by("into", F.struct("held", "into")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    outside = common.cut(now.join(main, "sig").filter("into <> main").select("sig", "component"), "jaccard-outside")
+    left = rows.select("sig", "node", "component").join(outside, ["sig", "component"]).select("sig", "node")
+    if done is not None:
+        left = left.join(done, ["sig", "node"], "left_anti")
+    out = left.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(most)).alias("part")).agg(F.min("node").alias("node")).select("sig", "node")
+    return common.cut(out, "jaccard-centres")
 
 
 def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | None = None):
@@ -438,9 +446,15 @@ def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | N
     placed = _open_groups(placed)
     rows = common.cut(placed.join(wide, "node"), "jaccard-rows")
     common.release(spark, groups, kept, least, placed)
+    # rows stay as they are; what changes is the names of their components
+    counts = common.cut(rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("held")), "jaccard-counts")
+    into: DataFrame | None = None
+    done: DataFrame | None = None
     turn = 0
-    while not rows.isEmpty():
-        centres = _centres(rows, CENTRES[min(turn, len(CENTRES) - 1)])
+    while True:
+        centres = _centres(rows, counts, into, done, CENTRES[min(turn, len(CENTRES) - 1)])
+        if centres.isEmpty():
+            break
         met = (
             rows.join(centres, ["sig", "node"])
             .alias("a")
@@ -455,21 +469,20 @@ def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | N
         # components go with the pair, so that only their names need merging
         first = F.col("a.node") < F.col("b.node")
         met = met.select(
-            *[F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(u) for c, u in (("node", "u"), ("component", "cu"))],
-            *[F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(v) for c, v in (("node", "v"), ("component", "cv"))],
+            *[F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(u) for c, u in (("node", "u"), ("component", "c"))],
+            *[F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(v) for c, v in (("node", "v"), ("component", "d"))],
         ).distinct()
+        met = _renamed(_renamed(met, into, "c", "cu"), into, "d", "cv").filter("cu <> cv").select("u", "v", "cu", "cv")
         found = common.cut(_verified(met, sets, percent), "jaccard-links")
-        links.append(found.select("u", "v"))
-        merged = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        left = (
-            rows.join(centres, ["sig", "node"], "left_anti")
-            .join(merged, "component", "left")
-            .withColumn("component", F.coalesce("into", "component"))
-            .select(*rows.columns)
-        )
-        held, rows = rows, _open_groups(left)
-        common.release(spark, held, centres)
+        done = centres if done is None else common.cut(done.unionByName(centres), "jaccard-done")
+        if not found.isEmpty():
+            links.append(found.select("u", "v"))
+            merged = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into")).filter("component <> into")
+            if into is not None:
+                older = into.select("component", F.col("into").alias("was"))
+                merged = _renamed(older, merged, "was", "into").select("component", "into").unionByName(merged)
+            into = common.cut(merged, "jaccard-into")
         turn += 1
     common.release(spark, sets, rows)
     out = links[0]
