@@ -11,24 +11,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share (``spark.checkpoint.dir``).
+    """Folder that driver and executors share: the setting ``spark.checkpoint.dir``, or
+    the context's checkpoint folder.
 
-    Only where the setting is absent, as in local tests, a temporary folder is
-    made and set.
+    Without either only a local session, whose tasks run in the driver, gets a
+    temporary folder; elsewhere each executor would write to a disk of its own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="datascry-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/datascry/{what}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in one of this application's own that
+    goes with it when it ends."""
+    home = f"{shared_dir(spark)}/datascry/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(home)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return f"{home}/{what}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

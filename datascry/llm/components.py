@@ -35,8 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long")))
     before, after = None, now.select(mark).first()[0]
     while before != after:
-        now = common.cut(_small_star(_large_star(now)), "stars")
+        last, now = now, common.cut(_small_star(_large_star(now)), "stars")
         before, after = after, now.select(mark).first()[0]
+        common.drop_path(now.sparkSession, last.scratch_path)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

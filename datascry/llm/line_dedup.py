@@ -162,8 +162,8 @@ def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
 
     A line goes if it lies in a run of at least ``least_lines`` consecutive lines
     whose bytes begin before as such a run: at an earlier line of the same text,
-    or in a document with a smaller id (then text hash).  The first occurrence
-    of each line stays.  All else is as for :func:`remove_repeated_chunks`.
+    or in a document with a smaller id (then text hash; null ids come last).  The
+    first occurrence of each line stays.  All else is as for :func:`remove_repeated_chunks`.
     """
     return remove_repeated_chunks(docs, Stretches(least_lines))
 
@@ -173,7 +173,7 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
 
     A chunk of at least ``least_lines`` lines goes if the same bytes occur as a
     chunk before: earlier in the same text, or in a document with a smaller
-    id (then text hash).  What is left is joined by line breaks; ``n_chars``,
+    id (then text hash; null ids come last).  What is left is joined by line breaks; ``n_chars``,
     where there is one, follows the text.
 
     Null and empty texts have no lines and stay as they are.  Rows that agree
@@ -213,7 +213,7 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
         "line-chunk-bytes",
     )
     # grouping by the bytes themselves is the comparison; copies meet before the shuffle
-    where = F.struct("doc_id", "key", "number")
+    where = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "number")
     firsts = (
         found.groupBy("digest", "said")
         .agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,5 @@
 """Chat formatting and archives as exact round trips, and the pipeline's stages."""
 
-import gzip
 import hashlib
 from collections import Counter, defaultdict
 
@@ -53,13 +52,32 @@ def test_prefix_target_expansion(spark):
 PAGES = "page_id long, url string, html string, record_type string"
 
 
+def plain_records(raw):
+    """Headers and block of each gzip member, read with nothing of the code under test."""
+    import zlib
+
+    out = []
+    while raw:
+        one = zlib.decompressobj(wbits=31)
+        data = one.decompress(raw)
+        raw = one.unused_data
+        lines, _, rest = data.partition(b"\r\n\r\n")
+        first, *lines = lines.decode().split("\r\n")
+        assert first == "WARC/1.1"
+        head = dict(x.split(": ", 1) for x in lines)
+        n = int(head["Content-Length"])
+        assert rest[n:] == b"\r\n\r\n"
+        out.append((head, rest[:n]))
+    return out
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "é" * 600, "x" * 999
     rows = [(i, f"http://h/{i}\r\nX: y", [big, small, None, "", big + str(i)][i % 5], "clash") for i in range(25)]
     rows += [(20, "http://again", big, "c"), (20, "http://again", big, "c"), (None, None, big, "c"), (50, "u", "WARC/1.1\r\n\r\n\r\n" + big, "c"), (51, "u", "a" * 200_000, "c")]
     pages = spark.createDataFrame(rows, PAGES)
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, file_bytes=20_000)
+    warc.write_archives(pages, path, file_bytes=1500)
     got = Counter(
         (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.join_originals(warc.read_archives(spark, path)).collect()
     )
@@ -72,13 +90,29 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = len(data) >= 1000 and (p is None or p < top[h or ""])
         want[p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top[h or ""] if revisit else None] += 1
     assert got == want
-    # each file is a plain sequence of records, with no payload stored twice
-    stored = Counter()
-    for f in (tmp_path / "w").glob("part-*"):
-        for head, block in warc.parse_records(gzip.decompress(f.read_bytes())):
-            if head["warc-type"] == "response":
-                stored[bytes(block).split(b"\r\n\r\n", 1)[1]] += 1
+    # each file is a sequence of gzip members of one record each, with no payload stored twice
+    stored, ids, named = Counter(), Counter(), Counter()
+    listed = {r.file: (r.records, r.bytes) for r in spark.read.parquet(f"{path}/_files").collect()}
+    files = {f.name: f for f in (tmp_path / "w").glob("*.warc.gz")}
+    assert set(files) == set(listed) and len(files) > 1
+    for name, f in files.items():
+        raw = f.read_bytes()
+        said = plain_records(raw)
+        assert (len(said) - 1, len(raw)) == listed[name]
+        assert len(raw) <= 1500 or len(said) == 2
+        assert said[0][0]["WARC-Type"] == "warcinfo" and said[0][0]["WARC-Filename"] == name
+        for head, block in said:
+            ids[head["WARC-Record-ID"]] += 1
+            if head["WARC-Type"] == "response":
+                stored[block.split(b"\r\n\r\n", 1)[1]] += 1
+            elif head["WARC-Type"] == "revisit":
+                named[head["WARC-Refers-To"]] += 1
+                assert head["WARC-Refers-To-Target-URI"] and head["WARC-Refers-To-Date"] and block.endswith(b"\r\n\r\n")
     assert stored[("é" * 600).encode()] == 3  # three rows share the largest id
+    assert max(ids.values()) == 1 and set(named) <= set(ids)
+    # a file that no committed task has written does not count
+    (tmp_path / "w" / "left.warc.gz").write_bytes(raw)
+    assert warc.read_archives(spark, path).count() == len(rows)
     empty = str(tmp_path / "e")
     warc.write_archives(pages.limit(0), empty)
     assert warc.join_originals(warc.read_archives(spark, empty)).count() == 0

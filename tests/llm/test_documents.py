@@ -36,6 +36,45 @@ def test_pii_base_spans():
     assert pii.base_spans("4111 1111 1111 1112 +12 300.1.1") == []
 
 
+def test_pii_base_against_the_plain_patterns():
+    """Random strings over what the patterns look at, by Python's own scan of each."""
+    import random
+
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    def plain(text):
+        out = [(0, *m.span()) for m in email.finditer(text)]
+        out += [(1, *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [(2, *m.span()) for m in card.finditer(text) if 16 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))]
+        return out + [(3, *m.span()) for m in phone.finditer(text) if 8 <= len(digits(m.group())) <= 15]
+
+    rng = random.Random(9)
+    parts = ["a", "b.c", "@", ".", "1", "25", "0", "255", "4111 1111 1111 1111", "+", "-", " ", "(", ")", "_", "%", "é", "漢", "\n", "+1 (017) 555-7713", "x@y.zz", "1.2.3.4", "9.9.300.1"]
+    found = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        got = pii.base_spans(text)
+        assert got == plain(text), text
+        found.update(k for k, *_ in got)
+    assert min(found[k] for k in range(4)) > 20
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000 + ".1.2", "a" * 400_000 + "@", "@" * 200_000, "9." * 200_000, "12 34 " * 3_000, "a@b.c " * 30_000, "+1" * 100_000])
+def test_pii_runs_in_linear_time(text):
+    import time
+
+    began = time.process_time()
+    base, spans = pii.find_spans(text, pii.train())
+    assert set(base) <= set(spans)
+    assert time.process_time() - began < 20
+
+
 def test_pii_parts_of_any_length():
     long = "9" * 5000 + ".1.2.3"
     assert not [s for s in pii.base_spans(long) if s[0] == 1]
@@ -230,6 +269,31 @@ def test_langid(spark, docs, empty):
     assert langid.predict(empty, filters).count() == 0
 
 
+def test_langid_against_plain_sets(spark):
+    """Wide filters have no false positives here, so shares are those of plain sets of grams."""
+    rng = __import__("random").Random(8)
+    speech = {"en": "the house and garden of king", "fr": "la maison et le jardin du roi é", "de": "das haus und der garten größe"}
+    train = [(lang, " ".join(rng.choice(x.split()) for _ in range(60))) for lang, x in speech.items() for _ in range(5)]
+    filters = langid.learn(spark.createDataFrame(train, "lang string, text string"), bits=22)
+
+    def grams_of(text):
+        data = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in text.lower().encode())
+        return [data[i : i + 4] for i in range(len(data) - 3) if data[i + 1] != 0x20 and data[i + 2] != 0x20]
+
+    held = {lang: {g for x, t in train if x == lang for g in grams_of(t)} for lang in speech}
+    texts = ["".join(rng.choice([*" ".join(speech.values()), "Q", "!", "漢"]) for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+    texts += [" ".join(rng.choice(" ".join(speech.values()).split()) for _ in range(9)) for _ in range(60)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), filters).collect()
+    for r in got:
+        mine = grams_of(r.text)
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        share = {lang: sum(g in held[lang] for g in mine) / max(len(mine), 1) for lang in sorted(held)}
+        assert r.score == pytest.approx(max(share.values()), abs=1e-3)
+        assert share[r.lang_pred] == pytest.approx(max(share.values()), abs=1e-3)
+
+
 def test_langid_has_no_false_negatives():
     import numpy as np
 
@@ -265,7 +329,7 @@ def test_line_dedup(docs, empty):
     from datascry.llm.common import text_key
 
     keys = {(r.doc_id, r.text): r.k for r in docs.select("doc_id", "text", text_key(F.col("text")).alias("k")).collect()}
-    order = lambda r: (r.doc_id is not None, r.doc_id or 0, keys[r.doc_id, r.text])
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, keys[r.doc_id, r.text])
     first = {}
     for r in sorted(rows, key=order):
         for number, said, n in chunks(r.text):
@@ -287,6 +351,32 @@ def test_line_dedup(docs, empty):
     assert line_dedup.remove_repeated_chunks(docs.withColumn("N_LINES", F.lit(1))).columns[-2:] == ["_n_lines", "n_lines_removed"]
 
 
+def test_chunks_end_where_the_rolling_hash_says():
+    """Boundaries from one line's hashes at a time, without the vectorised chunker."""
+    import numpy as np
+    import pyarrow as pa
+
+    def line_code(line):
+        data = np.frombuffer(line, dtype=np.uint8)
+        return w.byte_spans(data, np.array([0]), np.array([len(line)]))
+
+    rng = __import__("random").Random(4)
+    texts = ["\n".join(rng.choice(["", "a", "bb b", "é", "x" * 90]) + str(rng.randrange(9)) * rng.randrange(2) for _ in range(rng.randrange(90))) for _ in range(20)]
+    for span, mean, most in ((2, 3, 64), (1, 4, 5)):
+        cutter = line_dedup.Chunker(span, mean, most)
+        for text in [*texts, "", None, "\n", "one"]:
+            got = [(int(lo[i]), int(hi[i])) for *_, lo, hi, _, _, _ in cutter.chunks(pa.array([text], pa.string())) for i in range(len(lo))]
+            lines = text.encode().split(b"\n") if text else []
+            want, begin = [], 0
+            for i in range(len(lines)):
+                codes = np.concatenate([line_code(x) for x in lines[max(0, i - span + 1) : i + 1]])
+                rolling = int(w.word_spans(codes, np.array([0]), np.array([len(codes)]))[0])
+                if rolling % mean == 0 or i == len(lines) - 1 or i - begin + 1 == most:
+                    want.append((begin, i + 1))
+                    begin = i + 1
+            assert got == want
+
+
 def test_chunk_boundaries_shift_with_the_text():
     import pyarrow as pa
 
@@ -303,7 +393,7 @@ def test_chunk_boundaries_shift_with_the_text():
 
 def brute_line_runs(rows, keys, least=2):
     """Lines of all runs that begin before, by the bytes of every pair of places."""
-    order = lambda r: (r.doc_id is not None, r.doc_id or 0, keys[r.doc_id, r.text])
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, keys[r.doc_id, r.text])
     first = {}
     for r in sorted(rows, key=order):
         lines = r.text.split("\n") if r.text else []
