@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from datascry.functions.special import corr_p
+from datascry.functions.special import corr_p, f_p
 from datascry.functions.values import blank_key, ordinal_rank
 from datascry.operators.profile import key_counts, number
 from datascry.operators.ranks import exact_quantiles, in_ranges, medians, sums_before
@@ -62,13 +64,52 @@ def pareto_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def composition(df: DataFrame, column: str, most: int = 8) -> DataFrame:
-    """The ``most`` largest keys by rows with their share."""
-    sums = _sums(df, column, None)
-    total = sums.agg(F.sum("value").alias("total"))
+#: Bars of a Pareto chart, and keys of a volume profile.
+PARETO_BARS, VOLUME_BARS = 14, 12
+
+
+def top_sums(df: DataFrame, column: str, metric: str | None = None, most: int = PARETO_BARS) -> DataFrame:
+    """The ``most`` keys of largest sum (or most rows): ``key, value, place, share, cum_share``."""
+    sums = _sums(df, column, metric)
+    total = sums.agg(F.sum("value").alias("total")).select(F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")).alias("total"))
     top = sums.orderBy(F.desc("value"), "key").limit(most)
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("value"), "key"))  # over those few
-    return top.withColumn("place", place).join(F.broadcast(total)).select("key", "value", "place", (F.col("value") * 100.0 / F.col("total")).alias("share"))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("value"), "key")  # over those few
+    placed = top.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("value").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    share = F.col("value") * 100.0 / F.col("total")
+    return placed.join(F.broadcast(total)).select("key", "value", "place", share.alias("share"), (F.col("upto") * 100.0 / F.col("total")).alias("cum_share"))
+
+
+def composition(df: DataFrame, column: str, metric: str | None = None, most: int = 8) -> DataFrame:
+    """The ``most`` largest keys, by their sums of ``metric`` or by rows, with their share of the whole."""
+    return top_sums(df, column, metric, most).drop("cum_share")
+
+
+def volume_profile(df: DataFrame, column: str, metric: str) -> DataFrame:
+    """How rows and sums of the metric spread over the largest keys: ``key, rows, value, place, share``."""
+    base = df.select(blank_key(F.col(f"`{column}`")).alias("key"))
+    rows = base.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    return top_sums(df, column, metric, VOLUME_BARS).join(rows, "key").select("key", "rows", "value", "place", "share")
+
+
+def explorer_stats(df: DataFrame, metric: str, group: str) -> DataFrame:
+    """``groups, eta2, p, overall``: variance between the groups of two or more
+    values, its p, and the mean of all rows."""
+    base = df.select(blank_key(F.col(f"`{group}`")).alias("key"), number(df, metric).alias("v")).filter("v is not null")
+    each = base.groupBy("key").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("ss")).filter("n >= 2")
+    # the spread of means about the grand mean, by the moments of the groups
+    whole = each.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum("ss").alias("ssw"))
+    between = each.join(F.broadcast(whole.select("grand"))).agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"))
+    overall = base.agg(F.avg("v").alias("overall"))
+    dfb, dfw = F.col("groups") - 1, F.col("n") - F.col("groups")
+    f = F.when((F.col("ssw") == 0) & (F.col("ssb") > 0), F.lit(float("inf"))).otherwise(F.try_divide(F.col("ssb") / dfb, F.try_divide(F.col("ssw"), dfw.cast("double"))))
+    return (
+        whole.filter("groups >= 2").join(F.broadcast(between)).join(F.broadcast(overall))
+        .withColumn("f", f)
+        .select(
+            "groups", F.coalesce(F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")), F.lit(0.0)).alias("eta2"),
+            F.when(F.col("ssb") + F.col("ssw") > 0, f_p(F.col("f"), dfb, dfw)).alias("p"), "overall",
+        )
+    )
 
 
 def group_explorer(df: DataFrame, metric: str, group: str, sort: str = "mean", top: int = 20) -> DataFrame:
@@ -132,6 +173,24 @@ def ordered_trend(df: DataFrame, category: str, metric: str) -> DataFrame:
     )
 
 
+def ordered_trends(df: DataFrame, categories: Sequence[str], metric: str, most: int = 4) -> DataFrame:
+    """:func:`ordered_trend` of every category but the metric's own bands: the
+    ``most`` of best fit, ``category, place`` first."""
+    out = None
+    for c in categories:
+        if c != f"{metric} (quintile)":
+            one = ordered_trend(df, c, metric).select(F.lit(c).alias("category"), "*")
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        return df.sparkSession.createDataFrame([], ORDERED)
+    # a few levels of each category
+    place = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("r2"), "category"))
+    return out.withColumn("place", place).filter(F.col("place") <= most).select("category", "place", *out.columns[1:])
+
+
+ORDERED = "category string, place int, key string, rank double, n long, mean double, median double, sum double, change_pct double, slope double, r2 double, swing double"
+
+
 def scatter_sample(df: DataFrame, x: str, y: str, row: str, most: int = 2000) -> DataFrame:
     """Every k-th of the complete pairs in row order, k such that at most ``most`` stay."""
     pairs = df.select(F.col(row).alias("row"), number(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")

@@ -176,6 +176,18 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """:func:`missingness` with ``unique`` (distinct trimmed cells that are filled),
+    ``unique_pct`` of the filled cells, and ``constant``."""
+    names = list(columns or df.columns)
+    counted = None
+    for c in names:
+        one = key_counts(df, c).agg(F.count(F.lit(1)).alias("unique")).select(F.lit(c).alias("column"), "unique")
+        counted = one if counted is None else counted.unionByName(one)
+    share = F.coalesce(F.try_divide(F.col("unique") * 100.0, F.col("complete")), F.lit(0.0))
+    return missingness(df, names).join(F.broadcast(counted), "column").withColumn("unique_pct", share).withColumn("constant", F.col("unique") <= 1)
+
+
 def date_profile(df: DataFrame, column: str) -> DataFrame:
     at = instant(df, column)
     span = (F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 86_400_000_000

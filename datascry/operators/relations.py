@@ -97,6 +97,15 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def corr_matrix(df: DataFrame, columns: Sequence[str], most: int = 14, least_rows: int = 6) -> DataFrame:
+    """``a, b, r`` for every ordered pair of the first ``most`` columns, each with itself
+    too; r is null for pairs with fewer than ``least_rows`` rows."""
+    shown = list(columns)[:most]
+    pairs = pearson_pairs(df, shown).select("a", "b", F.when(F.col("n") >= least_rows, F.col("r")).alias("r"))
+    own = df.sparkSession.createDataFrame([(c, c, 1.0) for c in shown], "a string, b string, r double")
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionByName(own)
+
+
 def linear_fit(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """Least squares of y on x: n, slope, intercept, r2, se, sxx, mean x."""
     xy = df.select(finite(x).alias("x"), finite(y).alias("y")).filter("x is not null and y is not null")
@@ -306,15 +315,33 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
     )
 
 
+def hot_and_cold(segments: DataFrame, most: int = 12) -> DataFrame:
+    """The ``most`` segments above and below the mean each, by falling |t|: ``side, place`` first."""
+    side = F.when(F.col("lift") > 0, "above").when(F.col("lift") < 0, "below")
+    order = W.partitionBy("side").orderBy(F.desc(F.abs("t")), "column", "value")  # one row per level
+    placed = segments.withColumn("side", side).filter("side is not null").withColumn("place", F.row_number().over(order))
+    return placed.filter(F.col("place") <= most).select("side", "place", *segments.columns)
+
+
 # ------------------------------------------------------------ bins
 
 
-def bin_edges(df: DataFrame, column: str, bins: int = 5) -> list[float]:
-    """Distinct quantile edges; empty below 20 values or three edges."""
+def all_bin_edges(df: DataFrame, columns: Sequence[str], bins: int = 5, chunk: int = 8) -> dict[str, list[float]]:
+    """Distinct quantile edges of each column that has 20 values and three edges or more."""
     at = [i / bins for i in range(bins + 1)]
-    row = exact_quantiles(df, {column: number(df, column)}, at).first()
-    edges = sorted(set(row["q"])) if row else []
-    return edges if row and row["n"] >= 20 and len(edges) >= 3 else []
+    out = {}
+    for k in range(0, len(columns), chunk):
+        part = columns[k : k + chunk]
+        for row in exact_quantiles(df, {c: number(df, c) for c in part}, at).collect():  # one row per column
+            edges = sorted(set(row["q"]))
+            if row["n"] >= 20 and len(edges) >= 3:
+                out[row["name"]] = edges
+    return out
+
+
+def bin_edges(df: DataFrame, column: str, bins: int = 5) -> list[float]:
+    """Edges of one column; empty where there are too few."""
+    return all_bin_edges(df, [column], bins).get(column, [])
 
 
 def bin_label(value: Column, edges: Sequence[float]) -> Column:
@@ -326,12 +353,11 @@ def bin_label(value: Column, edges: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def with_quintiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        edges = bin_edges(df, c)
-        if edges:
-            df = df.withColumn(f"{c} (quintile)", bin_label(number(df, c), edges))
-    return df
+def with_quintiles(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """Adds bands of the columns that can be binned, of the first ``most`` such columns."""
+    edges = all_bin_edges(df, columns) if columns else {}
+    binned = [c for c in columns if c in edges][:most]
+    return df.withColumns({f"{c} (quintile)": bin_label(number(df, c), edges[c]) for c in binned}) if binned else df
 
 
 # ------------------------------------------------------------ outliers

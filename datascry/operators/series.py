@@ -105,6 +105,16 @@ def month_breakdown(df: DataFrame, date: str, metric: str) -> DataFrame:
     return months.withColumn("change_pct", F.try_divide((F.col("sum") - before) * 100.0, F.abs(before)))
 
 
+def month_extremes(months: DataFrame) -> DataFrame:
+    """Best and worst month by sum (the earlier of equals) of a :func:`month_breakdown`
+    of two months or more."""
+    early = F.negative(F.regexp_replace("month", "-", "").cast("int"))
+    return months.agg(
+        F.count(F.lit(1)).alias("months"), F.max_by("month", F.struct(F.col("sum"), early)).alias("best_month"), F.max("sum").alias("best"),
+        F.min_by("month", F.struct(F.col("sum"), F.negative(early))).alias("worst_month"), F.min("sum").alias("worst"),
+    ).filter("months >= 2")
+
+
 def momentum(series: DataFrame) -> DataFrame:
     """Means of the first and second half of the points, and the change."""
     placed = series.withColumn("i", F.row_number().over(_time())).withColumn("half", F.floor(F.count(F.lit(1)).over(_all()) / 2))

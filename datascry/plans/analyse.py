@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datascry.functions.values import overlap_label
 from datascry.operators import explore as X
 from datascry.operators import profile as P
 from datascry.operators import relations as R
@@ -21,7 +22,7 @@ from datascry.plans.naming import detect_domain, pick_metric
 from datascry.sources.infer import GROUPABLE, NUMERIC, infer_types
 
 # Eligibility and keep thresholds.
-MOST_LEVELS, MOST_CATEGORIES, MOST_METRICS, MOST_PARETO = 60, 25, 14, 6
+MOST_LEVELS, MOST_CATEGORIES, MOST_METRICS, MOST_PARETO, MOST_COMPOSITIONS = 60, 25, 14, 6, 4
 LEAST_R, LEAST_ETA2, LEAST_V, LEVEL = 0.15, 0.005, 0.12, 0.05
 
 
@@ -30,6 +31,7 @@ class Report:
     """Frames by name, and what the driver holds of them."""
 
     types: dict[str, str]
+    source: DataFrame | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
     rows: int = 0
     profiles: list[dict] = field(default_factory=list)
@@ -39,6 +41,7 @@ class Report:
     quality: dict = field(default_factory=dict)
     lists: dict[str, list[dict]] = field(default_factory=dict)
     findings: list[dict] = field(default_factory=list)
+    strip: list[dict] = field(default_factory=list)
     summary: str = ""
     actions: list[str] = field(default_factory=list)
 
@@ -74,12 +77,21 @@ def profile_all(df: DataFrame, types: Mapping[str, str]) -> list[dict]:
     return [out[c] for c in names]
 
 
-def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | None = None) -> Report:
+def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | None = None, cache: bool = True) -> Report:
     """The report of a table; ``types`` overrides inferred types, ``row`` names a
-    column that identifies rows in the list of outliers."""
-    df = df.drop("_row") if "_row" in df.columns and row != "_row" else df
-    rep = Report(infer_types(df, types=types))
-    names = [c for c in df.columns if c in rep.types]
+    column that identifies rows in the list of outliers (by default the place
+    among the rows as read).
+
+    Dozens of scans follow, so the table is kept in Spark's cache (memory, then
+    disk) until ``report.source.unpersist()``; ``cache=False`` reads it each time.
+    """
+    if row is None and "_row" in df.columns:
+        row = "_row"
+    names = [c for c in df.columns if c != "_row"]
+    if cache:
+        df = df.persist()
+    rep = Report(infer_types(df, names, types))
+    rep.source = df
     rep.profiles = profile_all(df, rep.types)
     rep.rows = rep.profiles[0]["total"] if rep.profiles else 0
     by = {p["column"]: p for p in rep.profiles}
@@ -89,29 +101,46 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     rep.metric = pick_metric([by[c] for c in numeric])
     rep.domain = detect_domain(names)
 
-    binned = R.with_quintiles(df, numeric[: max(0, MOST_CATEGORIES - len(base))])
+    binned = R.with_quintiles(df, numeric, max(0, MOST_CATEGORIES - len(base)))
     derived = [c for c in binned.columns if c not in df.columns]
     categories = base + derived
     f = rep.frames
     if len(numeric) > 1:
         f["correlations"] = R.correlations(df, numeric)
+        f["corr_matrix"] = R.corr_matrix(df, numeric)
     metrics = list(dict.fromkeys([m for m in (rep.metric, *numeric) if m]))[:MOST_METRICS]
     if categories and metrics:
         moments = R.group_moments(binned, categories, metrics)
         f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments, R.group_medians(binned, categories, metrics))
     if len(base) > 1:
-        f["associations"] = R.cramers_v(df, list(combinations(base, 2)))
-    if numeric:
-        marked = df if row else df.withColumn("_row", F.monotonically_increasing_id())
-        f["outliers"] = R.outliers(marked, numeric, row or "_row")
+        f["associations"] = R.cramers_v(df, list(combinations(base, 2))).withColumn("reading", overlap_label(F.col("v")))
+    odd = R.outliers(df if row else df.withColumn("_row", F.monotonically_increasing_id()), numeric, row or "_row") if numeric else None
+    for c in [c for c in names if rep.types[c] == "category" and by[c]["complete"] > 50]:
+        rare = R.rare_categories(df, c).select(
+            "column", F.lit(None).cast("string").alias("row"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("z"),
+            F.lit(None).cast("double").alias("expected"), F.lit("rare category").alias("method"), F.lit("low").alias("severity"), F.lit("rare").alias("direction"), F.col("value").alias("category"),
+        )
+        if odd is not None and "category" not in odd.columns:
+            odd = odd.withColumn("row", F.col("row").cast("string")).withColumn("category", F.lit(None).cast("string"))
+        odd = rare if odd is None else odd.unionByName(rare)
+    if odd is not None:
+        f["outliers"] = odd
     if rep.metric:
         scanned = [c for c in categories if c != f"{rep.metric} (quintile)"]
         if scanned:
             f["segments"] = R.segment_scan(binned, scanned, rep.metric)
+            f["hot_and_cold"] = R.hot_and_cold(f["segments"])
         for c in base[:MOST_PARETO]:
             f[f"pareto:{c}"] = X.pareto(df, c, rep.metric)
+        for c in [c for c in base if 2 <= by[c]["distinct"] <= 10][:MOST_COMPOSITIONS]:
+            f[f"composition:{c}"] = X.composition(df, c, rep.metric)
+        if not dates:
+            f["ordered_trends"] = X.ordered_trends(binned, categories, rep.metric)
+            for c in [c for c in base if 3 <= by[c]["distinct"] <= 14][:1]:
+                f["volume"] = X.volume_profile(df, c, rep.metric)
     if dates and rep.metric:
         rep.date = dates[0]
+        f["period"] = S.month_breakdown(df, rep.date, rep.metric)
         f["series"] = S.trim_partial(S.daily_series(df, rep.date, rep.metric))
 
     rep.lists["correlations_all"] = sorted(_rows(f.get("correlations")), key=lambda r: -abs(r["r"]))
@@ -128,7 +157,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     if "outliers" in f:
         counts = f["outliers"].groupBy("severity").count()
         rep.lists["outlier_counts"] = _rows(counts)
-        rep.lists["outliers"] = _rows(f["outliers"].orderBy(F.desc(F.abs("z")), "column").limit(60))
+        rep.lists["outliers"] = _rows(f["outliers"].orderBy(F.desc_nulls_last(F.abs("z")), "column", "row").limit(60))
     paretos = []
     for c in base[:MOST_PARETO]:
         if rep.metric:
@@ -157,12 +186,22 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         else:
             del f["series"]
 
+    from datascry.plans.display import kpi_strip
     from datascry.plans.findings import build_actions, build_findings, build_summary
 
     if rep.metric:
         ten = X.decile_share(df, rep.metric).filter("decile = 10").select("share")
         rep.lists["top_decile"] = _rows(ten)
+    for name in ("hot_and_cold", "ordered_trends", "volume", "period", "forecast", "corr_matrix", *[k for k in f if k.startswith("composition:")]):
+        if name in f:
+            rep.lists[name] = _rows(f[name])
+    if len(rep.lists.get("period") or []) > 1:
+        rep.lists["period_extremes"] = _rows(S.month_extremes(f["period"]))
+    rep.lists["noise"] = _rows(spark.range(1).select(*P.noise_floor(F.lit(rep.rows))))
+    if rep.metric:
+        rep.lists["histogram"] = _rows(P.histogram(df, rep.metric))
     rep.findings = build_findings(rep)
     rep.summary = build_summary(rep)
     rep.actions = build_actions(rep)
+    rep.strip = kpi_strip(rep)
     return rep

@@ -11,7 +11,7 @@ from datascry.plans.findings import escape
 
 
 def to_json(rep: Report) -> str:
-    body = {"rows": rep.rows, "types": rep.types, "metric": rep.metric, "domain": rep.domain, "quality": rep.quality, "summary": rep.summary,
+    body = {"rows": rep.rows, "types": rep.types, "metric": rep.metric, "domain": rep.domain, "quality": rep.quality, "summary": rep.summary, "strip": rep.strip,
             "findings": rep.findings, "actions": rep.actions, "profiles": rep.profiles, "lists": rep.lists}
     return json.dumps(body, default=str, ensure_ascii=False, indent=1)
 
@@ -27,7 +27,8 @@ def _table(rows: list[dict]) -> str:
 
 def to_html(rep: Report, sample: DataFrame | None = None, rows: int = 200) -> str:
     """Summary, findings, steps, every list, and the first ``rows`` rows of ``sample``."""
-    parts = [f"<h1>Report</h1><p>{escape(rep.summary)}</p>", "<h2>Findings</h2>"]
+    cards = "".join(f"<li><b>{escape(c['label'])}</b> {escape(c['value'])} <small>{escape(c['sub'])}</small></li>" for c in rep.strip)
+    parts = [f"<h1>Report</h1><p>{escape(rep.summary)}</p><ul>{cards}</ul>", "<h2>Findings</h2>"]
     parts += [f"<h3>{escape(f['title'])}</h3><p>{escape(f['body'])}</p>" for f in rep.findings]
     parts.append("<h2>Next steps</h2><ul>" + "".join(f"<li>{escape(a)}</li>" for a in rep.actions) + "</ul>")
     parts += [f"<h2>{escape(name)}</h2>{_table(found)}" for name, found in rep.lists.items()]

@@ -38,6 +38,7 @@ def shorten(s: object, n: int) -> str:
 
 def plain_name(s: str) -> str:
     """A column name without the marks of its bands, so that restatements meet."""
+    # fixed values: suffixes of banded columns
     s = re.sub(r"\s*\((quintile|quartile|decile|bucket|bin|band)\)\s*", "", s.lower())
     return re.sub(r"\s+(bracket|band|range|tier|group|category|bucket|bin|level)s?$", "", s).strip()
 
@@ -122,8 +123,9 @@ def build_findings(rep: Report) -> list[dict]:
     counts = {r["severity"]: r["count"] for r in lists.get("outlier_counts") or []}
     if counts:
         total, top = sum(counts.values()), lists["outliers"][0]
+        far = f"the farthest is {show(top['value'])} in {top['column']} ({top['z']:+.1f} deviations, usually {show(top['expected'])})" if top["z"] is not None else f"all occur once, such as {top['category']} in {top['column']}"
         add("anomaly", 40 + min(20, total), "strong" if counts.get("high") else "medium", f"{total} outlying values",
-            f"{counts.get('high', 0)} at four deviations and more; the farthest is {show(top['value'])} in {top['column']} ({top['z']:+.1f} deviations, usually {show(top['expected'])}).")
+            f"{counts.get('high', 0)} at four deviations and more; {far}.")
     head = next((p for p in rep.profiles if p["column"] == rep.metric), None)
     if head:
         tenth = (lists.get("top_decile") or [{"share": 0.0}])[0]["share"]

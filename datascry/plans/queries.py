@@ -195,13 +195,16 @@ def parse_date_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(V.parse_date(cell), "yyyy-MM-dd").alias("parsed"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN abs(o_totalprice) >= 1e6 THEN '$' || printf('%.2f', o_totalprice / 1e6) || 'M'
-  WHEN abs(o_totalprice) >= 1e4 THEN '$' || printf('%.1f', o_totalprice / 1e3) || 'K' ELSE NULL END AS shown
-FROM orders WHERE abs(o_totalprice) >= 1e4 AND round(o_totalprice / 10)::BIGINT % 10 NOT IN (5, 4)""")
+@query("""WITH v AS (SELECT o_orderkey, o_totalprice::DECIMAL(18, 2) AS x FROM orders
+  UNION ALL SELECT -c_custkey, c_acctbal::DECIMAL(18, 2) FROM customer UNION ALL SELECT -o_orderkey, (o_totalprice * 20000)::DECIMAL(18, 2) FROM orders WHERE o_orderkey <= 400)
+SELECT o_orderkey, '$' || CASE WHEN abs(x) >= 1e9 THEN round(x * 0.000000001::DECIMAL(10, 9), 2)::VARCHAR || 'B' WHEN abs(x) >= 1e6 THEN round(x * 0.000001::DECIMAL(7, 6), 2)::VARCHAR || 'M'
+  WHEN abs(x) >= 1e4 THEN round(x * 0.001::DECIMAL(4, 3), 1)::VARCHAR || 'K' ELSE regexp_replace(regexp_replace(format('{:,.2f}', x::DOUBLE), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') END AS shown FROM v""")
 def format_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # without the values halfway between two displays, which engines round apart
-    o = table(spark, sf_dir, "orders").filter((F.abs("o_totalprice") >= 1e4) & ~(F.round(F.col("o_totalprice") / 10).cast("long") % 10).isin(5, 4))
-    return o.select("o_orderkey", V.fmt_num(F.col("o_totalprice"), currency=True).alias("shown"))
+    """All prices, all balances, and some prices made large."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"))
+    c = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_acctbal").alias("x"))
+    large = o.filter("o_orderkey <= 400").select(-F.col("o_orderkey"), F.round(F.col("x") * 20000, 2))
+    return o.unionByName(c).union(large).select("o_orderkey", V.fmt_num(F.col("x"), currency=True).alias("shown"))
 
 
 @query("""SELECT DISTINCT o_orderpriority, left(o_orderpriority, 1)::DOUBLE AS rank FROM orders""")
@@ -326,7 +329,10 @@ def driver_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got, 6, sum=4, lift=6)
 
 
-@query("SELECT 'flag' AS driver, 'l_quantity' AS metric, 2 AS levels FROM lineitem HAVING count(*) < 0 UNION ALL SELECT 'l_returnflag', 'l_quantity', count(DISTINCT l_returnflag) FROM lineitem")
+@query("""WITH l AS (SELECT 'band' AS driver, floor(l_quantity / 10)::BIGINT::VARCHAR AS level, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_returnflag', l_returnflag, l_quantity FROM lineitem),
+g AS (SELECT driver, level, count(*) AS n, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1, 2 HAVING count(*) >= 3),
+a AS (SELECT driver, hi <= lead(lo) OVER (PARTITION BY driver ORDER BY lo, hi, level) AS apart FROM g)
+SELECT driver, 'l_quantity' AS metric, count(*) AS levels FROM a GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40 AND coalesce(avg(apart::INT), 0) < 0.9""")
 def tautology_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A band of the metric itself is left out; an honest category stays."""
     df = table(spark, sf_dir, "lineitem").withColumn("band", F.floor(F.col("l_quantity") / 10).cast("string"))
@@ -387,6 +393,15 @@ def segment_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("column", "value", "n", "mean", "rest_mean", "t", "dof", "lift", "share"), 6, mean=6, rest_mean=6, dof=6)
 
 
+@query(f"""{_WELCH}, h AS (SELECT col AS "column", value, (mean - m) * 100 / abs(m) AS lift, t FROM w),
+s AS (SELECT *, CASE WHEN lift > 0 THEN 'above' ELSE 'below' END AS side FROM h WHERE lift <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(t) DESC, "column", value) AS place FROM s)
+SELECT side, place::INT AS place, "column", value, round(lift, 6) AS lift, round(t, 6) AS t FROM r WHERE place <= 4""")
+def hot_and_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = R.segment_scan(_sales(spark, sf_dir), _DRIVERS, "net")
+    return rounded(R.hot_and_cold(segments, 4).select("side", "place", "column", "value", "lift", "t"), 6)
+
+
 @query(f"""{_WELCH}, p AS (SELECT *, {_T_TAIL} AS p FROM w), q AS (SELECT *, row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM (SELECT col, value, p FROM p))
 SELECT col AS "column", value, round(p, 6) AS p, round({_BH}, 6) AS p_adj FROM q""")
 def segment_welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,6 +480,60 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.composition(table(spark, sf_dir, "part"), "p_brand"))
 
 
+_TOP = """WITH s AS (SELECT {key} AS key, count(*) AS rows, sum({value}) AS value FROM {source} GROUP BY 1),
+p AS (SELECT key, rows, value, row_number() OVER w AS place, value * 100 / sum(value) OVER () AS share, sum(value) OVER (ORDER BY value DESC, key ROWS UNBOUNDED PRECEDING) * 100 / sum(value) OVER () AS cum_share
+  FROM s WINDOW w AS (ORDER BY value DESC, key))"""
+
+
+@query(_TOP.format(key="p_brand", value="p_retailprice", source="part") + " SELECT key, round(value, 4) AS value, place::INT AS place, round(share, 6) AS share FROM p WHERE place <= 8")
+def composition_of_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.composition(table(spark, sf_dir, "part"), "p_brand", "p_retailprice"), 6, value=4)
+
+
+@query(_TOP.format(key="p_type", value="p_retailprice", source="part") + " SELECT key, round(value, 4) AS value, place::INT AS place, round(share, 6) AS share, round(cum_share, 6) AS cum_share FROM p WHERE place <= 14")
+def pareto_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.top_sums(table(spark, sf_dir, "part"), "p_type", "p_retailprice"), 6, value=4)
+
+
+@query(_TOP.format(key="l_returnflag || l_linestatus", value="l_extendedprice", source="lineitem") + " SELECT key, rows, round(value, 4) AS value, place::INT AS place, round(share, 6) AS share FROM p WHERE place <= 12")
+def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("kind", F.concat("l_returnflag", "l_linestatus"))
+    return rounded(X.volume_profile(lines, "kind", "l_extendedprice"), 6, value=4)
+
+
+@query(f"""WITH {GAPPY}, s AS (SELECT l_shipdate, l_linestatus, l_quantity FROM g WHERE l_quantity IS NOT NULL),
+p AS (SELECT strftime(l_shipdate, '%Y') AS key, sum(l_quantity) AS value FROM s GROUP BY 1)
+SELECT count(*) AS items, round(max(value), 4) AS top FROM p""")
+def pareto_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key all of whose cells are gaps is no item."""
+    lines = gappy(spark, sf_dir).withColumn("year", F.date_format("l_shipdate", "yyyy"))
+    extra = lines.limit(5).withColumn("year", F.lit("never")).withColumn("l_quantity", F.lit(None).cast("double"))
+    items = X.pareto(lines.unionByName(extra), "year", "l_quantity")
+    return rounded(items.agg(F.count(F.lit(1)).alias("items"), F.max("value").alias("top")), 4)
+
+
+@query(f"""WITH {SALES}, k AS (SELECT segment, count(net) AS n, avg(net) AS m, var_pop(net) * count(net) AS ss FROM sales GROUP BY 1 HAVING count(net) >= 2),
+t AS (SELECT sum(n * m) / sum(n) AS grand FROM k)
+SELECT count(*) AS groups, round(sum(n * power(m - grand, 2)) / (sum(n * power(m - grand, 2)) + sum(ss)), 9) AS eta2, round((SELECT avg(net) FROM sales), 6) AS overall FROM k, t""")
+def explorer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.explorer_stats(_sales(spark, sf_dir), "net", "segment").drop("p"), 6, eta2=9)
+
+
+@query(f"""WITH {GAPPY}, c AS (SELECT 'l_quantity' AS "column", count(*) AS total, count(*) - count(l_quantity) AS missing, count(DISTINCT l_quantity) AS "unique" FROM g
+  UNION ALL SELECT 'l_returnflag', count(*), count(*) FILTER (WHERE trim(l_returnflag) = ''), count(DISTINCT nullif(trim(l_returnflag), '')) FROM g)
+SELECT "column", total, missing, round(missing * 100.0 / total, 6) AS missing_pct, total - missing AS complete, "unique", round("unique" * 100.0 / (total - missing), 6) AS unique_pct, "unique" <= 1 AS constant FROM c""")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.completeness(gappy(spark, sf_dir), ["l_quantity", "l_returnflag"]))
+
+
+_MATRIX = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f"WITH {GAPPY} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN '{a}' = '{b}' THEN 1.0 ELSE corr({a}, {b}) END, 6) AS r FROM g" for a in _MATRIX for b in _MATRIX))
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.corr_matrix(gappy(spark, sf_dir), _MATRIX), 6)
+
+
 @query(f"""WITH {SALES} SELECT segment AS key, count(*) AS n, round(avg(net), 6) AS mean, round(quantile_cont(net, 0.5), 6) AS median, round(stddev_samp(net), 6) AS sd, round(sum(net), 4) AS sum,
   round(min(net), 6) AS min, round(quantile_cont(net, 0.25), 6) AS q1, round(quantile_cont(net, 0.75), 6) AS q3, round(max(net), 6) AS max FROM sales GROUP BY 1 HAVING count(*) >= 2 ORDER BY avg(net) DESC, key LIMIT 20""")
 def group_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,6 +547,16 @@ def decile_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.decile_share(table(spark, sf_dir, "orders"), "o_totalprice"), 6, sum=4)
 
 
+@query(f"""WITH {SALES}, l AS (SELECT 'o_orderpriority' AS category, left(o_orderpriority, 1)::DOUBLE AS rank, net FROM sales UNION ALL SELECT 'band', (o_orderkey % 5)::DOUBLE, net FROM sales),
+g AS (SELECT category, rank, count(*) AS n, avg(net) AS mean FROM l GROUP BY 1, 2 HAVING count(*) >= 3), f AS (SELECT category, regr_r2(mean, rank) AS r2, regr_slope(mean, rank) AS slope FROM g GROUP BY 1)
+SELECT category, dense_rank() OVER (ORDER BY r2 DESC, category)::INT AS place, rank, n, round(mean, 6) AS mean, round(slope, 6) AS slope, round(r2, 6) AS r2 FROM g JOIN f USING (category)""")
+def ordered_trends_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ordered categories by fit; unordered ones and the metric's own bands are left out."""
+    df = _sales(spark, sf_dir).withColumns({"band": F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit(" of 5")), "net (quintile)": F.col("o_orderpriority")})
+    got = X.ordered_trends(df, ["segment", "o_orderpriority", "o_orderstatus", "band", "net (quintile)"], "net")
+    return rounded(got.select("category", "place", "rank", "n", "mean", "slope", "r2"), 6)
+
+
 @query("SELECT round(i * 0.025, 6) AS q, round(v, 6) AS value FROM (SELECT unnest(range(41)) AS i, unnest(quantile_cont(o_totalprice, [x * 0.025 for x in range(41)])) AS v FROM orders)")
 def percentile_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [i / 40 for i in range(41)]))
@@ -545,6 +624,12 @@ def seasonality_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.month_seasonality(_orders_series(spark, sf_dir)), 6, index=6)
 
 
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS sum FROM orders GROUP BY 1)
+SELECT count(*) AS months, arg_max(month, sum) AS best_month, round(max(sum), 4) AS best, arg_min(month, sum) AS worst_month, round(min(sum), 4) AS worst FROM m HAVING count(*) >= 2""")
+def month_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.month_extremes(S.month_breakdown(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")), 4)
+
+
 @query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(o_totalprice) AS sum, avg(o_totalprice) AS mean, quantile_cont(o_totalprice, 0.5) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1)
 SELECT month, n, round(sum, 4) AS sum, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max,
   round((sum - lag(sum) OVER (ORDER BY month)) * 100 / abs(lag(sum) OVER (ORDER BY month)), 6) AS change_pct FROM m""")
@@ -579,23 +664,44 @@ def series_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ types, names, findings
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(str(r).replace(",)", ")") for r in rows) + f") t({names})"
+def _sql_list(rows: list[tuple], names: str) -> str:
+    def cell(x: object) -> str:
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") {names}"
 
-@query(_values([("o_custkey", "number"), ("o_orderdate", "date"), ("o_orderkey", "number"), ("o_orderpriority", "category"), ("o_orderstatus", "category"), ("o_totalprice", "currency")], '"column", type'))
+
+_HEADERS = """h AS (SELECT table_name AS t, column_name AS c, data_type AS kind, ordinal_position AS pos FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'events', 'documents', 'customer', 'part'))"""
+_TABLES = ("customer", "documents", "events", "lineitem", "orders", "part")
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, {i} AS pos, typeof({c}) AS kind, trim({c}::VARCHAR) AS v FROM orders"
+    for i, c in enumerate(("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+)
+
+
+@query(f"""WITH v AS ({_CELLS}), s AS (
+  SELECT c, kind, count(*) FILTER (WHERE v <> '') AS n, count(DISTINCT nullif(v, '')) AS d, avg(regexp_full_match(v, '-?[0-9][0-9,]*(\\.[0-9]+)?')::INT) AS numeric FROM v GROUP BY c, kind
+)
+SELECT c AS "column", CASE WHEN regexp_matches(c, '{infer._ID.pattern}') THEN 'id' WHEN kind LIKE 'TIMESTAMP%' THEN 'date'
+  WHEN numeric > 0.85 THEN CASE WHEN regexp_matches(c, '{infer._MONEY.pattern}') THEN 'currency' ELSE 'number' END
+  WHEN d <= 60 OR d < 0.35 * n THEN 'category' WHEN d > 0.9 * n AND n > 20 THEN 'id' ELSE 'text' END AS type FROM s""")
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = infer.infer_types(table(spark, sf_dir, "orders"))
     return spark.createDataFrame(sorted(types.items()), "column string, type string")
 
 
-@query(_values([("orders", "sales", 1), ("documents", "none", 0), ("lineitem", "sales", 3)], '"table", domain, matched'))
+@query(f"""WITH {_HEADERS}, l AS (SELECT t, string_agg(lower(c), ' | ' ORDER BY pos) AS header FROM h GROUP BY t),
+w AS (SELECT * FROM {_sql_list([(i, d, x) for i, (d, _, words) in enumerate(naming.DOMAINS) for x in words], "t(place, domain, word)")}),
+k AS (SELECT t, place, domain, count(*) FILTER (WHERE contains(header, word)) AS matched FROM l, w GROUP BY ALL)
+SELECT t AS "table", CASE WHEN max(matched) > 0 THEN arg_max(domain, matched * 100 - place) ELSE 'none' END AS domain, max(matched)::INT AS matched FROM k GROUP BY t""")
 def detect_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [(t, naming.detect_domain(table(spark, sf_dir, t).columns)) for t in ("orders", "documents", "lineitem")]
+    found = [(t, naming.detect_domain(table(spark, sf_dir, t).columns)) for t in _TABLES]
     return spark.createDataFrame([(t, d[0] if d else "none", len(d[2]) if d else 0) for t, d in found], "table string, domain string, matched int")
 
 
-@query(_values([("orders", "o_totalprice"), ("events", "value"), ("lineitem", "l_extendedprice")], '"table", metric'))
+@query(f"""WITH {_HEADERS}, m AS (SELECT * FROM {_sql_list(list(enumerate(naming.METRICS)), "t(place, pattern)")}),
+k AS (SELECT t, c, pos, place FROM h, m WHERE kind IN ('DOUBLE', 'BIGINT', 'INTEGER') AND regexp_matches(c, pattern, 'i') AND t IN ('orders', 'events', 'lineitem'))
+SELECT t AS "table", arg_min(c, place * 1000 + pos) AS metric FROM k GROUP BY t""")
 def primary_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for t in ("orders", "events", "lineitem"):
@@ -606,13 +712,21 @@ def primary_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "table string, metric string")
 
 
-@query(_values([("l_quantity", "Volume", "higher"), ("l_discount", "Volume", "higher"), ("l_extendedprice", "none", "none"), ("l_tax", "none", "none")], '"column", label, better'))
+@query(f"""WITH {_HEADERS}, k AS (SELECT * FROM {_sql_list([(i, *x) for i, x in enumerate(naming.KPIS)], "t(place, pattern, label, better)")}),
+f AS (SELECT t, c, min(place) AS place FROM h, k WHERE regexp_matches(c, pattern, 'i') GROUP BY t, c)
+SELECT h.t AS "table", h.c AS "column", coalesce(label, 'none') AS label, coalesce(better, 'none') AS better FROM h LEFT JOIN f USING (t, c) LEFT JOIN k USING (place)""")
 def classify_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [(c, naming.classify_kpi(c) or ("none", "none")) for c in _NUMERIC]
-    return spark.createDataFrame([(c, *k) for c, k in found], "column string, label string, better string")
+    found = [(t, c, naming.classify_kpi(c) or ("none", "none")) for t in _TABLES for c in table(spark, sf_dir, t).columns]
+    return spark.createDataFrame([(t, c, *k) for t, c, k in found], "table string, column string, label string, better string")
 
 
-@query(_values([("orders", False, 0, 0), ("planted", True, 1, 2)], '"table", blocked, strong, weak'))
+@query(f"""WITH term AS (SELECT 's' AS kind, * FROM {_sql_list([(infer._bounded(x),) for x in infer.STRONG], "t(pattern)")} UNION ALL SELECT 'w', * FROM {_sql_list([(infer._bounded(x),) for x in infer.WEAK], "t(pattern)")}),
+said AS (SELECT DISTINCT 'orders' AS t, concat_ws(' ', o_orderstatus, o_orderpriority) AS x FROM orders UNION ALL
+  SELECT DISTINCT 'planted', concat_ws(' ', o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 50 = 0 THEN 'see ICD-10 list' END) FROM orders),
+head AS (SELECT * FROM (VALUES ('orders', 'o_orderkey | o_custkey | o_orderstatus | o_totalprice | o_orderdate | o_orderpriority'), ('planted', 'hospital | diagnosis | note')) t(t, x)),
+hit AS (SELECT DISTINCT t, kind, pattern FROM term, (SELECT t, x, 'r' AS part FROM said UNION ALL SELECT t, x, 'h' FROM head) WHERE regexp_matches(x, pattern) AND (kind = 's' OR part = 'h')),
+n AS (SELECT head.t, count(*) FILTER (WHERE kind = 's') AS strong, count(*) FILTER (WHERE kind = 'w') AS weak FROM head LEFT JOIN hit ON hit.t = head.t GROUP BY 1)
+SELECT t AS "table", strong > 0 OR weak >= 2 AS blocked, strong::INT AS strong, weak::INT AS weak FROM n""")
 def health_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     planted = orders.select(F.col("o_orderstatus").alias("hospital"), F.col("o_orderpriority").alias("diagnosis"), F.when(F.col("o_orderkey") % 50 == 0, "see ICD-10 list").alias("note"))
@@ -621,7 +735,9 @@ def health_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> Report:
-    return analyse(_sales(spark, sf_dir), row="o_orderkey")
+    rep = analyse(_sales(spark, sf_dir), row="o_orderkey")
+    rep.source.unpersist()
+    return rep
 
 
 @query()
@@ -630,6 +746,12 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "place int, kind string, score double, tone string, title string, body string")
 
 
+@query()
+def kpi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, c["label"], c["value"], c["sub"], c["tone"]) for i, c in enumerate(_report(spark, sf_dir).strip, 1)]
+    return spark.createDataFrame(rows, "place int, label string, value string, sub string, tone string")
+
+
 @query()
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(_report(spark, sf_dir).summary,)], "summary string")

@@ -13,6 +13,7 @@ from datascry.functions import values as V
 
 NUMERIC = ("number", "currency", "percent")
 GROUPABLE = ("category", "boolean")
+# Patterns of column names.
 _CODE = re.compile(r"(^|[\s_-])(zip|zipcode|postal|postalcode|code)([\s_-]|$)")
 _ID = re.compile(r"(^|[\s_-])(id|identifier|uuid|guid|mrn|record\s*(number|no)|account\s*(number|no)|customer\s*(number|no))([\s_-]|$)")
 #: Columns measured by one scan: the date patterns make long code.
@@ -61,8 +62,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, types: Mapp
         row = df.agg(*stats).first()
         measured |= {c: row[f"s{i}"] for i, c in enumerate(part)}
 
-    def distinct(c: str) -> int:
-        return df.select(V.trimmed(F.col(f"`{c}`")).alias("v")).filter("v <> ''").distinct().count()
+    def distinct(c: str, fold: bool = False) -> int:
+        v = V.trimmed(F.col(f"`{c}`"))
+        return df.select((F.lower(v) if fold else v).alias("v")).filter("v <> ''").distinct().count()
 
     for c, s in measured.items():
         n, low = s["n"], c.lower()
@@ -74,7 +76,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, types: Mapp
             out[c] = "currency"
         elif s["percent"] > 0.7 * n:
             out[c] = "percent"
-        elif s["boolean"] > 0.9 * n and distinct(c) <= 3:
+        elif s["boolean"] > 0.9 * n and distinct(c, fold=True) <= 3:
             out[c] = "boolean"
         elif s["number"] > 0.85 * n:
             if _YEAR.search(low) and distinct(c) < 0.95 * n:

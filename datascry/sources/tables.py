@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
@@ -90,17 +91,50 @@ def to_table(cells: DataFrame, most_columns: int = MOST_COLUMNS) -> DataFrame:
     return table.select("_row", *[F.col(f"`{n}`") for n in used])
 
 
+def parse_delimited(text: str, sep: str, most_field: int = MOST_FIELD_CHARS) -> list[list[str]]:
+    """Cells of delimited text.  A quote opens and closes anywhere in a field and is
+    doubled to stand for itself; a carriage return outside quotes is dropped."""
+    token = re.compile(f'"(?:[^"]|"")*(?:"|$)|{re.escape(sep)}|\r|\n|[^"{re.escape(sep)}\r\n]+')
+    rows: list[list[str]] = []
+    row: list[str] = []
+    field: list[str] = []
+    size = 0
+    for m in token.finditer(text):
+        said = m.group()
+        if said in (sep, "\n"):
+            row.append("".join(field))
+            field, size = [], 0
+            if said == "\n":
+                rows.append(row)
+                row = []
+        elif said != "\r":
+            if said[0] == '"':
+                body = said[1:-1] if len(said) > 1 and said.endswith('"') else said[1:]
+                said = body.replace('""', '"')
+            field.append(said)
+            size += len(said)
+            if size > most_field:
+                raise TableError(f"a cell has more than {most_field:,} characters")
+    if field or row:
+        rows.append([*row, "".join(field)])
+    return rows
+
+
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = True, most_columns: int = MOST_COLUMNS
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, most_columns: int = MOST_COLUMNS
 ) -> DataFrame:
     """Delimited text as a table of text columns and ``_row``, the order in the file.
 
-    ``multiline=False`` lets Spark split files, for inputs without line breaks in
-    quotes.  Ragged rows are filled up; a quote is doubled to stand for itself.
+    ``multiline`` tells whether quoted fields hold line breaks; by default the
+    lines are looked at: only where one has an odd number of quotes are files read
+    whole, each by one task, else Spark splits them.  Ragged rows are filled
+    up; a quote is doubled to stand for itself.
     """
     if sep is None:
         first = spark.read.text(path).limit(1).collect()
         sep = sniff_delimiter(first[0][0] if first else "")
+    if multiline is None:
+        multiline = not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
     # one column more than allowed shows that there are too many
     schema = ", ".join(f"c{i} string" for i in range(most_columns + 1))
     raw = (
@@ -110,16 +144,14 @@ def read_delimited(
     cells = F.array(*[F.col(f"c{i}") for i in range(most_columns + 1)])
     last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(most_columns)), lambda i: F.when(F.get(cells, i).isNotNull(), i + 1).otherwise(0)))
     rows = raw.select(F.monotonically_increasing_id().alias("_row"), F.slice(cells, F.lit(1), last).alias("cells"))
-    bom = F.transform("cells", lambda c, i: F.when(i == 0, F.regexp_replace(c, "^﻿", "")).otherwise(c))
+    bom = F.transform("cells", lambda c, i: F.when(i == 0, F.regexp_replace(c, "^\ufeff", "")).otherwise(c))
     return to_table(rows.withColumn("cells", bom), most_columns)
 
 
 def read_text_block(spark: SparkSession, text: str, sep: str | None = None) -> DataFrame:
-    """The same for text in memory."""
-    import csv
-
-    text = text.removeprefix("﻿").replace("\r", "")
-    rows = list(csv.reader(io.StringIO(text), delimiter=sep or sniff_delimiter(text)))
+    """The same for text in memory, such as a pasted block."""
+    text = text.removeprefix("\ufeff")
+    rows = parse_delimited(text, sep or sniff_delimiter(text))
     if not rows:
         raise TableError("no tabular data")
     return to_table(spark.createDataFrame(list(enumerate(rows)), "_row long, cells array<string>"))
@@ -238,14 +270,14 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return to_table(files.mapInArrow(_workbook_batches, "_row long, cells array<string>"))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: Parquet, workbook, else delimited text."""
+def read_table(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """By extension: Parquet, workbook, else delimited text (``multiline`` as there)."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "xls":
         raise TableError("legacy .xls is not supported: save it as .xlsx or .csv")
     if kind == "parquet":
         return spark.read.parquet(path)
-    return read_workbook(spark, path) if kind in ("xlsx", "xlsm") else read_delimited(spark, path)
+    return read_workbook(spark, path) if kind in ("xlsx", "xlsm") else read_delimited(spark, path, multiline=multiline)
 
 
 def preview(df: DataFrame, rows: int = 8) -> DataFrame:

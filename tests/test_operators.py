@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from datascry.functions import special, values
-from datascry.operators import explore, profile, relations, series
-from datascry.plans import naming
+from datascry.operators import explore, profile, ranks, relations, series
+from datascry.plans import display, naming
 
 
 def frame(spark, rows, schema):
@@ -146,12 +146,47 @@ def test_quintiles_and_deciles(spark):
 def test_pareto_and_crosstab_blanks(spark):
     df = frame(spark, [("a", "x", 8.0), ("b", "x", None), (None, "y", 1.0), (" ", "y", 1.0)], "k string, c string, v double")
     items = {r.key: (r.value, r.place) for r in explore.pareto(df, "k", "v").collect()}
-    assert items == {"a": (8.0, 1), "(blank)": (2.0, 2), "b": (0.0, 3)}
+    # a key without any number is no item
+    assert items == {"a": (8.0, 1), "(blank)": (2.0, 2)}
     assert one(explore.pareto_summary(explore.pareto(df, "k", "v")))["count_to_80"] == 1
     cells = {(r.r, r.c): r.value for r in explore.crosstab(df, "k", "c", "v", "mean").collect()}
     assert cells == {("a", "x"): 8.0, ("b", "x"): None, ("(blank)", "y"): 1.0}
 
 
+def test_exact_quantiles(spark):
+    """Against numpy: hot values, gaps, few values, groups that are null."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x), None) for x in rng.normal(size=30_000)] + [("a", 0.0, None)] * 20_000
+    rows += [("b", float(x), float(x) if x % 3 else None) for x in range(7)] + [(None, 5.0, 2.0), ("c", None, None)]
+    df = frame(spark, rows, "k string, x double, y double").repartition(7)
+    at = (0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0)
+    got = {(r.k, r.name): (r.n, r.q) for r in ranks.exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, at, ["k"]).collect()}
+    assert set(got) == {("a", "x"), ("b", "x"), ("b", "y"), (None, "x"), (None, "y")}
+    for (k, name), (n, q) in got.items():
+        values_ = [r[1 if name == "x" else 2] for r in rows if r[0] == k and r[1 if name == "x" else 2] is not None]
+        assert n == len(values_) and q == pytest.approx(np.quantile(values_, at).tolist(), abs=1e-12)
+    whole = ranks.exact_quantiles(df, {"x": F.col("x")}, (0.3, 0.6)).first()
+    assert whole.q == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], (0.3, 0.6)).tolist(), abs=1e-12)
+    assert ranks.exact_quantiles(df.limit(0), {"x": F.col("x")}, (0.5,)).count() == 0
+
+
+def test_value_ranks(spark):
+    rows = [(float(x % 97) if x % 5 else 0.0,) for x in range(3000)]
+    got = {r.v: r.rank for r in ranks.value_ranks(frame(spark, rows, "v double"), "v").collect()}
+    flat = sorted(r[0] for r in rows)
+    assert got == {v: sum(i + 1 for i, x in enumerate(flat) if x == v) / flat.count(v) for v in set(flat)}
+
+
+def test_axis_ticks():
+    assert display.axis_ticks(0, 10) == [0, 5, 10]
+    assert display.axis_ticks(0, 100, 4) == [0, 50, 100]
+    assert display.axis_ticks(-1, 1) == [-1, -0.5, 0, 0.5, 1]
+    assert display.axis_ticks(3, 3) == [2, 2.5, 3, 3.5, 4]
+    assert display.axis_ticks(float("nan"), 1) == [0, 1]
+
+
 def test_names():
     assert naming.detect_domain(["Annual Premium", "Policy ID", "Claim Amount"])[0] == "insurance"
     assert naming.detect_domain(["x"]) is None
