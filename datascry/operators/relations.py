@@ -364,28 +364,36 @@ def with_quintiles(df: DataFrame, columns: Sequence[str], most: int | None = Non
 
 
 def outliers(df: DataFrame, columns: Sequence[str], row: str, z: float = 3.0) -> DataFrame:
-    """Cells at least ``z`` deviations out, or outside the quartile fences and two out."""
-    out = None
-    for c in columns:
-        values = df.select(F.col(row).alias("row"), number(df, c).alias("value")).filter("value is not null")
-        stats = values.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("n > 12 and sd > 0")
-        stats = stats.join(F.broadcast(exact_quantiles(values, {"value": F.col("value")}, (0.25, 0.5, 0.75)).select("q")))
-        score = (F.col("value") - F.col("mean")) / F.col("sd")
-        iqr = F.col("q")[2] - F.col("q")[0]
-        fenced = (F.col("value") < F.col("q")[0] - 1.5 * iqr) | (F.col("value") > F.col("q")[2] + 1.5 * iqr)
-        far = F.abs(score)
-        one = (
-            values.join(F.broadcast(stats))  # one row
-            .filter((far >= z) | (fenced & (far >= 2)))
-            .select(
-                F.lit(c).alias("column"), "row", "value", score.alias("z"), F.col("q")[1].alias("expected"),
-                F.when(far >= z, "z-score").otherwise("iqr").alias("method"),
-                F.when(far >= 4, "high").when(far >= 3, "medium").otherwise("low").alias("severity"),
-                F.when(score > 0, "above").otherwise("below").alias("direction"),
-            )
+    """Cells at least ``z`` deviations out, or outside the quartile fences and two out.
+
+    Columns need more than 12 values and spread.  Their moments and quartiles, one
+    row for each column, come first; then one scan finds the cells of all.
+    """
+    x = {c: number(df, c) for c in columns}
+    moments = df.agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(f"s{i}") for i, v in enumerate(x.values())]).first()
+    quartiles = {}
+    for k in range(0, len(columns), 8):
+        for r in exact_quantiles(df, {c: x[c] for c in columns[k : k + 8]}, (0.25, 0.5, 0.75)).collect():
+            quartiles[r["name"]] = r["q"]
+    cells = []
+    for i, c in enumerate(columns):
+        s = moments[f"s{i}"]
+        if s["n"] > 12 and s["sd"]:
+            low, mid, high = quartiles[c]
+            score = (x[c] - F.lit(s["mean"])) / F.lit(s["sd"])
+            fenced = (x[c] < low - 1.5 * (high - low)) | (x[c] > high + 1.5 * (high - low))
+            cells.append(F.struct(F.lit(c).alias("column"), x[c].alias("value"), score.alias("z"), F.lit(float(mid)).alias("expected"), fenced.alias("fenced")))
+    if not cells:
+        cells = [F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("column", "string"), ("value", "double"), ("z", "double"), ("expected", "double"), ("fenced", "boolean"))])]
+    far = F.abs("z")
+    return (
+        df.select(F.col(row).alias("row"), F.inline(F.array(*cells)))
+        .filter((far >= z) | (F.col("fenced") & (far >= 2)))
+        .select(
+            "column", "row", "value", "z", "expected", F.when(far >= z, "z-score").otherwise("iqr").alias("method"),
+            F.when(far >= 4, "high").when(far >= 3, "medium").otherwise("low").alias("severity"), F.when(F.col("z") > 0, "above").otherwise("below").alias("direction"),
         )
-        out = one if out is None else out.unionByName(one)
-    return out
+    )
 
 
 def rare_categories(df: DataFrame, column: str, most: int = 5) -> DataFrame:

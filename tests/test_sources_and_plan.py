@@ -1,14 +1,16 @@
 """Readers, headers, types, the scan, and whole reports."""
 
+import math
 import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from datascry.operators import relations
 from datascry.plans.analyse import analyse
 from datascry.plans.export import to_html, to_json, write_frames
-from datascry.sources import infer, tables
+from datascry.sources import infer, samples, tables
 
 
 def test_headers():
@@ -101,6 +103,62 @@ def test_report_finds_planted_signal(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "frames" / "drivers")).count()
 
 
+def test_insurance_sample_finds_what_is_planted(spark):
+    whole = samples.insurance(spark)
+    assert len(whole.columns) == 28 and whole.count() == 900
+    shown = ("Policy ID", "Age Bracket", "Vehicle Class", "Credit Score Range", "Annual Premium", "Claims Filed", "Customer Lifetime Value", "Gender", "Last Renewal Date")
+    rep = analyse(whole.select(*[f"`{c}`" for c in shown]).coalesce(1), row="Policy ID")
+    assert rep.metric == "Annual Premium" and rep.domain[0] == "insurance"
+    assert len(rep.findings) >= 12 and len(rep.lists["drivers"]) >= 6
+    top = [d["driver"] for d in rep.lists["drivers"] if d["metric"] == rep.metric and "(quintile)" not in d["driver"]][:5]
+    assert {"Credit Score Range", "Age Bracket", "Vehicle Class"} <= set(top)
+    strip = {c["label"]: c["value"] for c in rep.strip}
+    assert strip["Rows"] == "900" and {"Data quality", "Top association", "Outliers", "Median Annual Premium"} <= set(strip)
+    matrix = {(r["a"], r["b"]): r["r"] for r in rep.lists["corr_matrix"]}
+    assert len(matrix) == 3 * 3 and all(matrix[b, a] == r for (a, b), r in matrix.items())
+    assert {r["side"] for r in rep.lists["hot_and_cold"]} == {"above", "below"}
+    assert rep.lists["period_extremes"][0]["months"] == 12
+    assert any(k.startswith("composition:") for k in rep.lists)
+    rep.source.unpersist()
+
+
+def test_report_of_messy_and_single_columns(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["Web", "web", "Shop"]), f"${rng.random() * 90:.2f}" if i % 9 else "", str(i % 7) if i % 5 else None, "same") for i in range(250)]
+    rep = analyse(spark.createDataFrame(rows + rows[:12], "Channel string, Amount string, Qty string, Flag string"))
+    issues = {(r["column"], r["issue"]) for r in rep.lists["issues"]}
+    assert {("(rows)", "duplicate rows"), ("Channel", "case variants"), ("Flag", "constant")} <= issues
+    assert rep.types["Amount"] == "currency" and rep.findings
+    one = analyse(spark.createDataFrame([(math.exp(rng.random() * 6),) for _ in range(200)], "Value double"))
+    assert one.metric == "Value" and any(f["kind"] == "distribution" for f in one.findings)
+
+
+def test_booleans_are_counted_without_case(spark):
+    df = spark.createDataFrame([(x,) for x in ["Yes", "yes", "No", "no", "YES"] * 9], "Flag string")
+    assert infer.infer_types(df) == {"Flag": "boolean"}
+
+
+def test_delimited_text_with_odd_quotes(spark):
+    text = 'name,note\r\na"b,""c",x\r\n"two\r\nlines",y' + "z" * 200_000 + "\n"
+    assert tables.parse_delimited(text, ",")[1:] == [['ab,"c', "x"], ["two\r\nlines", "y" + "z" * 200_000]]
+    with pytest.raises(tables.TableError):
+        tables.parse_delimited("x" * 1_000_001, ",")
+    assert tables.read_text_block(spark, text).count() == 2
+
+
+def test_only_files_with_breaks_in_quotes_are_read_whole(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "\n".join(f'"{i}, x",{i}' for i in range(50)))
+    (tmp_path / "broken.csv").write_text('a,b\n"1\n2",3\n4,5\n')
+    assert tables.read_table(spark, str(tmp_path / "plain.csv")).count() == 50
+    assert sorted(r.a for r in tables.read_table(spark, str(tmp_path / "broken.csv")).collect()) == ["1\n2", "4"]
+
+
+def test_bands_use_up_no_place_where_there_are_none(spark):
+    df = spark.range(60).select(F.lit(1.0).alias("flat"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    got = relations.with_quintiles(df, ["flat", "x", "y"], 1)
+    assert got.columns == ["flat", "x", "y", "x (quintile)"]
+
+
 def test_report_without_signal_or_numbers(spark):
     rng = random.Random(2)
     plain = spark.createDataFrame([(rng.choice("abcd"), rng.choice("xyz")) for _ in range(300)], "Department string, Region string")
