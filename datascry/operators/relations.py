@@ -198,15 +198,17 @@ def driver_effects(moments: DataFrame, min_group: int = 3, max_levels: int = 40)
     return special.adjust(kept).withColumn("spread_pct", F.try_divide(F.col("spread") * 100.0, F.abs("overall"))).drop("apart")
 
 
+def _by_level(df: DataFrame, categories: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """``driver, level`` of every category in each row, with ``values``: one plan for all categories."""
+    levels = F.array(*[F.struct(F.lit(c).alias("driver"), blank_key(F.col(f"`{c}`")).alias("level")) for c in categories])
+    return df.select(*values, F.inline(levels))
+
+
 def group_medians(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """``driver, metric, level, median`` of the groups of :func:`group_moments`."""
-    out = None
-    for c in categories:
-        keyed = df.withColumn("_level", blank_key(F.col(f"`{c}`")))
-        one = medians(keyed, {m: number(df, m) for m in metrics}, ["_level"])
-        one = one.select(F.lit(c).alias("driver"), F.col("name").alias("metric"), F.col("_level").alias("level"), "median")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _by_level(df, categories, [number(df, m).alias(f"m{j}") for j, m in enumerate(metrics)])
+    got = medians(rows, {m: F.col(f"m{j}") for j, m in enumerate(metrics)}, ["driver", "level"])
+    return got.select("driver", F.col("name").alias("metric"), "level", "median")
 
 
 def driver_levels(moments: DataFrame, middle: DataFrame, min_group: int = 3) -> DataFrame:
@@ -288,9 +290,10 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
         one = base.groupBy(F.col(f"`{c}`").alias("value")).agg(
             F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
         )
-        middle = medians(base, {"_v": F.col("_v")}, [c]).select(F.col(f"`{c}`").alias("value"), "median")
-        one = one.join(middle, "value", "left").select(F.lit(c).alias("column"), "value", "n", "mean", "ss", "median")
+        one = one.select(F.lit(c).alias("column"), "*")
         out = one if out is None else out.unionByName(one)
+    middle = medians(_by_level(base, categories, [F.col("_v")]), {"_v": F.col("_v")}, ["driver", "level"])
+    out = out.join(middle.select(F.col("driver").alias("column"), F.col("level").alias("value"), "median"), ["column", "value"], "left")
     n1, n2 = F.col("n").cast("double"), (F.col("all_n") - F.col("n")).cast("double")
     m2 = F.try_divide(F.col("all_n") * F.col("all_mean") - n1 * F.col("mean"), n2)
     rest = F.greatest(F.lit(0.0), F.col("all_ss") - F.col("ss") - n1 * n2 / F.col("all_n") * F.pow(F.col("mean") - m2, 2))

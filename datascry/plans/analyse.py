@@ -192,7 +192,10 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     if rep.metric:
         ten = X.decile_share(df, rep.metric).filter("decile = 10").select("share")
         rep.lists["top_decile"] = _rows(ten)
-    for name in ("hot_and_cold", "ordered_trends", "volume", "period", "forecast", "corr_matrix", *[k for k in f if k.startswith("composition:")]):
+    for side, over in (("above", True), ("below", False)):
+        mine = [r for r in rep.lists["segments"] if (r["lift"] > 0) == over and r["lift"] != 0][:12]
+        rep.lists.setdefault("hot_and_cold", []).extend({"side": side, "place": i} | r for i, r in enumerate(mine, 1))
+    for name in ("ordered_trends", "volume", "period", "forecast", "corr_matrix", *[k for k in f if k.startswith("composition:")]):
         if name in f:
             rep.lists[name] = _rows(f[name])
     if len(rep.lists.get("period") or []) > 1:
