@@ -49,8 +49,8 @@ STAGES = [
     ("mixing to target weights", mix),
 ]
 
-#: Repeated runs of lines and learned words are beyond SQL; tests hold the
-#: stages against brute force instead.
+#: Repeated runs of lines are beyond SQL; tests hold each stage's operator against
+#: brute force, and the stages together on planted documents.
 ORACLE_SQL = None
 
 
