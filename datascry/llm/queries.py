@@ -167,6 +167,27 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents
+), s AS (
+  SELECT doc_id, i, ls[i] AS a, ls[i + 1] AS b FROM d, unnest(range(1, greatest(len(ls), 1))) AS u(i)
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS k FROM s
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM f, unnest([i, i + 1]) AS u(p) WHERE k > 1
+), w AS (
+  SELECT doc_id, p, ls[p] AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(p)
+), left_over AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.line, chr(10) ORDER BY w.p) AS said
+  FROM w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id
+)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_lines_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(said, '')) END AS text_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+
 # --------------------------------------------------------------------- op7
 
 
@@ -312,7 +333,8 @@ s{i} AS (
 WITH r AS (
   SELECT row_number() OVER () AS rn, doc_id, lang, source, 'domain' || (('0x' || substr(md5(source), 1, 8))::BIGINT % 3) AS domain,
     coalesce(doc_id::VARCHAR, '') AS id, md5(coalesce(text, '')) AS again,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS tokens
   FROM documents
 ), {"".join(levels)[1:]}
 leaf AS (
@@ -349,6 +371,7 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_quality": OP4_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
