@@ -370,7 +370,7 @@ def _renamed(df: DataFrame, names: DataFrame | None, column: str, to: str) -> Da
     return df.join(new, column, "left").withColumn(to, F.coalesce(to, column))
 
 
-def _centres(rows: DataFrame, counts: DataFrame, names: DataFrame | None, done: DataFrame | None, most: int) -> DataFrame:
+def _centres(rows: DataFrame, counts: DataFrame, names: DataFrame | None, done: DataFrame, most: int) -> DataFrame:
     """Up to ``most`` sets of each group outside its largest component that have not been
     centres before (``done``), one from each of so many parts by hash.
 
@@ -382,8 +382,7 @@ def _centres(rows: DataFrame, counts: DataFrame, names: DataFrame | None, done:
     main = held.groupBy("sig").agg(F.max_by("into", F.struct("held", "into")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     outside = common.cut(now.join(main, "sig").filter("into <> main").select("sig", "component"), "jaccard-outside")
     left = rows.select("sig", "node", "component").join(outside, ["sig", "component"]).select("sig", "node")
-    if done is not None:
-        left = left.join(done, ["sig", "node"], "left_anti")
+    left = left.join(done, ["sig", "node"], "left_anti")
     out = left.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(most)).alias("part")).agg(F.min("node").alias("node")).select("sig", "node")
     return common.cut(out, "jaccard-centres")
 
@@ -438,18 +437,16 @@ def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | N
 
     # then rounds among sets that no path of links connects yet
     part = components(links[0])
-    placed = (
-        kept.join(least, ["sig", "node"], "left_anti").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    )
+    placed = kept.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     wide = sets.select("node", *[F.col("wide")[i].alias(f"w{i}") for i in range(WIDE // 64)], "widest")
     names = [f"w{i}" for i in range(WIDE // 64)]
     placed = _open_groups(placed)
     rows = common.cut(placed.join(wide, "node"), "jaccard-rows")
-    common.release(spark, groups, kept, least, placed)
+    common.release(spark, groups, kept, placed)
     # rows stay as they are; what changes is the names of their components
     counts = common.cut(rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("held")), "jaccard-counts")
     into: DataFrame | None = None
-    done: DataFrame | None = None
+    done = least.select("sig", "node")  # these have met all others
     turn = 0
     while True:
         centres = _centres(rows, counts, into, done, CENTRES[min(turn, len(CENTRES) - 1)])
@@ -474,7 +471,7 @@ def link_sets(docs: DataFrame, k: int = 5, percent: int = 80, scheme: Scheme | N
         ).distinct()
         met = _renamed(_renamed(met, into, "c", "cu"), into, "d", "cv").filter("cu <> cv").select("u", "v", "cu", "cv")
         found = common.cut(_verified(met, sets, percent), "jaccard-links")
-        done = centres if done is None else common.cut(done.unionByName(centres), "jaccard-done")
+        done = common.cut(done.unionByName(centres), "jaccard-done")
         if not found.isEmpty():
             links.append(found.select("u", "v"))
             merged = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
