@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datascry.llm import chat_format, common, decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality, substring_dedup, warc
+from datascry.llm import (
+    chat_format, common, decontaminate, filter_audit, jaccard_join, langid, line_dedup, mixing, pii, quality, spelling, substring_dedup, token_files, warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -354,6 +356,116 @@ FROM ran, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELS
 """
 
 
+# -------------------------------------------------------------------- op11
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_orders(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, mask, good, toxic, count(*) AS n FROM f GROUP BY ALL
+), x AS (
+  SELECT unnest(range(5)) AS i
+), o AS (
+  SELECT substr('ABCDE', a.i + 1, 1) || substr('ABCDE', b.i + 1, 1) || substr('ABCDE', c.i + 1, 1) || substr('ABCDE', d.i + 1, 1) || substr('ABCDE', e.i + 1, 1) AS filter_order,
+    [1 << a.i, 1 << b.i, 1 << c.i, 1 << d.i, 1 << e.i] AS bits
+  FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::BIGINT AS subset FROM o, unnest(range(1, 6)) AS u(step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE mask & bit = 0 AND mask & subset = 0) AS kept,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & subset = 0) AS removed,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & subset <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & subset = 0 AND good = 1) AS good_lost,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & subset = 0 AND toxic = 1) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+# -------------------------------------------------------------------- op12
+
+#: Of words with a crc32 that this divides, one code point is left out.
+DROP_EVERY = 199
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(_read(spark, sf_dir, "documents"), drop_every=DROP_EVERY))
+
+
+def _op12_sql() -> str:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents)
+), each AS (
+  SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= {spelling.LEAST_CHARS} GROUP BY doc_id, w
+), coded AS (
+  SELECT w, n, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(0, len(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w))) // 2),
+        lambda i: ('0x' || substr(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(({table}::BIGINT[])[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM each
+), words AS (
+  SELECT w AS word, sum(n) AS n FROM (
+    SELECT n, CASE WHEN h % {DROP_EVERY} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w FROM coded
+  ) WHERE length(w) >= {spelling.LEAST_CHARS} GROUP BY w HAVING sum(n) >= {spelling.LEAST_COUNT}
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= {spelling.RATIO} * n THEN other END AS form, CASE WHEN other_n >= {spelling.RATIO} * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS further FROM forms
+  UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON walk.further = forms.word
+)
+SELECT word, form, root, n::BIGINT AS n, n_near, form_n::BIGINT AS form_n FROM forms JOIN (SELECT word, root FROM walk WHERE further IS NULL) USING (word)
+"""
+
+
+# -------------------------------------------------------------------- op13
+
+END_ID = 1
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = common.scratch(spark, "tokens")
+    token_files.write_tokens(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID, split=True)
+    return token_files.read_tokens(spark, path, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_chat_format": op2_chat_format,
@@ -365,6 +477,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
@@ -376,4 +491,6 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_mixing": _op10_sql(),
+    "op11_filter_audit": OP11_SQL,
+    "op12_spelling_variants": _op12_sql(),
 }
