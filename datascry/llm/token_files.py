@@ -8,8 +8,12 @@ Shards are rows of a Parquet table: Spark's committed writer makes retries safe
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -24,8 +28,8 @@ from datascry.llm.annotate import _quoted
 
 #: Tokens after which a shard is closed, fewest uses of a rule, and the share of
 #: symbols that a round must save for another one to follow.
-SHARD_TOKENS, LEAST_USES, LEAST_GAIN = 1 << 20, 4, 1 / 64
-MOST_CACHED = 300_000
+SHARD_TOKENS, LEAST_USES, LEAST_GAIN = 1 << 20, 4, 1 / 256
+MOST_CACHED = 600_000
 _MAGIC = b"RPG1"
 
 
@@ -35,9 +39,9 @@ _MAGIC = b"RPG1"
 class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library.
 
-    ``split`` says that the tokenizer never joins what white space parts, so that a text's
-    ids are those of its words; each word is then encoded once and kept.  Else
-    texts are encoded whole.
+    ``split`` says that it is a byte-level tokenizer that ignores case, never joins what white
+    space parts and takes letters as one piece: a text's ids are then
+    those of its words, and each word is encoded once and kept.  Else texts are encoded whole.
     """
 
     def __init__(self, path: str, split: bool):
@@ -47,6 +51,14 @@ class Encoder:
         self.tokenizer, self.split = Tokenizer.from_file(path), split
         self._clear()
 
+    @staticmethod
+    def of(path: str, split: bool) -> Encoder:
+        """The encoder of this Python process, which later tasks find with its words."""
+        kept = sys.modules.setdefault("_datascry_encoders", types.ModuleType("_datascry_encoders")).__dict__
+        if (path, split) not in kept:
+            kept[path, split] = Encoder(path, split)
+        return kept[path, split]
+
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64), 0
@@ -54,19 +66,33 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        new = self._encode([w.decode() for w in words])
-        flat = np.fromiter((i for ids in new for i in ids), dtype=np.uint32)
+    def _keep(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.known) + len(new) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         n = len(self.known)
-        self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum([len(ids) for ids in new])
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        for i, word in enumerate(words, n):
-            self.known[word] = i
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Keeps words that are not known: letters go to the model straight away, letters with
+        marks after them are put together of both, all others go through the library whole."""
+        known = self.known
+        parts = {w: (m[1].decode().lower().encode(), m[2]) for w in words if (m := _MARKED.fullmatch(w))}
+        letters = [x for x in dict.fromkeys(a for a, _ in parts.values()) if x not in known]
+        others = [w for w in words if w not in parts]
+        others += [x for x in dict.fromkeys(b for _, b in parts.values()) if x not in known]
+        model = self.tokenizer.model
+        new = [[t.id for t in model.tokenize(x.decode() if x.isascii() else x.decode("latin-1").translate(_SHOWN))] for x in letters] + self._encode([x.decode() for x in others])
+        self._keep(letters + others, np.fromiter(itertools.chain.from_iterable(new), dtype=np.uint32), np.fromiter(map(len, new), dtype=np.int64))
+        joined = [w for w in parts if w not in known]
+        if joined:
+            at = np.array([(known[parts[w][0]], known[parts[w][1]]) for w in joined], dtype=np.int64)
+            starts, ends = self.starts[at], self.starts[at + 1]
+            self._keep(joined, _gather(self.ids, starts.ravel(), ends.ravel()), (ends - starts).sum(axis=1))
 
     def __call__(self, text: bytes) -> np.ndarray:
         if not self.split:
@@ -76,12 +102,18 @@ class Encoder:
         if None in code:
             if len(self.known) > MOST_CACHED:
                 self._clear()
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.known)))
+            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
             code = list(map(self.known.get, words))
         at = np.array(code, dtype=np.int64)
         return _gather(self.ids, self.starts[at], self.starts[at + 1])
 
 
+#: Letters, then marks that open no special token: no piece spans both.
+_MARKED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+#: Byte-level vocabularies show bytes that are no printable Latin-1 sign by the code points from 256 on.
+_SHOWN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
 def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``values[start:end]`` of all spans, one after the other."""
     size = ends - starts
@@ -102,34 +134,35 @@ def re_pair(codes: np.ndarray, ends: np.ndarray, n_codes: int, least: int = LEAS
     frequency, a place outweighing both neighbours is taken, and pairs taken
     ``least`` times become rules.  Symbol ``n_codes + i`` stands for the pair ``rules[i]``.
     """
-    seq = codes.astype(np.int64)
+    seq = codes.astype(np.uint32)
     wall = np.zeros(len(seq), dtype=bool)
     wall[ends - 1] = True
     rules: list[np.ndarray] = []
     size = n_codes
-    buckets = 1 << max(10, min(20, len(seq).bit_length()))
+    bits = max(10, min(20, len(seq).bit_length()))
+    buckets = 1 << bits
     while len(seq) > 2 * least:
-        a, b = seq[:-1], seq[1:]
-        bucket = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 9) & (buckets - 1)
-        free = ~(wall[:-1] | wall[1:])
-        weight = np.bincount(bucket[free], minlength=buckets)
-        weight[weight < least] = 0
-        weight = np.where(weight > 0, weight * buckets + np.arange(buckets), 0)
-        mine = np.where(free, weight[bucket], 0)
-        left, right = np.zeros_like(mine), np.zeros_like(mine)
-        left[1:], right[:-1] = mine[:-1], mine[1:]
-        taken = np.flatnonzero((mine > left) & (mine >= right) & (mine > 0))
-        pairs = a[taken] * size + b[taken]
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        bucket[wall[:-1] | wall[1:]] = buckets  # of no pair
+        uses = np.bincount(bucket, minlength=buckets + 1)
+        uses[buckets] = 0
+        # a place for each bucket by its uses: the order in which pairs go first
+        weight = np.where(uses < least, 0, (uses << bits) + np.arange(buckets + 1))
+        mine = weight[bucket]
+        top = mine > 0
+        top[1:] &= mine[1:] > mine[:-1]
+        top[:-1] &= mine[:-1] >= mine[1:]
+        taken = np.flatnonzero(top)
+        pairs = seq[taken].astype(np.int64) * size + seq[taken + 1]
         found, which, uses = np.unique(pairs, return_inverse=True, return_counts=True)
         kept = uses >= least
-        taken = taken[kept[which]]
+        mask = kept[which]
+        taken = taken[mask]
         if not len(taken):
             break
-        number = np.cumsum(kept) - 1
-        name = size + number[which[kept[which]]]
         rules.append(np.stack([found[kept] // size, found[kept] % size], axis=1))
+        seq[taken] = (size + np.cumsum(kept) - 1)[which[mask]]
         size += int(kept.sum())
-        seq[taken] = name
         stay = np.ones(len(seq), dtype=bool)
         stay[taken + 1] = False
         seq, wall = seq[stay], wall[stay]
@@ -272,7 +305,7 @@ def write_tokens(
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer, split), np.array([end_id], dtype=np.uint32)
+        encode, end = Encoder.of(tokenizer, split), np.array([end_id], dtype=np.uint32)
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         part = shard = before = n = 0
