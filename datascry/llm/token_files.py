@@ -25,11 +25,14 @@ from pyspark.sql import Window as W
 
 from datascry.llm import common
 from datascry.llm.annotate import _quoted
+from datascry.llm.words import chunks
 
 #: Tokens after which a shard is closed, fewest uses of a rule, and the share of
 #: symbols that a round must save for another one to follow.
 SHARD_TOKENS, LEAST_USES, LEAST_GAIN = 1 << 20, 4, 1 / 256
-MOST_CACHED = 600_000
+MOST_CACHED = 1_500_000
+#: Bytes of texts encoded at once (one longer text alone).
+AT_ONCE = 1 << 20
 _MAGIC = b"RPG1"
 
 
@@ -60,52 +63,84 @@ class Encoder:
         return kept[path, split]
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.codes = _Codes()
         self.ids, self.starts, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self) -> None:
+        """Ids of the words that have got a code since the last time, in the order of codes.
+
+        Letters go to the model straight away, letters with marks after them are
+        put together of both, all others go through the library whole."""
+        known, tokenize = self.codes, self.tokenizer.model.tokenize
+        first = len(known) - len(known.new)
+        others: dict[bytes, list[int]] = {}
+        parts: list[tuple[bytes, bytes] | None] = []
+        for w in known.new:
+            m = _MARKED.fullmatch(w)
+            parts.append(m and (m[1], m[2]))
+            if m is None:
+                others[w] = []
+            elif m[2]:
+                others[m[2]] = []
+        for w, ids in zip(others, self._encode([w.decode() for w in others])):
+            others[w] = ids
+        found: list[list[int]] = []
+        cores: dict[bytes, list[int]] = {}
+        for w, part in zip(known.new, parts):
+            if part is None:
+                found.append(others[w])
+                continue
+            core = part[0].lower() if part[0].isascii() else part[0].decode().lower().encode()
+            ids = cores.get(core)
+            if ids is None:
+                n = known.get(core, first)
+                if n < first:
+                    ids = self.ids[self.starts[n] : self.starts[n + 1]].tolist()
+                else:
+                    ids = [t.id for t in tokenize(core.decode() if core.isascii() else core.decode("latin-1").translate(_SHOWN))]
+                cores[core] = ids
+            found.append(ids + others[part[1]] if part[1] else ids)
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        n = len(self.known)
-        while n + len(words) + 1 > len(self.starts):
+        while len(known) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.starts[first + 1 : len(known) + 1] = self.used + np.cumsum(np.fromiter(map(len, found), dtype=np.int64))
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Keeps words that are not known: letters go to the model straight away, letters with
-        marks after them are put together of both, all others go through the library whole."""
-        known = self.known
-        parts = {w: (m[1].decode().lower().encode(), m[2]) for w in words if (m := _MARKED.fullmatch(w))}
-        letters = [x for x in dict.fromkeys(a for a, _ in parts.values()) if x not in known]
-        others = [w for w in words if w not in parts]
-        others += [x for x in dict.fromkeys(b for _, b in parts.values()) if x not in known]
-        model = self.tokenizer.model
-        new = [[t.id for t in model.tokenize(x.decode() if x.isascii() else x.decode("latin-1").translate(_SHOWN))] for x in letters] + self._encode([x.decode() for x in others])
-        self._keep(letters + others, np.fromiter(itertools.chain.from_iterable(new), dtype=np.uint32), np.fromiter(map(len, new), dtype=np.int64))
-        joined = [w for w in parts if w not in known]
-        if joined:
-            at = np.array([(known[parts[w][0]], known[parts[w][1]]) for w in joined], dtype=np.int64)
-            starts, ends = self.starts[at], self.starts[at + 1]
-            self._keep(joined, _gather(self.ids, starts.ravel(), ends.ravel()), (ends - starts).sum(axis=1))
-
-    def __call__(self, text: bytes) -> np.ndarray:
+        known.new = []
+
+    def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         if not self.split:
-            return np.array(self._encode([text.decode()])[0], dtype=np.uint32)
-        words = text.split()  # of bytes: at ASCII white space alone
-        code = list(map(self.known.get, words))
-        if None in code:
-            if len(self.known) > MOST_CACHED:
-                self._clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            code = list(map(self.known.get, words))
-        at = np.array(code, dtype=np.int64)
-        return _gather(self.ids, self.starts[at], self.starts[at + 1])
+            return [np.array(ids, dtype=np.uint32) for ids in self._encode([t.decode() for t in texts])]
+        if len(self.codes) > MOST_CACHED:
+            self._clear()
+        words = [t.split() for t in texts]  # of bytes: at ASCII white space alone
+        n = np.cumsum([len(w) for w in words])
+        at = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(n[-1]))
+        if self.codes.new:
+            self._learn()
+        starts, ends = self.starts[at], self.starts[at + 1]
+        upto = np.append(0, np.cumsum(ends - starts))[np.append(0, n)]
+        flat = _gather(self.ids, starts, ends)
+        return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+
+class _Codes(dict):
+    """Numbers words in the order in which they are met, and lists new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 #: Letters, then marks that open no special token: no piece spans both.
@@ -139,7 +174,7 @@ def re_pair(codes: np.ndarray, ends: np.ndarray, n_codes: int, least: int = LEAS
     wall[ends - 1] = True
     rules: list[np.ndarray] = []
     size = n_codes
-    bits = max(10, min(20, len(seq).bit_length()))
+    bits = max(10, min(19, len(seq).bit_length()))
     buckets = 1 << bits
     while len(seq) > 2 * least:
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
@@ -319,14 +354,17 @@ def write_tokens(
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            for doc, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                ids.append(doc)
-                held.append(np.concatenate([encode(text.as_py() or b""), end]))
-                n += len(held[-1])
-                if n >= shard_tokens:
-                    yield closed()
-                    shard, before, n = shard + 1, before + n, 0
-                    ids, held = [], []
+            for lo, hi, data, offsets in chunks(batch.column(2), AT_ONCE):
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                for doc, tokens in zip(batch.column(1)[lo:hi].to_pylist(), encode(texts), strict=True):
+                    ids.append(doc)
+                    held.append(np.append(tokens, end))
+                    n += len(held[-1])
+                    if n >= shard_tokens:
+                        yield closed()
+                        shard, before, n = shard + 1, before + n, 0
+                        ids, held = [], []
         if ids:
             yield closed()
 
