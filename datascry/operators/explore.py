@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from datascry.functions.special import corr_p, f_p
 from datascry.functions.values import blank_key, ordinal_rank
 from datascry.operators.profile import key_counts, number
-from datascry.operators.ranks import exact_quantiles, in_ranges, medians, sums_before
+from datascry.operators.ranks import exact_quantiles, in_pair_ranges, in_ranges, medians, sums_before
 from datascry.operators.relations import _ranked_pair
 
 
@@ -43,11 +43,12 @@ def pareto(df: DataFrame, column: str, metric: str | None = None) -> DataFrame:
     """``key, value, place, share, cum_share``, largest first, ties by key.
 
     Rows without a number in ``metric`` are left out, so a key of such rows alone
-    is no item.  Running sums go over ranges of values first, then within each.
+    is no item.  Running sums go over ranges of (value, key) first, then within each, so
+    keys of equal sums are no single range.
     """
     sums = _sums(df, column, metric)
     total = sums.agg(F.sum("value").alias("total")).select(F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")).alias("total"))
-    placed = sums_before(in_ranges(sums, "value").withColumn("one", F.lit(1)), falling=True, places="one", above="value")
+    placed = sums_before(in_pair_ranges(sums, "value", "key").withColumn("one", F.lit(1)), places="one", above="value")
     order = W.partitionBy("range").orderBy(F.desc("value"), "key")
     return placed.join(F.broadcast(total)).select(
         "key", "value", (F.row_number().over(order) + F.col("places")).cast("int").alias("place"), (F.col("value") * 100.0 / F.col("total")).alias("share"),

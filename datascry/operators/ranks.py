@@ -17,74 +17,88 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 #: Ranges that values are cut into: at least, at most, and values of one.
 LEAST_RANGES, MOST_RANGES, RANGE_VALUES = 16, 1024, 200_000
+#: Ranges of (sum, key) pairs, and sampled pairs for each.
+PAIR_RANGES, SAMPLED = 256, 16
+#: Rank tables of fewer distinct values are broadcast (some 24 bytes a value); in others, only
+#: values that more than one in MOST_HOT rows has.
+FEW_VALUES, MOST_HOT = 100_000, 1000
 
 
 def exact_quantiles(df: DataFrame, values: Mapping[str, Column], at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``by..., name, n, q``: for each group and named value, its count and its
     quantiles ``at``, by linear interpolation; no row where there is no value.
 
-    A first scan brackets each rank by the sketch, with three times its error to
-    both sides; a second counts what lies below a bracket and each value within.
+    A first scan brackets each rank: up to :data:`ACCURACY` values by the least and the most
+    of all, beyond by the sketch with three times its error and two ranks more to both
+    sides.  A second scan counts each value within a bracket, and what lies between brackets as one.
     """
-    names = list(values)
+    names, k = list(values), len(at)
+    order = sorted(range(k), key=lambda j: at[j])
+    asked = [float(at[j]) for j in order]
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)]
     base = df.select(*keys, *[values[c].alias(f"v{i}") for i, c in enumerate(names)])
     ks = [f"k{i}" for i in range(len(by))]
-    margin = 3.0 / ACCURACY
-    lows, highs = [max(0.0, q - margin) for q in at], [min(1.0, q + margin) for q in at]
+    # a rank is less than one in ACCURACY of the values wherever the sketch decides
+    margin = 5.0 / ACCURACY
+    points = [max(0.0, q - margin) for q in asked] + [min(1.0, q + margin) for q in asked]
     sketched = base.groupBy(*ks).agg(
         *[
             F.struct(
-                F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", [*lows, *highs], ACCURACY).alias("p"), F.min(f"v{i}").alias("least"), F.max(f"v{i}").alias("most")
+                F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", points, ACCURACY).alias("p"), F.min(f"v{i}").alias("least"), F.max(f"v{i}").alias("most")
             ).alias(f"s{i}")
             for i in range(len(names))
         ]
     )
 
-    def brackets(s: Column) -> Column:
-        out = []
-        for j, q in enumerate(at):
-            place = (s["n"] - 1) * F.lit(float(q))
-            lo = s["least"] if q <= margin else s["p"][j]
-            hi = s["most"] if q >= 1 - margin else s["p"][len(at) + j]
-            out.append(F.struct(F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"), place.alias("place"), s["n"].alias("n")))
-        return F.array(*out)
+    def bracket(s: Column) -> Column:
+        few = s["n"] <= ACCURACY
+        lows = [s["least"] if q <= margin else F.when(few, s["least"]).otherwise(s["p"][j]) for j, q in enumerate(asked)]
+        highs = [s["most"] if q >= 1 - margin else F.when(few, s["most"]).otherwise(s["p"][k + j]) for j, q in enumerate(asked)]
+        return F.struct(s["n"].alias("n"), F.array(*lows).alias("lows"), F.array(*highs).alias("highs"))
 
-    bounds = sketched.select(*ks, *[brackets(F.col(f"s{i}")).alias(f"b{i}") for i in range(len(names))])
+    bounds = sketched.select(*ks, *[bracket(F.col(f"s{i}")).alias(f"b{i}") for i in range(len(names))])
     if by:
         hit = None
-        for k in ks:
-            same = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        for c in ks:
+            same = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
             hit = same if hit is None else hit & same
         met = base.alias("l").join(bounds.alias("r"), hit)
     else:
         met = base.alias("l").join(F.broadcast(bounds).alias("r"))  # one row
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"l.v{i}").alias("v"), F.col(f"r.b{i}").alias("b")) for i in range(len(names))])
-    each = (
-        met.select(*[F.col(f"l.{k}").alias(k) for k in ks], F.explode(cells).alias("c"))
-        .filter("c.v is not null")
-        .select(*ks, F.col("c.i").alias("i"), F.col("c.v").alias("v"), F.explode("c.b").alias("b"))
-        .filter("v <= b.hi")
-        # all below the bracket are one
-        .select(*ks, "i", F.col("b.j").alias("j"), "b.n", "b.place", F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-    )
-    part = [*ks, "i", "j", "n", "place"]
-    counts = each.groupBy(*part, "v").agg(F.count(F.lit(1)).alias("m"))
-    run = W.partitionBy(*part).orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    lower = F.floor("place")
+    each = met.select(*[F.col(f"l.{c}").alias(c) for c in ks], F.inline(cells)).filter("v is not null")
+
+    def how_many(conditions: Sequence[Column]) -> Column:
+        out = F.lit(0)
+        for c in conditions:
+            out = out + c.cast("int")
+        return out
+
+    # brackets begin and end in ascending order: those from ``over`` to ``begun`` hold the value
+    over, begun = how_many([F.col("b.highs")[j] < F.col("v") for j in range(k)]), how_many([F.col("b.lows")[j] <= F.col("v") for j in range(k)])
+    part = [*ks, "i", "n"]
+    placed = each.select(*ks, "i", F.col("b.n").alias("n"), over.alias("over"), begun.alias("begun"), "v")
+    counts = placed.groupBy(*part, "over", "begun", F.when(F.col("begun") > F.col("over"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    # for a bracket that has not begun, a value is one of those below
+    brackets = counts.filter(F.col("over") < k).select(*part, F.explode(F.sequence("over", F.lit(k - 1))).alias("j"), "begun", "v", "m")
+    sums = brackets.groupBy(*part, "j", F.when(F.col("j") < F.col("begun"), F.col("v")).alias("v")).agg(F.sum("m").alias("m"))
+    run = W.partitionBy(*part, "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(q) for q in asked]), F.col("j") + 1)
     found = (
-        counts.withColumn("upto", F.sum("m").over(run))
-        .groupBy(*part)
-        .agg(F.min(F.when(F.col("upto") > lower, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"))
+        sums.withColumn("upto", F.sum("m").over(run))
+        .withColumn("place", place)
+        .groupBy(*part, "j", "place")
+        .agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"))
     )
-    share = F.col("place") - lower
+    share = F.col("place") - F.floor("place")
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1.0 - share) * F.col("a") + share * F.col("b"))
     name_of = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("i") + 1)
+    as_asked = F.element_at(F.array(*[F.lit(j) for j in order]), F.col("j") + 1)
     return (
-        found.select(*ks, "i", "n", F.struct("j", value.alias("x")).alias("s"))
+        found.select(*ks, "i", "n", F.struct(as_asked.alias("j"), value.alias("x")).alias("s"))
         .groupBy(*ks, "i", "n")
         .agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("q"))  # one for each quantile asked for
-        .select(*[F.col(k).alias(c) for k, c in zip(ks, by, strict=True)], name_of.alias("name"), "n", "q")
+        .select(*[F.col(c).alias(b) for c, b in zip(ks, by, strict=True)], name_of.alias("name"), "n", "q")
     )
 
 
@@ -93,34 +107,95 @@ def medians(df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> D
     return exact_quantiles(df, values, (0.5,), by).select(*[f"`{c}`" for c in by], "name", F.col("q")[0].alias("median"))
 
 
-def in_ranges(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``range``: values cut at sketched quantiles, so many ranges as
-    keep them small; equal values are in one range and ranges rise with values."""
+# ------------------------------------------------------------ ranges
+
+
+def below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``cuts``, at most ``most``, are less than ``value``, by halving."""
+    steps = [1 << b for b in reversed(range(most.bit_length()))]
+    size = F.size(cuts)
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= size) & (F.get(cuts, lo + s - 1) < value), lo + s).otherwise(lo)
+    )
+
+
+def range_cuts(df: DataFrame, value: str) -> DataFrame:
+    """``cuts``: sketched quantiles of the values, as many as keep the ranges between them small."""
     points = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
     whole = df.agg(F.percentile_approx(value, points, ACCURACY).alias("cuts"), F.approx_count_distinct(value).alias("d"))
     wanted = F.greatest(F.lit(LEAST_RANGES), F.least(F.lit(MOST_RANGES), F.ceil(F.col("d") / RANGE_VALUES)))
     stride = F.floor(F.lit(MOST_RANGES) / wanted)
-    cuts = whole.withColumn("stride", stride).select(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.floor(F.lit(MOST_RANGES - 1) / F.col("stride"))), lambda i: F.col("cuts")[(i * F.col("stride")).cast("int") - 1])).alias("cuts")
-    )
-    return df.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")  # one row
+    chosen = F.transform(F.sequence(F.lit(1), F.floor(F.lit(MOST_RANGES - 1) / F.col("stride"))), lambda i: F.col("cuts")[(i * F.col("stride")).cast("int") - 1])
+    return whole.withColumn("stride", stride).select(F.array_distinct(chosen).alias("cuts"))
 
 
-def sums_before(placed: DataFrame, falling: bool = False, **sums: str) -> DataFrame:
-    """``placed`` (from :func:`in_ranges`) with, for each ``name=column``, the sum of the
+def in_ranges(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``range``: values cut at sketched quantiles, so many ranges as
+    keep them small; equal values are in one range and ranges rise with values."""
+    met = df.join(F.broadcast(range_cuts(df, value)))  # one row
+    return met.withColumn("range", below(F.col("cuts"), F.col(value), MOST_RANGES)).drop("cuts")
+
+
+def in_pair_ranges(df: DataFrame, value: str, key: str) -> DataFrame:
+    """``df`` with ``range``, which rises as (falling ``value``, rising ``key``) does: equal
+    values are cut by their keys.  Cut points come from a sample of bounded size; they
+    decide how even the ranges are, nothing else."""
+    pair = F.struct((-F.col(value)).alias("a"), F.col(key).alias("b"))
+    sample = df.select(pair.alias("pair"), F.xxhash64(key).alias("h")).orderBy("h").limit(PAIR_RANGES * SAMPLED)
+    picked = sample.agg(F.sort_array(F.collect_list("pair")).alias("all"))
+    cuts = picked.select(F.filter("all", lambda x, i: i % SAMPLED == SAMPLED - 1).alias("cuts"))
+    return df.join(F.broadcast(cuts)).withColumn("range", below(F.col("cuts"), pair, PAIR_RANGES)).drop("cuts")  # one row
+
+
+def sums_before(placed: DataFrame, **sums: str) -> DataFrame:
+    """``placed`` (with ``range``) with, for each ``name=column``, the sum of the
     column over all ranges before the row's own."""
     totals = placed.groupBy("range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
-    order = F.col("range").desc() if falling else F.col("range").asc()
     # at most MOST_RANGES rows
-    earlier = W.partitionBy(F.lit(0)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select("range", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(name) for name in sums])
     return placed.join(F.broadcast(before), "range")
 
 
+# ------------------------------------------------------------ ranks
+
+
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``value, rank`` of the distinct values, ties at their mean."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """``value, n, rank`` of the distinct values: how many rows, and their rank, ties at their mean.
+
+    Values are counted first; ranks come from counts over ranges of values and
+    running sums within one.
+    """
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v is not null")
     placed = sums_before(in_ranges(counts, "v"), before="n")
     within = W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("n").over(within), F.lit(0))
-    return placed.withColumn("inside", inside).select(F.col("v").alias(value), (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return placed.withColumn("inside", inside).select(F.col("v").alias(value), "n", (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
+def with_ranks(df: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``df`` with the mean rank of each column's value, as ``names``; null stays null.
+
+    Rows stay where they are: tables of few values are broadcast (a scan has
+    estimated how many there are).  In other columns the frequent values, of which there can be only
+    :data:`MOST_HOT`, are broadcast, and the rest meets by value, so no value that moves is hot.
+    """
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    source = df
+    for i, (c, name) in enumerate(zip(columns, names, strict=True)):
+        value = F.col(f"`{c}`")
+        mine = value_ranks(source.select(value.alias("v")), "v")
+        if seen[f"d{i}"] <= FEW_VALUES:
+            few = mine.select(F.col("v").alias("_v"), F.col("rank").alias(name))
+            df = df.join(F.broadcast(few), value == F.col("_v"), "left").drop("_v")
+            continue
+        frequent = F.col("n") * MOST_HOT > seen["rows"]
+        hot = mine.filter(frequent).select(F.col("v").alias("_v"), F.col("rank").alias("_hot"))
+        rest = mine.filter(~frequent).select(F.col("v").alias("_w"), F.lit(0).alias("_t"), F.col("rank").alias("_rest"))
+        df = df.join(F.broadcast(hot), value == F.col("_v"), "left").drop("_v")
+        # rows that have their rank meet nothing and are dealt evenly
+        settled = F.col("_hot").isNotNull() | value.isNull()
+        df = df.withColumns({"_key": F.when(~settled, value), "_deal": F.when(settled, F.pmod(F.monotonically_increasing_id(), F.lit(1000)) + 1).otherwise(0).cast("int")})
+        df = df.join(rest, (F.col("_key") == F.col("_w")) & (F.col("_deal") == F.col("_t")), "left")
+        df = df.withColumn(name, F.coalesce("_hot", "_rest")).drop("_hot", "_rest", "_key", "_deal", "_w", "_t")
+    return df

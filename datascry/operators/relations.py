@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from datascry.functions import special
 from datascry.functions.values import blank_key, finite, fmt_num, strength_label, trimmed
 from datascry.operators.profile import key_counts, number
-from datascry.operators.ranks import exact_quantiles, medians, value_ranks
+from datascry.operators.ranks import exact_quantiles, medians, with_ranks
 
 INF = float("inf")
 
@@ -55,18 +55,16 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], chunk: int = 40) -> Dat
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``a, b, rho``: correlation of average ranks after pairwise deletion.
 
-    Ranks come from counts of distinct values and running sums over ranges of
-    them, so rows meet by value and a window only ever holds one range.
-    Columns without gaps are ranked once for all their pairs.
+    Ranks of all columns without gaps come from one pass, for all their pairs; a
+    pair with gaps is ranked by itself.
     """
     base = df.select(*[number(df, c).alias(c) for c in columns])
     row = base.agg(F.count(F.lit(1)).alias("_all"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
     whole = [c for i, c in enumerate(columns) if row[f"n{i}"] == row["_all"]]
     out = None
     if len(whole) > 1:
-        ranks = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
-        for i in range(len(whole)):
-            ranks = ranks.join(value_ranks(base.select(F.col(f"`{whole[i]}`").alias(f"v{i}")), f"v{i}").toDF(f"v{i}", f"r{i}"), f"v{i}")
+        plain = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
+        ranks = with_ranks(plain, plain.columns, [f"r{i}" for i in range(len(whole))])
         pairs = list(combinations(range(len(whole)), 2))
         rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), F.corr(f"r{i}", f"r{j}").alias("rho")) for i, j in pairs]
         out = ranks.agg(F.array(*rhos).alias("rows")).select(F.inline("rows"))
@@ -80,8 +78,8 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _ranked_pair(pair: DataFrame) -> DataFrame:
-    """``rx, ry``: average ranks of ``x, y``, by counts of values."""
-    return pair.join(value_ranks(pair, "x").toDF("x", "rx"), "x").join(value_ranks(pair, "y").toDF("y", "ry"), "y")
+    """``x, y`` with their average ranks ``rx, ry``."""
+    return with_ranks(pair, ["x", "y"], ["rx", "ry"])
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from datascry.operators import relations as R
 from datascry.operators import series as S
 from datascry.plans.naming import detect_domain, pick_metric
 from datascry.sources.infer import GROUPABLE, NUMERIC, infer_types
+from datascry.sources.tables import with_row_numbers
 
 # Eligibility and keep thresholds.
 MOST_LEVELS, MOST_CATEGORIES, MOST_METRICS, MOST_PARETO, MOST_COMPOSITIONS = 60, 25, 14, 6, 4
@@ -79,14 +80,12 @@ def profile_all(df: DataFrame, types: Mapping[str, str]) -> list[dict]:
 
 def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | None = None, cache: bool = True) -> Report:
     """The report of a table; ``types`` overrides inferred types, ``row`` names a
-    column that identifies rows in the list of outliers (by default the place
+    column that identifies rows in the list of outliers (by default the 1-based place
     among the rows as read).
 
     Dozens of scans follow, so the table is kept in Spark's cache (memory, then
     disk) until ``report.source.unpersist()``; ``cache=False`` reads it each time.
     """
-    if row is None and "_row" in df.columns:
-        row = "_row"
     names = [c for c in df.columns if c != "_row"]
     if cache:
         df = df.persist()
@@ -114,7 +113,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments, R.group_medians(binned, categories, metrics))
     if len(base) > 1:
         f["associations"] = R.cramers_v(df, list(combinations(base, 2))).withColumn("reading", overlap_label(F.col("v")))
-    odd = R.outliers(df if row else df.withColumn("_row", F.monotonically_increasing_id()), numeric, row or "_row") if numeric else None
+    odd = R.outliers(df if row else with_row_numbers(df, "_row"), numeric, row or "_row") if numeric else None
     for c in [c for c in names if rep.types[c] == "category" and by[c]["complete"] > 50]:
         rare = R.rare_categories(df, c).select(
             "column", F.lit(None).cast("string").alias("row"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("z"),

@@ -1,80 +1,80 @@
-"""Two made-up tables to try the analysis on, planted with what it should find."""
+"""Two made-up tables to try the analysis on, with effects that it should find.
 
-from __future__ import annotations
+Every cell is a function of its row's number, so a table is the same in every run and
+on any number of tasks.
+"""
 
-from collections.abc import Mapping, Sequence
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _draw(salt: int) -> Column:
-    """A number from 0 to 1 for each row, the same in every run."""
-    return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
-
-
-def _pick(options: Sequence[str], salt: int) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in options]), F.floor(_draw(salt) * len(options)).cast("int") + 1)
-
-
-def _factor(column: str, by: Mapping[str, float]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col(f"`{column}`"))
-
-
-def sales(spark: SparkSession, rows: int = 520) -> DataFrame:
-    """Three records a day, with growth and a weekly rhythm in the revenue."""
-    base = {"Electronics": 64.0, "Home": 41.0, "Groceries": 32.0, "Apparel": 27.0, "Dining": 17.0}
-    day = F.floor(F.col("id") / 3)
-    level = (1 + 0.85 * day / (rows / 3.0)) * (1 + 0.18 * F.sin(2 * 3.141592653589793 * (day % 7) / 7))
-    return (
-        spark.range(rows)
-        .withColumn("Date", F.date_add(F.lit("2026-02-15"), day.cast("int")))
-        .withColumn("Category", _pick(list(base), 1))
-        .withColumn("Region", _pick(("North", "South", "East", "West"), 2))
-        .withColumn("Channel", _pick(("Online", "In-Store"), 3))
-        .withColumn("Units", F.greatest(F.lit(1.0), F.round(0.4 * _factor("Category", base) * level * (0.9 + 0.2 * _draw(4)))))
-        .withColumn("Revenue", F.round(F.col("Units") * _factor("Category", base) * level, 2))
-        .withColumn("Ad Spend", F.round(F.col("Revenue") * (0.09 + 0.05 * _draw(5)), 2))
-        .drop("id")
-    )
-
-
-def insurance(spark: SparkSession, rows: int = 900) -> DataFrame:
-    """Motor policies whose premium follows credit, age bracket and vehicle class."""
-    credit = {"Poor": 1.5, "Fair": 1.25, "Good": 1.0, "Very Good": 0.88, "Excellent": 0.77}
-    age = {"18-24": 1.8, "25-34": 1.2, "35-49": 0.95, "50-64": 0.87, "65+": 1.05}
-    vehicle = {"Sedan": 1.0, "SUV": 1.1, "Truck": 1.15, "Sports": 1.65, "Minivan": 0.92, "EV": 1.2}
-    years = {"18-24": 21.0, "25-34": 29.0, "35-49": 42.0, "50-64": 57.0, "65+": 71.0}
-    yes_no = ("Yes", "No")
-    out = (
-        spark.range(rows)
-        .withColumn("Policy ID", F.concat(F.lit("P"), (F.col("id") + 100_000).cast("string")))
-        .withColumn("Age Bracket", _pick(list(age), 1))
-        .withColumn("Age", _factor("Age Bracket", years) + F.floor(6 * _draw(2)) - 3)
-        .withColumn("Vehicle Class", _pick(list(vehicle), 3))
-        .withColumn("Credit Score Range", _pick(list(credit), 4))
-        .withColumn("Traffic Violations", F.greatest(F.lit(0.0), F.round(3 * _draw(5) - F.when(F.col("Credit Score Range").isin("Excellent", "Very Good"), 1).otherwise(0))))
-        .withColumn("Claims Filed", F.greatest(F.lit(0.0), F.round(2.2 * _draw(6) - F.when(F.col("Age") > 50, 0.7).otherwise(0.0))))
-        .withColumn("Primary Use", _pick(("Commute", "Pleasure", "Business", "Farm"), 7))
-        .withColumn("Annual Mileage", F.round((6000 + 18000 * _draw(8)) * F.when(F.col("Primary Use") == "Commute", 1.25).otherwise(1.0)))
-        .withColumn("Commute Distance", F.round(42 * _draw(9), 1))
-        .withColumn("Vehicle Age", F.round(14 * _draw(10)))
-        .withColumn("Vehicle Safety Rating", F.round(1 + 4 * _draw(11)))
-    )
-    risk = _factor("Credit Score Range", credit) * _factor("Age Bracket", age) * _factor("Vehicle Class", vehicle)
-    out = (
-        out.withColumn("Annual Premium", F.round(620 * risk * (1 + 0.13 * F.col("Traffic Violations")) * (1 + 0.16 * F.col("Claims Filed")) * (0.9 + 0.22 * _draw(12)), 2))
-        .withColumn("Claim Amount Paid", F.when(F.col("Claims Filed") > 0, F.round(2200 * _factor("Vehicle Class", vehicle) * (0.6 + 1.5 * _draw(13)), 2)).otherwise(0.0))
-        .withColumn("Customer Lifetime Value", F.round(F.col("Annual Premium") * (3 + 8 * _draw(14)), 2))
-        .withColumn("Suspension History", F.when(F.col("Traffic Violations") > 2, "Yes").otherwise("No"))
-        .withColumn("Last Renewal Date", F.date_add(F.lit("2025-01-01"), F.floor(364 * _draw(15)).cast("int")))
-    )
-    for i, (name, options) in enumerate(
-        {
-            "Gender": ("M", "F", "X"), "Marital Status": ("Single", "Married", "Divorced", "Widowed"), "Zip Territory": ("10001", "30301", "60601", "75201", "90210", "98101"),
-            "Anti-Theft Device": yes_no, "Discount Eligibility": yes_no, "Telematics Enrolled": yes_no, "Payment History": ("On-time", "Late 1-2", "Late 3+"),
-            "Loyalty Program": ("Bronze", "Silver", "Gold", "None"), "Household Income Bracket": ("<40K", "40-75K", "75-125K", "125-200K", "200K+"),
-        }.items()
-    ):
-        out = out.withColumn(name, _pick(options, 20 + i))
-    return out.withColumn("Years As Customer", F.round(18 * _draw(40))).withColumn("Coverage Gap Months", F.floor(5 * _draw(41)).cast("double")).drop("id")
+def _chance(name: str) -> Column:
+    """Evenly spread over [0, 1), by row and name."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(name), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _bell(name: str) -> Column:
+    """About normal with deviation 1: twelve even draws less their mean."""
+    out = F.lit(-6.0)
+    for i in range(12):
+        out = out + _chance(f"{name}.{i}")
+    return out
+
+
+def _one_of(name: str, options: tuple[str, ...]) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in options]), F.floor(_chance(name) * len(options)).cast("int"))
+
+
+def _added(column: str, **by: float) -> Column:
+    """What a level adds; 0 for levels that are not named."""
+    out = F.lit(0.0)
+    for level, plus in by.items():
+        out = out + F.when(F.col(f"`{column}`") == level, plus).otherwise(0.0)
+    return out
+
+
+def workshop(spark: SparkSession, rows: int = 900) -> DataFrame:
+    """Jobs of a bicycle workshop.
+
+    Planted: the hours of a job follow the kind of bike and its motor, its cost follows
+    hours and parts; wear follows the way ridden; satisfaction falls with the days of waiting; one
+    shop has nearly all cargo bikes; a few jobs cost many times the usual.
+    """
+    kinds, shops = ("City", "Road", "Mountain", "Cargo", "Folding"), ("Harbour", "Station", "Old Town", "Hillside")
+    jobs = spark.range(rows)
+    jobs = jobs.withColumn("Job ID", F.format_string("J-%05d", F.col("id") * 7 + 11))
+    jobs = jobs.withColumn("Received", F.date_add(F.lit("2031-03-03"), F.floor(_chance("day") * 280).cast("int")))
+    jobs = jobs.withColumn("Bike Kind", _one_of("kind", kinds)).withColumn("Frame", _one_of("frame", ("Steel", "Alloy", "Carbon")))
+    jobs = jobs.withColumn("Motor", F.when(_chance("motor") < F.when(F.col("Bike Kind") == "Cargo", 0.9).otherwise(0.25), "yes").otherwise("no"))
+    jobs = jobs.withColumn("Shop", F.when((F.col("Bike Kind") == "Cargo") & (_chance("moved") < 0.85), "Harbour").otherwise(_one_of("shop", shops)))
+    jobs = jobs.withColumn("Mechanic", _one_of("mechanic", ("Ada", "Bo", "Cem", "Dina", "Eli", "Fay")))
+    jobs = jobs.withColumn("Urgency", _one_of("urgency", ("Low", "Medium", "High")))
+    jobs = jobs.withColumn("Booked Online", F.when(_chance("online") < 0.6, "yes").otherwise("no"))
+    jobs = jobs.withColumn("Kilometres Ridden", F.round(150.0 + 9000.0 * _chance("way") * _chance("way too")))
+    jobs = jobs.withColumn("Wear", F.round(2.0 + 0.004 * F.col("Kilometres Ridden") + 2.5 * _bell("wear"), 1))
+    jobs = jobs.withColumn("Parts Fitted", F.floor(1.0 + 6.0 * _chance("parts")))
+    hours = 1.5 + _added("Bike Kind", Cargo=2.25, Mountain=0.75) + _added("Motor", yes=1.75) + 0.2 * F.col("Parts Fitted") + 0.35 * _bell("hours")
+    jobs = jobs.withColumn("Labour Hours", F.round(F.greatest(F.lit(0.25), hours), 2))
+    jobs = jobs.withColumn("Parts Spend", F.round(F.col("Parts Fitted") * (14.0 + _added("Frame", Carbon=23.0, Alloy=4.0)) + 5.0 * _chance("spend"), 2))
+    jobs = jobs.withColumn("Waiting Days", F.greatest(F.lit(0.0), F.round(6.0 + _added("Urgency", High=-4.0, Low=3.0) + 1.5 * _bell("wait"))))
+    jobs = jobs.withColumn("Satisfaction", F.round(9.0 - 0.45 * F.col("Waiting Days") + 0.6 * _bell("mood"), 1))
+    odd = F.when(F.col("id") % 181 == 90, 9.0).otherwise(1.0)
+    jobs = jobs.withColumn("Job Revenue", F.round(odd * (52.0 * F.col("Labour Hours") + 1.3 * F.col("Parts Spend") + 9.0 * _bell("bill")), 2))
+    return jobs.drop("id")
+
+
+def hires(spark: SparkSession, rows: int = 520) -> DataFrame:
+    """Bikes hired at four stations by day.
+
+    Planted: a rise over the whole span, weekends above weekdays, rain below sun, and
+    income that follows the hires.
+    """
+    stations = ("Lake", "Market", "Museum", "Park")
+    day = F.floor(F.col("id") / len(stations)).cast("int")
+    out = spark.range(rows).withColumn("Day", F.date_add(F.lit("2030-05-06"), day)).withColumn("Station", F.get(F.array(*[F.lit(s) for s in stations]), (F.col("id") % len(stations)).cast("int")))
+    out = out.withColumn("Weather", _one_of("weather", ("Sun", "Cloud", "Rain")))
+    level = 40.0 + 0.3 * day + F.when(F.dayofweek("Day").isin(1, 7), 25.0).otherwise(0.0) + _added("Weather", Sun=12.0, Rain=-15.0) + _added("Station", Lake=18.0, Park=6.0)
+    out = out.withColumn("Hires", F.greatest(F.lit(0.0), F.round(level + 4.0 * _bell("hires"))))
+    return out.withColumn("Income", F.round(3.75 * F.col("Hires") + 6.0 * _bell("income"), 2)).withColumn("Broken Bikes", F.floor(4.0 * _chance("broken"))).drop("id")

@@ -9,8 +9,11 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from datascry.functions.values import is_blank
@@ -120,32 +123,145 @@ def parse_delimited(text: str, sep: str, most_field: int = MOST_FIELD_CHARS) ->
     return rows
 
 
-def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None, most_columns: int = MOST_COLUMNS
-) -> DataFrame:
-    """Delimited text as a table of text columns and ``_row``, the order in the file.
+def _split_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part of a file that a task reads: its quotes, and whether any of its lines
+    begins a record if the part begins outside quotes, or inside."""
+    at, quotes, even, odd = None, 0, False, False
 
-    ``multiline`` tells whether quoted fields hold line breaks; by default the
-    lines are looked at: only where one has an odd number of quotes are files read
-    whole, each by one task, else Spark splits them.  Ragged rows are filled
-    up; a quote is doubled to stand for itself.
+    def out() -> pa.RecordBatch:
+        columns = zip((*at, quotes, even, odd), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=["file", "begin", "quotes", "even", "odd"])
+
+    for lines, file, begin in _by_split(batches):
+        if at != (file, begin):
+            if at:
+                yield out()
+            at, quotes, even, odd = (file, begin), 0, False, False
+        n = np.asarray(pc.count_substring(lines, '"'))
+        inside = (quotes + np.cumsum(n) - n) & 1
+        even, odd, quotes = even or bool((inside == 0).any()), odd or bool((inside == 1).any()), quotes + int(n.sum())
+    if at:
+        yield out()
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The lines of each batch with what the other columns say of their part of a file."""
+    for batch in batches:
+        lo, begins, files = 0, batch.column(2), batch.column(1)
+        change = [i for i in range(1, batch.num_rows) if begins[i] != begins[i - 1] or files[i] != files[i - 1]] if pc.count_distinct(begins).as_py() + pc.count_distinct(files).as_py() > 2 else []
+        for hi in [*change, batch.num_rows]:
+            if hi > lo:
+                yield batch.column(0)[lo:hi], *[batch.column(c)[lo].as_py() for c in range(1, batch.num_columns)]
+            lo = hi
+
+
+def _records(sep: str, whole: bool):
+    """Of each part of a file, the records that begin and end in it (``whole``) as cells, or
+    else the pieces of those that reach over its ends, with the number of the part they began in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, first, part, came_from, odd, seen = None, [], 0, 0, None, 0, 0
+        rows: list[tuple] = []
+
+        def close(end: bool) -> None:
+            """The lines held are a record, or a piece of one."""
+            nonlocal held
+            if held and came_from is not None:  # it began in an earlier part
+                if not whole:
+                    rows.append(((came_from << 33), part, "\n".join(held)))
+            elif held and end and odd:  # it goes on in a later one
+                if not whole:
+                    rows.append(((part << 33), part, f"{first}\n" + "\n".join(held)))
+            elif held and whole:
+                said = "\n".join(held)
+                cells = parse_delimited(said, sep)[0] if '"' in said else said.replace("\r", "").split(sep)
+                rows.append(((part << 33) + first, cells))
+            held = []
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.list_(pa.string())) if whole else (pa.int64(), pa.int64(), pa.string())
+            columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["_row", "cells"] if whole else ["record", "piece", "said"])
+
+        for lines, file, begin, state, number, origin in _by_split(batches):
+            if state is None:
+                raise TableError("the files have changed while they were read")
+            if at != (file, begin):
+                close(True)
+                at, odd, part, seen = (file, begin), state, number, 0
+                came_from = origin if state else None
+            n = np.asarray(pc.count_substring(lines, '"'))
+            inside = (odd + np.cumsum(n) - n) & 1
+            for line, continued in zip(lines.to_pylist(), inside.tolist()):
+                if not continued:
+                    if seen:
+                        close(False)
+                        came_from = None
+                    first = seen
+                if whole or came_from is not None or continued or len(held) == 0:
+                    held.append(line)
+                seen += 1
+            odd = (odd + int(n.sum())) & 1
+            if sum(map(len, held)) > 2 * MOST_FIELD_CHARS and odd:
+                raise TableError(f"a cell has more than {MOST_FIELD_CHARS:,} characters")
+            if len(rows) > 5000:
+                yield out()
+                rows.clear()
+        close(True)
+        yield out()
+
+    return run
+
+
+def _joined(sep: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells = [], []
+            for record, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first, _, said = pieces[0].partition("\n")
+                rows.append(record + int(first))
+                cells.append(parse_delimited("\n".join([said, *pieces[1:]]), sep)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["_row", "cells"])
+
+    return run
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """Delimited text as a table of text columns and ``_row``, which rises in the order of
+    files and lines.  Quotes are read as by :func:`parse_delimited`; ragged rows are filled up.
+
+    Files are split however large they are.  A first pass counts the quotes of each
+    split; their running parity tells whether a split begins inside quotes, so the
+    second parses each by itself.  Records that reach over splits are put together of
+    their pieces, at most two for each split.  Without any quotes there is no Python.
     """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
     if sep is None:
-        first = spark.read.text(path).limit(1).collect()
+        first = lines.select("value").limit(1).collect()
         sep = sniff_delimiter(first[0][0] if first else "")
-    if multiline is None:
-        multiline = not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-    # one column more than allowed shows that there are too many
-    schema = ", ".join(f"c{i} string" for i in range(most_columns + 1))
-    raw = (
-        spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline)
-        .option("header", False).option("mode", "PERMISSIVE").option("maxCharsPerColumn", MOST_FIELD_CHARS).csv(path)
-    )
-    cells = F.array(*[F.col(f"c{i}") for i in range(most_columns + 1)])
-    last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(most_columns)), lambda i: F.when(F.get(cells, i).isNotNull(), i + 1).otherwise(0)))
-    rows = raw.select(F.monotonically_increasing_id().alias("_row"), F.slice(cells, F.lit(1), last).alias("cells"))
+    splits = lines.mapInArrow(_split_states, "file string, begin long, quotes long, even boolean, odd boolean")
+    # one row for each split of the files: a few bytes for each 128 MB
+    known = spark.createDataFrame(splits.collect(), splits.schema)
+    if not known.filter("quotes > 0").isEmpty():
+        so_far = W.partitionBy("file").orderBy("begin").rowsBetween(W.unboundedPreceding, -1)
+        numbered = known.withColumns(
+            {
+                "state": (F.coalesce(F.sum("quotes").over(so_far), F.lit(0)) % 2).cast("int"),
+                "number": (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file", "begin")) - 1).cast("long"),
+            }
+        )
+        begins = F.when(F.when(F.col("state") == 1, F.col("odd")).otherwise(F.col("even")), F.col("number"))
+        states = numbered.withColumn("origin", F.last(begins, True).over(so_far)).select("file", "begin", "state", "number", "origin")
+        met = lines.join(F.broadcast(states), ["file", "begin"], "left").select("value", "file", "begin", "state", "number", "origin")
+        inner = met.mapInArrow(_records(sep, True), "_row long, cells array<string>")
+        pieces = met.mapInArrow(_records(sep, False), "record long, piece long, said string")
+        over = pieces.groupBy("record").agg(F.transform(F.sort_array(F.collect_list(F.struct("piece", "said"))), lambda p: p["said"]).alias("pieces"))
+        cells = inner.unionByName(over.mapInArrow(_joined(sep), "_row long, cells array<string>"))
+    else:
+        bare = F.regexp_replace("value", "\r", "")
+        cells = lines.select(F.monotonically_increasing_id().alias("_row"), F.split(bare, re.escape(sep)).alias("cells"))
     bom = F.transform("cells", lambda c, i: F.when(i == 0, F.regexp_replace(c, "^\ufeff", "")).otherwise(c))
-    return to_table(rows.withColumn("cells", bom), most_columns)
+    return to_table(cells.withColumn("cells", bom), most_columns)
 
 
 def read_text_block(spark: SparkSession, text: str, sep: str | None = None) -> DataFrame:
@@ -270,14 +386,34 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return to_table(files.mapInArrow(_workbook_batches, "_row long, cells array<string>"))
 
 
-def read_table(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """By extension: Parquet, workbook, else delimited text (``multiline`` as there)."""
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """By extension: Parquet, workbook, else delimited text."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "xls":
         raise TableError("legacy .xls is not supported: save it as .xlsx or .csv")
     if kind == "parquet":
         return spark.read.parquet(path)
-    return read_workbook(spark, path) if kind in ("xlsx", "xlsm") else read_delimited(spark, path, multiline=multiline)
+    return read_workbook(spark, path) if kind in ("xlsx", "xlsm") else read_delimited(spark, path)
+
+
+def with_row_numbers(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the 1-based number of each row in the order of its partitions, as ``name``.
+
+    Nothing is shuffled: partitions are counted first (a row for each), and a row's place in
+    its own is added to the rows of all before.  ``df`` must read alike each time.
+    """
+    placed = df.drop(name).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_id", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in sorted(counts):
+        before.append((p, total))
+        total += counts[p]
+    if not before:
+        return placed.withColumnRenamed("_id", name)
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    met = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
 def preview(df: DataFrame, rows: int = 8) -> DataFrame:

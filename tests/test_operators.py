@@ -1,7 +1,10 @@
 """Exact unit facts and edge cases of the table statistics."""
 
 import math
+import random
 
+import numpy as np
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +182,43 @@ def test_value_ranks(spark):
     assert got == {v: sum(i + 1 for i, x in enumerate(flat) if x == v) / flat.count(v) for v in set(flat)}
 
 
+@pytest.mark.parametrize("sizes", [range(0, 60), (61, 137, 262, 400, 933, 3300, 3333, 3334, 3400), (9_999, 10_000, 10_001, 20_011)])
+def test_quantiles_of_all_sizes(spark, sizes):
+    """Every group at 41 places, asked for in any order, against linear interpolation."""
+    at = [i / 40 for i in reversed(range(41))]
+    rng = random.Random(len(sizes))
+    rows = [(n, float(i * i) if n % 3 else float(rng.randrange(7))) for n in sizes for i in range(n)] + [(n, None) for n in sizes]
+    df = frame(spark, rows, "k int, x double")
+    got = {r.k: (r.n, r.q) for r in ranks.exact_quantiles(df, {"x": F.col("x")}, at, ["k"]).collect()}
+    assert set(got) == {n for n in sizes if n}
+    for n, (count, q) in got.items():
+        assert count == n and q == pytest.approx(np.quantile([x for k, x in rows if k == n and x is not None], at).tolist(), abs=1e-9), n
+
+
+def test_ranks_of_hot_and_of_many_values(spark, monkeypatch):
+    rows = [(float(x % 911) if x % 3 else 0.0, float(x) if x % 2 else 7.5, None if x % 4 else 1.0) for x in range(4000)]
+    df = frame(spark, rows, "x double, y double, z double")
+    flat = [sorted(r[i] for r in rows if r[i] is not None) for i in range(3)]
+    want = [{v: sum(i + 1 for i, u in enumerate(col) if u == v) / col.count(v) for v in set(col)} for col in flat]
+    for few in (100_000, 10):
+        monkeypatch.setattr(ranks, "FEW_VALUES", few)
+        monkeypatch.setattr(ranks, "MOST_HOT", 10)
+        got = ranks.with_ranks(df, ["x", "y", "z"], ["a", "b", "c"])
+        assert got.columns == ["x", "y", "z", "a", "b", "c"] and got.count() == len(rows)
+        for r in got.collect():
+            assert (r.a, r.b, r.c) == tuple(w.get(v) for w, v in zip(want, (r.x, r.y, r.z)))
+
+
+def test_pareto_of_equal_sums_is_in_many_ranges(spark):
+    keys = spark.range(50_000).select(F.concat(F.lit("Customer#"), F.format_string("%09d", F.col("id"))).alias("key"), F.lit(1.0).alias("value"))
+    assert ranks.in_pair_ranges(keys, "value", "key").select("range").distinct().count() > 100
+    got = explore.pareto(keys, "key", "value")
+    top = got.orderBy("place").limit(3).collect()
+    assert [r["key"][-1] for r in top] == ["0", "1", "2"] and got.filter("place = 40000").first()["cum_share"] == pytest.approx(80)
+    mixed = frame(spark, [("b", 3.0), ("a", 3.0), ("c", -1.0), (None, 5.0), ("d", None), ("a", 0.0)], "k string, v double")
+    assert [(r["key"], r["value"]) for r in explore.pareto(mixed, "k", "v").orderBy("place").collect()] == [("(blank)", 5.0), ("a", 3.0), ("b", 3.0), ("c", -1.0)]
+
+
 def test_axis_ticks():
     assert display.axis_ticks(0, 10) == [0, 5, 10]
     assert display.axis_ticks(0, 100, 4) == [0, 50, 100]

@@ -4,6 +4,7 @@ import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,25 +104,57 @@ def test_report_finds_planted_signal(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "frames" / "drivers")).count()
 
 
-def test_insurance_sample_finds_what_is_planted(spark):
-    whole = samples.insurance(spark)
-    assert len(whole.columns) == 28 and whole.count() == 900
-    shown = ("Policy ID", "Age Bracket", "Vehicle Class", "Credit Score Range", "Annual Premium", "Claims Filed", "Customer Lifetime Value", "Gender", "Last Renewal Date")
-    rep = analyse(whole.select(*[f"`{c}`" for c in shown]).coalesce(1), row="Policy ID")
-    assert rep.metric == "Annual Premium" and rep.domain[0] == "insurance"
-    assert len(rep.findings) >= 12 and len(rep.lists["drivers"]) >= 6
-    top = [d["driver"] for d in rep.lists["drivers"] if d["metric"] == rep.metric and "(quintile)" not in d["driver"]][:5]
-    assert {"Credit Score Range", "Age Bracket", "Vehicle Class"} <= set(top)
+def test_workshop_sample_finds_what_is_planted(spark):
+    rep = analyse(samples.workshop(spark).coalesce(1), row="Job ID")
+    assert rep.rows == 900 and len(rep.types) == 17 and rep.metric == "Job Revenue" and rep.types["Received"] == "date"
+    assert len(rep.findings) >= 15 and len(rep.lists["drivers"]) >= 6
+    on_hours = [d["driver"] for d in rep.lists["drivers"] if d["metric"] == "Labour Hours" and "(quintile)" not in d["driver"]]
+    assert set(on_hours[:2]) == {"Motor", "Bike Kind"}
+    found = {frozenset((r["a"], r["b"])): r["r"] for r in rep.lists["correlations"]}
+    assert found[frozenset(("Wear", "Kilometres Ridden"))] > 0.8 and found[frozenset(("Satisfaction", "Waiting Days"))] < -0.8
+    assert {frozenset((r["a"], r["b"])) for r in rep.lists["associations"]} >= {frozenset(("Bike Kind", "Shop")), frozenset(("Bike Kind", "Motor"))}
+    assert not any({"Mechanic", "Booked Online"} & {d["driver"]} for d in rep.lists["drivers"])
+    odd = {r["row"] for r in rep.lists["outliers"] if r["column"] == "Job Revenue"}
+    assert {f"J-{i * 7 + 11:05d}" for i in range(90, 900, 181)} <= odd
     strip = {c["label"]: c["value"] for c in rep.strip}
-    assert strip["Rows"] == "900" and {"Data quality", "Top association", "Outliers", "Median Annual Premium"} <= set(strip)
+    assert strip["Rows"] == "900" and {"Data quality", "Top association", "Outliers", "Median Job Revenue"} <= set(strip)
     matrix = {(r["a"], r["b"]): r["r"] for r in rep.lists["corr_matrix"]}
-    assert len(matrix) == 3 * 3 and all(matrix[b, a] == r for (a, b), r in matrix.items())
+    assert len(matrix) == 7 * 7 and all(matrix[b, a] == r for (a, b), r in matrix.items())
     assert {r["side"] for r in rep.lists["hot_and_cold"]} == {"above", "below"}
-    assert rep.lists["period_extremes"][0]["months"] == 12
     assert any(k.startswith("composition:") for k in rep.lists)
     rep.source.unpersist()
 
 
+def test_hires_sample_rises_and_has_weekends(spark):
+    rep = analyse(samples.hires(spark).coalesce(1))
+    assert rep.metric == "Income" and rep.date == "Day" and rep.rows == 520
+    kinds = {f["kind"]: f["title"] for f in rep.findings}
+    assert "rising" in kinds["trend"] and "seasonality" in kinds
+    assert any(d["driver"] == "Weather" and d["metric"] == "Income" for d in rep.lists["drivers"])
+    assert all(isinstance(r["row"], str) and 1 <= int(r["row"]) <= 520 for r in rep.lists["outliers"] if r["row"] is not None)
+    rep.source.unpersist()
+
+
+@pytest.mark.parametrize("rows", [0, 1, 6, 30, 137, 933])
+def test_reports_of_few_rows(spark, rows):
+    df = spark.range(rows).select((F.col("id") * F.col("id")).cast("double").alias("Cost"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("Item"), (F.col("id") % 46).cast("double").alias("Units"))
+    rep = analyse(df)
+    assert rep.rows == rows and len(rep.summary) >= 60 and rep.actions
+    if rows > 20:
+        cost = next(p for p in rep.profiles if p["column"] == "Cost")
+        assert [cost[k] for k in ("p05", "q1", "median", "q3", "p95")] == pytest.approx(np.quantile([float(i * i) for i in range(rows)], (0.05, 0.25, 0.5, 0.75, 0.95)).tolist(), abs=1e-9)
+    rep.source.unpersist()
+
+
+def test_rows_are_numbered_from_one_over_partitions(spark):
+    df = spark.range(0, 1000, 1, 4).filter("id % 3 <> 0").withColumn("x", F.when(F.col("id") == 998, 1e6).otherwise(F.col("id") % 10))
+    got = tables.with_row_numbers(df, "row")
+    assert [r["row"] for r in got.orderBy("id").collect()] == list(range(1, got.count() + 1))
+    assert relations.outliers(got, ["x"], "row").first()["row"] == got.filter("id = 998").first()["row"] == 666
+    assert tables.with_row_numbers(df.limit(0), "row").count() == 0
+    assert tables.with_row_numbers(got, "row").columns == got.columns
+
+
 def test_report_of_messy_and_single_columns(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["Web", "web", "Shop"]), f"${rng.random() * 90:.2f}" if i % 9 else "", str(i % 7) if i % 5 else None, "same") for i in range(250)]
@@ -146,11 +179,38 @@ def test_delimited_text_with_odd_quotes(spark):
     assert tables.read_text_block(spark, text).count() == 2
 
 
-def test_only_files_with_breaks_in_quotes_are_read_whole(spark, tmp_path):
-    (tmp_path / "plain.csv").write_text("a,b\n" + "\n".join(f'"{i}, x",{i}' for i in range(50)))
-    (tmp_path / "broken.csv").write_text('a,b\n"1\n2",3\n4,5\n')
-    assert tables.read_table(spark, str(tmp_path / "plain.csv")).count() == 50
-    assert sorted(r.a for r in tables.read_table(spark, str(tmp_path / "broken.csv")).collect()) == ["1\n2", "4"]
+@pytest.mark.parametrize("split", [60, 700, 1 << 20])
+def test_split_files_read_as_pasted_text_does(spark, tmp_path, split):
+    """Quotes anywhere, breaks in quotes, records over many splits: one parser, however files are split."""
+    rng = random.Random(split)
+    cells = ["", "a", '"x,y"', '"two\nlines"', 'mid"d,le"q', '"say ""hi"""', '"\n\n\n"', "é中", '"cr\r\nin"', '"' + "long\n" * 30 + '"', "0", '""', '"","']
+    text = "one,two,three\r\n" + "".join(",".join(rng.choice(cells) for _ in range(3)) + rng.choice(["\n", "\r\n"]) for _ in range(25)) + 'last,"open\nend,'
+    path = tmp_path / "t.csv"
+    path.write_bytes(text.encode())
+    want = [[c or "" for c in r[1:]] for r in tables.read_text_block(spark, text, ",").orderBy("_row").collect()]
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = tables.read_table(spark, str(path))
+        got = [list(r[1:]) for r in df.orderBy("_row").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    assert got == want
+
+
+def test_files_with_and_without_quotes(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,v\r\n1,\"x\ny\"\r\n2,b\r\n")
+    (folder / "b.csv").write_text('3,"c"\n4,d\n')
+    assert [tuple(r) for r in tables.read_table(spark, str(folder)).orderBy("_row").select("k", "v").collect()] == [("1", "x\ny"), ("2", "b"), ("3", "c"), ("4", "d")]
+    (tmp_path / "plain.csv").write_text("\ufeffa;b\r\n1;2\r\n3;4")
+    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "plain.csv")).select("a", "b").collect()] == [("1", "2"), ("3", "4")]
+    (tmp_path / "stray.csv").write_text('a,b\n1,"never closed\n' + "z" * 2_100_000)
+    with pytest.raises(Exception, match="characters"):
+        tables.read_table(spark, str(tmp_path / "stray.csv")).count()
 
 
 def test_bands_use_up_no_place_where_there_are_none(spark):
