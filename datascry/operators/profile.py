@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,17 +86,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             )
         rows = values.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
         out = rows if out is None else out.unionByName(rows)
-    # distinct values by their own grouping: many count-distincts in one aggregate would expand every row
-    counted = None
-    for c in columns:
-        one = df.select(number(df, c).alias("v")).filter("v is not null").groupBy("v").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct"))
-        one = one.select(F.lit(c).alias("column"), "distinct")
-        counted = one if counted is None else counted.unionByName(one)
+    # distinct values of all columns by one grouping
+    values = _cells(df, columns, lambda c: number(df, c)).filter("v is not null").groupBy("i", "v").agg(F.lit(1))
+    counted = _named(values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct")), columns)
     q = exact_quantiles(df, {c: number(df, c) for c in columns}, (0.05, 0.25, 0.5, 0.75, 0.95)).select(
         F.col("name").alias("column"), *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))]
     )
     # both have one row per column
-    return out.join(F.broadcast(counted), "column").join(F.broadcast(q), "column", "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+    return out.join(F.broadcast(counted), "column", "left").join(F.broadcast(q), "column", "left").fillna(0, ["distinct"]).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
@@ -139,16 +136,34 @@ def value_counts(df: DataFrame, column: str, top: int = 12) -> DataFrame:
     )
 
 
-def concentration(df: DataFrame, column: str) -> DataFrame:
-    """One row: distinct, singletons, HHI, top share, entropy in bits, balance."""
-    counts = key_counts(df, column)
-    total = counts.agg(F.sum("n").alias("total"))
+def _cells(df: DataFrame, columns: Sequence[str], value: Callable[[str], Column]) -> DataFrame:
+    """``i, v``: each row's values of all columns under their numbers, for one grouping of all."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("v")) for i, c in enumerate(columns)])))
+
+
+def _named(by_number: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column`` in place of its number ``i``."""
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return by_number.select(name.alias("column"), *[c for c in by_number.columns if c != "i"])
+
+
+def all_key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, key, n``: :func:`key_counts` of all columns by one grouping; ``i`` is a column's place."""
+    keys = _cells(df, columns, lambda c: trimmed(F.col(f"`{c}`"))).filter("v <> ''")
+    return keys.groupBy("i", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def concentrations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each column: distinct, singletons, HHI, top share, entropy in bits, balance.
+
+    A column without filled cells has zeros and nulls."""
+    counts = all_key_counts(df, columns)
+    total = counts.groupBy("i").agg(F.sum("n").alias("total"))  # a row for each column
     p = F.col("n") / F.col("total")
     k = F.count(F.lit(1))
     most = F.log2(F.greatest(F.lit(2.0), k.cast("double")))
     entropy = -F.sum(p * F.log2(p))
-    return counts.join(F.broadcast(total)).agg(
-        F.lit(column).alias("column"),
+    found = counts.join(F.broadcast(total), "i").groupBy("i").agg(
         k.alias("distinct"),
         F.count_if(F.col("n") == 1).alias("singletons"),
         F.sum(p * p).alias("hhi"),
@@ -157,6 +172,22 @@ def concentration(df: DataFrame, column: str) -> DataFrame:
         most.alias("max_entropy"),
         (entropy / most).alias("balance"),
     )
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
+    return _named(every.join(F.broadcast(found), "i", "left").fillna(0, ["distinct", "singletons"]).fillna(1.0, ["max_entropy"]), columns)
+
+
+def concentration(df: DataFrame, column: str) -> DataFrame:
+    """:func:`concentrations` of one column."""
+    return concentrations(df, [column])
+
+
+def top_values(df: DataFrame, columns: Sequence[str], top: int = 12) -> DataFrame:
+    """``column, place, key, n, pct``: :func:`value_counts` of all columns."""
+    counts = all_key_counts(df, columns)
+    total = counts.groupBy("i").agg(F.sum("n").alias("total"))  # a row for each column
+    place = F.row_number().over(W.partitionBy("i").orderBy(F.desc("n"), "key"))  # Spark keeps only the first of each task
+    shown = counts.withColumn("place", place).filter(F.col("place") <= top).join(F.broadcast(total), "i")
+    return _named(shown.select("i", "place", "key", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct")), columns)
 
 
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -180,12 +211,9 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """:func:`missingness` with ``unique`` (distinct trimmed cells that are filled),
     ``unique_pct`` of the filled cells, and ``constant``."""
     names = list(columns or df.columns)
-    counted = None
-    for c in names:
-        one = key_counts(df, c).agg(F.count(F.lit(1)).alias("unique")).select(F.lit(c).alias("column"), "unique")
-        counted = one if counted is None else counted.unionByName(one)
+    counted = _named(all_key_counts(df, names).groupBy("i").agg(F.count(F.lit(1)).alias("unique")), names)
     share = F.coalesce(F.try_divide(F.col("unique") * 100.0, F.col("complete")), F.lit(0.0))
-    return missingness(df, names).join(F.broadcast(counted), "column").withColumn("unique_pct", share).withColumn("constant", F.col("unique") <= 1)
+    return missingness(df, names).join(F.broadcast(counted), "column", "left").fillna(0, ["unique"]).withColumn("unique_pct", share).withColumn("constant", F.col("unique") <= 1)
 
 
 def date_profile(df: DataFrame, column: str) -> DataFrame:
@@ -208,15 +236,10 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
 
 def case_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, variants``: lower-cased keys that have more than one spelling."""
-    out = None
-    for c in columns:
-        one = (
-            key_counts(df, c).groupBy(F.lower("key").alias("k")).agg(F.count(F.lit(1)).alias("spellings")).agg(
-                F.count_if(F.col("spellings") > 1).alias("variants")
-            )
-        ).select(F.lit(c).alias("column"), "variants")
-        out = one if out is None else out.unionByName(one)
-    return out
+    spelled = all_key_counts(df, columns).groupBy("i", F.lower("key").alias("k")).agg(F.count(F.lit(1)).alias("spellings"))
+    found = spelled.groupBy("i").agg(F.count_if(F.col("spellings") > 1).alias("variants"))
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
+    return _named(every.join(F.broadcast(found), "i", "left").fillna(0, ["variants"]), columns)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -234,44 +234,58 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(x.alias("a"), y.alias("b")).filter("a <> '' and b <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Pairs of categories that one scan counts.
+PAIRS = 60
+
+
 def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 20, max_levels: int = 30) -> DataFrame:
     """Association of category pairs with 2 to ``max_levels`` levels on both sides.
 
-    Cells without rows count with their expectation.  p is given only where
-    no expectation is below 1 and at most a fifth are below 5.  The sums run
-    over counted cells and level totals, so no grid of levels is built: what
-    empty cells add to chi-square is n less the expectations of the others.
+    The tables of all pairs come from one grouping for each :data:`PAIRS`.  Cells without rows count with
+    their expectation.  p is given only where no expectation is below 1 and at most a
+    fifth are below 5.  The sums run over counted cells and level totals, so no grid of
+    levels is built: what empty cells add to chi-square is n less the expectations of the others.
     """
     out = None
-    for a, b in pairs:
-        cells = contingency(df, a, b)
-        rows = cells.groupBy("a").agg(F.sum("n").alias("ra"))
-        cols = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-        # one more than may be: of more levels no pair comes out
-        row_list = rows.limit(max_levels + 1).agg(F.collect_list("ra").alias("ras")).filter(F.size("ras") <= max_levels)
-        col_list = cols.limit(max_levels + 1).agg(F.collect_list("cb").alias("cbs")).filter(F.size("cbs") <= max_levels)
-        expected = F.col("ra") * F.col("cb") / F.col("total")
-        total = cells.agg(F.sum("n").alias("total"))
-        seen = cells.join(rows, "a").join(cols, "b").join(F.broadcast(total))
-        filled = seen.agg(F.sum(F.pow(F.col("n") - expected, 2) / expected - expected).alias("part"), F.first("total").alias("n"))
-        grid = F.flatten(F.transform("ras", lambda r: F.transform("cbs", lambda c: r * c / F.col("n"))))
-        k = F.least(F.size("ras"), F.size("cbs")) - 1
-        one = (
-            filled.join(F.broadcast(row_list)).join(F.broadcast(col_list))
-            .withColumn("grid", grid)
-            .filter((F.col("n") >= min_rows) & (F.size("ras") >= 2) & (F.size("cbs") >= 2))
-            .withColumn("chi2", F.greatest(F.lit(0.0), F.col("part") + F.col("n")))
-            .select(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "chi2",
-                ((F.size("ras") - 1) * (F.size("cbs") - 1)).alias("df"),
-                F.least(F.lit(1.0), F.sqrt(F.col("chi2") / (F.col("n") * k))).alias("v"),
-                ((F.array_min("grid") >= 1) & (F.size(F.filter("grid", lambda e: e < 5)) <= 0.2 * F.size("grid"))).alias("reliable"),
-            )
-        )
+    for at in range(0, len(pairs), PAIRS):
+        one = _associations(df, pairs[at : at + PAIRS], min_rows, max_levels)
         out = one if out is None else out.unionByName(one)
     return special.adjust(out.withColumn("p", F.when(F.col("reliable"), special.chi2_p(F.col("chi2"), F.col("df")))))
 
 
+def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int, max_levels: int) -> DataFrame:
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    base = df.select(*[trimmed(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+    sides = [F.struct(F.lit(k).alias("pair"), F.col(f"c{names.index(a)}").alias("x"), F.col(f"c{names.index(b)}").alias("y")) for k, (a, b) in enumerate(pairs)]
+    cells = base.select(F.inline(F.array(*sides))).filter("x <> '' and y <> ''").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+    def levels(side: str) -> DataFrame:
+        return cells.select("pair", side).distinct().groupBy("pair").agg(F.count(F.lit(1)).alias(f"k{side}")).filter(F.col(f"k{side}").between(2, max_levels))
+
+    usable = levels("x").join(levels("y"), "pair")  # a row for each pair
+    # what is left of a pair is at most max_levels squared
+    seen = cells.join(F.broadcast(usable), "pair").withColumns(
+        {"rx": F.sum("n").over(W.partitionBy("pair", "x")), "cy": F.sum("n").over(W.partitionBy("pair", "y")), "total": F.sum("n").over(W.partitionBy("pair"))}
+    )
+    expected = F.col("rx") * F.col("cy") / F.col("total")
+    filled = seen.groupBy("pair", "kx", "ky").agg(
+        F.sum(F.pow(F.col("n") - expected, 2) / expected - expected).alias("part"), F.first("total").alias("n"),
+        F.collect_set(F.struct("x", "rx")).alias("rows"), F.collect_set(F.struct("y", "cy")).alias("cols"),
+    )
+    grid = F.flatten(F.transform("rows", lambda r: F.transform("cols", lambda c: r["rx"] * c["cy"] / F.col("n"))))
+    side = [F.element_at(F.array(*[F.lit(pair[i]) for pair in pairs]), F.col("pair") + 1) for i in (0, 1)]
+    return (
+        filled.filter(F.col("n") >= min_rows)
+        .withColumn("grid", grid)
+        .withColumn("chi2", F.greatest(F.lit(0.0), F.col("part") + F.col("n")))
+        .select(
+            side[0].alias("a"), side[1].alias("b"), "n", "chi2", ((F.col("kx") - 1) * (F.col("ky") - 1)).cast("int").alias("df"),
+            F.least(F.lit(1.0), F.sqrt(F.col("chi2") / (F.col("n") * (F.least("kx", "ky") - 1)))).alias("v"),
+            ((F.array_min("grid") >= 1) & (F.size(F.filter("grid", lambda e: e < 5)) <= 0.2 * F.size("grid"))).alias("reliable"),
+        )
+    )
+
+
 # ------------------------------------------------------------ segments
 
 

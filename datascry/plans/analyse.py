@@ -54,22 +54,36 @@ def _rows(df: DataFrame | None) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()] if df is not None else []
 
 
-def profile_all(df: DataFrame, types: Mapping[str, str]) -> list[dict]:
+def parsed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """``df`` with text cells of numeric columns as numbers and of dates as timestamps: what
+    follows need not parse them again."""
+    text = {c for c, t in df.dtypes if t == "string"}
+    numbers = {c: P.number(df, c) for c in text if types.get(c) in NUMERIC}
+    return df.withColumns(numbers | {c: P.instant(df, c) for c in text if types.get(c) == "date"})
+
+
+def profile_all(df: DataFrame, types: Mapping[str, str], ready: DataFrame | None = None) -> list[dict]:
     """One record per column, in file order: completeness, and by type numbers,
-    dates or value counts."""
+    dates or value counts.  ``ready`` is ``df`` as :func:`parsed` gives it."""
+    ready = ready or parsed(df, types)
     names = [c for c in df.columns if c in types]
     out = {r["column"]: r | {"type": types[r["column"]]} for r in _rows(P.missingness(df, names))}
     numeric = [c for c in names if types[c] in NUMERIC]
     if numeric:
-        for r in _rows(P.numeric_profile(df, numeric)):
-            out[r["column"]] |= r
+        for r in _rows(P.numeric_profile(ready, numeric)):
+            # a cell that is no number is not missing: that is known of the cells as read
+            out[r["column"]] |= {k: v for k, v in r.items() if k not in ("total", "missing", "missing_pct")}
     for c in names:
         if types[c] == "date":
             out[c] |= _rows(P.date_profile(df, c))[0]
-        elif types[c] not in NUMERIC:
-            out[c] |= _rows(P.concentration(df, c))[0]
-            if types[c] in GROUPABLE:
-                out[c]["top"] = _rows(P.value_counts(df, c))
+    worded = [c for c in names if types[c] not in (*NUMERIC, "date")]
+    for r in _rows(P.concentrations(df, worded)) if worded else []:
+        out[r["column"]] |= r
+    grouped = [c for c in worded if types[c] in GROUPABLE]
+    for c in grouped:
+        out[c]["top"] = []
+    for r in sorted(_rows(P.top_values(df, grouped)) if grouped else [], key=lambda r: r["place"]):
+        out[r["column"]]["top"].append({k: r[k] for k in ("key", "n", "pct")})
     variants = _rows(P.case_variants(df, [c for c in names if types[c] not in (*NUMERIC, "date")] or names[:1]))
     for r in variants:
         out[r["column"]]["variants"] = r["variants"]
@@ -83,15 +97,21 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     column that identifies rows in the list of outliers (by default the 1-based place
     among the rows as read).
 
-    Dozens of scans follow, so the table is kept in Spark's cache (memory, then
-    disk) until ``report.source.unpersist()``; ``cache=False`` reads it each time.
+    Dozens of scans follow, so the table with its cells parsed is kept in Spark's cache (memory,
+    then disk) until ``report.source.unpersist()``; ``cache=False`` reads it each time.
     """
     names = [c for c in df.columns if c != "_row"]
+    raw = df.persist() if cache else df
+    rep = Report(infer_types(raw, names, types))
+    df = parsed(raw, rep.types)
     if cache:
         df = df.persist()
-    rep = Report(infer_types(df, names, types))
     rep.source = df
-    rep.profiles = profile_all(df, rep.types)
+    rep.profiles = profile_all(raw, rep.types, df)
+    duplicates = P.duplicate_rows(raw, names).first()[0] if names else 0
+    if cache:
+        df.count()  # held before what it is made of goes
+        raw.unpersist()
     rep.rows = rep.profiles[0]["total"] if rep.profiles else 0
     by = {p["column"]: p for p in rep.profiles}
     numeric = [c for c in names if rep.types[c] in NUMERIC and not by[c]["constant"] and by[c]["n"] > 4]
@@ -165,7 +185,6 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
                 paretos.append(one | {"column": c, "metric": rep.metric})
     rep.lists["paretos"] = sorted(paretos, key=lambda r: r["pct80"])
 
-    duplicates = P.duplicate_rows(df, names).first()[0] if names else 0
     spark = df.sparkSession
     facts = spark.createDataFrame(
         [(p["column"], p["type"], float(p["missing_pct"]), p["constant"] and p["complete"] > 0, float(p.get("skew") or 0), int(p.get("variants") or 0)) for p in rep.profiles],

@@ -3,7 +3,6 @@
 import math
 import random
 
-import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -192,7 +191,7 @@ def test_quantiles_of_all_sizes(spark, sizes):
     got = {r.k: (r.n, r.q) for r in ranks.exact_quantiles(df, {"x": F.col("x")}, at, ["k"]).collect()}
     assert set(got) == {n for n in sizes if n}
     for n, (count, q) in got.items():
-        assert count == n and q == pytest.approx(np.quantile([x for k, x in rows if k == n and x is not None], at).tolist(), abs=1e-9), n
+        assert count == n and q == pytest.approx(np.quantile([x for k, x in rows if k == n and x is not None], at).tolist(), rel=1e-10, abs=1e-9), n
 
 
 def test_ranks_of_hot_and_of_many_values(spark, monkeypatch):
