@@ -83,18 +83,36 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return joined.sortWithinPartitions(*keys).drop("page_key")
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """The store and the path in it; a path without a scheme is a mounted folder."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+#: Schemes that tasks can write to, and the names that pyarrow has for them.
+STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def store_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark's own file systems complete it, under the scheme that tasks know.
+
+    A path without a scheme is one of the default store, which need not be the local disk.
+    Raises ValueError, before any task runs, where tasks cannot open the store.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    scheme, _, rest = whole.partition(":")
+    if scheme not in STORES:
+        raise ValueError(f"tasks cannot write archives to {whole}: the store must be one of {', '.join(STORES)}")
+    return f"{STORES[scheme]}:{rest}"
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 class Archives:
     """Archive files that one task writes, one after the other."""
 
     def __init__(self, path: str, file_bytes: int, date: str):
-        self.store, self.path = _store(path)
+        self.store, self.path = _store(path)  # as store_uri gives it
         self.file_bytes, self.date = file_bytes, date
         self.out = None
         self.done: list[tuple[str, int, int]] = []
@@ -142,6 +160,7 @@ def write_archives(
     """
     spark = pages.sparkSession
     date = date or spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+    store = store_uri(spark, path)
     rows = resolve_revisits(pages, min_bytes)
     revisit = F.col("record_type") == "revisit"
     http = F.concat(
@@ -175,7 +194,7 @@ def write_archives(
     common.small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Archives(path, file_bytes, date)
+        files = Archives(store, file_bytes, date)
         before, again = None, 0
         for batch in batches:
             for seed, top, said in zip(*batch.columns, strict=True):
@@ -228,7 +247,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in RECORD_SCHEMA.split(", ")]
     for batch in batches:
-        for content in batch.column(0):
+        for content, file, listed in zip(*batch.columns, strict=True):
             out: list[list] = [[] for _ in names]
             for head, block in (x for one in members(content.as_py()) for x in parse_records(one)):
                 kind = head["warc-type"]
@@ -249,15 +268,24 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
                 for to, v in zip(out, values, strict=True):
                     to.append(v)
+            if len(out[0]) != listed.as_py():
+                raise ValueError(f"{file} holds {len(out[0])} records in place of {listed}")
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page record: headers, and digest and length of each payload read."""
+    """One row per page record: headers, and digest and length of each payload read.
+
+    Raises ValueError where a file that ``_files`` lists is gone; a file that holds
+    fewer or more records than listed there ends the job.  Files not listed are left alone.
+    """
     listed = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/_files")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(listed, "file", "left_semi")
-    return files.select("content").mapInArrow(_rows, RECORD_SCHEMA)
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    gone = [r["file"] for r in listed.join(files.select("file"), "file", "left_anti").limit(3).collect()]
+    if gone:
+        raise ValueError(f"archives are missing from {path}: {', '.join(gone)}")
+    return files.join(listed, "file").select("content", "file", "records").mapInArrow(_rows, RECORD_SCHEMA)
 
 
 def join_originals(records: DataFrame) -> DataFrame:

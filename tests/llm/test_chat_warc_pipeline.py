@@ -1,6 +1,7 @@
 """Chat formatting and archives as exact round trips, and the pipeline's stages."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -118,6 +119,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.join_originals(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_warc_files_that_are_gone_or_cut_are_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (1200 + i), "c") for i in range(12)], PAGES)
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, file_bytes=400)
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    held = files[0].read_bytes()
+    ends = [0]
+    while ends[-1] < len(held):
+        one = zlib.decompressobj(31)
+        one.decompress(held[ends[-1] :])
+        ends.append(len(held) - len(one.unused_data))
+    files[0].write_bytes(held[: ends[-2]])  # the last record is gone
+    with pytest.raises(Exception, match="records in place of"):
+        warc.read_archives(spark, path).count()
+    files[0].unlink()
+    with pytest.raises(ValueError, match="missing"):
+        warc.read_archives(spark, path)
+
+
+def test_warc_goes_to_the_default_store_or_not_at_all(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    held = conf.get("fs.defaultFS")
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "c")], PAGES)
+    conf.set("fs.viewfs.mounttable.elsewhere.link./w", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://elsewhere")
+    try:
+        with pytest.raises(ValueError, match="viewfs"):
+            warc.write_archives(pages, "/w/archives")
+        assert warc.store_uri(spark, f"file://{tmp_path}/a").startswith("file:/")
+    finally:
+        conf.set("fs.defaultFS", held)
+    assert not any(tmp_path.iterdir())
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), (5, 4)] + [(100 + i, 101 + i) for i in range(60)] + [(500, 600 + i) for i in range(200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
