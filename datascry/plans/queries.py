@@ -15,6 +15,7 @@ from datascry.operators import explore as X
 from datascry.operators import profile as P
 from datascry.operators import relations as R
 from datascry.operators import series as S
+from datascry.operators.ranks import exact_quantiles
 from datascry.plans import naming
 from datascry.plans.analyse import Report, analyse
 from datascry.sources import infer
@@ -89,6 +90,19 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)))
 
 
+@query(
+    """
+SELECT c_nationkey, count(c_acctbal)::BIGINT AS n, round(quantile_cont(c_acctbal, 0.05), 6) AS p05, round(quantile_cont(c_acctbal, 0.25), 6) AS q1,
+  round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(quantile_cont(c_acctbal, 0.8), 6) AS p80
+FROM customer GROUP BY c_nationkey HAVING count(c_acctbal) > 0
+"""
+)
+def quantiles_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of groups of a few dozen rows."""
+    got = exact_quantiles(table(spark, sf_dir, "customer"), {"c_acctbal": F.col("c_acctbal")}, (0.05, 0.25, 0.5, 0.8), ["c_nationkey"])
+    return rounded(got.select("c_nationkey", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "p80"))]))
+
+
 @query("""SELECT round(skewness(value), 6) AS skew,
   round((SELECT avg(power((value - m) / s, 4)) - 3 FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)), 6) AS kurtosis,
   round(stddev_samp(value) / avg(value), 6) AS cv FROM events""")

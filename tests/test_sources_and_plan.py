@@ -119,7 +119,7 @@ def test_workshop_sample_finds_what_is_planted(spark):
     strip = {c["label"]: c["value"] for c in rep.strip}
     assert strip["Rows"] == "900" and {"Data quality", "Top association", "Outliers", "Median Job Revenue"} <= set(strip)
     matrix = {(r["a"], r["b"]): r["r"] for r in rep.lists["corr_matrix"]}
-    assert len(matrix) == 7 * 7 and all(matrix[b, a] == r for (a, b), r in matrix.items())
+    assert len(matrix) == 8 * 8 and all(matrix[b, a] == r for (a, b), r in matrix.items())
     assert {r["side"] for r in rep.lists["hot_and_cold"]} == {"above", "below"}
     assert any(k.startswith("composition:") for k in rep.lists)
     rep.source.unpersist()
