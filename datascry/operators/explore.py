@@ -12,7 +12,7 @@ from datascry.functions.special import corr_p, f_p
 from datascry.functions.values import blank_key, ordinal_rank
 from datascry.operators.profile import key_counts, number
 from datascry.operators.ranks import exact_quantiles, in_pair_ranges, in_ranges, medians, sums_before
-from datascry.operators.relations import _ranked_pair
+from datascry.operators.relations import _ranked_pair, correlation
 
 
 def crosstab(df: DataFrame, row: str, col: str, metric: str | None = None, agg: str = "count") -> DataFrame:
@@ -56,17 +56,34 @@ def pareto(df: DataFrame, column: str, metric: str | None = None) -> DataFrame:
     )
 
 
-def pareto_summary(items: DataFrame) -> DataFrame:
-    """``items, count_to_80, pct80, top_key, top_share`` of a :func:`pareto`."""
+def paretos(df: DataFrame, columns: Sequence[str], metric: str | None = None) -> DataFrame:
+    """``column`` and what :func:`pareto` says, of columns of few keys each: one grouping for all.
+
+    A column's sums are one window; use :func:`pareto` for columns of many keys.
+    """
+    number_of = number(df, metric) if metric else F.lit(1.0)
+    keys = F.array(*[F.struct(F.lit(c).alias("column"), blank_key(F.col(f"`{c}`")).alias("key")) for c in columns])
+    sums = df.select(number_of.alias("v"), F.inline(keys)).filter("v is not null").groupBy("column", "key").agg(F.sum("v").alias("value"))
+    order = W.partitionBy("column").orderBy(F.desc("value"), "key")
+    total = F.sum("value").over(W.partitionBy("column"))
+    whole = F.when(total == 0, 1.0).otherwise(total)
+    upto = F.sum("value").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return sums.select(
+        "column", "key", "value", F.row_number().over(order).alias("place"), (F.col("value") * 100.0 / whole).alias("share"), (upto * 100.0 / whole).alias("cum_share")
+    )
+
+
+def pareto_summary(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``items, count_to_80, pct80, top_key, top_share`` of a :func:`pareto`, or by column of :func:`paretos`."""
     to80 = F.coalesce(F.min(F.when(F.col("cum_share") >= 80 - 1e-9, F.col("place"))), F.count(F.lit(1)))
-    return items.agg(
+    return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"), to80.cast("long").alias("count_to_80"), (to80 * 100.0 / F.count(F.lit(1))).alias("pct80"),
         F.min_by("key", "place").alias("top_key"), F.min_by("share", "place").alias("top_share"),
     )
 
 
-#: Bars of a Pareto chart, and keys of a volume profile.
-PARETO_BARS, VOLUME_BARS = 14, 12
+#: Bars of a Pareto chart, and keys of a volume profile and of a composition.
+PARETO_BARS, VOLUME_BARS, COMPOSED = 14, 12, 8
 
 
 def top_sums(df: DataFrame, column: str, metric: str | None = None, most: int = PARETO_BARS) -> DataFrame:
@@ -80,7 +97,7 @@ def top_sums(df: DataFrame, column: str, metric: str | None = None, most: int =
     return placed.join(F.broadcast(total)).select("key", "value", "place", share.alias("share"), (F.col("upto") * 100.0 / F.col("total")).alias("cum_share"))
 
 
-def composition(df: DataFrame, column: str, metric: str | None = None, most: int = 8) -> DataFrame:
+def composition(df: DataFrame, column: str, metric: str | None = None, most: int = COMPOSED) -> DataFrame:
     """The ``most`` largest keys, by their sums of ``metric`` or by rows, with their share of the whole."""
     return top_sums(df, column, metric, most).drop("cum_share")
 
@@ -209,6 +226,6 @@ def scatter_sample(df: DataFrame, x: str, y: str, row: str, most: int = 2000) ->
 def scatter_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, r, rho, p and r squared of one pair, from 3 pairs on."""
     pair = df.select(number(df, x).alias("x"), number(df, y).alias("y")).filter("x is not null and y is not null")
-    plain = pair.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).filter("n >= 3")
-    ranks = _ranked_pair(pair).agg(F.corr("rx", "ry").alias("rho"))
+    plain = pair.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r")).filter("n >= 3")
+    ranks = _ranked_pair(pair).agg(correlation(F.col("rx"), F.col("ry")).alias("rho"))
     return plain.join(F.broadcast(ranks)).select("n", "r", "rho", corr_p(F.col("r"), F.col("n")).alias("p"), (F.col("r") * F.col("r")).alias("r2"))

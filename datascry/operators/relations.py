@@ -18,38 +18,47 @@ from datascry.operators.ranks import exact_quantiles, medians, with_ranks
 INF = float("inf")
 
 
-def _pair_moments(pairs: Sequence[tuple[str, str]]) -> list[Column]:
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        both = x.isNotNull() & y.isNotNull()
-        out += [F.count_if(both).alias(f"n{i}"), F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}")]
-    return out
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of the rows that have both; null without variance, where Spark's own
+    function fails under ANSI rules."""
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(u, v), F.sqrt(F.var_pop(u) * F.var_pop(v)))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
+#: Columns on each side of a block of pairs.
+BLOCK = 5
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], chunk: int = 40) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``a, b, n, r`` for all pairs of columns, pairwise complete.
 
-    All pairs of a chunk come from one scan; r is null below 3 pairs or without
-    variance.
+    All pairs come from one scan and one grouping: a row goes to each block of
+    :data:`BLOCK` columns by as many others, and a block's group holds the moments
+    of its pairs.  r is null below 3 pairs or without variance.
     """
-    base = df.select(*[number(df, c).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    out = None
-    for at in range(0, len(pairs), chunk):
-        part = pairs[at : at + chunk]
-        rows = [
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                F.col(f"n{i}").alias("n"),
-                F.when((F.col(f"n{i}") >= 3) & ~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("r"),
-            )
-            for i, (a, b) in enumerate(part)
-        ]
-        one = base.agg(*_pair_moments(part)).select(F.inline(F.array(*rows)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    base = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    size = min(BLOCK, len(columns))
+    starts = range(0, len(columns), size)
+    blocks = [(p, q) for p in starts for q in starts if p <= q]
+
+    def side(name: str, at: int) -> list[Column]:
+        return [(F.col(f"x{at + k}") if at + k < len(columns) else F.lit(None).cast("double")).alias(f"{name}{k}") for k in range(size)]
+
+    rows = base.select(F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), *side("a", p), *side("b", q)) for p, q in blocks])))
+    pairs = []
+    for k in range(size):
+        for m in range(k + 1 if len(blocks) == 1 else 0, size):
+            x, y = F.col(f"a{k}"), F.col(f"b{m}")
+            n = F.count_if(x.isNotNull() & y.isNotNull())
+            pairs.append(F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"), n.alias("n"), correlation(x, y).alias("r")))
+    found = rows.groupBy("p", "q").agg(F.array(*pairs).alias("pairs")).select("p", "q", F.inline("pairs"))
+    i, j = F.col("p") + F.col("k"), F.col("q") + F.col("m")
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.filter((i < j) & (j < len(columns))).select(
+        F.get(names, i).alias("a"), F.get(names, j).alias("b"), "n", F.when(F.col("n") >= 3, F.col("r")).alias("r")
+    )
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,13 +75,13 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         plain = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
         ranks = with_ranks(plain, plain.columns, [f"r{i}" for i in range(len(whole))])
         pairs = list(combinations(range(len(whole)), 2))
-        rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), F.corr(f"r{i}", f"r{j}").alias("rho")) for i, j in pairs]
+        rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), correlation(F.col(f"r{i}"), F.col(f"r{j}")).alias("rho")) for i, j in pairs]
         out = ranks.agg(F.array(*rhos).alias("rows")).select(F.inline("rows"))
     for a, b in combinations(columns, 2):
         if a in whole and b in whole:
             continue
         pair = base.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).filter("x is not null and y is not null")
-        one = _ranked_pair(pair).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr("rx", "ry").alias("rho"))
+        one = _ranked_pair(pair).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -127,28 +136,23 @@ def linear_fit(df: DataFrame, x: Column, y: Column) -> DataFrame:
 def group_moments(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """``driver, metric, level`` with n, mean, variance, min, max, sum.
 
-    One aggregation for each category covers all metrics; the blank level is
-    a group like any other.
+    One grouping covers all categories and metrics; the blank level is a group
+    like any other.
     """
-    keys = {c: blank_key(F.col(f"`{c}`")) for c in categories}
-    base = df.select(*[keys[c].alias(f"k{i}") for i, c in enumerate(categories)], *[number(df, m).alias(f"m{i}") for i, m in enumerate(metrics)])
-    out = None
-    for i, c in enumerate(categories):
-        stats = [
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.count(f"m{j}").alias("n"),
-                F.avg(f"m{j}").alias("mean"),
-                F.coalesce(F.var_samp(f"m{j}"), F.lit(0.0)).alias("var"),
-                F.min(f"m{j}").alias("lo"),
-                F.max(f"m{j}").alias("hi"),
-                F.sum(f"m{j}").alias("sum"),
-            )
-            for j, m in enumerate(metrics)
-        ]
-        one = base.groupBy(F.col(f"k{i}").alias("level")).agg(F.array(*stats).alias("s")).select(F.lit(c).alias("driver"), "level", F.inline("s"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _by_level(df, categories, [number(df, m).alias(f"m{j}") for j, m in enumerate(metrics)])
+    stats = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            F.count(f"m{j}").alias("n"),
+            F.avg(f"m{j}").alias("mean"),
+            F.coalesce(F.var_samp(f"m{j}"), F.lit(0.0)).alias("var"),
+            F.min(f"m{j}").alias("lo"),
+            F.max(f"m{j}").alias("hi"),
+            F.sum(f"m{j}").alias("sum"),
+        )
+        for j, m in enumerate(metrics)
+    ]
+    return rows.groupBy("driver", "level").agg(F.array(*stats).alias("s")).select("driver", "level", F.inline("s"))
 
 
 def driver_effects(moments: DataFrame, min_group: int = 3, max_levels: int = 40) -> DataFrame:
@@ -297,14 +301,11 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
     """
     base = df.select(*[blank_key(F.col(f"`{c}`")).alias(c) for c in categories], number(df, metric).alias("_v"))
     whole = base.agg(F.count("_v").alias("all_n"), F.avg("_v").alias("all_mean"), (F.var_pop("_v") * F.count("_v")).alias("all_ss"), F.count(F.lit(1)).alias("rows"))
-    out = None
-    for c in categories:
-        one = base.groupBy(F.col(f"`{c}`").alias("value")).agg(
-            F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
-        )
-        one = one.select(F.lit(c).alias("column"), "*")
-        out = one if out is None else out.unionByName(one)
-    middle = medians(_by_level(base, categories, [F.col("_v")]), {"_v": F.col("_v")}, ["driver", "level"])
+    levels = _by_level(base, categories, [F.col("_v")])
+    out = levels.groupBy(F.col("driver").alias("column"), F.col("level").alias("value")).agg(
+        F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
+    )
+    middle = medians(levels, {"_v": F.col("_v")}, ["driver", "level"])
     out = out.join(middle.select(F.col("driver").alias("column"), F.col("level").alias("value"), "median"), ["column", "value"], "left")
     n1, n2 = F.col("n").cast("double"), (F.col("all_n") - F.col("n")).cast("double")
     m2 = F.try_divide(F.col("all_n") * F.col("all_mean") - n1 * F.col("mean"), n2)

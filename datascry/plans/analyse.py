@@ -98,7 +98,8 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     among the rows as read).
 
     Dozens of scans follow, so the table with its cells parsed is kept in Spark's cache (memory,
-    then disk) until ``report.source.unpersist()``; ``cache=False`` reads it each time.
+    then disk) until ``report.source.unpersist()``, and its daily series with it until
+    ``report.frames["series"].unpersist()``; ``cache=False`` reads it each time.
     """
     names = [c for c in df.columns if c != "_row"]
     raw = df.persist() if cache else df
@@ -149,10 +150,11 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         if scanned:
             f["segments"] = R.segment_scan(binned, scanned, rep.metric)
             f["hot_and_cold"] = R.hot_and_cold(f["segments"])
-        for c in base[:MOST_PARETO]:
-            f[f"pareto:{c}"] = X.pareto(df, c, rep.metric)
-        for c in [c for c in base if 2 <= by[c]["distinct"] <= 10][:MOST_COMPOSITIONS]:
-            f[f"composition:{c}"] = X.composition(df, c, rep.metric)
+        composed = [c for c in base if 2 <= by[c]["distinct"] <= 10][:MOST_COMPOSITIONS]
+        if base:
+            items = X.paretos(df, list(dict.fromkeys([*base[:MOST_PARETO], *composed])), rep.metric)
+            f |= {f"pareto:{c}": items.filter(F.col("column") == c).drop("column") for c in base[:MOST_PARETO]}
+            f |= {f"composition:{c}": X.composition(df, c, rep.metric) for c in composed}
         if not dates:
             f["ordered_trends"] = X.ordered_trends(binned, categories, rep.metric)
             for c in [c for c in base if 3 <= by[c]["distinct"] <= 14][:1]:
@@ -161,6 +163,8 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         rep.date = dates[0]
         f["period"] = S.month_breakdown(df, rep.date, rep.metric)
         f["series"] = S.trim_partial(S.daily_series(df, rep.date, rep.metric))
+        if cache:
+            f["series"] = f["series"].persist()  # a row for each day
 
     rep.lists["correlations_all"] = sorted(_rows(f.get("correlations")), key=lambda r: -abs(r["r"]))
     rep.lists["drivers_all"] = sorted(_rows(f.get("drivers")), key=lambda r: -r["eta2"])
@@ -177,13 +181,15 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         counts = f["outliers"].groupBy("severity").count()
         rep.lists["outlier_counts"] = _rows(counts)
         rep.lists["outliers"] = _rows(f["outliers"].orderBy(F.desc_nulls_last(F.abs("z")), "column", "row").limit(60))
-    paretos = []
-    for c in base[:MOST_PARETO]:
-        if rep.metric:
-            one = _rows(X.pareto_summary(f[f"pareto:{c}"]))[0]
-            if one["items"] >= 3:
-                paretos.append(one | {"column": c, "metric": rep.metric})
-    rep.lists["paretos"] = sorted(paretos, key=lambda r: r["pct80"])
+    rep.lists["paretos"] = []
+    if rep.metric and base:
+        heads = X.pareto_summary(items, ["column"]).withColumn("metric", F.lit(rep.metric)).filter("items >= 3")
+        firsts = [r for r in _rows(heads) if r["column"] in base[:MOST_PARETO]]
+        rep.lists["paretos"] = sorted(firsts, key=lambda r: (r["pct80"], base.index(r["column"])))
+        bars = items.filter(F.col("column").isin(composed) & (F.col("place") <= X.COMPOSED)).orderBy("column", "place")
+        rep.lists |= {f"composition:{c}": [] for c in composed}
+        for r in _rows(bars):
+            rep.lists[f"composition:{r['column']}"].append({k: r[k] for k in ("key", "value", "place", "share")})
 
     spark = df.sparkSession
     facts = spark.createDataFrame(
@@ -213,7 +219,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     for side, over in (("above", True), ("below", False)):
         mine = [r for r in rep.lists["segments"] if (r["lift"] > 0) == over and r["lift"] != 0][:12]
         rep.lists.setdefault("hot_and_cold", []).extend({"side": side, "place": i} | r for i, r in enumerate(mine, 1))
-    for name in ("ordered_trends", "volume", "period", "forecast", "corr_matrix", *[k for k in f if k.startswith("composition:")]):
+    for name in ("ordered_trends", "volume", "period", "forecast", "corr_matrix"):
         if name in f:
             rep.lists[name] = _rows(f[name])
     if len(rep.lists.get("period") or []) > 1:

@@ -16,8 +16,6 @@ GROUPABLE = ("category", "boolean")
 # Patterns of column names.
 _CODE = re.compile(r"(^|[\s_-])(zip|zipcode|postal|postalcode|code)([\s_-]|$)")
 _ID = re.compile(r"(^|[\s_-])(id|identifier|uuid|guid|mrn|record\s*(number|no)|account\s*(number|no)|customer\s*(number|no))([\s_-]|$)")
-#: Columns measured by one scan: the date patterns make long code.
-_CHUNK = 4
 _YEAR = re.compile(r"(^|[\s_-])year([\s_-]|$)")
 _MONEY = re.compile(r"price|amount|cost|revenue|premium|spend|paid|income|salary|value|fee|charge|balance")
 
@@ -38,34 +36,51 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, types: Mapp
     names = [c for c in columns or df.columns if c != "_row"]
     out = {c: t for c in names if (t := type_by_name(c))}
     open_ = [c for c in names if c not in out]
-    measured = {}
-    for at in range(0, len(open_), _CHUNK):
-        part = open_[at : at + _CHUNK]
-        stats = []
-        for i, c in enumerate(part):
-            x = F.col(f"`{c}`")
-            kind = df.schema[c].dataType
-            text = x.cast("string")
-            filled = ~V.is_blank(x)
-            native = isinstance(kind, T.NumericType)
-            hits = {
-                "n": filled,
-                "date": F.lit(isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))) & filled
-                if not isinstance(kind, T.StringType)
-                else filled & V.parse_date(x).isNotNull(),
-                "currency": F.lit(False) if native else filled & text.rlike(V.CURRENCY),
-                "percent": F.lit(False) if native else filled & text.rlike(V.PERCENT),
-                "boolean": filled & F.lower(V.trimmed(x)).isin(*V.BOOLEANS) if not native else filled & x.isin(0, 1),
-                "number": filled if native else filled & text.rlike(V.NUMBER),
-            }
-            stats.append(F.struct(*[F.count_if(v).alias(k) for k, v in hits.items()]).alias(f"s{i}"))
-        row = df.agg(*stats).first()
-        measured |= {c: row[f"s{i}"] for i, c in enumerate(part)}
-
-    def distinct(c: str, fold: bool = False) -> int:
-        v = V.trimmed(F.col(f"`{c}`"))
-        return df.select((F.lower(v) if fold else v).alias("v")).filter("v <> ''").distinct().count()
-
+    measured = {c: dict.fromkeys(("n", "date", "currency", "percent", "boolean", "number"), 0) for c in open_}
+    # cells one under another: the patterns are in the plan once, however many columns there are
+    cells = []
+    for i, c in enumerate(open_):
+        x, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        native, timed = isinstance(kind, T.NumericType), isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        cells.append(
+            F.struct(
+                F.lit(i).alias("i"), V.trimmed(x).alias("said"), F.lit(native).alias("native"), F.lit(timed).alias("timed"),
+                F.lit(isinstance(kind, T.StringType)).alias("text"), (x.isin(0, 1) if native else F.lit(False)).alias("binary"),
+            )
+        )
+    if cells:
+        said, native = F.col("said"), F.col("native")
+        hits = {
+            "n": F.lit(True),
+            "date": F.col("timed") | (F.col("text") & V.parse_date(said).isNotNull()),
+            "currency": ~native & said.rlike(V.CURRENCY),
+            "percent": ~native & said.rlike(V.PERCENT),
+            "boolean": F.col("binary") | (~native & F.lower(said).isin(*V.BOOLEANS)),
+            "number": native | said.rlike(V.NUMBER),
+        }
+        each = df.select(F.inline(F.array(*cells))).filter("said <> ''").groupBy("i").agg(*[F.count_if(v).alias(k) for k, v in hits.items()])
+        measured |= {open_[r.i]: r.asDict() for r in each.collect()}  # a row for each column
+
+    def distinct(asked: Sequence[tuple[str, bool]]) -> dict[str, int]:
+        """How many values each column has; with ``True``, without case."""
+        values = [(V.trimmed(F.col(f"`{c}`")), fold) for c, fold in asked]
+        folded = [F.lower(v) if fold else v for v, fold in values]
+        if not folded:
+            return {}
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(folded)])
+        counts = df.select(F.inline(cells)).filter("v <> ''").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()
+        return {asked[r.i][0]: r.k for r in counts}
+
+    def settled(s: Mapping[str, int]) -> bool:
+        return not s["n"] or s["date"] > 0.85 * s["n"] or s["currency"] > 0.7 * s["n"] or s["percent"] > 0.7 * s["n"]
+
+    def yearly(c: str) -> bool:
+        return bool(_YEAR.search(c.lower()))
+
+    unsettled = {c: s for c, s in measured.items() if not settled(s)}
+    flags = distinct([(c, True) for c, s in unsettled.items() if s["boolean"] > 0.9 * s["n"]])
+    flags = {c for c, k in flags.items() if k <= 3}
+    kinds = distinct([(c, False) for c, s in unsettled.items() if c not in flags and (yearly(c) or s["number"] <= 0.85 * s["n"])])
     for c, s in measured.items():
         n, low = s["n"], c.lower()
         if not n:
@@ -76,15 +91,15 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, types: Mapp
             out[c] = "currency"
         elif s["percent"] > 0.7 * n:
             out[c] = "percent"
-        elif s["boolean"] > 0.9 * n and distinct(c, fold=True) <= 3:
+        elif c in flags:
             out[c] = "boolean"
         elif s["number"] > 0.85 * n:
-            if _YEAR.search(low) and distinct(c) < 0.95 * n:
+            if yearly(c) and kinds[c] < 0.95 * n:
                 out[c] = "category"
             else:
                 out[c] = "currency" if _MONEY.search(low) else "number"
         else:
-            k = distinct(c)
+            k = kinds[c]
             out[c] = "category" if k <= 60 or k < 0.35 * n else "id" if k > 0.9 * n and n > 20 else "text"
     return {c: (types or {}).get(c, out[c]) for c in names}
 

@@ -234,3 +234,36 @@ def test_names():
     assert naming.pick_metric(cands) == "Total Revenue"
     assert naming.pick_metric([{"column": "q", "type": "number", "cv": 3}, {"column": "w", "type": "currency", "cv": 0.1}]) == "w"
     assert naming.pick_metric([]) is None
+
+
+@pytest.mark.parametrize("width", [2, 5, 6, 13])
+def test_pearson_of_many_columns_with_gaps(spark, width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(60, width)) + rng.normal(size=(60, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 0] = 7.0
+    names = [f"column {i}" for i in range(width)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names))
+    got = {(r.a, r.b): (r.n, r.r) for r in relations.pearson_pairs(df, names).collect()}
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    for (a, b), (n, r) in got.items():
+        u, v = x[:, names.index(a)], x[:, names.index(b)]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        assert n == both.sum()
+        assert r is None if a == names[0] else abs(r - np.corrcoef(u[both], v[both])[0, 1]) < 1e-9
+    if width == 2:
+        assert relations.correlations(df.union(df), names).count() == 0  # a constant column, also among ranks
+    plan = relations.pearson_pairs(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
+
+
+def test_paretos_of_all_columns_are_those_of_each(spark):
+    rows = [("a", "x", 5.0), ("b", "x", 3.0), (None, "y", 3.0), ("a", " ", None), ("c", "z", 0.5)]
+    df = frame(spark, rows, "k string, g string, v double")
+    many = explore.paretos(df, ["k", "g"], "v")
+    for c in ("k", "g"):
+        assert sorted(many.filter(f"column = '{c}'").drop("column").collect()) == sorted(explore.pareto(df, c, "v").collect())
+        assert many.filter(f"column = '{c}'").agg({"cum_share": "max"}).first()[0] == pytest.approx(100.0)
+    heads = {r.column: r.count_to_80 for r in explore.pareto_summary(many, ["column"]).collect()}
+    assert heads == {c: one(explore.pareto_summary(explore.pareto(df, c, "v")))["count_to_80"] for c in ("k", "g")}
