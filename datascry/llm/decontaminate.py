@@ -2,8 +2,9 @@
 
 Of every window of 10 words the least 5-gram hash is kept as a fingerprint,
 in documents and benchmark items alike, so any 10 words they share have a
-fingerprint in common.  Documents and items are joined on fingerprints and each
-hit is extended both ways, word by word.
+fingerprint in common.  Documents and items are joined on fingerprints, and a hit is
+extended to the windows that keep it: each is looked up among the distinct windows of
+all items, so a passage that many items share is met once.
 """
 
 from __future__ import annotations
@@ -33,94 +34,90 @@ def fingerprints(first: np.ndarray, hashes: np.ndarray, window: int, k: int) ->
     return at, gram[at]
 
 
+class Windows:
+    """The distinct windows of one size: two hashes each, the place of one in the
+    index's words, and the items that have it, from ``first[i]`` to ``first[i + 1]``."""
+
+    def __init__(self, code: np.ndarray, other: np.ndarray, place: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, other, code))
+        code, other, place, item = code[order], other[order], place[order], item[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (other[1:] != other[:-1])
+        once = new.copy()
+        once[1:] |= item[1:] != item[:-1]
+        self.code, self.other, self.place = code[new], other[new], place[new]
+        self.items = item[once]
+        self.first = np.append(np.flatnonzero(new[once]), len(self.items))
+
+    def places(self, code: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which window each pair of hashes is, or -1."""
+        lo, hi = (np.searchsorted(self.code, code, side) for side in ("left", "right"))
+        out = np.full(len(code), -1)
+        for step in range(int((hi - lo).max(initial=0))):
+            at = np.minimum(lo + step, len(self.code) - 1)
+            out = np.where((lo + step < hi) & (self.other[at] == other), at, out)
+        return out
+
+
 class Index:
-    """Items by fingerprint, and items shorter than a window by their whole hash.
+    """Fingerprints and distinct windows of all items; an item shorter than a window
+    is one window by itself.
 
-    All is held in flat arrays, about 30 bytes a word: item i has the words
-    ``first[i]`` to ``first[i + 1]``, with their bytes in ``data``.
+    All is held in flat arrays, about 60 bytes a word: the words' bytes are in ``data``.
     """
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = 10, k: int = 5):
         self.window, self.k = window, k
         self.ids = ids
-        sizes, codes, lengths, data = [], [], [], []
-        prints, spots, whole = [], [], []
-        words = 0
+        lengths, data, prints = [], [], []
+        rows: dict[int, list] = {}
+        words = items = 0
         for _, part in _texts(texts):
-            hashes = part.hashes()
-            at, found = fingerprints(part.first, hashes, window, k)
-            prints.append(found)
-            spots.append(at + words)
-            whole.append(w.word_spans(hashes, part.first[:-1], part.first[1:]))
-            sizes.append(part.n_words)
-            codes.append(hashes)
+            codes, others, n = part.hashes(), part.other_hashes(), part.n_words
+            _, found = fingerprints(part.first, codes, window, k)
+            prints.append(np.unique(found))
+            for size in np.unique(np.minimum(n[n > 0], window)).tolist():
+                start = np.flatnonzero(w.whole(part.first, max(0, len(codes) - size + 1), size))
+                row = np.searchsorted(part.first, start, "right") - 1
+                mine = (n[row] >= window) if size == window else (n[row] == size)
+                start, row = start[mine], row[mine]
+                pair = [w.word_spans(codes, start, start + size), w.other_word_spans(others, start, start + size)]
+                rows.setdefault(size, []).append([*pair, start + words, row + items])
             lengths.append(part.ends - part.starts)
-            inside = w.covered(len(part.data), part.starts, part.ends)
-            data.append(part.data[inside])
-            words += len(hashes)
-
-        def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
-            return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-
-        n = joined(sizes, np.int64)
-        self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        self.codes, self.data = joined(codes, np.uint64), joined(data, np.uint8)
-        self.byte = np.concatenate([[0], np.cumsum(joined(lengths, np.int64))]).astype(np.int64)
-        found, at = joined(prints, np.uint64), joined(spots, np.int64)
-        order = np.argsort(found, kind="stable")
-        self.prints, self.spots = found[order], at[order]
-        # (hashes, items) of the items of each shorter length, by hash
-        self.short = {}
-        hashes = joined(whole, np.uint64)
-        for size in np.unique(n[(n > 0) & (n < window)]).tolist():
-            items = np.flatnonzero(n == size)
-            items = items[np.argsort(hashes[items], kind="stable")]
-            self.short[size] = (hashes[items], items)
+            data.append(part.data[w.covered(len(part.data), part.starts, part.ends)])
+            words += len(codes)
+            items += len(n)
+        self.data = np.concatenate(data) if data else np.zeros(0, dtype=np.uint8)
+        self.byte = np.concatenate([[0], np.cumsum(np.concatenate(lengths) if lengths else [])]).astype(np.int64)
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, dtype=np.uint64)
+        self.windows = {size: Windows(*[np.concatenate(x) for x in zip(*parts, strict=True)]) for size, parts in rows.items()}
 
     def word(self, i: int) -> bytes:
         return self.data[self.byte[i] : self.byte[i + 1]].tobytes()
 
-    def find(self, part: w.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words hit: starts, ends and items of verified spans of ``part``."""
-        codes = part.hashes()
-        got: set[tuple[int, int, int]] = set()
-        at, prints = fingerprints(part.first, codes, self.window, self.k)
-        lo_of, hi_of = (np.searchsorted(self.prints, prints, side) for side in ("left", "right"))
-        rows = np.searchsorted(part.first, at, "right") - 1
-        seen: dict[int, int] = {}
-        for j in np.flatnonzero(hi_of > lo_of).tolist():
-            q, a, b = int(at[j]), int(part.first[rows[j]]), int(part.first[rows[j] + 1])
-            for p in self.spots[lo_of[j] : hi_of[j]].tolist():
-                # a place in an item and one in a text meet on one diagonal
-                if seen.get(q - p, -1) > q:
-                    continue
-                item = int(np.searchsorted(self.first, p, "right")) - 1
-                lo, hi = self._extend(part, codes, q, a, b, p, int(self.first[item]), int(self.first[item + 1]))
-                seen[q - p] = hi
-                if hi - lo >= self.window:
-                    got.add((lo, hi, item))
-        for n, (hashes, items) in self.short.items():
-            gram = w.grams(codes, n)
-            lo_of, hi_of = (np.searchsorted(hashes, gram, side) for side in ("left", "right"))
-            for q in np.flatnonzero((hi_of > lo_of) & w.whole(part.first, len(gram), n)).tolist():
-                for item in items[lo_of[q] : hi_of[q]].tolist():
-                    p = int(self.first[item])
-                    if all(part.word(q + i) == self.word(p + i) for i in range(n)):
-                        got.add((q, q + n, item))
-        out = np.array(sorted(got), dtype=np.int64).reshape(-1, 3)
-        return out[:, 0], out[:, 1], out[:, 2]
-
-    def _extend(self, part: w.Texts, codes: np.ndarray, q: int, a: int, b: int, p: int, c: int, d: int) -> tuple[int, int]:
-        """The longest run around word q of words a to b that equals the item's around
-        its word p of words c to d."""
-        back, ahead = min(q - a, p - c), min(b - q, d - p)
-        left = codes[q - back : q][::-1] == self.codes[p - back : p][::-1]
-        right = codes[q : q + ahead] == self.codes[p : p + ahead]
-        lo = q - (back if left.all() else int(np.argmin(left)))
-        hi = q + (ahead if right.all() else int(np.argmin(right)))
-        # words of equal hashes that differ end the run
-        odd = [i for i in range(lo, hi) if part.word(i) != self.word(p + i - q)]
-        return max([lo, *(i + 1 for i in odd if i < q)]), min([hi, *(i for i in odd if i >= q)])
+    def find(self, part: w.Texts) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """``size, starts, windows``: the words of ``part`` at which verified windows start."""
+        codes, out = part.hashes(), []
+        for size, known in self.windows.items():
+            if size == self.window:
+                gram = w.grams(codes, self.k)
+                at = w.sliding_argmin(gram, self.window - self.k + 1)
+                start = np.flatnonzero(w.whole(part.first, len(at), self.window))
+                mine = gram[at[start]]
+                spot = np.minimum(np.searchsorted(self.prints, mine), len(self.prints) - 1)
+                start = start[self.prints[spot] == mine]
+            else:
+                start = np.flatnonzero(w.whole(part.first, max(0, len(codes) - size + 1), size))
+            if len(start):
+                code, other = w.word_spans(codes, start, start + size), w.other_word_spans(part.other_hashes(), start, start + size)
+                which = known.places(code, other)
+                start, which = start[which >= 0], which[which >= 0]
+                same = [
+                    all(part.word(q + i) == self.word(p + i) for i in range(size))
+                    for q, p in zip(start.tolist(), known.place[which].tolist(), strict=True)
+                ]
+                out.append((size, start[same], which[same]))
+        return out
 
 
 FIELDS = "n_words long, n_hit long, item_ids array<string>"
@@ -131,14 +128,20 @@ def _annotated(column: pa.Array, index: Index) -> list[pa.Array]:
     n_hit: list[int] = []
     items: list[list[str]] = []
     for _, part in _texts(column):
-        starts, ends, which = index.find(part)
+        hits = index.find(part)
+        starts = np.concatenate([at for _, at, _ in hits]) if hits else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([at + size for size, at, _ in hits]) if hits else starts
         hit = np.concatenate([[0], np.cumsum(w.covered(len(part.starts), starts, ends))])
         n_words += part.n_words.tolist()
         n_hit += (hit[part.first[1:]] - hit[part.first[:-1]]).tolist()
-        found: list[set[str]] = [set() for _ in range(len(part))]
-        for row, item in zip((np.searchsorted(part.first, starts, "right") - 1).tolist(), which.tolist(), strict=True):
-            found[row].add(index.ids[item])
-        items += [sorted(x) for x in found]
+        found: list[set[int]] = [set() for _ in range(len(part))]
+        for size, at, which in hits:
+            known = index.windows[size]
+            row = np.searchsorted(part.first, at, "right") - 1
+            # a window that a text has many times names its items once
+            for r, i in {*zip(row.tolist(), which.tolist(), strict=True)}:
+                found[r].update(known.items[known.first[i] : known.first[i + 1]].tolist())
+        items += [sorted({index.ids[i] for i in x}) for x in found]
     return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
 
 
@@ -163,7 +166,7 @@ def mark_contaminated(
     with kept ones get leading underscores.
 
     The benchmark's texts are measured: up to ``max_broadcast_bytes`` the index
-    goes to every worker (some five times as many bytes there) and documents
+    goes to every worker (some ten times as many bytes there) and documents
     stay where they are; beyond it, fingerprints are shuffled and joined.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("item_text"))

@@ -650,6 +650,24 @@ def test_decontaminate(spark, docs, empty, broadcast):
     assert clash.columns[-4:] == ["n_words", "_n_hit", "item_ids", "contaminated"]
 
 
+def test_a_passage_that_many_items_share_is_looked_up_once(spark):
+    from tests.llm.conftest import prose
+
+    common = " ".join(prose(3, 40).split()[:13])
+    items = [(i, f"{prose(100 + i, 12)} {common} {prose(5000 + i, 12)}") for i in range(300)] + [(i, "as short as this") for i in range(300, 340)]
+    index = decontaminate.Index([str(i) for i, _ in items], pa.array([t for _, t in items]))
+    text = f"{prose(9, 30)} {common} {prose(10, 30)} {common} as short as this"
+    ((_, part),) = decontaminate._texts(pa.array([text]))
+    hits = {size: len(at) for size, at, _ in index.find(part)}
+    assert hits[10] <= 4 * 2 + 20  # windows, whatever the number of items
+    assert hits[4] == 1
+    rows = spark.createDataFrame([(1, text), (2, prose(11, 60)), (3, items[7][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, -1):
+        got = decontaminate.mark_contaminated(rows, bench, ["doc_id"], max_broadcast_bytes=limit).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got) == brute_hits(rows.collect(), items)
+
+
 # ------------------------------------------------------------ op10
 
 
