@@ -1,18 +1,19 @@
-"""Line dedup over runs of lines, found by rolling hashes over line hashes.
+"""Line dedup over content-defined chunks of lines, extended to whole repeated runs.
 
-:func:`remove_repeated_lines` has a seed at every line: the stretch of a few
-lines that begins there.  Seeds whose digest occurs again anywhere are brought
-together and compared byte by byte; seeds that overlap or touch make up the
-repeated run, so a run goes whole wherever it stands and whatever is around it.
+:func:`remove_repeated_lines` looks up chunks first: a rolling hash over line hashes
+ends them, so boundaries shift with the text.  Chunks whose digest occurs
+again anywhere are compared byte by byte; of equal ones the first stays.  Only
+first chunks are searched further, line by line: a stretch of a few lines of
+theirs that begins before goes too, and stretches that overlap or touch extend a
+chunk both ways, so a run goes whole wherever it stands and whatever is around it.
 
-:func:`remove_repeated_chunks` looks up one chunk in place of several seeds.  Chunk
-boundaries depend on the lines around them alone and shift with inserted text,
-but a run that shares a chunk with other lines stays: it is the coarser rule.
+:func:`remove_repeated_chunks` stops after the chunks.  A run that shares a
+chunk with other lines stays: it is the coarser rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,17 +67,21 @@ def chunk_lines(
 class Chunker:
     """The parameters, and what a worker does with a text under them."""
 
-    def __init__(self, span: int = 2, mean: int = 3, most: int = 64, least_lines: int = 2):
-        self.span, self.mean, self.most, self.least_lines = span, mean, most, least_lines
+    def __init__(self, span: int = 2, mean: int = 3, most: int = 64, least_lines: int = 2, reach: int = 0):
+        """``reach``: lines after a chunk's last that belong to it as well as to the next."""
+        self.span, self.mean, self.most, self.least_lines, self.reach = span, mean, most, least_lines, reach
 
     def chunks(self, column: pa.Array):
         for base, _, data, offsets in w.chunks(column):
-            starts, ends, _, _ = _lines(data, offsets)
+            starts, ends, lines, first = _lines(data, offsets)
             lo, hi, rows, codes = chunk_lines(data, offsets, self.span, self.mean, self.most)
+            if self.reach:
+                hi = np.minimum(hi + self.reach, first[rows + 1])
+                codes = w.word_spans(w.byte_spans(data, starts, ends), lo, hi)
             number = np.arange(len(lo)) - np.searchsorted(rows, rows)
             yield base, data, starts, ends, lo, hi, rows, number, codes
 
-    def digests(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
+    def digests(self, column: pa.Array, _: pa.Array | None = None) -> Iterator[tuple[np.ndarray, list]]:
         """Number and digest of each chunk of several lines."""
         for base, _, starts, ends, lo, hi, rows, number, codes in self.chunks(column):
             at = np.flatnonzero(hi - lo >= self.least_lines)
@@ -108,11 +113,27 @@ class Chunker:
 
 
 class Stretches:
-    """Every stretch of ``least_lines`` lines, numbered by its first line; the
-    same steps as :class:`Chunker`'s."""
+    """Every stretch of ``chunker.least_lines`` lines that no removed chunk holds, numbered
+    by its first line; the same steps as :class:`Chunker`'s.
 
-    def __init__(self, least_lines: int = 2):
-        self.least_lines = least_lines
+    Chunks reach so far into the next that each stretch lies in the chunk of its first line.
+    """
+
+    def __init__(self, chunker: Chunker):
+        self.least_lines, self.chunker = chunker.least_lines, chunker
+
+    def held(self, column: pa.Array, chunks: pa.Array) -> list[tuple[list, list]]:
+        """First lines, and lines after the last, of the chunks that ``chunks`` numbers for each text."""
+        lists = [set(x.as_py() or ()) for x in chunks]
+        out: list[tuple[list, list]] = [([], []) for _ in lists]
+        for base, _, _, _, lo, hi, rows, number, _ in self.chunker.chunks(column):
+            first = lo[np.searchsorted(rows, rows)] if len(rows) else lo
+            for i in range(len(lo)):
+                if int(number[i]) in lists[base + rows[i]]:
+                    los, his = out[base + int(rows[i])]
+                    los.append(int(lo[i] - first[i]))
+                    his.append(int(hi[i] - first[i]))
+        return out
 
     def stretches(self, column: pa.Array):
         """Texts of a batch: their lines, and row, first line and number of each stretch."""
@@ -122,9 +143,17 @@ class Stretches:
             at = at[rows[at] == rows[at + self.least_lines - 1]]
             yield base, data, starts, ends, rows, first, at, at - first[rows[at]]
 
-    def digests(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
-        """Number and digest of each stretch."""
-        for base, data, starts, ends, rows, _, at, number in self.stretches(column):
+    def digests(self, column: pa.Array, chunks: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
+        """Number and digest of each stretch whose chunk stays."""
+        gone = self.held(column, chunks)
+        for base, data, starts, ends, rows, first, at, number in self.stretches(column):
+            drop = np.zeros(len(starts), dtype=bool)
+            for i in range(len(first) - 1):
+                los, his = gone[base + i]
+                if los:  # a chunk's reach holds no first line of its stretches
+                    n = int(first[i + 1] - first[i])
+                    drop[first[i] : first[i + 1]] = w.covered(n, np.array(los), np.array(his) - self.least_lines + 1)
+            at, number = at[~drop[at]], number[~drop[at]]
             codes = w.byte_spans(data, starts, ends)
             yield base + rows[at], [number, w.signed(w.word_spans(codes, at, at + self.least_lines))]
 
@@ -142,51 +171,48 @@ class Stretches:
             said = pa.array([whole[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())
             yield base + row, [number, w.signed(w.word_spans(codes, at, at + self.least_lines)), said]
 
-    def without(self, column: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
-        """Texts without the lines of stretches that ``gone`` numbers; lines and lines removed."""
+    def without(self, column: pa.Array, gone: pa.Array, chunks: pa.Array) -> tuple[list, list, list]:
+        """Texts without the lines of the stretches and chunks that ``gone`` and ``chunks``
+        number; lines and lines removed."""
         left, n_lines, n_gone = column.to_pylist(), [], []
+        held = self.held(column, chunks)
         for i, (text, found) in enumerate(zip(left, gone, strict=True)):
             n = text.count("\n") + 1 if text else 0
             n_lines.append(n)
             n_gone.append(0)
-            if found.is_valid and len(found.values):
-                lo = np.asarray(found.values)
-                drop = w.covered(n, lo, lo + self.least_lines)
+            lo = np.asarray(found.values if found.is_valid else [], dtype=np.int64)
+            if len(lo) or held[i][0]:
+                starts = np.concatenate([lo, np.array(held[i][0], dtype=np.int64)])
+                ends = np.concatenate([lo + self.least_lines, np.array(held[i][1], dtype=np.int64)])
+                drop = w.covered(n, starts, ends)
                 n_gone[i] = int(drop.sum())
                 left[i] = "\n".join(x for x, d in zip(text.split("\n"), drop.tolist(), strict=True) if not d)
         return left, n_lines, n_gone
 
 
-def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
-    """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", common.text_key(F.col("text")).alias("key"), "text")
 
-    A line goes if it lies in a run of at least ``least_lines`` consecutive lines
-    whose bytes begin before as such a run: at an earlier line of the same text,
-    or in a document with a smaller id (then text hash; null ids come last).  The
-    first occurrence of each line stays.  All else is as for :func:`remove_repeated_chunks`.
-    """
-    return remove_repeated_chunks(docs, Stretches(least_lines))
 
+def _repeats(thin: DataFrame, cutter: Chunker | Stretches, chunks: DataFrame | None = None) -> DataFrame:
+    """``g_id, g_key, gone``: numbers of the pieces of each text that ``cutter`` finds and whose
+    bytes begin before.  ``chunks`` is such a frame of an earlier search: pieces within are not looked up."""
+    id_type = thin.schema["doc_id"].dataType.simpleString()
+    if chunks is None:
+        numbers = annotate.emit_rows(thin, "text", ["doc_id", "key"], cutter.digests, "number int, digest long")
+    else:
 
-def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None = None) -> DataFrame:
-    """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    for rows, new in cutter.digests(batch.column(2), batch.column(3)):
+                        at = pa.array(rows)
+                        arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(new[0], pa.int32()), pa.array(new[1])]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "number", "digest"])
 
-    A chunk of at least ``least_lines`` lines goes if the same bytes occur as a
-    chunk before: earlier in the same text, or in a document with a smaller
-    id (then text hash; null ids come last).  What is left is joined by line breaks; ``n_chars``,
-    where there is one, follows the text.
-
-    Null and empty texts have no lines and stay as they are.  Rows that agree
-    in id and text get equal results: one that repeats only such a row stays.
-    An empty table gives no rows; clashing new columns get leading
-    underscores; columns other than text and n_chars are unchanged.
-    """
-    cutter = chunker or Chunker()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    thin = docs.select("doc_id", common.text_key(F.col("text")).alias("key"), "text")
-    numbers = common.cut(
-        annotate.emit_rows(thin, "text", ["doc_id", "key"], cutter.digests, "number int, digest long"), "line-chunks"
-    )
+        met = thin.join(chunks, common.same(F.col("doc_id"), F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
+        numbers = met.select("doc_id", "key", "text", "gone").mapInArrow(kept, f"doc_id {id_type}, key long, number int, digest long")
+    numbers = common.cut(numbers, "line-pieces")
     # what is known of a digest is written before the join, so that a very frequent one can be dealt to many tasks
     repeated = numbers.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     repeated = common.cut(repeated, "line-repeated")
@@ -210,7 +236,7 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
         met.select("doc_id", "key", "text", "numbers").mapInArrow(
             said, f"doc_id {id_type}, key long, number int, digest long, said binary"
         ),
-        "line-chunk-bytes",
+        "line-piece-bytes",
     )
     # grouping by the bytes themselves is the comparison; copies meet before the shuffle
     where = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "number")
@@ -221,8 +247,8 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
         .select("digest", F.sha2("said", 256).alias("sha"), "first")
     )
     firsts = common.cut(firsts, "line-firsts")
-    common.release(docs.sparkSession, numbers, repeated)
-    gone = (
+    common.release(thin.sparkSession, numbers, repeated)
+    return (
         found.select("doc_id", "key", "number", "digest", F.sha2("said", 256).alias("sha"))
         .join(firsts, ["digest", "sha"])
         .filter(~where.eqNullSafe(F.col("first")))
@@ -230,6 +256,54 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
         .agg(F.collect_set("number").alias("gone"))
         .select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone")
     )
+
+
+def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
+    """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
+
+    A line goes if it lies in a run of at least ``least_lines`` consecutive lines
+    whose bytes begin before as such a run: at an earlier line of the same text,
+    or in a document with a smaller id (then text hash; null ids come last).  The
+    first occurrence of each line stays.  All else is as for :func:`remove_repeated_chunks`.
+    """
+    chunker = Chunker(least_lines=least_lines, reach=least_lines - 1)
+    thin = _keyed(docs)
+    chunks = common.cut(_repeats(thin, chunker), "line-chunks-gone")
+    cutter = Stretches(chunker)
+    lines = _repeats(thin, cutter, chunks)
+    both = lines.join(
+        chunks.select(F.col("g_id").alias("c_id"), F.col("g_key").alias("c_key"), F.col("gone").alias("chunks")),
+        common.same(F.col("g_id"), F.col("c_id")) & (F.col("g_key") == F.col("c_key")),
+        "full",
+    )
+    # keys are hashes of texts and never null: a side that is missing has none
+    at_chunks = F.col("g_key").isNull()
+    both = both.select(
+        F.when(at_chunks, F.col("c_id")).otherwise(F.col("g_id")).alias("g_id"), F.coalesce("g_key", "c_key").alias("g_key"), "gone", "chunks"
+    )
+    return _cleaned(docs, both, cutter.without)
+
+
+def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
+    """``docs`` with its texts cleaned, and ``n_lines, n_lines_removed``.
+
+    A chunk of at least ``least_lines`` lines goes if the same bytes occur as a
+    chunk before: earlier in the same text, or in a document with a smaller
+    id (then text hash; null ids come last).  What is left is joined by line breaks; ``n_chars``,
+    where there is one, follows the text.
+
+    Null and empty texts have no lines and stay as they are.  Rows that agree
+    in id and text get equal results: one that repeats only such a row stays.
+    An empty table gives no rows; clashing new columns get leading
+    underscores; columns other than text and n_chars are unchanged.
+    """
+    cutter = chunker or Chunker()
+    return _cleaned(docs, _repeats(_keyed(docs), cutter), cutter.without)
+
+
+def _cleaned(docs: DataFrame, gone: DataFrame, without: Callable) -> DataFrame:
+    """``docs`` after ``without(texts, *numbers)``, where ``gone`` has ``g_id, g_key`` and the numbers."""
+    lists = gone.columns[2:]
     n_lines, n_gone = common.fresh(docs, "n_lines", "n_lines_removed")
     others = [c for c in docs.columns if c != "text"]
     joined = (
@@ -240,14 +314,14 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | Stretches | None
             F.col("text"),
         )
         .join(gone, common.same(F.col("doc_id"), F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
-        .select("row", "text", "gone")
+        .select("row", "text", *lists)
     )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                left, n, out = cutter.without(part.column(1), part.column(2))
+                left, n, out = without(*part.columns[1:])
                 arrays = [part.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(out, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "n", "gone"])
 
