@@ -42,7 +42,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def chunk_lines(
     data: np.ndarray, offsets: np.ndarray, span: int, mean: int, most: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First line, line after the last, text and hash of each chunk.
+    """First line, line after the last and text of each chunk, and hash of each line.
 
     A chunk ends after a line at which the hash of the last ``span`` lines is 0
     modulo ``mean``, at the text's end, or after ``most`` lines.
@@ -61,7 +61,7 @@ def chunk_lines(
         more = np.concatenate([np.arange(lo[i] + most, hi[i], most) for i in long])
         hi = np.sort(np.concatenate([hi, more]))
         lo = np.concatenate([[0], hi[:-1]])
-    return lo, hi, rows[lo] if len(lo) else lo, w.word_spans(codes, lo, hi)
+    return lo, hi, rows[lo] if len(lo) else lo, codes
 
 
 class Chunker:
@@ -72,21 +72,38 @@ class Chunker:
         self.span, self.mean, self.most, self.least_lines, self.reach = span, mean, most, least_lines, reach
 
     def chunks(self, column: pa.Array):
+        for base, data, starts, ends, lo, hi, rows, number, codes in self._cut(column):
+            yield base, data, starts, ends, lo, hi, rows, number, w.word_spans(codes, lo, hi)
+
+    def _cut(self, column: pa.Array):
         for base, _, data, offsets in w.chunks(column):
-            starts, ends, lines, first = _lines(data, offsets)
+            starts, ends, _, first = _lines(data, offsets)
             lo, hi, rows, codes = chunk_lines(data, offsets, self.span, self.mean, self.most)
             if self.reach:
                 hi = np.minimum(hi + self.reach, first[rows + 1])
-                codes = w.word_spans(w.byte_spans(data, starts, ends), lo, hi)
             number = np.arange(len(lo)) - np.searchsorted(rows, rows)
             yield base, data, starts, ends, lo, hi, rows, number, codes
 
-    def digests(self, column: pa.Array, _: pa.Array | None = None) -> Iterator[tuple[np.ndarray, list]]:
+    def digests(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
         """Number and digest of each chunk of several lines."""
         for base, _, starts, ends, lo, hi, rows, number, codes in self.chunks(column):
             at = np.flatnonzero(hi - lo >= self.least_lines)
             yield base + rows[at], [number[at], w.signed(codes[at])]
 
+    def seeds(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
+        """Number, digest and first line of each chunk of several lines, and the digests of
+        the stretches of ``least_lines`` lines in it."""
+        for base, _, _, _, lo, hi, rows, number, codes in self._cut(column):
+            first = lo[np.searchsorted(rows, rows)] if len(rows) else lo
+            at = np.flatnonzero(hi - lo >= self.least_lines)
+            lo, hi, rows = lo[at], hi[at], rows[at]
+            n = hi - lo - self.least_lines + 1
+            ends = np.cumsum(n)
+            begin = np.arange(n.sum()) + np.repeat(lo - (ends - n), n)
+            flat = pa.array(w.signed(w.word_spans(codes, begin, begin + self.least_lines)), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+            yield base + rows, [number[at], w.signed(w.word_spans(codes, lo, hi)), lo - first[at], lists]
+
     def texts(self, column: pa.Array, wanted: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
         """Number, digest and bytes of the chunks that ``wanted`` numbers for each text."""
         lists = [set(x.as_py() or ()) for x in wanted]
@@ -113,54 +130,17 @@ class Chunker:
 
 
 class Stretches:
-    """Every stretch of ``chunker.least_lines`` lines that no removed chunk holds, numbered
-    by its first line; the same steps as :class:`Chunker`'s.
-
-    Chunks reach so far into the next that each stretch lies in the chunk of its first line.
-    """
-
-    def __init__(self, chunker: Chunker):
-        self.least_lines, self.chunker = chunker.least_lines, chunker
+    """Every stretch of ``least_lines`` lines, numbered by its first line; the
+    same steps as :class:`Chunker`'s."""
 
-    def held(self, column: pa.Array, chunks: pa.Array) -> list[tuple[list, list]]:
-        """First lines, and lines after the last, of the chunks that ``chunks`` numbers for each text."""
-        lists = [set(x.as_py() or ()) for x in chunks]
-        out: list[tuple[list, list]] = [([], []) for _ in lists]
-        for base, _, _, _, lo, hi, rows, number, _ in self.chunker.chunks(column):
-            first = lo[np.searchsorted(rows, rows)] if len(rows) else lo
-            for i in range(len(lo)):
-                if int(number[i]) in lists[base + rows[i]]:
-                    los, his = out[base + int(rows[i])]
-                    los.append(int(lo[i] - first[i]))
-                    his.append(int(hi[i] - first[i]))
-        return out
-
-    def stretches(self, column: pa.Array):
-        """Texts of a batch: their lines, and row, first line and number of each stretch."""
-        for base, _, data, offsets in w.chunks(column):
-            starts, ends, rows, first = _lines(data, offsets)
-            at = np.arange(max(0, len(starts) - self.least_lines + 1))
-            at = at[rows[at] == rows[at + self.least_lines - 1]]
-            yield base, data, starts, ends, rows, first, at, at - first[rows[at]]
-
-    def digests(self, column: pa.Array, chunks: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
-        """Number and digest of each stretch whose chunk stays."""
-        gone = self.held(column, chunks)
-        for base, data, starts, ends, rows, first, at, number in self.stretches(column):
-            drop = np.zeros(len(starts), dtype=bool)
-            for i in range(len(first) - 1):
-                los, his = gone[base + i]
-                if los:  # a chunk's reach holds no first line of its stretches
-                    n = int(first[i + 1] - first[i])
-                    drop[first[i] : first[i + 1]] = w.covered(n, np.array(los), np.array(his) - self.least_lines + 1)
-            at, number = at[~drop[at]], number[~drop[at]]
-            codes = w.byte_spans(data, starts, ends)
-            yield base + rows[at], [number, w.signed(w.word_spans(codes, at, at + self.least_lines))]
+    def __init__(self, least_lines: int = 2):
+        self.least_lines = least_lines
 
     def texts(self, column: pa.Array, wanted: pa.Array) -> Iterator[tuple[np.ndarray, list]]:
         """Number, digest and bytes of the stretches that ``wanted`` numbers for each text."""
         lists = [np.asarray(x.values) if x.is_valid else np.zeros(0, dtype=np.int64) for x in wanted]
-        for base, data, starts, ends, rows, first, _, _ in self.stretches(column):
+        for base, _, data, offsets in w.chunks(column):
+            starts, ends, _, first = _lines(data, offsets)
             mine = lists[base : base + len(first) - 1]
             number = np.concatenate(mine).astype(np.int64)
             row = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
@@ -171,20 +151,16 @@ class Stretches:
             said = pa.array([whole[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary())
             yield base + row, [number, w.signed(w.word_spans(codes, at, at + self.least_lines)), said]
 
-    def without(self, column: pa.Array, gone: pa.Array, chunks: pa.Array) -> tuple[list, list, list]:
-        """Texts without the lines of the stretches and chunks that ``gone`` and ``chunks``
-        number; lines and lines removed."""
+    def without(self, column: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
+        """Texts without the lines of stretches that ``gone`` numbers; lines and lines removed."""
         left, n_lines, n_gone = column.to_pylist(), [], []
-        held = self.held(column, chunks)
         for i, (text, found) in enumerate(zip(left, gone, strict=True)):
             n = text.count("\n") + 1 if text else 0
             n_lines.append(n)
             n_gone.append(0)
-            lo = np.asarray(found.values if found.is_valid else [], dtype=np.int64)
-            if len(lo) or held[i][0]:
-                starts = np.concatenate([lo, np.array(held[i][0], dtype=np.int64)])
-                ends = np.concatenate([lo + self.least_lines, np.array(held[i][1], dtype=np.int64)])
-                drop = w.covered(n, starts, ends)
+            if found.is_valid and len(found.values):
+                lo = np.asarray(found.values)
+                drop = w.covered(n, lo, lo + self.least_lines)
                 n_gone[i] = int(drop.sum())
                 left[i] = "\n".join(x for x, d in zip(text.split("\n"), drop.tolist(), strict=True) if not d)
         return left, n_lines, n_gone
@@ -194,25 +170,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", common.text_key(F.col("text")).alias("key"), "text")
 
 
-def _repeats(thin: DataFrame, cutter: Chunker | Stretches, chunks: DataFrame | None = None) -> DataFrame:
-    """``g_id, g_key, gone``: numbers of the pieces of each text that ``cutter`` finds and whose
-    bytes begin before.  ``chunks`` is such a frame of an earlier search: pieces within are not looked up."""
+def _repeats(thin: DataFrame, numbers: DataFrame, texts: Callable) -> DataFrame:
+    """``doc_id, key, number`` of pieces whose bytes begin before, of the pieces that
+    ``numbers`` names (``doc_id, key, number, digest``); ``texts(texts, numbers)`` reads their bytes."""
     id_type = thin.schema["doc_id"].dataType.simpleString()
-    if chunks is None:
-        numbers = annotate.emit_rows(thin, "text", ["doc_id", "key"], cutter.digests, "number int, digest long")
-    else:
-
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    for rows, new in cutter.digests(batch.column(2), batch.column(3)):
-                        at = pa.array(rows)
-                        arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(new[0], pa.int32()), pa.array(new[1])]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "number", "digest"])
-
-        met = thin.join(chunks, common.same(F.col("doc_id"), F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
-        numbers = met.select("doc_id", "key", "text", "gone").mapInArrow(kept, f"doc_id {id_type}, key long, number int, digest long")
-    numbers = common.cut(numbers, "line-pieces")
     # what is known of a digest is written before the join, so that a very frequent one can be dealt to many tasks
     repeated = numbers.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     repeated = common.cut(repeated, "line-repeated")
@@ -227,7 +188,7 @@ def _repeats(thin: DataFrame, cutter: Chunker | Stretches, chunks: DataFrame | N
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for rows, new in cutter.texts(batch.column(2), batch.column(3)):
+                for rows, new in texts(batch.column(2), batch.column(3)):
                     at = pa.array(rows)
                     arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(new[0], pa.int32()), pa.array(new[1]), new[2]]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "number", "digest", "said"])
@@ -247,15 +208,17 @@ def _repeats(thin: DataFrame, cutter: Chunker | Stretches, chunks: DataFrame | N
         .select("digest", F.sha2("said", 256).alias("sha"), "first")
     )
     firsts = common.cut(firsts, "line-firsts")
-    common.release(thin.sparkSession, numbers, repeated)
-    return (
+    common.release(thin.sparkSession, repeated)
+    later = (
         found.select("doc_id", "key", "number", "digest", F.sha2("said", 256).alias("sha"))
         .join(firsts, ["digest", "sha"])
         .filter(~where.eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set("number").alias("gone"))
-        .select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone")
+        .select("doc_id", "key", "number")
+        .distinct()
     )
+    out = common.cut(later, "line-later")
+    common.release(thin.sparkSession, found, firsts)
+    return out
 
 
 def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
@@ -266,22 +229,30 @@ def remove_repeated_lines(docs: DataFrame, least_lines: int = 2) -> DataFrame:
     or in a document with a smaller id (then text hash; null ids come last).  The
     first occurrence of each line stays.  All else is as for :func:`remove_repeated_chunks`.
     """
-    chunker = Chunker(least_lines=least_lines, reach=least_lines - 1)
+    chunker, cutter = Chunker(least_lines=least_lines, reach=least_lines - 1), Stretches(least_lines)
     thin = _keyed(docs)
-    chunks = common.cut(_repeats(thin, chunker), "line-chunks-gone")
-    cutter = Stretches(chunker)
-    lines = _repeats(thin, cutter, chunks)
-    both = lines.join(
-        chunks.select(F.col("g_id").alias("c_id"), F.col("g_key").alias("c_key"), F.col("gone").alias("chunks")),
-        common.same(F.col("g_id"), F.col("c_id")) & (F.col("g_key") == F.col("c_key")),
-        "full",
+    # a chunk brings its stretches along, so that those of first chunks are known without their texts
+    seeds = common.cut(
+        annotate.emit_rows(thin, "text", ["doc_id", "key"], chunker.seeds, "number int, digest long, line int, stretches array<long>"),
+        "line-seeds",
+    )
+    later = _repeats(thin, seeds.select("doc_id", "key", "number", "digest"), chunker.texts)
+    later = later.select(*[F.col(c).alias(f"l_{c}") for c in later.columns])
+    at = common.same(F.col("doc_id"), F.col("l_doc_id")) & (F.col("key") == F.col("l_key")) & (F.col("number") == F.col("l_number"))
+    marked = common.cut(
+        seeds.join(later, at, "left").select("doc_id", "key", "line", "stretches", F.col("l_key").isNotNull().alias("gone")), "line-marked"
     )
-    # keys are hashes of texts and never null: a side that is missing has none
-    at_chunks = F.col("g_key").isNull()
-    both = both.select(
-        F.when(at_chunks, F.col("c_id")).otherwise(F.col("g_id")).alias("g_id"), F.coalesce("g_key", "c_key").alias("g_key"), "gone", "chunks"
+    numbers = common.cut(
+        marked.filter("not gone")
+        .select("doc_id", "key", "line", F.posexplode("stretches").alias("place", "digest"))
+        .select("doc_id", "key", (F.col("line") + F.col("place")).alias("number"), "digest"),
+        "line-stretches",
     )
-    return _cleaned(docs, both, cutter.without)
+    common.release(docs.sparkSession, seeds)
+    lines = _repeats(thin, numbers, cutter.texts)
+    common.release(docs.sparkSession, numbers)
+    chunks = marked.filter("gone").select("doc_id", "key", F.explode(F.sequence("line", F.col("line") + F.size("stretches") - 1)).alias("number"))
+    return _cleaned(docs, chunks.unionByName(lines), cutter.without)
 
 
 def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
@@ -297,13 +268,20 @@ def remove_repeated_chunks(docs: DataFrame, chunker: Chunker | None = None) -> D
     An empty table gives no rows; clashing new columns get leading
     underscores; columns other than text and n_chars are unchanged.
     """
-    cutter = chunker or Chunker()
-    return _cleaned(docs, _repeats(_keyed(docs), cutter), cutter.without)
+    cutter, thin = chunker or Chunker(), _keyed(docs)
+    numbers = common.cut(annotate.emit_rows(thin, "text", ["doc_id", "key"], cutter.digests, "number int, digest long"), "line-chunks")
+    later = _repeats(thin, numbers, cutter.texts)
+    common.release(docs.sparkSession, numbers)
+    return _cleaned(docs, later, cutter.without)
 
 
 def _cleaned(docs: DataFrame, gone: DataFrame, without: Callable) -> DataFrame:
-    """``docs`` after ``without(texts, *numbers)``, where ``gone`` has ``g_id, g_key`` and the numbers."""
-    lists = gone.columns[2:]
+    """``docs`` after ``without(texts, numbers)``, where ``gone`` has ``doc_id, key, number``."""
+    gone = (
+        gone.groupBy("doc_id", "key")
+        .agg(F.collect_set("number").alias("gone"))
+        .select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone")
+    )
     n_lines, n_gone = common.fresh(docs, "n_lines", "n_lines_removed")
     others = [c for c in docs.columns if c != "text"]
     joined = (
@@ -314,14 +292,14 @@ def _cleaned(docs: DataFrame, gone: DataFrame, without: Callable) -> DataFrame:
             F.col("text"),
         )
         .join(gone, common.same(F.col("doc_id"), F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
-        .select("row", "text", *lists)
+        .select("row", "text", "gone")
     )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                left, n, out = without(*part.columns[1:])
+                left, n, out = without(part.column(1), part.column(2))
                 arrays = [part.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(out, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "n", "gone"])
 
