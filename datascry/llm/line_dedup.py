@@ -130,8 +130,8 @@ class Chunker:
 
 
 class Stretches:
-    """Every stretch of ``least_lines`` lines, numbered by its first line; the
-    same steps as :class:`Chunker`'s."""
+    """Stretches of ``least_lines`` lines, numbered by their first line; their digests
+    come with :meth:`Chunker.seeds`."""
 
     def __init__(self, least_lines: int = 2):
         self.least_lines = least_lines
