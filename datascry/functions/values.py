@@ -119,14 +119,15 @@ def parse_date(c: Column) -> Column:
 
 
 def fmt_num(v: Column, currency: bool = False) -> Column:
-    """Short display of a number: B, M and K from 1e9, 1e6 and 1e4."""
+    """Short display of a number: B, M and K from 1e9, 1e6 and 1e4; what shows as zero has no sign."""
     a = F.abs(v)
     sign = F.lit("$" if currency else "")
 
     def scaled(by: float, decimals: int, suffix: str) -> Column:
         return F.concat(sign, F.format_string(f"%.{decimals}f", v / F.lit(by)), F.lit(suffix))
 
-    plain = F.concat(sign, F.regexp_replace(F.regexp_replace(F.format_number(v, 2), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    said = F.regexp_replace(F.regexp_replace(F.format_number(v, 2), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.concat(sign, F.when(said == "-0", "0").otherwise(said))
     out = F.when(v.isNull() | F.isnan(v) | (a == F.lit(float("inf"))), F.lit("—"))
     out = out.when(a >= 1e9, scaled(1e9, 2, "B")).when(a >= 1e6, scaled(1e6, 2, "M")).when(a >= 1e4, scaled(1e3, 1, "K"))
     if not currency:

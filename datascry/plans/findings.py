@@ -20,8 +20,8 @@ def show(v: float | None, currency: bool = False) -> str:
             return f"{sign}{v / by:.{digits}f}{suffix}"
     if not currency and 0 < a < 0.01:
         return f"{v:.2e}".replace("e-0", "e-").replace("e+0", "e+")
-    said = f"{v:,.2f}"
-    return sign + (said.rstrip("0").rstrip(".") if "." in said else said)
+    said = f"{v:,.2f}".rstrip("0").rstrip(".")
+    return sign + ("0" if said == "-0" else said)
 
 
 def show_p(p: float | None, letter: str = "p") -> str:

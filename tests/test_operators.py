@@ -267,3 +267,16 @@ def test_paretos_of_all_columns_are_those_of_each(spark):
         assert many.filter(f"column = '{c}'").agg({"cum_share": "max"}).first()[0] == pytest.approx(100.0)
     heads = {r.column: r.count_to_80 for r in explore.pareto_summary(many, ["column"]).collect()}
     assert heads == {c: one(explore.pareto_summary(explore.pareto(df, c, "v")))["count_to_80"] for c in ("k", "g")}
+
+
+def test_what_shows_as_zero_has_no_sign(spark, tmp_path):
+    from datascry.plans import queries
+    from datascry.plans.findings import show
+
+    cells = [-0.0, 0.0, -0.004, -12.5, 10.0, 9999.5]
+    got = spark.createDataFrame(list(enumerate(cells)), "i int, v double").orderBy("i").select(values.fmt_num(F.col("v"), currency=True)).collect()
+    assert [r[0] for r in got] == [show(v, True) for v in cells] == ["$0", "$0", "$0", "$-12.5", "$10", "$9,999.5"]
+    # prices below a cent, as the query's SQL takes them
+    spark.createDataFrame([(500, 1001.125), (501, 9999.996)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, -0.0), (2, -0.004), (3, 0.005)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    assert {r[0]: r[1] for r in queries.format_number(spark, str(tmp_path)).collect()} == {500: "$1,001.13", 501: "$10.0K", -1: "$0", -2: "$0", -3: "$0.01"}
