@@ -45,47 +45,36 @@ def kurt(x: Column, n: Column) -> Column:
     return F.when((n < 4) | (F.coalesce(F.stddev_samp(x), F.lit(0.0)) == 0), 0.0).otherwise(raw)
 
 
-#: Columns profiled by one aggregate: beyond it code generation gives up.
-CHUNK = 8
-
-
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column, in one scan for each :data:`CHUNK` columns.
+    """One row per column.
 
-    Unparseable cells are neither missing nor values; quantiles are exact.
+    Unparseable cells are neither missing nor values; quantiles are exact.  Moments come from one
+    grouping of cells under their column's number: an aggregate of all columns side by
+    side is a method so long that the JVM never compiles it.
     """
-    out = None
-    for at in range(0, len(columns), CHUNK):
-        part = list(columns[at : at + CHUNK])
-        values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(part)], *[blank(df, c).alias(f"b{i}") for i, c in enumerate(part)])
-        structs = []
-        for i, c in enumerate(part):
-            x = F.col(f"v{i}")
-            n = F.count(x)
-            mean, sd = F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))
-            total, missing = F.count(F.lit(1)), F.count_if(F.col(f"b{i}"))
-            structs.append(
-                F.struct(
-                    F.lit(at + i).alias("position"),
-                    F.lit(c).alias("column"),
-                    total.alias("total"),
-                    missing.alias("missing"),
-                    F.coalesce(F.try_divide(missing * 100.0, total), F.lit(0.0)).alias("missing_pct"),
-                    n.alias("n"),
-                    F.min(x).alias("min"),
-                    F.max(x).alias("max"),
-                    mean.alias("mean"),
-                    F.sum(x).alias("sum"),
-                    sd.alias("sd"),
-                    F.when(mean == 0, 0.0).otherwise(F.abs(F.try_divide(sd, mean))).alias("cv"),
-                    g1(x, n).alias("skew"),
-                    kurt(x, n).alias("kurtosis"),
-                    F.count_if(x == 0).alias("zeros"),
-                    F.count_if(x < 0).alias("negatives"),
-                )
-            )
-        rows = values.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
-        out = rows if out is None else out.unionByName(rows)
+    x, n = F.col("c.v"), F.count("c.v")
+    mean, sd = F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))
+    total, missing = F.count(F.lit(1)), F.count_if("c.b")
+    cells = _cells(df, columns, lambda c: F.struct(number(df, c).alias("v"), blank(df, c).alias("b"))).withColumnRenamed("v", "c")
+    found = cells.groupBy("i").agg(
+        total.alias("total"),
+        missing.alias("missing"),
+        F.coalesce(F.try_divide(missing * 100.0, total), F.lit(0.0)).alias("missing_pct"),
+        n.alias("n"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        mean.alias("mean"),
+        F.sum(x).alias("sum"),
+        sd.alias("sd"),
+        F.when(mean == 0, 0.0).otherwise(F.abs(F.try_divide(sd, mean))).alias("cv"),
+        g1(x, n).alias("skew"),
+        kurt(x, n).alias("kurtosis"),
+        F.count_if(x == 0).alias("zeros"),
+        F.count_if(x < 0).alias("negatives"),
+    )
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
+    none = ["total", "missing", "missing_pct", "n", "sd", "skew", "kurtosis", "zeros", "negatives"]
+    out = _named(every.join(F.broadcast(found), "i", "left").fillna(0, none).withColumn("position", F.col("i")), columns)
     # distinct values of all columns by one grouping
     values = _cells(df, columns, lambda c: number(df, c)).filter("v is not null").groupBy("i", "v").agg(F.lit(1))
     counted = _named(values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct")), columns)
@@ -93,7 +82,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("name").alias("column"), *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))]
     )
     # both have one row per column
-    return out.join(F.broadcast(counted), "column", "left").join(F.broadcast(q), "column", "left").fillna(0, ["distinct"]).withColumn("iqr", F.col("q3") - F.col("q1"))
+    got = out.join(F.broadcast(counted), "column", "left").join(F.broadcast(q), "column", "left").fillna(0, ["distinct"]).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return got.select("column", "position", *[c for c in got.columns if c not in ("column", "position")])
 
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:

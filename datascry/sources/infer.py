@@ -31,45 +31,51 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, types: Mapp
     All values count, not a sample.  Names decide first, then the share of
     cells that read as dates, money, percentages, booleans or numbers, then
     how many distinct values there are.  Native numbers and times need no
-    patterns.  Only columns that come down to distinct values are counted.
+    patterns; of other cells equal ones are counted first, and patterns see each text once.
     """
     names = [c for c in columns or df.columns if c != "_row"]
     out = {c: t for c in names if (t := type_by_name(c))}
     open_ = [c for c in names if c not in out]
-    measured = {c: dict.fromkeys(("n", "date", "currency", "percent", "boolean", "number"), 0) for c in open_}
-    # cells one under another: the patterns are in the plan once, however many columns there are
-    cells = []
-    for i, c in enumerate(open_):
-        x, kind = F.col(f"`{c}`"), df.schema[c].dataType
-        native, timed = isinstance(kind, T.NumericType), isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        cells.append(
-            F.struct(
-                F.lit(i).alias("i"), V.trimmed(x).alias("said"), F.lit(native).alias("native"), F.lit(timed).alias("timed"),
-                F.lit(isinstance(kind, T.StringType)).alias("text"), (x.isin(0, 1) if native else F.lit(False)).alias("binary"),
-            )
-        )
-    if cells:
-        said, native = F.col("said"), F.col("native")
+    kinds_of = {c: df.schema[c].dataType for c in open_}
+    native = [c for c in open_ if isinstance(kinds_of[c], T.NumericType)]
+    timed = [c for c in open_ if isinstance(kinds_of[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    worded = [c for c in open_ if c not in native and c not in timed]
+    measured = {c: dict.fromkeys(("n", "date", "currency", "percent", "boolean", "number", "folded", "distinct"), 0) for c in open_}
+    if native or timed:
+        plain = [F.struct(F.count(f"`{c}`").alias("n"), F.count_if(F.col(f"`{c}`").isin(0, 1) if c in native else F.lit(False)).alias("binary")) for c in native + timed]
+        seen = df.agg(*[x.alias(f"s{i}") for i, x in enumerate(plain)]).first()
+        for i, c in enumerate(native + timed):
+            measured[c] |= {"n": seen[i].n, "number": seen[i].n, "boolean": seen[i].binary} if c in native else {"n": seen[i].n, "date": seen[i].n}
+    if worded:
+        # cells one under another: the patterns are in the plan once, however many columns there are
+        cells = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("cell"), F.lit(isinstance(kinds_of[c], T.StringType)).alias("text")) for i, c in enumerate(worded)]
+        same = df.select(F.inline(F.array(*cells))).filter("cell is not null").groupBy("i", "text", "cell").agg(F.count(F.lit(1)).alias("m"))
+        texts = same.select("i", "text", V.trimmed(F.col("cell")).alias("said"), "m").filter("said <> ''").groupBy("i", "text", "said").agg(F.sum("m").alias("m"))
+        said = F.col("said")
         hits = {
             "n": F.lit(True),
-            "date": F.col("timed") | (F.col("text") & V.parse_date(said).isNotNull()),
-            "currency": ~native & said.rlike(V.CURRENCY),
-            "percent": ~native & said.rlike(V.PERCENT),
-            "boolean": F.col("binary") | (~native & F.lower(said).isin(*V.BOOLEANS)),
-            "number": native | said.rlike(V.NUMBER),
+            "date": F.col("text") & V.parse_date(said).isNotNull(),
+            "currency": said.rlike(V.CURRENCY),
+            "percent": said.rlike(V.PERCENT),
+            "boolean": F.lower(said).isin(*V.BOOLEANS),
+            "number": said.rlike(V.NUMBER),
         }
-        each = df.select(F.inline(F.array(*cells))).filter("said <> ''").groupBy("i").agg(*[F.count_if(v).alias(k) for k, v in hits.items()])
-        measured |= {open_[r.i]: r.asDict() for r in each.collect()}  # a row for each column
+        # without case, then of each column: two countings of distinct texts
+        folds = texts.groupBy("i", F.lower(said).alias("low")).agg(F.count(F.lit(1)).alias("k"), *[F.sum(F.when(v, F.col("m")).otherwise(0)).alias(h) for h, v in hits.items()])
+        each = folds.groupBy("i").agg(F.count(F.lit(1)).alias("folded"), F.sum("k").alias("distinct"), *[F.sum(h).alias(h) for h in hits])
+        measured |= {worded[r.i]: r.asDict() for r in each.collect()}  # a row for each column
 
     def distinct(asked: Sequence[tuple[str, bool]]) -> dict[str, int]:
         """How many values each column has; with ``True``, without case."""
-        values = [(V.trimmed(F.col(f"`{c}`")), fold) for c, fold in asked]
+        known = {c: measured[c]["folded" if fold else "distinct"] for c, fold in asked if c in worded}
+        counted = [(c, fold) for c, fold in asked if c not in known]
+        values = [(V.trimmed(F.col(f"`{c}`")), fold) for c, fold in counted]
         folded = [F.lower(v) if fold else v for v, fold in values]
         if not folded:
-            return {}
+            return known
         cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(folded)])
         counts = df.select(F.inline(cells)).filter("v <> ''").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()
-        return {asked[r.i][0]: r.k for r in counts}
+        return known | {counted[r.i][0]: r.k for r in counts}
 
     def settled(s: Mapping[str, int]) -> bool:
         return not s["n"] or s["date"] > 0.85 * s["n"] or s["currency"] > 0.7 * s["n"] or s["percent"] > 0.7 * s["n"]

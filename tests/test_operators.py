@@ -280,3 +280,13 @@ def test_what_shows_as_zero_has_no_sign(spark, tmp_path):
     spark.createDataFrame([(500, 1001.125), (501, 9999.996)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(1, -0.0), (2, -0.004), (3, 0.005)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     assert {r[0]: r[1] for r in queries.format_number(spark, str(tmp_path)).collect()} == {500: "$1,001.13", 501: "$10.0K", -1: "$0", -2: "$0", -3: "$0.01"}
+
+
+def test_profile_of_many_columns_is_one_set_of_aggregates(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(9)])
+    plans = [profile.numeric_profile(df, df.columns[:k])._jdf.queryExecution().optimizedPlan().toString() for k in (1, 9)]
+    assert plans[0].count("skewness(") == plans[1].count("skewness(") > 0
+    got = {r["column"]: r for r in profile.numeric_profile(df, df.columns).collect()}
+    assert [got[f"c{i}"]["position"] for i in range(9)] == list(range(9)) and all(got[f"c{i}"]["mean"] == 24.5 * (i + 1) and got[f"c{i}"]["distinct"] == 50 for i in range(9))
+    none = profile.numeric_profile(df.limit(0), ["c0", "c1"]).collect()
+    assert [(r["total"], r["n"], r["mean"], r["sd"], r["distinct"], r["median"]) for r in none] == [(0, 0, None, 0.0, 0, None)] * 2

@@ -254,3 +254,14 @@ def test_no_module_outside_imports_the_corpus_subpackage():
 def test_every_cell_counts_in_types(spark):
     df = spark.range(40).select(F.lit(None).cast("string").alias("a"), F.col("id").cast("string").alias("value"))
     assert infer.infer_types(df) == {"a": "text", "value": "currency"}
+
+
+def test_native_columns_are_typed_without_patterns(spark, monkeypatch):
+    df = spark.range(60).select("id", F.lit(2.5).alias("price"), F.current_timestamp().alias("at"), (F.col("id") % 2).alias("bit"), (F.col("id") % 2 == 0).alias("truth"), F.lit(" Yes ").alias("said"))
+    assert infer.infer_types(df) == {"id": "id", "price": "currency", "at": "date", "bit": "boolean", "truth": "boolean", "said": "boolean"}
+
+    def never(c):
+        raise AssertionError("native cells need no text")
+
+    monkeypatch.setattr(infer.V, "trimmed", never)
+    assert infer.infer_types(df.select("id", "price", "at")) == {"id": "id", "price": "currency", "at": "date"}
