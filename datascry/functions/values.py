@@ -22,7 +22,7 @@ BLANK = "(blank)"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r"))
 
 
 def is_blank(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from datascry.functions.special import corr_p, f_p
 from datascry.functions.values import blank_key, ordinal_rank
 from datascry.operators.profile import key_counts, number
-from datascry.operators.ranks import exact_quantiles, in_pair_ranges, in_ranges, medians, sums_before
+from datascry.operators.ranks import cuts_of, exact_quantiles, in_buckets, in_pair_ranges, in_ranges, medians, sums_before
 from datascry.operators.relations import _ranked_pair, correlation
 
 
@@ -144,29 +144,36 @@ def group_explorer(df: DataFrame, metric: str, group: str, sort: str = "mean", t
     )
 
 
-def decile_share(df: DataFrame, metric: str) -> DataFrame:
+def decile_share(df: DataFrame, metric: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """``decile, n, sum, share`` of the sorted values, cut at floor(d n / 10).
 
-    Sorting is by ranges of counted values: a value's copies cover a stretch of
-    places, and each decile takes its part of the stretch.
+    Values are counted and summed in buckets between ``cuts`` (sketched unless given).  A bucket covers
+    a stretch of places; one within a decile goes there whole.  Of those that an edge divides, each value is
+    counted, and each decile takes its part of the copies' stretch.
     """
     values = df.select(number(df, metric).alias("v")).filter("v is not null")
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    whole = values.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
-    placed = sums_before(in_ranges(counts, "v"), before="m")
-    inside = F.coalesce(F.sum("m").over(W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = placed.withColumn("inside", inside).withColumn("lo", F.col("before") + F.col("inside")).join(F.broadcast(whole))
-    each = spans.select("v", "n", "total", "lo", (F.col("lo") + F.col("m")).alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
+    put = in_buckets(values, {"v": cuts or cuts_of(values, {"v": F.col("v")})["v"]})
+    every, upto = W.partitionBy(F.lit(0)), F.sum("m").over(W.partitionBy(F.lit(0)).orderBy("v_b").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sized = put.groupBy("v_b").agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"))  # some 2000 rows at most
+    sized = sized.withColumns({"hi": upto, "n": F.sum("m").over(every), "total": F.sum("s").over(every)}).withColumn("lo", F.col("hi") - F.col("m"))
+    edges = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.floor(d * F.col("n") / 10))
+    sized = sized.withColumn("divided", (F.col("n") < 10) | F.exists(edges, lambda e: (F.col("lo") < e) & (e < F.col("hi"))))
+    counts = put.join(F.broadcast(sized.filter("divided").select("v_b", "n", "total", F.col("lo").alias("before"))), "v_b").groupBy("v_b", "n", "total", "before", "v").agg(F.count(F.lit(1)).alias("m"))
+    inside = F.coalesce(F.sum("m").over(W.partitionBy("v_b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.withColumn("lo", F.col("before") + inside).select("n", "total", "lo", (F.col("lo") + F.col("m")).alias("hi"), "v", F.lit(None).cast("double").alias("s"))
+    spans = spans.unionByName(sized.filter("not divided").select("n", "total", "lo", "hi", F.lit(None).cast("double").alias("v"), "s"))
+    each = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
     begin, end = F.floor(F.col("d") * F.col("n") / 10), F.floor((F.col("d") + 1) * F.col("n") / 10)
     end = F.greatest(end, F.least(begin + 1, F.col("n")))
     took = F.greatest(F.lit(0), F.least(F.col("hi"), end) - F.greatest(F.col("lo"), begin))
-    parts = each.withColumn("took", took).filter("took > 0").groupBy("d").agg(F.sum("took").alias("n"), F.sum(F.col("took") * F.col("v")).alias("sum"), F.first("total").alias("total"))
+    sums = F.sum(F.coalesce(F.col("took") * F.col("v"), F.col("s")))
+    parts = each.withColumn("took", took).filter("took > 0").groupBy("d").agg(F.sum("took").alias("n"), sums.alias("sum"), F.first("total").alias("total"))
     return parts.select(
         (F.col("d") + 1).alias("decile"), "n", "sum", (F.col("sum") * 100.0 / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("share")
     )
 
 
-def ordered_trend(df: DataFrame, category: str, metric: str) -> DataFrame:
+def ordered_trend(df: DataFrame, category: str, metric: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """Levels of an ordered category with their rank, mean, change and the fitted line.
 
     Needs 3 to 12 levels, all ranked and no two alike; groups of 3 values and
@@ -178,7 +185,7 @@ def ordered_trend(df: DataFrame, category: str, metric: str) -> DataFrame:
     )
     base = df.select(F.trim(F.col(f"`{category}`").cast("string")).alias("key"), number(df, metric).alias("v"))
     groups = base.groupBy("key").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.sum("v").alias("sum")).filter("n >= 3")
-    groups = groups.join(medians(base, {"v": F.col("v")}, ["key"]).select("key", "median"), "key")
+    groups = groups.join(medians(base, {"v": F.col("v")}, ["key"], cuts and {"v": cuts}).select("key", "median"), "key")
     one = W.partitionBy(F.lit(0))
     out = levels.select("key", "rank").join(F.broadcast(usable)).join(groups, "key").withColumn("groups", F.count(F.lit(1)).over(one)).filter("groups >= 3")
     before = F.lag("mean").over(one.orderBy("rank"))
@@ -191,13 +198,14 @@ def ordered_trend(df: DataFrame, category: str, metric: str) -> DataFrame:
     )
 
 
-def ordered_trends(df: DataFrame, categories: Sequence[str], metric: str, most: int = 4) -> DataFrame:
+def ordered_trends(df: DataFrame, categories: Sequence[str], metric: str, most: int = 4, cuts: Sequence[float] | None = None) -> DataFrame:
     """:func:`ordered_trend` of every category but the metric's own bands: the
     ``most`` of best fit, ``category, place`` first."""
     out = None
+    cuts = cuts or cuts_of(df, {metric: number(df, metric)})[metric]
     for c in categories:
         if c != f"{metric} (quintile)":
-            one = ordered_trend(df, c, metric).select(F.lit(c).alias("category"), "*")
+            one = ordered_trend(df, c, metric, cuts).select(F.lit(c).alias("category"), "*")
             out = one if out is None else out.unionByName(one)
     if out is None:
         return df.sparkSession.createDataFrame([], ORDERED)

@@ -3,7 +3,7 @@ segments, bins and outliers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from datascry.functions import special
 from datascry.functions.values import blank_key, finite, fmt_num, strength_label, trimmed
 from datascry.operators.profile import key_counts, number
-from datascry.operators.ranks import exact_quantiles, medians, with_ranks
+from datascry.operators.ranks import cuts_of, exact_quantiles, medians, with_ranks
 
 INF = float("inf")
 
@@ -61,11 +61,11 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def spearman_pairs(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """``a, b, rho``: correlation of average ranks after pairwise deletion.
 
     Ranks of all columns without gaps come from one pass, for all their pairs; a
-    pair with gaps is ranked by itself.
+    pair with gaps is ranked by itself.  ``cuts`` are those of :func:`ranks.cuts_of`, sketched unless given.
     """
     base = df.select(*[number(df, c).alias(c) for c in columns])
     row = base.agg(F.count(F.lit(1)).alias("_all"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
@@ -73,7 +73,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = None
     if len(whole) > 1:
         plain = base.select(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(whole)])
-        ranks = with_ranks(plain, plain.columns, [f"r{i}" for i in range(len(whole))])
+        ranks = with_ranks(plain, plain.columns, [f"r{i}" for i in range(len(whole))], cuts and {f"v{i}": cuts[c] for i, c in enumerate(whole)})
         pairs = list(combinations(range(len(whole)), 2))
         rhos = [F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), correlation(F.col(f"r{i}"), F.col(f"r{j}")).alias("rho")) for i, j in pairs]
         out = ranks.agg(F.array(*rhos).alias("rows")).select(F.inline("rows"))
@@ -81,19 +81,19 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         if a in whole and b in whole:
             continue
         pair = base.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).filter("x is not null and y is not null")
-        one = _ranked_pair(pair).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
+        one = _ranked_pair(pair, cuts and {"x": cuts[a], "y": cuts[b]}).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _ranked_pair(pair: DataFrame) -> DataFrame:
+def _ranked_pair(pair: DataFrame, cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """``x, y`` with their average ranks ``rx, ry``."""
-    return with_ranks(pair, ["x", "y"], ["rx", "ry"])
+    return with_ranks(pair, ["x", "y"], ["rx", "ry"], cuts)
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """All pairs with at least 8 rows: r, rho, p, adjusted p and labels."""
-    both = pearson_pairs(df, columns).filter("n >= 8 and r is not null").join(spearman_pairs(df, columns), ["a", "b"])
+    both = pearson_pairs(df, columns).filter("n >= 8 and r is not null").join(spearman_pairs(df, columns, cuts), ["a", "b"])
     out = special.adjust(both.withColumn("p", special.corr_p(F.col("r"), F.col("n"))))
     return out.withColumns(
         {
@@ -206,10 +206,11 @@ def _by_level(df: DataFrame, categories: Sequence[str], values: Sequence[Column]
     return df.select(*values, F.inline(levels))
 
 
-def group_medians(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """``driver, metric, level, median`` of the groups of :func:`group_moments`."""
+def group_medians(df: DataFrame, categories: Sequence[str], metrics: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None, few: bool = False) -> DataFrame:
+    """``driver, metric, level, median`` of the groups of :func:`group_moments`; ``cuts`` and ``few`` as in
+    :func:`ranks.exact_quantiles`."""
     rows = _by_level(df, categories, [number(df, m).alias(f"m{j}") for j, m in enumerate(metrics)])
-    got = medians(rows, {m: F.col(f"m{j}") for j, m in enumerate(metrics)}, ["driver", "level"])
+    got = medians(rows, {m: F.col(f"m{j}") for j, m in enumerate(metrics)}, ["driver", "level"], cuts, few)
     return got.select("driver", F.col("name").alias("metric"), "level", "median")
 
 
@@ -293,11 +294,12 @@ def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int
 # ------------------------------------------------------------ segments
 
 
-def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataFrame:
+def segment_scan(df: DataFrame, categories: Sequence[str], metric: str, cuts: Sequence[float] | None = None, few: bool = False) -> DataFrame:
     """Welch's test of each level against all other rows.
 
     The rest's moments are the whole less the level's, in central form, so
-    nothing cancels.  Levels need 5 values and 1 % of the rows.
+    nothing cancels.  Levels need 5 values and 1 % of the rows.  ``cuts`` (of the metric) and ``few``
+    are as in :func:`ranks.exact_quantiles`.
     """
     base = df.select(*[blank_key(F.col(f"`{c}`")).alias(c) for c in categories], number(df, metric).alias("_v"))
     whole = base.agg(F.count("_v").alias("all_n"), F.avg("_v").alias("all_mean"), (F.var_pop("_v") * F.count("_v")).alias("all_ss"), F.count(F.lit(1)).alias("rows"))
@@ -305,7 +307,8 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str) -> DataF
     out = levels.groupBy(F.col("driver").alias("column"), F.col("level").alias("value")).agg(
         F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
     )
-    middle = medians(levels, {"_v": F.col("_v")}, ["driver", "level"])
+    cuts = cuts or cuts_of(base, {"_v": F.col("_v")})["_v"]  # before rows go to each of their levels
+    middle = medians(levels, {"_v": F.col("_v")}, ["driver", "level"], {"_v": cuts}, few)
     out = out.join(middle.select(F.col("driver").alias("column"), F.col("level").alias("value"), "median"), ["column", "value"], "left")
     n1, n2 = F.col("n").cast("double"), (F.col("all_n") - F.col("n")).cast("double")
     m2 = F.try_divide(F.col("all_n") * F.col("all_mean") - n1 * F.col("mean"), n2)
@@ -379,23 +382,31 @@ def with_quintiles(df: DataFrame, columns: Sequence[str], most: int | None = Non
 # ------------------------------------------------------------ outliers
 
 
-def outliers(df: DataFrame, columns: Sequence[str], row: str, z: float = 3.0) -> DataFrame:
+def _spreads(df: DataFrame, x: Mapping[str, Column]) -> dict[str, dict]:
+    """n, mean, sd, q1, median and q3 of each named number."""
+    columns = list(x)
+    moments = df.agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(f"s{i}") for i, v in enumerate(x.values())]).first()
+    out = {c: moments[f"s{i}"].asDict() for i, c in enumerate(columns)}
+    for k in range(0, len(columns), 8):
+        for r in exact_quantiles(df, {c: x[c] for c in columns[k : k + 8]}, (0.25, 0.5, 0.75)).collect():
+            out[r["name"]] |= dict(zip(("q1", "median", "q3"), r["q"], strict=True))
+    return out
+
+
+def outliers(df: DataFrame, columns: Sequence[str], row: str, z: float = 3.0, profiles: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Cells at least ``z`` deviations out, or outside the quartile fences and two out.
 
     Columns need more than 12 values and spread.  Their moments and quartiles, one
-    row for each column, come first; then one scan finds the cells of all.
+    row for each column, come first (from ``profiles`` where given, with n, mean, sd, q1, median
+    and q3 of each column); then one scan finds the cells of all.
     """
     x = {c: number(df, c) for c in columns}
-    moments = df.agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(f"s{i}") for i, v in enumerate(x.values())]).first()
-    quartiles = {}
-    for k in range(0, len(columns), 8):
-        for r in exact_quantiles(df, {c: x[c] for c in columns[k : k + 8]}, (0.25, 0.5, 0.75)).collect():
-            quartiles[r["name"]] = r["q"]
+    known = profiles or _spreads(df, x)
     cells = []
-    for i, c in enumerate(columns):
-        s = moments[f"s{i}"]
+    for c in columns:
+        s = known[c]
         if s["n"] > 12 and s["sd"]:
-            low, mid, high = quartiles[c]
+            low, mid, high = s["q1"], s["median"], s["q3"]
             score = (x[c] - F.lit(s["mean"])) / F.lit(s["sd"])
             fenced = (x[c] < low - 1.5 * (high - low)) | (x[c] > high + 1.5 * (high - low))
             cells.append(F.struct(F.lit(c).alias("column"), x[c].alias("value"), score.alias("z"), F.lit(float(mid)).alias("expected"), fenced.alias("fenced")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,12 +97,13 @@ def month_seasonality(series: DataFrame) -> DataFrame:
     return _seasonal(series, F.month("day") - 1, 12, 2, 730)
 
 
-def month_breakdown(df: DataFrame, date: str, metric: str) -> DataFrame:
-    """Months with n, sum, mean, median, min, max and change on the month listed before."""
+def month_breakdown(df: DataFrame, date: str, metric: str, cuts: Sequence[float] | None = None) -> DataFrame:
+    """Months with n, sum, mean, median, min, max and change on the month listed before; ``cuts``
+    of the metric as in :func:`ranks.exact_quantiles`."""
     base = df.select(F.date_format(instant(df, date), "yyyy-MM").alias("month"), number(df, metric).alias("v")).filter("month is not null and v is not null")
     months = base.groupBy("month").agg(
         F.count("v").alias("n"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
-    ).join(medians(base, {"v": F.col("v")}, ["month"]).select("month", "median"), "month")
+    ).join(medians(base, {"v": F.col("v")}, ["month"], cuts and {"v": cuts}, few=True).select("month", "median"), "month")
     before = F.lag("sum").over(_all().orderBy("month"))
     return months.withColumn("change_pct", F.try_divide((F.col("sum") - before) * 100.0, F.abs(before)))
 

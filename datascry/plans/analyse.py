@@ -18,6 +18,7 @@ from datascry.operators import explore as X
 from datascry.operators import profile as P
 from datascry.operators import relations as R
 from datascry.operators import series as S
+from datascry.operators.ranks import cuts_of
 from datascry.plans.naming import detect_domain, pick_metric
 from datascry.sources.infer import GROUPABLE, NUMERIC, infer_types
 from datascry.sources.tables import with_row_numbers
@@ -58,8 +59,8 @@ def parsed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """``df`` with text cells of numeric columns as numbers and of dates as timestamps: what
     follows need not parse them again."""
     text = {c for c, t in df.dtypes if t == "string"}
-    numbers = {c: P.number(df, c) for c in text if types.get(c) in NUMERIC}
-    return df.withColumns(numbers | {c: P.instant(df, c) for c in text if types.get(c) == "date"})
+    made = {c: P.number(df, c) for c in text if types.get(c) in NUMERIC} | {c: P.instant(df, c) for c in text if types.get(c) == "date"}
+    return df.withColumns(made) if made else df
 
 
 def profile_all(df: DataFrame, types: Mapping[str, str], ready: DataFrame | None = None) -> list[dict]:
@@ -105,12 +106,15 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     raw = df.persist() if cache else df
     rep = Report(infer_types(raw, names, types))
     df = parsed(raw, rep.types)
-    if cache:
+    again = cache and df is not raw
+    if again:
         df = df.persist()
     rep.source = df
     rep.profiles = profile_all(raw, rep.types, df)
-    duplicates = P.duplicate_rows(raw, names).first()[0] if names else 0
-    if cache:
+    # where a column has as many values as rows, no row repeats another
+    apart = any(p["total"] == p.get("distinct") for p in rep.profiles)
+    duplicates = P.duplicate_rows(raw, names).first()[0] if names and not apart else 0
+    if again:
         df.count()  # held before what it is made of goes
         raw.unpersist()
     rep.rows = rep.profiles[0]["total"] if rep.profiles else 0
@@ -125,16 +129,17 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     derived = [c for c in binned.columns if c not in df.columns]
     categories = base + derived
     f = rep.frames
+    cuts = cuts_of(df, {c: P.number(df, c) for c in numeric})  # one sketch of each column for all ranks, medians and deciles
     if len(numeric) > 1:
-        f["correlations"] = R.correlations(df, numeric)
+        f["correlations"] = R.correlations(df, numeric, cuts)
         f["corr_matrix"] = R.corr_matrix(df, numeric)
     metrics = list(dict.fromkeys([m for m in (rep.metric, *numeric) if m]))[:MOST_METRICS]
     if categories and metrics:
         moments = R.group_moments(binned, categories, metrics)
-        f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments, R.group_medians(binned, categories, metrics))
+        f["drivers"], f["driver_levels"] = R.driver_effects(moments), R.driver_levels(moments, R.group_medians(binned, categories, metrics, cuts, few=True))
     if len(base) > 1:
         f["associations"] = R.cramers_v(df, list(combinations(base, 2))).withColumn("reading", overlap_label(F.col("v")))
-    odd = R.outliers(df if row else with_row_numbers(df, "_row"), numeric, row or "_row") if numeric else None
+    odd = R.outliers(df if row else with_row_numbers(df, "_row"), numeric, row or "_row", profiles=by) if numeric else None
     for c in [c for c in names if rep.types[c] == "category" and by[c]["complete"] > 50]:
         rare = R.rare_categories(df, c).select(
             "column", F.lit(None).cast("string").alias("row"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("z"),
@@ -148,7 +153,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     if rep.metric:
         scanned = [c for c in categories if c != f"{rep.metric} (quintile)"]
         if scanned:
-            f["segments"] = R.segment_scan(binned, scanned, rep.metric)
+            f["segments"] = R.segment_scan(binned, scanned, rep.metric, cuts[rep.metric], few=True)
             f["hot_and_cold"] = R.hot_and_cold(f["segments"])
         composed = [c for c in base if 2 <= by[c]["distinct"] <= 10][:MOST_COMPOSITIONS]
         if base:
@@ -156,12 +161,12 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
             f |= {f"pareto:{c}": items.filter(F.col("column") == c).drop("column") for c in base[:MOST_PARETO]}
             f |= {f"composition:{c}": X.composition(df, c, rep.metric) for c in composed}
         if not dates:
-            f["ordered_trends"] = X.ordered_trends(binned, categories, rep.metric)
+            f["ordered_trends"] = X.ordered_trends(binned, categories, rep.metric, cuts=cuts[rep.metric])
             for c in [c for c in base if 3 <= by[c]["distinct"] <= 14][:1]:
                 f["volume"] = X.volume_profile(df, c, rep.metric)
     if dates and rep.metric:
         rep.date = dates[0]
-        f["period"] = S.month_breakdown(df, rep.date, rep.metric)
+        f["period"] = S.month_breakdown(df, rep.date, rep.metric, cuts[rep.metric])
         f["series"] = S.trim_partial(S.daily_series(df, rep.date, rep.metric))
         if cache:
             f["series"] = f["series"].persist()  # a row for each day
@@ -214,7 +219,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     from datascry.plans.findings import build_actions, build_findings, build_summary
 
     if rep.metric:
-        ten = X.decile_share(df, rep.metric).filter("decile = 10").select("share")
+        ten = X.decile_share(df, rep.metric, cuts[rep.metric]).filter("decile = 10").select("share")
         rep.lists["top_decile"] = _rows(ten)
     for side, over in (("above", True), ("below", False)):
         mine = [r for r in rep.lists["segments"] if (r["lift"] > 0) == over and r["lift"] != 0][:12]
@@ -223,7 +228,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
         if name in f:
             rep.lists[name] = _rows(f[name])
     if len(rep.lists.get("period") or []) > 1:
-        rep.lists["period_extremes"] = _rows(S.month_extremes(f["period"]))
+        rep.lists["period_extremes"] = _rows(S.month_extremes(spark.createDataFrame(rep.lists["period"], f["period"].schema)))
     rep.lists["noise"] = _rows(spark.range(1).select(*P.noise_floor(F.lit(rep.rows))))
     if rep.metric:
         rep.lists["histogram"] = _rows(P.histogram(df, rep.metric))

@@ -208,6 +208,44 @@ def test_ranks_of_hot_and_of_many_values(spark, monkeypatch):
             assert (r.a, r.b, r.c) == tuple(w.get(v) for w, v in zip(want, (r.x, r.y, r.z)))
 
 
+@pytest.mark.parametrize("cuts", [[], [0.0], [-3.0, 0.0, 5e-324, 2.0, 2.0, 7.5], [1e9, float("inf")], [float(i) for i in range(400)]])
+def test_any_cuts_give_the_same_ranks_medians_and_deciles(spark, monkeypatch, cuts):
+    """Cuts decide where rows go, nothing else; both zeros are one value."""
+    rng = random.Random(4)
+    rows = [(rng.choice("abc") if i % 50 else None, rng.choice([0.0, -0.0, 7.5, None, float(rng.randrange(-200, 400)), rng.random()])) for i in range(3000)]
+    df = frame(spark, rows, "k string, x double").repartition(3)
+    flat = sorted(x for _, x in rows if x is not None)
+    places = {}
+    for i, x in enumerate(flat):
+        places.setdefault(x, []).append(i + 1)
+    monkeypatch.setattr(ranks, "FEW_VALUES", 10)
+    got = ranks.with_ranks(df, ["x"], ["r"], {"x": cuts}).collect()
+    assert len(got) == len(rows) and all(r.r == (None if r.x is None else sum(places[r.x]) / len(places[r.x])) for r in got)
+    at = (0.9, 0.0, 0.25, 0.5, 1.0)
+    for few in (True, False):
+        got = {r.k: (r.n, r.q) for r in ranks.exact_quantiles(df, {"x": F.col("x")}, at, ["k"], {"x": cuts}, few).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for k, (n, q) in got.items():
+            mine = [x for c, x in rows if c == k and x is not None]
+            assert n == len(mine) and q == pytest.approx(np.quantile(mine, at).tolist(), abs=1e-12)
+    got = {r.decile: (r.n, r.sum) for r in explore.decile_share(df, "x", cuts).collect()}
+    n = len(flat)
+    for d in range(10):
+        part = flat[d * n // 10 : (d + 1) * n // 10]
+        assert got[d + 1] == (len(part), pytest.approx(sum(part), abs=1e-9))
+
+
+def test_ranks_move_rows_without_joining_them_to_a_table_of_values(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW_VALUES", 10)
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.col("id").cast("double")).alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ranks.with_ranks(df, ["x"], ["r"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_pareto_of_equal_sums_is_in_many_ranges(spark):
     keys = spark.range(50_000).select(F.concat(F.lit("Customer#"), F.format_string("%09d", F.col("id"))).alias("key"), F.lit(1.0).alias("value"))
     assert ranks.in_pair_ranges(keys, "value", "key").select("range").distinct().count() > 100

@@ -256,6 +256,21 @@ def test_every_cell_counts_in_types(spark):
     assert infer.infer_types(df) == {"a": "text", "value": "currency"}
 
 
+def test_rows_with_a_key_are_not_grouped_for_repeats(spark, monkeypatch):
+    from datascry.operators import profile
+
+    keyed = spark.range(60).select(F.col("id").alias("key"), (F.col("id") % 7).cast("double").alias("v"))
+    assert analyse(keyed.union(keyed.limit(3))).quality["duplicates"] == 3
+
+    def grouped(*args):
+        raise AssertionError("rows are grouped")
+
+    monkeypatch.setattr(profile, "duplicate_rows", grouped)
+    report = analyse(keyed)
+    assert report.quality["duplicates"] == 0
+    report.source.unpersist()
+
+
 def test_native_columns_are_typed_without_patterns(spark, monkeypatch):
     df = spark.range(60).select("id", F.lit(2.5).alias("price"), F.current_timestamp().alias("at"), (F.col("id") % 2).alias("bit"), (F.col("id") % 2 == 0).alias("truth"), F.lit(" Yes ").alias("said"))
     assert infer.infer_types(df) == {"id": "id", "price": "currency", "at": "date", "bit": "boolean", "truth": "boolean", "said": "boolean"}
