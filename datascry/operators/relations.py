@@ -91,14 +91,25 @@ def _ranked_pair(pair: DataFrame, cuts: Mapping[str, Sequence[float]] | None = N
     return with_ranks(pair, ["x", "y"], ["rx", "ry"], cuts)
 
 
+#: Ranks that agree by so much more than values do speak of a curve.
+CURVED = 0.15
+
+
+def links(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All pairs with at least 8 rows: ``a, b, n, r``, p, adjusted p and labels, without ranks."""
+    found = pearson_pairs(df, columns).filter("n >= 8 and r is not null")
+    out = special.adjust(found.withColumn("p", special.corr_p(F.col("r"), F.col("n"))))
+    return out.withColumns({"strength": strength_label(F.col("r")), "duplicate": F.abs("r") > 0.999})
+
+
 def correlations(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
-    """All pairs with at least 8 rows: r, rho, p, adjusted p and labels."""
+    """:func:`links` with rho, and whether the ranks show a curve."""
     both = pearson_pairs(df, columns).filter("n >= 8 and r is not null").join(spearman_pairs(df, columns, cuts), ["a", "b"])
     out = special.adjust(both.withColumn("p", special.corr_p(F.col("r"), F.col("n"))))
     return out.withColumns(
         {
             "strength": strength_label(F.col("r")),
-            "nonlinear": F.abs("rho") - F.abs("r") > 0.15,
+            "nonlinear": F.abs("rho") - F.abs("r") > CURVED,
             "duplicate": F.abs("r") > 0.999,
         }
     )
@@ -294,12 +305,12 @@ def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int
 # ------------------------------------------------------------ segments
 
 
-def segment_scan(df: DataFrame, categories: Sequence[str], metric: str, cuts: Sequence[float] | None = None, few: bool = False) -> DataFrame:
+def segment_scan(df: DataFrame, categories: Sequence[str], metric: str, cuts: Sequence[float] | None = None, few: bool = False, middle: bool = True) -> DataFrame:
     """Welch's test of each level against all other rows.
 
     The rest's moments are the whole less the level's, in central form, so
     nothing cancels.  Levels need 5 values and 1 % of the rows.  ``cuts`` (of the metric) and ``few``
-    are as in :func:`ranks.exact_quantiles`.
+    are as in :func:`ranks.exact_quantiles`; without ``middle`` medians are null and take no scan.
     """
     base = df.select(*[blank_key(F.col(f"`{c}`")).alias(c) for c in categories], number(df, metric).alias("_v"))
     whole = base.agg(F.count("_v").alias("all_n"), F.avg("_v").alias("all_mean"), (F.var_pop("_v") * F.count("_v")).alias("all_ss"), F.count(F.lit(1)).alias("rows"))
@@ -307,9 +318,12 @@ def segment_scan(df: DataFrame, categories: Sequence[str], metric: str, cuts: Se
     out = levels.groupBy(F.col("driver").alias("column"), F.col("level").alias("value")).agg(
         F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
     )
-    cuts = cuts or cuts_of(base, {"_v": F.col("_v")})["_v"]  # before rows go to each of their levels
-    middle = medians(levels, {"_v": F.col("_v")}, ["driver", "level"], {"_v": cuts}, few)
-    out = out.join(middle.select(F.col("driver").alias("column"), F.col("level").alias("value"), "median"), ["column", "value"], "left")
+    if middle:
+        cuts = cuts or cuts_of(base, {"_v": F.col("_v")})["_v"]  # before rows go to each of their levels
+        found = medians(levels, {"_v": F.col("_v")}, ["driver", "level"], {"_v": cuts}, few)
+        out = out.join(found.select(F.col("driver").alias("column"), F.col("level").alias("value"), "median"), ["column", "value"], "left")
+    else:
+        out = out.withColumn("median", F.lit(None).cast("double"))
     n1, n2 = F.col("n").cast("double"), (F.col("all_n") - F.col("n")).cast("double")
     m2 = F.try_divide(F.col("all_n") * F.col("all_mean") - n1 * F.col("mean"), n2)
     rest = F.greatest(F.lit(0.0), F.col("all_ss") - F.col("ss") - n1 * n2 / F.col("all_n") * F.pow(F.col("mean") - m2, 2))

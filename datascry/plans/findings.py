@@ -71,7 +71,7 @@ def build_findings(rep: Report) -> list[dict]:
     for i, r in enumerate(lists["correlations"][:8]):
         a = abs(r["r"])
         same = "nearly the same column as" if r["duplicate"] else "rises with" if r["r"] > 0 else "falls with"
-        curve = " The ranks agree more than the values: the relation is curved." if r["nonlinear"] else ""
+        curve = " The ranks agree more than the values: the relation is curved." if r.get("nonlinear") else ""
         add("correlation", 70 * a + 10 * (i == 0) + 6, _tone(a, 0.6, 0.4), f"{r['a']} {same} {r['b']}",
             f"r = {r['r']:.3f} ({r['strength']}), {show_p(r['p_adj'], 'q')}, n = {r['n']}; {100 * a * a:.0f}% of the variation is shared.{curve}")
     for r in lists["associations"][:5]:
