@@ -63,7 +63,11 @@ def paretos(df: DataFrame, columns: Sequence[str], metric: str | None = None) ->
     """
     number_of = number(df, metric) if metric else F.lit(1.0)
     keys = F.array(*[F.struct(F.lit(c).alias("column"), blank_key(F.col(f"`{c}`")).alias("key")) for c in columns])
-    sums = df.select(number_of.alias("v"), F.inline(keys)).filter("v is not null").groupBy("column", "key").agg(F.sum("v").alias("value"))
+    return pareto_items(df.select(number_of.alias("v"), F.inline(keys)).filter("v is not null").groupBy("column", "key").agg(F.sum("v").alias("value")))
+
+
+def pareto_items(sums: DataFrame) -> DataFrame:
+    """:func:`paretos` of the sums ``column, key, value``."""
     order = W.partitionBy("column").orderBy(F.desc("value"), "key")
     total = F.sum("value").over(W.partitionBy("column"))
     whole = F.when(total == 0, 1.0).otherwise(total)

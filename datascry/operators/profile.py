@@ -45,12 +45,17 @@ def kurt(x: Column, n: Column) -> Column:
     return F.when((n < 4) | (F.coalesce(F.stddev_samp(x), F.lit(0.0)) == 0), 0.0).otherwise(raw)
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+#: Ranks that bands of a fifth of the values end at.
+FIFTHS = tuple(i / 5 for i in range(6))
+
+
+def numeric_profile(df: DataFrame, columns: Sequence[str], report: bool = False) -> DataFrame:
     """One row per column.
 
     Unparseable cells are neither missing nor values; quantiles are exact.  Moments come from one
     grouping of cells under their column's number: an aggregate of all columns side by
-    side is a method so long that the JVM never compiles it.
+    side is a method so long that the JVM never compiles it.  For a ``report`` distinct values are
+    not counted, and the quantiles at :data:`FIFTHS` come along as ``fifths``.
     """
     x, n = F.col("c.v"), F.count("c.v")
     mean, sd = F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))
@@ -75,17 +80,24 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
     none = ["total", "missing", "missing_pct", "n", "sd", "skew", "kurtosis", "zeros", "negatives"]
     out = _named(every.join(F.broadcast(found), "i", "left").fillna(0, none).withColumn("position", F.col("i")), columns)
-    # distinct values of all columns by one grouping
-    values = _cells(df, columns, lambda c: number(df, c)).filter("v is not null").groupBy("i", "v").agg(F.lit(1))
-    counted = _named(values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct")), columns)
-    q = exact_quantiles(df, {c: number(df, c) for c in columns}, (0.05, 0.25, 0.5, 0.75, 0.95)).select(
-        F.col("name").alias("column"), *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))]
+    at = (0.05, 0.25, 0.5, 0.75, 0.95)
+    q = exact_quantiles(df, {c: number(df, c) for c in columns}, (*at, *FIFTHS) if report else at).select(
+        F.col("name").alias("column"), *[F.col("q")[i].alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))],
+        *([F.slice("q", len(at) + 1, len(FIFTHS)).alias("fifths")] if report else []),
     )
-    # both have one row per column
-    got = out.join(F.broadcast(counted), "column", "left").join(F.broadcast(q), "column", "left").fillna(0, ["distinct"]).withColumn("iqr", F.col("q3") - F.col("q1"))
+    if not report:
+        out = out.join(F.broadcast(distinct_numbers(df, columns)), "column", "left").fillna(0, ["distinct"])
+    # those joined have one row per column
+    got = out.join(F.broadcast(q), "column", "left").withColumn("iqr", F.col("q3") - F.col("q1"))
     return got.select("column", "position", *[c for c in got.columns if c not in ("column", "position")])
 
 
+def distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, distinct``: different numbers of all columns by one grouping; no row for a column without any."""
+    values = _cells(df, columns, lambda c: number(df, c)).filter("v is not null").groupBy("i", "v").agg(F.lit(1))
+    return _named(values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct")), columns)
+
+
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     """Exact quantiles by linear interpolation: ``q, value``; nulls where there is no value."""
     asked = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(float(q)) for q in at])).alias("i", "q"))
@@ -143,11 +155,11 @@ def all_key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return keys.groupBy("i", F.col("v").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def concentrations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def concentrations(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """A row for each column: distinct, singletons, HHI, top share, entropy in bits, balance.
 
-    A column without filled cells has zeros and nulls."""
-    counts = all_key_counts(df, columns)
+    A column without filled cells has zeros and nulls.  ``counts`` are those of :func:`all_key_counts`, counted unless given."""
+    counts = counts or all_key_counts(df, columns)
     total = counts.groupBy("i").agg(F.sum("n").alias("total"))  # a row for each column
     p = F.col("n") / F.col("total")
     k = F.count(F.lit(1))
@@ -171,9 +183,9 @@ def concentration(df: DataFrame, column: str) -> DataFrame:
     return concentrations(df, [column])
 
 
-def top_values(df: DataFrame, columns: Sequence[str], top: int = 12) -> DataFrame:
-    """``column, place, key, n, pct``: :func:`value_counts` of all columns."""
-    counts = all_key_counts(df, columns)
+def top_values(df: DataFrame, columns: Sequence[str], top: int = 12, counts: DataFrame | None = None) -> DataFrame:
+    """``column, place, key, n, pct``: :func:`value_counts` of all columns; ``counts`` as in :func:`concentrations`."""
+    counts = counts or all_key_counts(df, columns)
     total = counts.groupBy("i").agg(F.sum("n").alias("total"))  # a row for each column
     place = F.row_number().over(W.partitionBy("i").orderBy(F.desc("n"), "key"))  # Spark keeps only the first of each task
     shown = counts.withColumn("place", place).filter(F.col("place") <= top).join(F.broadcast(total), "i")
@@ -224,9 +236,9 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def case_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, variants``: lower-cased keys that have more than one spelling."""
-    spelled = all_key_counts(df, columns).groupBy("i", F.lower("key").alias("k")).agg(F.count(F.lit(1)).alias("spellings"))
+def case_variants(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """``column, variants``: lower-cased keys that have more than one spelling; ``counts`` as in :func:`concentrations`."""
+    spelled = (counts or all_key_counts(df, columns)).groupBy("i", F.lower("key").alias("k")).agg(F.count(F.lit(1)).alias("spellings"))
     found = spelled.groupBy("i").agg(F.count_if(F.col("spellings") > 1).alias("variants"))
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
     return _named(every.join(F.broadcast(found), "i", "left").fillna(0, ["variants"]), columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from datascry.functions import special
 from datascry.functions.values import blank_key, finite, fmt_num, strength_label, trimmed
-from datascry.operators.profile import key_counts, number
+from datascry.operators.profile import FIFTHS, key_counts, number
 from datascry.operators.ranks import cuts_of, exact_quantiles, medians, with_ranks
 
 INF = float("inf")
@@ -166,6 +166,44 @@ def group_moments(df: DataFrame, categories: Sequence[str], metrics: Sequence[st
     return rows.groupBy("driver", "level").agg(F.array(*stats).alias("s")).select("driver", "level", F.inline("s"))
 
 
+def level_cells(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """A row for each combination of levels that occurs: trimmed levels ``c0, ...`` (blank: empty), ``rows``, and for
+    each metric ``m0, ...`` its n, mean, sum of squares about it, min, max and sum.
+
+    One scan without copies of rows; what is asked of levels and of their pairs follows from these
+    rows.  Meant for so few categories that there are far fewer combinations than rows.
+    """
+    base = df.select(
+        *[F.coalesce(trimmed(F.col(f"`{c}`")), F.lit("")).alias(f"c{i}") for i, c in enumerate(categories)], *[number(df, m).alias(f"v{j}") for j, m in enumerate(metrics)]
+    )
+    stats = []
+    for j in range(len(metrics)):
+        v = f"v{j}"
+        parts = (F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("ss"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v).alias("sum"))
+        stats.append(F.struct(*parts).alias(f"m{j}"))
+    return base.groupBy(*[f"c{i}" for i in range(len(categories))]).agg(F.count(F.lit(1)).alias("rows"), *stats)
+
+
+def _pooled(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by`` with the moments of their rows together: squares are about the common mean, so nothing cancels."""
+    group = W.partitionBy(*by)
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(group), F.sum("n").over(group).cast("double"))
+    return parts.withColumn("common", mean).groupBy(*by).agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.first("common").alias("mean"),
+        F.coalesce(F.sum(F.col("ss") + F.col("n") * F.pow(F.col("mean") - F.col("common"), 2)), F.lit(0.0)).alias("ss"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("sum").alias("sum"),
+    )
+
+
+def moments_of(cells: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """What :func:`group_moments` says, with the ``rows`` of each level, from the :func:`level_cells` of the same names."""
+    levels = F.array(*[F.struct(F.lit(c).alias("driver"), blank_key(F.col(f"c{i}")).alias("level")) for i, c in enumerate(categories)])
+    stats = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"m{j}")[k].alias(k) for k in ("n", "mean", "ss", "lo", "hi", "sum")]) for j, m in enumerate(metrics)])
+    each = cells.select("rows", stats.alias("s"), F.inline(levels)).select("rows", "driver", "level", F.inline("s"))
+    var = F.coalesce(F.try_divide(F.col("ss"), F.when(F.col("n") > 1, F.col("n") - 1.0)), F.lit(0.0))
+    return _pooled(each, ["driver", "level", "metric"]).select("driver", "level", "metric", "n", "mean", var.alias("var"), "lo", "hi", "sum", "rows")
+
+
 def driver_effects(moments: DataFrame, min_group: int = 3, max_levels: int = 40) -> DataFrame:
     """One-way analysis of variance for each driver and metric of ``moments``.
 
@@ -254,26 +292,27 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 PAIRS = 60
 
 
-def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 20, max_levels: int = 30) -> DataFrame:
+def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 20, max_levels: int = 30, weight: str | None = None) -> DataFrame:
     """Association of category pairs with 2 to ``max_levels`` levels on both sides.
 
     The tables of all pairs come from one grouping for each :data:`PAIRS`.  Cells without rows count with
     their expectation.  p is given only where no expectation is below 1 and at most a
     fifth are below 5.  The sums run over counted cells and level totals, so no grid of
     levels is built: what empty cells add to chi-square is n less the expectations of the others.
+    With ``weight`` each row stands for as many as that column says.
     """
     out = None
     for at in range(0, len(pairs), PAIRS):
-        one = _associations(df, pairs[at : at + PAIRS], min_rows, max_levels)
+        one = _associations(df, pairs[at : at + PAIRS], min_rows, max_levels, weight)
         out = one if out is None else out.unionByName(one)
     return special.adjust(out.withColumn("p", F.when(F.col("reliable"), special.chi2_p(F.col("chi2"), F.col("df")))))
 
 
-def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int, max_levels: int) -> DataFrame:
+def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int, max_levels: int, weight: str | None) -> DataFrame:
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    base = df.select(*[trimmed(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+    base = df.select((F.col(weight) if weight else F.lit(1)).alias("w"), *[trimmed(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
     sides = [F.struct(F.lit(k).alias("pair"), F.col(f"c{names.index(a)}").alias("x"), F.col(f"c{names.index(b)}").alias("y")) for k, (a, b) in enumerate(pairs)]
-    cells = base.select(F.inline(F.array(*sides))).filter("x <> '' and y <> ''").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = base.select("w", F.inline(F.array(*sides))).filter("x <> '' and y <> ''").groupBy("pair", "x", "y").agg(F.sum("w").alias("n"))
 
     def levels(side: str) -> DataFrame:
         return cells.select("pair", side).distinct().groupBy("pair").agg(F.count(F.lit(1)).alias(f"k{side}")).filter(F.col(f"k{side}").between(2, max_levels))
@@ -305,19 +344,28 @@ def _associations(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int
 # ------------------------------------------------------------ segments
 
 
-def segment_scan(df: DataFrame, categories: Sequence[str], metric: str, cuts: Sequence[float] | None = None, few: bool = False, middle: bool = True) -> DataFrame:
+def segment_scan(
+    df: DataFrame, categories: Sequence[str], metric: str, cuts: Sequence[float] | None = None, few: bool = False, middle: bool = True, moments: DataFrame | None = None
+) -> DataFrame:
     """Welch's test of each level against all other rows.
 
     The rest's moments are the whole less the level's, in central form, so
     nothing cancels.  Levels need 5 values and 1 % of the rows.  ``cuts`` (of the metric) and ``few``
     are as in :func:`ranks.exact_quantiles`; without ``middle`` medians are null and take no scan.
+    ``moments`` of the categories and the metric, as of :func:`moments_of`, save the scan for means.
     """
     base = df.select(*[blank_key(F.col(f"`{c}`")).alias(c) for c in categories], number(df, metric).alias("_v"))
-    whole = base.agg(F.count("_v").alias("all_n"), F.avg("_v").alias("all_mean"), (F.var_pop("_v") * F.count("_v")).alias("all_ss"), F.count(F.lit(1)).alias("rows"))
-    levels = _by_level(base, categories, [F.col("_v")])
-    out = levels.groupBy(F.col("driver").alias("column"), F.col("level").alias("value")).agg(
-        F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
-    )
+    levels = None if moments is not None and not middle else _by_level(base, categories, [F.col("_v")])
+    if moments is not None:
+        mine = moments.filter((F.col("metric") == metric) & F.col("driver").isin(list(categories))).withColumn("ss", F.col("var") * (F.col("n") - 1))
+        # each row has one level of a category
+        whole = _pooled(mine.filter(F.col("driver") == categories[0]), ["metric"]).select(*[F.col(c).alias(f"all_{c}") for c in ("n", "mean", "ss")], "rows")
+        out = mine.select(F.col("driver").alias("column"), F.col("level").alias("value"), "n", "mean", "ss")
+    else:
+        whole = base.agg(F.count("_v").alias("all_n"), F.avg("_v").alias("all_mean"), (F.var_pop("_v") * F.count("_v")).alias("all_ss"), F.count(F.lit(1)).alias("rows"))
+        out = levels.groupBy(F.col("driver").alias("column"), F.col("level").alias("value")).agg(
+            F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("ss")
+        )
     if middle:
         cuts = cuts or cuts_of(base, {"_v": F.col("_v")})["_v"]  # before rows go to each of their levels
         found = medians(levels, {"_v": F.col("_v")}, ["driver", "level"], {"_v": cuts}, few)
@@ -361,17 +409,22 @@ def hot_and_cold(segments: DataFrame, most: int = 12) -> DataFrame:
 
 def all_bin_edges(df: DataFrame, columns: Sequence[str], bins: int = 5, chunk: int = 8) -> dict[str, list[float]]:
     """Distinct quantile edges of each column that has 20 values and three edges or more."""
-    at = [i / bins for i in range(bins + 1)]
+    at = FIFTHS if bins == 5 else [i / bins for i in range(bins + 1)]
     out = {}
     for k in range(0, len(columns), chunk):
         part = columns[k : k + chunk]
         for row in exact_quantiles(df, {c: number(df, c) for c in part}, at).collect():  # one row per column
-            edges = sorted(set(row["q"]))
-            if row["n"] >= 20 and len(edges) >= 3:
+            if edges := usable_edges(row["n"], row["q"]):
                 out[row["name"]] = edges
     return out
 
 
+def usable_edges(n: int, quantiles: Sequence[float]) -> list[float]:
+    """Distinct edges; none of fewer than 20 values or three edges."""
+    edges = sorted(set(quantiles or ()))
+    return edges if n >= 20 and len(edges) >= 3 else []
+
+
 def bin_edges(df: DataFrame, column: str, bins: int = 5) -> list[float]:
     """Edges of one column; empty where there are too few."""
     return all_bin_edges(df, [column], bins).get(column, [])
@@ -386,10 +439,12 @@ def bin_label(value: Column, edges: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def with_quintiles(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
-    """Adds bands of the columns that can be binned, of the first ``most`` such columns."""
-    edges = all_bin_edges(df, columns) if columns else {}
-    binned = [c for c in columns if c in edges][:most]
+def with_quintiles(df: DataFrame, columns: Sequence[str], most: int | None = None, edges: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """Adds bands of the columns that can be binned, of the first ``most`` such columns; ``edges``
+    are those of :func:`all_bin_edges`, looked for unless given."""
+    if edges is None:
+        edges = all_bin_edges(df, columns) if columns else {}
+    binned = [c for c in columns if edges.get(c)][:most]
     return df.withColumns({f"{c} (quintile)": bin_label(number(df, c), edges[c]) for c in binned}) if binned else df
 
 

@@ -6,9 +6,9 @@ Only such rows reach the driver: for eligibility, the headline and the findings.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -26,6 +26,8 @@ from datascry.sources.tables import with_row_numbers
 
 # Eligibility and keep thresholds.
 MOST_LEVELS, MOST_CATEGORIES, MOST_METRICS, MOST_PARETO, MOST_COMPOSITIONS = 60, 25, 14, 6, 4
+#: Combinations of levels that one grouping counts at most.
+MOST_CELLS = 50_000
 LEAST_R, LEAST_ETA2, LEAST_V, LEVEL = 0.15, 0.005, 0.12, 0.05
 
 
@@ -53,6 +55,7 @@ class Report:
     numeric: list[str] = field(default_factory=list)
     base: list[str] = field(default_factory=list)
     dates: list[str] = field(default_factory=list)
+    edges: dict[str, list[float]] = field(default_factory=dict)
     done: set[str] = field(default_factory=set)
 
     def type_of(self, name: str | None) -> str:
@@ -65,7 +68,7 @@ class Report:
     @cached_property
     def binned(self) -> DataFrame:
         """The table with bands of its numeric columns."""
-        return R.with_quintiles(self.source, self.numeric, max(0, MOST_CATEGORIES - len(self.base)))
+        return R.with_quintiles(self.source, self.numeric, max(0, MOST_CATEGORIES - len(self.base)), self.edges)
 
     @cached_property
     def categories(self) -> list[str]:
@@ -80,9 +83,38 @@ class Report:
         """One sketch of each column for all ranks, medians and deciles."""
         return cuts_of(self.source, {c: P.number(self.source, c) for c in self.numeric})
 
+    @cached_property
+    def cells(self) -> list[tuple[list[str], DataFrame]]:
+        """Combinations of levels with moments of all metrics, of as many categories at a time as keep them few;
+        a scan for each."""
+        packs: list[list[str]] = []
+        size = 0
+        for c in self.categories:
+            levels = (self.by[c]["distinct"] if c in self.by else len(P.FIFTHS) - 1) + 1  # and blank
+            if packs and size * levels <= MOST_CELLS:
+                packs[-1].append(c)
+                size *= levels
+            else:
+                packs.append([c])
+                size = levels
+        made = [(pack, R.level_cells(self.binned, pack, self.metrics)) for pack in packs]
+        return [(pack, one.persist() if self.cached else one) for pack, one in made]  # MOST_CELLS rows at most
+
     @cached_property
     def moments(self) -> DataFrame | None:
-        return R.group_moments(self.binned, self.categories, self.metrics) if self.categories and self.metrics else None
+        if not self.categories or not self.metrics:
+            return None
+        found = [R.moments_of(one, pack, self.metrics) for pack, one in self.cells]
+        out = reduce(DataFrame.unionByName, found)
+        return out.persist() if self.cached else out  # a row for each level and metric
+
+    @cached_property
+    def crossed(self) -> tuple[DataFrame, str | None]:
+        """Rows with all base categories, and the column that says how many of the table's each stands for."""
+        pack, one = self.cells[0] if self.cells else ([], None)
+        if one is None or not set(self.base) <= set(pack):
+            return self.source, None
+        return one.select(F.col("rows").alias("_rows"), *[F.col(f"c{pack.index(c)}").alias(c) for c in self.base]), "_rows"
 
     @property
     def scanned(self) -> list[str]:
@@ -95,7 +127,10 @@ class Report:
     @cached_property
     def items(self) -> DataFrame | None:
         """Pareto tables of the categories."""
-        return X.paretos(self.source, list(dict.fromkeys([*self.base[:MOST_PARETO], *self.composed])), self.metric) if self.metric and self.base else None
+        if not self.metric or not self.base:
+            return None
+        mine = self.moments.filter(F.col("driver").isin([*self.base[:MOST_PARETO], *self.composed]) & (F.col("metric") == self.metric) & (F.col("n") > 0))
+        return X.pareto_items(mine.select(F.col("driver").alias("column"), F.col("level").alias("key"), F.col("sum").alias("value")))
 
     @cached_property
     def odd(self) -> DataFrame | None:
@@ -120,9 +155,11 @@ class Report:
         """How many days the series has; from six on it is among the frames."""
         if not self.dates or not self.metric:
             return 0
-        s = S.trim_partial(S.daily_series(self.source, self.dates[0], self.metric))
-        s = s.persist() if self.cached else s  # a row for each day
+        daily = S.daily_series(self.source, self.dates[0], self.metric)
+        s = S.trim_partial(daily.persist() if self.cached else daily)
+        s = s.persist() if self.cached else s  # a row for each day, as in ``daily``
         n = s.count()
+        daily.unpersist()
         if n > 5:
             self.frames |= {"series": s, "forecast": S.forecast(s), "weekdays": S.weekday_seasonality(s), "months": S.month_seasonality(s)}
         return n
@@ -142,34 +179,66 @@ def parsed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def profile_all(df: DataFrame, types: Mapping[str, str], ready: DataFrame | None = None) -> list[dict]:
     """One record per column, in file order: completeness, and by type numbers,
-    dates or value counts.  ``ready`` is ``df`` as :func:`parsed` gives it."""
+    dates or value counts.  ``ready`` is ``df`` as :func:`parsed` gives it.  Distinct numbers are
+    left to :func:`count_numbers`."""
     ready = ready or parsed(df, types)
     names = [c for c in df.columns if c in types]
     out = {r["column"]: r | {"type": types[r["column"]]} for r in _rows(P.missingness(df, names))}
     numeric = [c for c in names if types[c] in NUMERIC]
     if numeric:
-        for r in _rows(P.numeric_profile(ready, numeric)):
+        for r in _rows(P.numeric_profile(ready, numeric, report=True)):
             # a cell that is no number is not missing: that is known of the cells as read
             out[r["column"]] |= {k: v for k, v in r.items() if k not in ("total", "missing", "missing_pct")}
     for c in names:
         if types[c] == "date":
             out[c] |= _rows(P.date_profile(df, c))[0]
     worded = [c for c in names if types[c] not in (*NUMERIC, "date")]
-    for r in _rows(P.concentrations(df, worded)) if worded else []:
+    keyed = worded or names[:1]
+    counts = P.all_key_counts(df, keyed).persist()
+    for r in _rows(P.concentrations(df, worded, counts)) if worded else []:
         out[r["column"]] |= r
     grouped = [c for c in worded if types[c] in GROUPABLE]
     for c in grouped:
         out[c]["top"] = []
-    for r in sorted(_rows(P.top_values(df, grouped)) if grouped else [], key=lambda r: r["place"]):
+    mine = counts.filter(F.col("i").isin([keyed.index(c) for c in grouped]))
+    for r in sorted(_rows(P.top_values(df, keyed, counts=mine)) if grouped else [], key=lambda r: r["place"]):
         out[r["column"]]["top"].append({k: r[k] for k in ("key", "n", "pct")})
-    variants = _rows(P.case_variants(df, [c for c in names if types[c] not in (*NUMERIC, "date")] or names[:1]))
-    for r in variants:
+    for r in _rows(P.case_variants(df, keyed, counts)):
         out[r["column"]]["variants"] = r["variants"]
-    for p in out.values():
-        p["constant"] = (p.get("distinct") or 0) <= 1
+    counts.unpersist()
+    for c, p in out.items():
+        p["constant"] = (p["min"] == p["max"]) if c in numeric else (p.get("distinct") or 0) <= 1
     return [out[c] for c in names]
 
 
+def count_numbers(df: DataFrame, profiles: Sequence[dict]) -> None:
+    """Gives profiles of numbers that lack it their count of distinct values; they are counted by a shuffle of all."""
+    open_ = [p for p in profiles if p["type"] in NUMERIC and "distinct" not in p]
+    got = {r["column"]: r["distinct"] for r in _rows(P.distinct_numbers(df, [p["column"] for p in open_]) if open_ else None)}
+    for p in open_:
+        p["distinct"] = got.get(p["column"], 0)
+
+
+#: Rows among which a repeated value shows that a column is no key.
+FIRST_ROWS = 20_000
+
+
+def _keyed(df: DataFrame, profiles: Sequence[dict]) -> bool:
+    """Whether a column has as many values as there are rows.  Columns of numbers are counted one by one,
+    but for those that have gaps or repeat a value among the first rows."""
+    if any(p["total"] == p.get("distinct") for p in profiles):
+        return True
+    full = [p for p in profiles if p["type"] in NUMERIC and p["n"] == p["total"]]
+    first = [dict(p) for p in full]
+    count_numbers(df.limit(FIRST_ROWS), first)
+    for p, f in zip(full, first, strict=True):
+        if f["distinct"] == min(FIRST_ROWS, p["total"]):
+            count_numbers(df, [p])
+            if p["distinct"] == p["total"]:
+                return True
+    return False
+
+
 def _sure(r: dict) -> bool:
     return r["p_adj"] is not None and r["p_adj"] < LEVEL
 
@@ -215,7 +284,8 @@ def _drivers(rep: Report) -> None:
 
 def _associations(rep: Report) -> None:
     if len(rep.base) > 1:
-        rep.frames["associations"] = R.cramers_v(rep.source, list(combinations(rep.base, 2))).withColumn("reading", overlap_label(F.col("v")))
+        rows, weight = rep.crossed
+        rep.frames["associations"] = R.cramers_v(rows, list(combinations(rep.base, 2)), weight=weight).withColumn("reading", overlap_label(F.col("v")))
     rep.lists["associations_all"] = sorted(_rows(rep.frames.get("associations")), key=lambda r: -r["v"])
     rep.lists["associations"] = [r for r in rep.lists["associations_all"] if r["v"] >= LEAST_V and r["reliable"] and _sure(r)]
 
@@ -237,12 +307,12 @@ def _scan(rep: Report, found: DataFrame | None) -> None:
 
 def _segments(rep: Report) -> None:
     """The scan without medians."""
-    _scan(rep, R.segment_scan(rep.binned, rep.scanned, rep.metric, middle=False) if rep.scanned else None)
+    _scan(rep, R.segment_scan(rep.binned, rep.scanned, rep.metric, middle=False, moments=rep.moments) if rep.scanned else None)
 
 
 def _segment_medians(rep: Report) -> None:
     if rep.scanned:
-        rep.frames["segments"] = R.segment_scan(rep.binned, rep.scanned, rep.metric, rep.cuts[rep.metric], few=True)
+        rep.frames["segments"] = R.segment_scan(rep.binned, rep.scanned, rep.metric, rep.cuts[rep.metric], few=True, moments=rep.moments)
         rep.frames["hot_and_cold"] = R.hot_and_cold(rep.frames["segments"])
     _scan(rep, rep.frames.get("segments"))
     rep.done.add("segments")
@@ -313,9 +383,9 @@ def begin(df: DataFrame, types: Mapping[str, str] | None = None, row: str | None
         df = df.persist()
     rep.source = df
     rep.profiles = profile_all(raw, rep.types, df)
+    fifths = {p["column"]: p.pop("fifths") for p in rep.profiles if "fifths" in p}
     # where a column has as many values as rows, no row repeats another
-    apart = any(p["total"] == p.get("distinct") for p in rep.profiles)
-    duplicates = P.duplicate_rows(raw, names).first()[0] if names and not apart else 0
+    duplicates = P.duplicate_rows(raw, names).first()[0] if names and not _keyed(df, rep.profiles) else 0
     if again:
         df.count()  # held before what it is made of goes
         raw.unpersist()
@@ -323,6 +393,7 @@ def begin(df: DataFrame, types: Mapping[str, str] | None = None, row: str | None
     by = rep.by
     rep.numeric = [c for c in names if rep.types[c] in NUMERIC and not by[c]["constant"] and by[c]["n"] > 4]
     rep.base = [c for c in names if rep.types[c] in GROUPABLE and not by[c]["constant"] and by[c]["distinct"] <= MOST_LEVELS]
+    rep.edges = {c: R.usable_edges(by[c]["n"], fifths[c]) for c in rep.numeric}
     rep.dates = [c for c in names if rep.types[c] == "date" and by[c]["n"] > 3]
     rep.metric = pick_metric([by[c] for c in rep.numeric])
     rep.date = rep.dates[0] if rep.dates and rep.metric else None
@@ -347,6 +418,7 @@ def analyse(df: DataFrame, types: Mapping[str, str] | None = None, row: str | No
     ``report.frames["series"].unpersist()``; ``cache=False`` reads it each time.
     """
     rep = work_out(begin(df, types, row, cache), PARTS)
+    count_numbers(rep.source, rep.profiles)
     df, f, spark = rep.source, rep.frames, rep.source.sparkSession
     if rep.moments is not None:
         f["driver_levels"] = R.driver_levels(rep.moments, R.group_medians(rep.binned, rep.categories, rep.metrics, rep.cuts, few=True))

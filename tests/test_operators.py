@@ -328,3 +328,40 @@ def test_profile_of_many_columns_is_one_set_of_aggregates(spark):
     assert [got[f"c{i}"]["position"] for i in range(9)] == list(range(9)) and all(got[f"c{i}"]["mean"] == 24.5 * (i + 1) and got[f"c{i}"]["distinct"] == 50 for i in range(9))
     none = profile.numeric_profile(df.limit(0), ["c0", "c1"]).collect()
     assert [(r["total"], r["n"], r["mean"], r["sd"], r["distinct"], r["median"]) for r in none] == [(0, 0, None, 0.0, 0, None)] * 2
+
+
+def test_cells_give_what_scans_of_rows_give(spark):
+    """Moments, segments, overlap and Pareto of combinations of levels: blanks, gaps, far values and a level of one row."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        a, b = rng.choice(["x", " x ", "y", "", None, "(blank)"]), rng.choice("pqr")
+        rows.append((a, "once" if i == 7 else b, None if i % 11 == 0 else 1e6 + rng.gauss(0, 1) + (b == "p"), float("nan") if a == "y" else rng.random()))
+    df = frame(spark, rows, "a string, b string, v double, w double")
+    names, metrics = ["a", "b"], ["v", "w"]
+    cells = relations.level_cells(df, names, metrics).persist()
+    moments = relations.moments_of(cells, names, metrics)
+    got = {(r.driver, r.metric, r.level): r for r in moments.collect()}
+    want = {(r.driver, r.metric, r.level): r for r in relations.group_moments(df, names, metrics).collect()}
+    assert got.keys() == want.keys() and sum(r.rows for r in got.values() if r.driver == "a" and r.metric == "v") == 900
+    for k, r in want.items():
+        assert (got[k].n, got[k].lo, got[k].hi) == (r.n, r.lo, r.hi)
+        # a mean near 1e6 is known to 1e-10, beside a spread of one
+        for x, e in (("mean", 1e-12), ("sum", 1e-12), ("var", 1e-8)):
+            one, other = getattr(got[k], x), getattr(r, x)
+            assert one is other is None or one == pytest.approx(other, rel=e), (k, x)
+
+    def by_key(found, *keys):
+        return {tuple(r[k] for k in keys): [r[c] for c in found.columns if c not in (*keys, "median")] for r in found.collect()}
+
+    def same(one, other):
+        assert one.keys() == other.keys() and one
+        assert all(a == pytest.approx(b, rel=1e-6, abs=1e-6) if isinstance(b, float) else a == b for k in one for a, b in zip(one[k], other[k], strict=True))
+
+    scans = [relations.segment_scan(df, names, "v", middle=False, moments=m) for m in (moments, None)]
+    same(*[by_key(s, "column", "value") for s in scans])
+    counted = cells.select(F.col("rows").alias("_rows"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    same(*[by_key(relations.cramers_v(*x), "a", "b") for x in ((counted, [("a", "b")], 20, 30, "_rows"), (df, [("a", "b")]))])
+    sums = moments.filter("metric = 'v' and n > 0").select(F.col("driver").alias("column"), F.col("level").alias("key"), F.col("sum").alias("value"))
+    same(*[by_key(x, "column", "key") for x in (explore.pareto_items(sums), explore.paretos(df, names, "v"))])
+    cells.unpersist()
